@@ -4,7 +4,7 @@ Each source gets a target number of words; a document of that source then holds
 a whole part that it surely gets and a fractional part that is rounded. Rounding is pivotal: two documents of one source
 meet, words move from one's fraction to the other's in a random direction until one fraction is 0 or 1, and the
 other goes on. Moves keep both expectations and the source's sum of words, so only the last document of a source can
-change the sum, by less than its size. Leaves of the tree are blocks of documents cut by a hash of doc_id (about
+change the sum, by less than its size; large documents meet first, so that one is mostly small. Leaves of the tree are blocks of documents cut by a hash of doc_id (about
 `block` rows, whatever the source); the at most one open document per (block, source) moves up, `fan` blocks meet in
 the next level, until one is left per source, which is rounded at random.
 
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     def step(level: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             key = [xxhash.xxh3_64_intdigest(str(x), seed=seed) for x in pdf["doc_id"]]
-            pdf = pdf.assign(_key=key).sort_values(["_key", "doc_id", "size"], kind="stable").drop(columns="_key")
+            pdf = pdf.assign(_key=key, _big=-pdf["size"]).sort_values(["_big", "_key", "doc_id"], kind="stable").drop(columns=["_key", "_big"])
             for at in pdf.groupby("source", dropna=False, sort=False).indices.values():
                 at = np.sort(at)
                 got = pivotal(pdf["doc_id"].to_numpy()[at], pdf["size"].to_numpy(float)[at], pdf["frac"].to_numpy(float)[at], seed, level)
