@@ -4,9 +4,10 @@ Each source gets a target number of words; a document of that source then holds
 a whole part that it surely gets and a fractional part that is rounded. Rounding is pivotal: two documents of one source
 meet, words move from one's fraction to the other's in a random direction until one fraction is 0 or 1, and the
 other goes on. Moves keep both expectations and the source's sum of words, so only the last document of a source can
-change the sum, by less than its size; large documents meet first, so that one is mostly small. Leaves of the tree are blocks of documents cut by a hash of doc_id (about
+change the sum; large documents meet first, so that one is mostly small. Leaves of the tree are blocks of documents cut by a hash of doc_id (about
 `block` rows, whatever the source); the at most one open document per (block, source) moves up, `fan` blocks meet in
-the next level, until one is left per source, which is rounded at random.
+the next level, until one is left per source. It is rounded to the nearer side, so a source misses its target by at
+most half of that document.
 
 All random draws are hashes of (seed, level, ids), so reruns agree. Defined results: null text has size 0; documents of
 size 0 hold no words and are taken 0 times; null source is a source of its own, last in order; rows repeated under one
@@ -113,8 +114,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
         settled = shut if settled is None else settled.unionByName(shut)
         rest = done.where(is_open)
         if blocks == 1:  # one open document per source at most
-            draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-            settled = settled.unionByName(rest.withColumn("frac", F.when(draw < F.col("frac"), 1.0).otherwise(0.0)))
+            settled = settled.unionByName(rest.withColumn("frac", F.round("frac")))
             break
         blocks = -(-blocks // fan)
         rows, level = rest.withColumn("block", F.floor(F.col("block") / fan).cast("long")), level + 1
