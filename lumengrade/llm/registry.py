@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sentencepiece_codec, source_mix, token_counts, url_filter
+from . import embedding_dedup, minhash_dedup, quality_rules, sentencepiece_codec, source_mix, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -12,8 +12,10 @@ def queries() -> dict:
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_sentencepiece_codec": sentencepiece_codec.op5_sentencepiece_codec,
+        "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
+        "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.ORACLE_SQL}
+    return {"op4_url_filter": url_filter.ORACLE_SQL, "op8_embedding_dedup": embedding_dedup.ORACLE_SQL}
