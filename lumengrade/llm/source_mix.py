@@ -18,20 +18,26 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ._common import slices, stored, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
-def text_size(col) -> F.Column:
-    """Words of a text, natively: blanks become one, ends are cut, then blanks are counted."""
-    packed = F.btrim(F.regexp_replace(F.translate(col, "\t\n\x0b\x0c\r", "     "), " +", " "))
-    n = F.length(packed) - F.length(F.replace(packed, F.lit(" "), F.lit(""))) + 1
-    return F.coalesce(F.when(packed == "", 0).otherwise(n), F.lit(0)).cast("long")
+def sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size) of every row; size is the number of words, counted in Arrow batches."""
+
+    def run(batches):
+        for part in slices(batches):
+            n = [len(t.encode().split()) if t else 0 for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "size"])
+
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    return got.mapInArrow(run, "doc_id long, source string, size long")
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -82,7 +88,7 @@ def pivotal(ids: np.ndarray, size: np.ndarray, frac: np.ndarray, seed: int, leve
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, block: int = 4096, fan: int = 64) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for each row of docs(doc_id, text, source)."""
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), text_size(F.col("text")).alias("size")), "mix-size")
+    sized = stored(sizes(docs), "mix-size")
     targets = source_targets(sized, weights, share, most).withColumnRenamed("source", "s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = sized.join(targets, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
