@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, minhash_dedup, quality_rules, sentencepiece_codec, source_mix, token_counts, url_filter
+from . import embedding_dedup, language_id, license_scan, minhash_dedup, quality_rules, sentencepiece_codec, source_mix, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -13,7 +13,9 @@ def queries() -> dict:
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_sentencepiece_codec": sentencepiece_codec.op5_sentencepiece_codec,
         "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
+        "op7_language_id": language_id.op7_language_id,
         "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
+        "op9_license_scan": license_scan.op9_license_scan,
     }
 
 
