@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, license_scan, minhash_dedup, quality_rules, sentencepiece_codec, source_mix, token_counts, url_filter
+from . import embedding_dedup, language_id, license_scan, minhash_dedup, quality_rules, sentencepiece_codec, source_mix, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_language_id": language_id.op7_language_id,
         "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
         "op9_license_scan": license_scan.op9_license_scan,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
