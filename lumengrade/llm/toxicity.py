@@ -288,7 +288,7 @@ def score_documents(docs: DataFrame, chain: Chain | None, with_spans: bool = Tru
                             last = k
             yield joined(part, score, spans)
 
-    extra = T._parse_datatype_string("_score double, _spans array<struct<start:int,end:int,probability:double>>")
+    extra = T.StructType.fromDDL("_score double, _spans array<struct<start:int,end:int,probability:double>>")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra.fields]))
 
 
