@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from .fixtures import Views, with_fixtures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of Views under a name, with its SQL twin."""
+
+    def keep(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql:
+            ORACLES[name] = with_fixtures(sql)
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import linking_queries, payload_queries, score_queries  # noqa: F401
+
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    queries()
+    return ORACLES
