@@ -117,16 +117,16 @@ SELECT id, question_number, student_result_id,
          WHEN 5 THEN '{“nota”: 1, “comentario”: “x”, “criterios_atendidos”: [], “criterios_ausentes”: [], “revisao_necessaria”: false}'
          WHEN 6 THEN '{"nota": 0.5, "comentario": "x", "criterios_austeis": [], "criterios_ausentes": [], "revisao_necessosa": false}'
          ELSE '{"nota": 0.5, "comentario": "cor' END AS raw,
-       CASE WHEN box_pos % 9 = 0 THEN '' WHEN box_pos % 11 = 0 THEN 'Explique a função do músculo [ilegível] e do tendão [ilegivel]' ELSE 'a resposta fala de outra coisa' END AS answer,
+       CASE WHEN box_pos % 9 = 0 THEN '' WHEN box_pos % 11 = 0 THEN 'Explique a função do músculo sóleo e do tendão [ilegível] [ilegível]' ELSE 'a resposta fala de outra coisa' END AS answer,
        'Explique a função do músculo sóleo e do tendão calcâneo' AS prompt,
        CASE WHEN box_pos % 4 = 0 THEN 'baixa' ELSE 'alta' END AS reading_confidence, CAST(1.0 AS DOUBLE) AS max_score
 FROM fx_scored""",
     "fx_ocr": """
-SELECT l_orderkey * 10 + l_linenumber AS answer_id, CASE WHEN k = 0 THEN 'azure' ELSE 'google' END AS provider,
-       CASE WHEN (l_partkey + k) % 4 = 0 THEN '' WHEN (l_partkey + k) % 4 = 1 THEN 'duas palavras' ELSE CONCAT('texto lido pelo provedor ', CAST(k AS STRING)) END AS text,
-       CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE ROUND(0.5 + l_quantity / 100 + k * 0.1, 2) END AS confidence,
-       CASE WHEN (l_suppkey + k) % 6 = 0 THEN CONCAT('HTTP 40', CAST(k AS STRING)) END AS error
-FROM lineitem CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) s WHERE l_linenumber <= 3 AND NOT (k = 1 AND l_partkey % 10 = 0)""",
+SELECT student_result_id * 10 + question_number AS answer_id, CASE WHEN k = 0 THEN 'azure' ELSE 'google' END AS provider,
+       CASE WHEN (box_pos + k) % 4 = 0 THEN '' WHEN (box_pos + k) % 4 = 1 THEN 'duas palavras' ELSE CONCAT('texto lido pelo provedor ', CAST(k AS STRING)) END AS text,
+       CASE WHEN source_page_number % 5 = 0 THEN NULL ELSE ROUND(ocr_confidence + k * 0.1, 2) END AS confidence,
+       CASE WHEN (source_page_number + k) % 6 = 0 THEN CONCAT('HTTP 40', CAST(k AS STRING)) END AS error
+FROM fx_scored CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) s WHERE NOT (k = 1 AND box_pos % 10 = 0)""",
     "fx_short": """
 SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN CONCAT('m. ', p_name, ' E.') WHEN 1 THEN p_name WHEN 2 THEN CONCAT(SUBSTR(p_name, 2, 60), ' D') WHEN 3 THEN '???' WHEN 4 THEN ' ' ELSE CONCAT('a. ', SUBSTR(p_name, 1, 8)) END AS answer,
        CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 5 = 0 THEN CONCAT(p_name, ' ou ', SUBSTR(p_name, 1, 10)) ELSE CONCAT('Músculo ', p_name, ' esquerdo') END AS key,

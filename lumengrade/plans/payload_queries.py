@@ -1 +1,294 @@
+"""Payload, model output and text grading queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.grades import reading_confidence, single_grade
+from ..functions.json_text import recovered, recovered_text, schema_warnings
+from ..functions.short_answer import copy_form, key_variants, nfd_strip, normal_form, plain_letters
+from ..functions.values import decimal_or, iso_timestamp, needs_fallback, unit_interval, word_count
+from ..operators import grading, payloads
+from ..sources import exam_lines, roster
+from .registry import query
+from .score_queries import r6
+
+RUBRICS = """SELECT exam_id AS rubric_id, CASE exam_id % 4
+  WHEN 0 THEN CONCAT('[{"number": 1, "prompt": "p", "expected_answer": "e', CAST(exam_id AS STRING), '", "max_score": 2}, {"questao": 3, "rubric": "r"}]')
+  WHEN 1 THEN CONCAT('{"questions": [{"question_number": "2", "resposta": "x', CAST(exam_id AS STRING), '"}]}')
+  WHEN 2 THEN '{"1": "plain", "bad": "skip", "4": {"answer": "obj", "valor": 0.5}}' ELSE '[{"expected_answer": "for all"}]' END AS payload FROM (SELECT DISTINCT exam_id FROM fx_questions) e"""
+RUBRIC_ROWS = """SELECT exam_id AS rubric_id, n AS question_number, CASE WHEN k = 0 AND n = 1 THEN 'e' || exam_id WHEN k = 0 THEN 'r' WHEN k = 1 THEN 'x' || exam_id WHEN k = 2 AND n = 1 THEN 'plain' WHEN k = 2 THEN 'obj' ELSE 'for all' END AS expected_answer,
+  CASE WHEN k = 0 AND n = 1 THEN 'p' END AS prompt, CASE WHEN k = 0 AND n = 1 THEN 2.0 WHEN k = 2 AND n = 4 THEN 0.5 ELSE 1.0 END AS max_score
+  FROM (SELECT DISTINCT exam_id, exam_id % 4 AS k FROM fx_questions) e JOIN (SELECT 0 AS kk, 1 AS n UNION ALL SELECT 0, 3 UNION ALL SELECT 1, 2 UNION ALL SELECT 2, 1 UNION ALL SELECT 2, 4 UNION ALL SELECT 3, NULL) s ON s.kk = e.k"""
+
+
+@query("s3_rubric_questions", RUBRIC_ROWS)
+def _(v):
+    return payloads.rubric_questions(v.sql(RUBRICS))
+
+
+@query("j6_attach_rubric", f"""WITH r AS ({RUBRIC_ROWS}) SELECT a.id, a.question_number, coalesce((SELECT max(expected_answer) FROM r WHERE r.rubric_id = a.id % 5 AND r.question_number = a.question_number), CASE WHEN a.id % 5 = 3 THEN 'for all' END) AS expected_answer FROM fx_answers a""")
+def _(v):
+    answers = v["fx_answers"].select("id", (F.col("id") % 5).cast("int").alias("rubric_id"), "question_number")
+    return payloads.attach_rubric(answers, payloads.rubric_questions(v.sql(RUBRICS))).select("id", "question_number", "expected_answer")
+
+
+@query("p14_rubric_summary", f"""SELECT rubric_id, '[' || string_agg('{{' || CASE WHEN question_number IS NULL THEN '' ELSE '"question_number":' || question_number || ',' END || '"expected_answer":"' || expected_answer || '","max_score":' || CAST(CAST(max_score AS DOUBLE) AS VARCHAR) || '}}', ',' ORDER BY question_number) || ']' AS summary FROM ({RUBRIC_ROWS}) r GROUP BY 1""")
+def _(v):
+    return payloads.rubric_summary(v.sql(RUBRICS))
+
+
+VISION = """SELECT run_id, CAST(id AS INT) AS position, CONCAT('{"student": {"name": "', student_name, '", "student_code": "', detected_student_code, '"}, "physical_page": ', CAST(page_number - 1 AS STRING), ', "page": ', CAST(page_number AS STRING),
+  ', "questions": [{"number": ', CAST(question_number AS STRING), ', "answer_transcription": "texto ', CAST(id AS STRING), '", "reading_confidence": "', CASE WHEN reading_confidence = 'media' THEN 'Médio' ELSE reading_confidence END, '", "ocr_confidence": ', CASE WHEN id % 2 = 0 THEN '1.5' ELSE '"0,5"' END,
+  '}, {"answer_transcription": "", "reading_confidence": "?"}]}') AS payload, id FROM fx_answers"""
+
+
+VISION_ROWS = """SELECT run_id, CAST(id AS INT) AS page_number, k AS place, CASE WHEN k = 0 THEN question_number ELSE 2 END AS question_number, CASE WHEN k = 0 THEN 'texto ' || id ELSE '' END AS answer_transcription,
+  CASE WHEN k = 0 THEN reading_confidence ELSE 'baixa' END AS reading_confidence, CASE WHEN k = 1 THEN NULL WHEN id % 2 = 0 THEN 1.0 ELSE 0.5 END AS ocr_confidence, k = 0 AS has_answer
+  FROM fx_answers CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) s"""
+
+
+@query("f23_vision_questions", VISION_ROWS)
+def _(v):
+    return payloads.vision_questions(v.sql(VISION)).select("run_id", "page_number", "place", "question_number", "answer_transcription", "reading_confidence", "ocr_confidence", "has_answer")
+
+
+@query("p3_valid_questions", f"SELECT run_id, page_number, question_number, CAST(NULL AS VARCHAR) AS warning FROM ({VISION_ROWS}) a WHERE question_number > 0 UNION ALL SELECT run_id, page_number, NULL, 'invalid question number on page ' || page_number FROM ({VISION_ROWS}) b WHERE coalesce(question_number, 0) <= 0")
+def _(v):
+    kept, dropped = payloads.valid_questions(payloads.vision_questions(v.sql(VISION)))
+    return kept.select("run_id", "page_number", "question_number", F.lit(None).cast("string").alias("warning")).unionByName(dropped.withColumn("question_number", F.lit(None).cast("int")))
+
+
+@query("w3_dedupe_page_answers", f"SELECT run_id, page_number, question_number, min(place) AS place FROM ({VISION_ROWS}) a GROUP BY 1, 2, 3")
+def _(v):
+    return payloads.dedupe_page_answers(payloads.vision_questions(v.sql(VISION)))[0].select("run_id", "page_number", "question_number", "place")
+
+
+@query("s6_flatten_answers", """SELECT run_id, id, CASE WHEN page_number - 1 <> 0 THEN page_number - 1 ELSE page_number END AS page_number, CASE WHEN k = 0 THEN question_number END AS question_number, CASE WHEN k = 0 THEN 'texto ' || id ELSE '' END AS answer_transcription,
+  CASE WHEN k = 0 AND question_number = 1 THEN 0.5 END AS score, CASE WHEN k = 0 AND id % 2 = 0 THEN 1.5 END AS ocr_confidence, (k = 0 AND question_number = 2) OR k = 1 OR reading_confidence = 'baixa' AS needs_human_review
+  FROM fx_answers CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) s""")
+def _(v):
+    grade = lambda n, s, r: F.struct(F.lit(n).alias("question_number"), F.lit(s).alias("score"), F.lit("1").alias("max_score"), F.lit("parcial").alias("verdict"), F.lit(r).alias("needs_human_review"))
+    pages = v.sql(VISION).withColumn("raw_page", F.lit(7)).withColumn("grades", F.array(grade(1, "0.5", False), grade(2, "n/a", True)))
+    got = payloads.flatten_answers(pages.withColumn("run_id", F.concat_ws("#", "run_id", F.col("id").cast("string"))))
+    return got.select(F.split("run_id", "#")[0].alias("run_id"), F.split("run_id", "#")[1].cast("long").alias("id"), "page_number", "question_number", "answer_transcription", "score", "ocr_confidence", "needs_human_review")
+
+
+@query("a13_mean_confidence", """SELECT student_result_id AS answer_id, string_agg(CASE WHEN question_number % 3 <> 0 THEN 'bloco ' || question_number END, chr(10) || chr(10) ORDER BY question_number) AS text,
+  round(avg(CASE WHEN question_number % 2 = 1 THEN ocr_confidence END), 6) AS confidence FROM fx_scored WHERE question_number <= 2 GROUP BY 1""")
+def _(v):
+    page = F.struct(F.col("question_number").alias("n"), F.concat(F.lit("bloco "), F.col("question_number").cast("string")).alias("markdown"), F.when(F.col("question_number") % 2 == 1, F.col("ocr_confidence").cast("string")).otherwise("n/a").alias("conf"))
+    raw = v["fx_scored"].where("question_number <= 2").groupBy(F.col("student_result_id").alias("answer_id")).agg(F.sort_array(F.collect_list(page)).alias("pages"))
+    return payloads.mean_confidence(raw).withColumn("confidence", r6("confidence"))
+
+
+@query("j11_resolve_ocr", """
+WITH r AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) < 3 OR coalesce(confidence < 0.70, FALSE) AS nf FROM fx_ocr),
+a AS (SELECT * FROM r WHERE provider = 'azure'), b AS (SELECT * FROM r WHERE provider = 'google'),
+j AS (SELECT a.answer_id, a.text AS ta, b.text AS tb, a.confidence AS ca, b.confidence AS cb, a.error AS ea, b.error AS eb, a.nf AS na, b.nf AS nb, b.answer_id IS NULL AS alone,
+  a.error IS NULL AND NOT a.nf AS ga, coalesce(b.error IS NULL AND NOT b.nf, FALSE) AS gb FROM a LEFT JOIN b ON a.answer_id = b.answer_id)
+SELECT answer_id, CASE WHEN alone OR ga THEN ta WHEN gb OR trim(tb) <> '' THEN tb ELSE coalesce(nullif(ta, ''), nullif(tb, ''), '') END AS text,
+  CASE WHEN alone OR ga THEN ca WHEN gb OR trim(tb) <> '' THEN cb ELSE coalesce(ca, cb) END AS confidence, CASE WHEN alone OR ga THEN na WHEN gb OR trim(tb) <> '' THEN nb ELSE TRUE END AS needs_fallback,
+  CASE WHEN alone OR ga THEN 'azure' ELSE 'azure->fallback:google' END AS provider,
+  CASE WHEN alone OR ga THEN ea WHEN gb OR trim(tb) <> '' THEN NULL WHEN ea IS NULL AND eb IS NULL THEN 'OCR principal e fallback sem texto confiável.' ELSE concat_ws('; ', ea, eb) END AS error FROM j""")
+def _(v):
+    return payloads.resolve_ocr(v["fx_ocr"], ["azure", "google"])
+
+
+TEXT_GRADES = "SELECT id AS task_id, student_result_id, question_number, score, grading_confidence AS confidence, NOT parse_failed AS parse_ok, model_flag AS review, ocr_error, alignment_failed AS needs_fallback FROM fx_review"
+VISUAL_GRADES = "SELECT id AS task_id, student_result_id, question_number, 0.25 AS score, 0.9 AS confidence, score > 0.3 AS parse_ok FROM fx_review WHERE question_number <> 4"
+
+
+@query("j12_choose_grade", f"""SELECT t.student_result_id, t.question_number, CASE WHEN u THEN 0.25 ELSE t.score END AS score, CASE WHEN u THEN 0.9 ELSE t.confidence END AS confidence, u AS visual_used FROM (
+  SELECT t.*, coalesce((t.ocr_error IS NOT NULL OR t.needs_fallback OR NOT t.parse_ok OR t.confidence < 0.70 OR t.review) AND w.parse_ok, FALSE) AS u
+  FROM ({TEXT_GRADES}) t LEFT JOIN ({VISUAL_GRADES}) w ON w.student_result_id = t.student_result_id AND w.question_number = t.question_number) t""")
+def _(v):
+    task = F.concat_ws("/", F.col("student_result_id").cast("string"), F.col("question_number").cast("string"))
+    visual = v.sql(VISUAL_GRADES).select(task.alias("task_id"), F.col("score").cast("double").alias("score"), F.col("confidence").cast("double").alias("confidence"), "parse_ok")
+    got = payloads.choose_grade(v.sql(TEXT_GRADES).withColumn("task_id", task), visual)
+    return got.select(F.split("task_id", "/")[0].cast("long").alias("student_result_id"), F.split("task_id", "/")[1].cast("long").alias("question_number"), "score", "confidence", "visual_used")
+
+
+OUTPUTS = """SELECT student_result_id AS task_id, CASE question_number WHEN 1 THEN 'm-b' WHEN 2 THEN 'm-a' WHEN 3 THEN 'text-only' ELSE CONCAT('zz', CAST(question_number AS STRING)) END AS model, box_pos % 3 <> 0 AS ok,
+  CONCAT('out', CAST(box_pos AS STRING)) AS output, CASE WHEN box_pos % 3 = 0 THEN CONCAT('err', CAST(source_page_number AS STRING)) END AS error FROM fx_scored"""
+
+
+@query("w7_pick_model_output", f"""
+WITH r AS (SELECT *, CASE model WHEN 'm-a' THEN 1 WHEN 'm-b' THEN 2 WHEN 'zz4' THEN 3 END AS rank FROM ({OUTPUTS}) o WHERE model IN ('m-a', 'm-b', 'zz4')),
+b AS (SELECT task_id, arg_min(model, rank) FILTER (ok) AS model, arg_min(output, rank) FILTER (ok) AS output, min(rank) FILTER (ok) AS rank, string_agg(error, ' | ' ORDER BY rank) FILTER (NOT ok) AS e FROM r GROUP BY 1)
+SELECT task_id, model, output, coalesce(rank > 1, FALSE) AS fallback_used, CASE WHEN rank IS NULL THEN e END AS error FROM b""")
+def _(v):
+    return payloads.pick_model_output(v.sql(OUTPUTS), ["m-a", "text-only", "m-b", "m-a", "zz4"], ("text-only",))
+
+
+ASKED = "SELECT id, CAST(id % 40 AS INT) AS question_id, CASE WHEN id % 6 = 0 THEN '  ' ELSE SUBSTR(answer_transcription, 1, 80) END AS answer_transcription FROM fx_answers"
+
+
+@query("p10_build_requests", f"""SELECT a.id, a.question_id, 'Questão: ' || q.question_text || chr(10) || 'Gabarito: ' || q.expected_answer || chr(10) || 'Valor: 1.0' || chr(10) || 'Resposta: ' ||
+  coalesce(nullif(regexp_replace(a.answer_transcription, '^\\s+|\\s+$', '', 'g'), ''), '(sem transcrição confiável)') AS prompt FROM ({ASKED}) a JOIN fx_questions q ON q.id = a.question_id""")
+def _(v):
+    return payloads.build_requests(v.sql(ASKED), v["fx_questions"]).select("id", "question_id", "prompt")
+
+
+RAWS = """SELECT id, CAST(id % 45 AS INT) AS question_id, CASE id % 4 WHEN 0 THEN '{"expected_answer": "from raw"}' WHEN 1 THEN '{"expected_answer": "", "rubric_expected_answer": "second"}' WHEN 2 THEN 'broken' END AS raw_grading_json FROM fx_answers"""
+
+
+@query("p15_expected_from_raw", f"SELECT a.id, CASE a.id % 4 WHEN 0 THEN 'from raw' WHEN 1 THEN 'second' ELSE coalesce(q.expected_answer, '') END AS expected_answer FROM ({RAWS}) a LEFT JOIN fx_questions q ON q.id = a.question_id")
+def _(v):
+    return payloads.expected_from_raw(v.sql(RAWS), v["fx_questions"])
+
+
+@query("f5_reading_confidence", "SELECT id, CASE id % 6 WHEN 0 THEN 'alta' WHEN 1 THEN 'media' WHEN 2 THEN 'media' WHEN 3 THEN 'media' ELSE 'baixa' END AS c FROM fx_answers")
+def _(v):
+    said = F.element_at(F.array(*map(F.lit, (" Alta", "MEDIA", "média ", "Médio", "baixa", "??"))), (F.col("id") % 6 + 1).cast("int"))
+    return v["fx_answers"].select("id", reading_confidence(said).alias("c"))
+
+
+@query("f6_unit_interval", "SELECT id, CASE WHEN score IS NULL THEN NULL ELSE least(1.0, greatest(0.0, score * 3 - 1)) END AS c FROM fx_answers")
+def _(v):
+    return v["fx_answers"].select("id", unit_interval(F.col("score") * 3 - 1).alias("c"))
+
+
+@query("f7_word_count", "SELECT id, len(list_filter(regexp_split_to_array(answer_transcription, '[ \\t\\n\\f\\r\\v]+'), lambda x: x <> '')) AS n, len(list_filter(regexp_split_to_array(answer_transcription, '[ \\t\\n\\f\\r\\v]+'), lambda x: x <> '')) < 3 OR coalesce(score < 0.70, FALSE) AS nf FROM fx_answers")
+def _(v):
+    return v["fx_answers"].select("id", word_count(F.col("answer_transcription")).alias("n"), needs_fallback(F.col("answer_transcription"), F.col("score")).alias("nf"))
+
+
+SOLE = "id, student_result_id, question_number"
+
+
+@query("f19_recover_json", f"""SELECT {SOLE}, question_number <= 6 AS parsed, CASE WHEN question_number <= 3 THEN CAST(json_extract_string(regexp_replace(regexp_extract(raw, '\\{{.*\\}}', 0, 's'), ',\\s*\\}}', '}}'), '$.nota') AS DOUBLE)
+  WHEN question_number IN (4, 6) THEN 0.5 WHEN question_number = 5 THEN 1.0 END AS nota FROM fx_raw""")
+def _(v):
+    got = v["fx_raw"].withColumn("o", recovered(F.col("raw")))
+    return got.select("id", "student_result_id", "question_number", F.col("o").isNotNull().alias("parsed"), F.col("o")["nota"].try_cast("double").alias("nota"))
+
+
+@query("f20_schema_warnings", f"""SELECT {SOLE}, CASE WHEN question_number = 6 THEN 'JSON recuperado, mas schema incompleto: chaves ausentes: [''criterios_atendidos'', ''revisao_necessaria'']|Chaves suspeitas/ignoradas: [''criterios_austeis'', ''revisao_necessosa'']' ELSE '' END AS warnings FROM fx_raw WHERE question_number <= 6""")
+def _(v):
+    rows = v["fx_raw"].where("question_number <= 6")
+    return rows.select("id", "student_result_id", "question_number", F.array_join(schema_warnings(recovered(F.col("raw")), recovered_text(F.col("raw"))), "|").alias("warnings"))
+
+
+@query("f22_discursive_grades", f"""
+WITH r AS (SELECT *, CASE WHEN question_number <= 3 THEN CAST(json_extract_string(regexp_replace(regexp_extract(raw, '\\{{.*\\}}', 0, 's'), ',\\s*\\}}', '}}'), '$.nota') AS DOUBLE) WHEN question_number = 7 THEN NULL WHEN question_number = 5 THEN 1.0 ELSE 0.5 END AS x, contains(answer, 'Explique') AS marks FROM fx_raw),
+g AS (SELECT *, least(1.0, greatest(0.0, ceil(x * 4 - 0.5) / 4)) AS s, x <> least(1.0, greatest(0.0, ceil(x * 4 - 0.5) / 4)) AS off, CASE WHEN marks THEN TRUE ELSE FALSE END AS copied FROM r)
+SELECT {SOLE}, CASE WHEN question_number = 7 OR copied THEN 0.0 ELSE s END AS score,
+  CASE WHEN copied THEN 'incorreta' WHEN answer = '' THEN 'sem_resposta' WHEN question_number = 7 THEN 'incorreta' WHEN s >= 0.99 THEN 'correta' WHEN s > 0 THEN 'parcial' ELSE 'incorreta' END AS verdict,
+  question_number IN (6, 7) OR (question_number = 2) OR reading_confidence = 'baixa' OR marks OR coalesce(off, FALSE) OR copied AS needs_human_review, question_number <= 5 AS schema_valid FROM g""")
+def _(v):
+    rows = v["fx_raw"].withColumn("task", F.struct("id", "student_result_id", "question_number"))
+    got = grading.discursive_grades(rows.drop("id").withColumnRenamed("task", "id"))
+    return got.select("id.id", "id.student_result_id", "id.question_number", "score", "verdict", "needs_human_review", "schema_valid")
+
+
+@query("f3_single_grade", f"""SELECT {SOLE}, CASE WHEN ai_score * 2 > 1.0 THEN 1.0 ELSE round_even(ai_score * 2 * 4, 0) / 4 END AS score, grading_confidence AS confidence, ai_score * 2 <= 1.0 + 1e-6 AS parse_ok FROM fx_scored""")
+def _(v):
+    text = lambda c: c.cast("string")
+    g = F.create_map(F.lit("nota"), text(F.col("ai_score") * 2), F.lit("nota_maxima"), F.lit("1.0"), F.lit("confianca"), text(F.col("grading_confidence")), F.lit("questao"), text(F.col("question_number")))
+    return v["fx_scored"].withColumn("g", g).withColumn("r", single_grade(F.col("g"))).select("id", "student_result_id", "question_number", "r.score", "r.confidence", "r.parse_ok")
+
+
+@query("f26_decimal_or", "SELECT id, CASE id % 4 WHEN 0 THEN 1.5 WHEN 1 THEN 2.0 ELSE 1.0 END AS x FROM fx_answers")
+def _(v):
+    said = F.element_at(F.array(*map(F.lit, ("1,5", " 2 ", "abc", ""))), (F.col("id") % 4 + 1).cast("int"))
+    return v["fx_answers"].select("id", decimal_or(said, 1.0).alias("x"))
+
+
+@query("f32_iso_timestamp", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS t FROM events")
+def _(v):
+    return v["events"].select("event_id", iso_timestamp(F.col("ts")).alias("t"))
+
+
+FORM = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9áàâãéèêíïóôõöúçñ\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("f11_copy_form", f"SELECT id, {FORM.format(c='answer_transcription')} AS t FROM fx_answers")
+def _(v):
+    return v["fx_answers"].select("id", copy_form(F.col("answer_transcription")).alias("t"))
+
+
+@query("f12_plain_letters", "SELECT id, strip_accents(answer_transcription) AS t FROM fx_answers")
+def _(v):
+    return v["fx_answers"].select("id", plain_letters(F.col("answer_transcription")).alias("t"))
+
+
+@query("f12_nfd_strip", "SELECT id, strip_accents(answer_transcription) AS t FROM fx_answers")
+def _(v):
+    return v["fx_answers"].select("id", nfd_strip(F.col("answer_transcription")).alias("t"))
+
+
+@query("f13_normal_form")
+def _(v):
+    return v["fx_short"].select("id", normal_form(F.col("answer")).alias("answer_form"), normal_form(F.col("key")).alias("key_form"))
+
+
+@query("f14_key_variants")
+def _(v):
+    return v["fx_short"].select("id", F.array_join(key_variants(F.col("key")), "|").alias("variants"))
+
+
+@query("f15_coverage_and_side")
+def _(v):
+    return grading.word_coverage(v["fx_short"])
+
+
+@query("f17_short_answers")
+def _(v):
+    return grading.grade_short_answers(v["fx_short"])
+
+
+@query("f17_exact_matches", """SELECT p_partkey AS id FROM part WHERE p_partkey % 6 = 1 AND p_partkey % 17 <> 0 AND p_partkey % 5 = 0""")
+def _(v):
+    return grading.exact_matches(v["fx_short"].where("id % 6 = 1 and id % 5 = 0"))
+
+
+TOLD = "SELECT conv_id, turn, prompt, CASE WHEN turn % 4 = 0 THEN CONCAT(prompt, ' ok') ELSE answer END AS answer FROM fx_turns"
+
+
+@query("f18_copied_overlap", f"""
+WITH t AS (SELECT conv_id, turn, {FORM.format(c='answer')} AS a, {FORM.format(c='prompt')} AS p FROM ({TOLD}) x),
+w AS (SELECT *, list_distinct(string_split(a, ' ')) AS wa, list_distinct(string_split(p, ' ')) AS wp FROM t)
+SELECT conv_id, turn, length(a) >= 20 AND length(p) >= 20 AND len(list_intersect(wa, wp)) / greatest(len(wa), 1) >= 0.85 AS copied FROM w""")
+def _(v):
+    return v.sql(TOLD).select("conv_id", "turn", grading.overlap_copied(F.col("answer"), F.col("prompt")).alias("copied"))
+
+
+@query("f18_copied_prompts")
+def _(v):
+    return grading.copied_prompts(v.sql(TOLD)).select("conv_id", "turn", "copied")
+
+
+@query("f25_default_grades", "SELECT id, CASE id % 3 WHEN 0 THEN NULL ELSE 0.0 END AS score, CASE id % 3 WHEN 0 THEN 'sem_rubrica' ELSE 'erro' END AS verdict, TRUE AS needs_human_review FROM fx_answers")
+def _(v):
+    cause = F.element_at(F.array(*map(F.lit, ("no_rubric", "grading_error", "model_failure"))), (F.col("id") % 3 + 1).cast("int"))
+    return grading.default_grades(v["fx_answers"].withColumn("cause", cause)).drop("review_reason")
+
+
+ROSTER_LINES = """SELECT CAST(class_id AS STRING) AS file_id, 2 + ROW_NUMBER() OVER (PARTITION BY class_id ORDER BY id) AS line_no,
+    CASE WHEN class_id % 2 = 0 THEN CONCAT(registration_number, ';', CASE WHEN id % 10 = 0 THEN ' ' ELSE name END, ';', curso, ';', CASE WHEN id % 4 = 0 THEN 'T9' ELSE '' END) ELSE CONCAT(curso, ',"', name, '",', registration_number) END AS line FROM fx_students
+  UNION ALL SELECT CAST(id AS STRING), 0, CASE WHEN id % 2 = 0 THEN 'lista;de;alunos' ELSE 'lista de alunos' END FROM fx_classes
+  UNION ALL SELECT CAST(id AS STRING), 1, '' FROM fx_classes
+  UNION ALL SELECT CAST(id AS STRING), 2, CASE WHEN id % 2 = 0 THEN 'Matrícula;Nome completo;Curso;Turma' ELSE 'Curso,NOME,Matricula' END FROM fx_classes"""
+
+
+@query("s1_rosters", f"""
+WITH t AS (SELECT class_id, bool_or(id % 4 = 0) FILTER (id % 10 <> 0) AS has_turma FROM fx_students GROUP BY 1)
+SELECT CAST(s.class_id AS VARCHAR) AS file_id, registration_number, name, curso, CASE WHEN s.class_id % 2 = 0 AND has_turma THEN 'T9' END AS turma FROM fx_students s JOIN t ON t.class_id = s.class_id WHERE s.class_id % 2 = 1 OR s.id % 10 <> 0""")
+def _(v):
+    return roster.rosters_from_lines(v.sql(ROSTER_LINES).select("file_id", F.col("line_no").cast("int").alias("line_no"), "line")).drop("line_no")
+
+
+# Each benchmark exam as a document: title, standing score, then per question heading, prompt, answer over two lines, score.
+EXAM_LINES = """SELECT exam_id AS doc_id, question_number * 10 + k AS line_no, CASE k WHEN 0 THEN CONCAT('Questão ', CAST(question_number AS STRING), ' -') WHEN 1 THEN CONCAT('Enunciado: pergunta ', CAST(id AS STRING))
+    WHEN 2 THEN CASE WHEN question_number = 5 THEN '' ELSE CONCAT('Gabarito: resposta ', CAST(id AS STRING)) END WHEN 3 THEN CASE WHEN question_number = 5 THEN '' ELSE 'nota: continua' END
+    ELSE CASE WHEN question_number % 2 = 0 THEN 'Pontuação: 2,5' ELSE 'Rubrica: critério' END END AS text
+  FROM fx_questions CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k UNION ALL SELECT 3 AS k UNION ALL SELECT 4 AS k) s
+  UNION ALL SELECT DISTINCT exam_id, 0, CONCAT('Título: Prova ', CAST(exam_id AS STRING)) FROM fx_questions UNION ALL SELECT DISTINCT exam_id, 1, 'Valor padrão por questão: 0,5' FROM fx_questions"""
+
+
+@query("s4_questions_from_lines", """
+SELECT exam_id AS doc_id, question_number, 'Prova ' || exam_id AS title, 'pergunta ' || id AS question_text, CASE WHEN question_number = 5 THEN '' ELSE 'resposta ' || id || chr(10) || 'nota: continua' END AS expected_answer,
+  CASE WHEN question_number % 2 = 1 THEN 'critério' ELSE '' END AS correction_criteria, CASE WHEN question_number % 2 = 0 THEN 2.5 ELSE 0.5 END AS max_score, CASE WHEN question_number = 5 THEN 'empty answer' ELSE '' END AS warnings FROM fx_questions""")
+def _(v):
+    return exam_lines.questions_from_lines(v.sql(EXAM_LINES))
