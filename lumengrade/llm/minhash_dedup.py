@@ -5,15 +5,18 @@
    set's exponential variates h gives floor(1 - log_base(h)), so equal registers get likelier with similarity and the
    sketch of a union is the element-wise maximum.
 2. Documents with equal sets form a class with its smallest id as representative; copies are linked by that alone.
-3. Bands of registers name buckets. Within a bucket all representatives are paired with three of them (smallest id,
-   largest id, smallest hash), never with each other. Pairs are estimated by maximising the joint likelihood of
-   greater / smaller / equal registers given both set sizes; those that might reach the threshold are verified on the
+3. Bands, fixed random subsets of the registers, name buckets. Rows (bucket, id) are dealt by range and sorted, so a bucket
+   of any size is read as runs, over several tasks if need be, and each member meets the first three of its run (the first
+   of a run meets the first of the whole bucket), never all others. Pairs are estimated by maximising the joint likelihood
+   of greater / smaller / equal registers given both set sizes; those that might reach the threshold are verified on the
    full sets. Components of the verified links follow.
 4. Buckets that still hold more than one component get the rest: every pair across two components, estimated and
    verified in the same way. So each pair that shares a bucket is either verified, refuted by its estimate (five
    standard errors) or lies within one component already.
 
-With 30 bands of 5 registers a pair of similarity 0.8 shares no bucket with probability 7e-6.
+The registers per band grow with the logarithm of the number of classes, so that documents which share no more than
+common shingles keep missing each other; the number of bands is what a pair at the threshold then needs to share one
+with probability 0.99999. Texts are hashed a second time only for documents in a pair; a bitmap of bounded size tells them.
 
 Defined results: null, empty and blank texts have empty sets and link with nothing (own component); a text of fewer words
 than a shingle has its whole word sequence as one shingle; repeated rows are in one component and both kept rows if they
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 
 from ._common import components, slices, stored, table
 
-BANDS, ROWS, BASE, LIMIT = 30, 5, 1.02, 4000
+REGISTERS, BASE, LIMIT = 192, 1.02, 4000
+BACKGROUND, MISS = 0.1, 1e-5  # similarity of unlike documents; share of links at the threshold that no band may find
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,7 +69,7 @@ def _multipliers(registers: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).integers(1 << 62, (1 << 64) - 1, registers, dtype=np.uint64) | np.uint64(1)
 
 
-def sketch(hashes: np.ndarray, registers: int = BANDS * ROWS, base: float = BASE, limit: int = LIMIT) -> np.ndarray:
+def sketch(hashes: np.ndarray, registers: int = REGISTERS, base: float = BASE, limit: int = LIMIT) -> np.ndarray:
     """Registers (uint16) of a set; an empty set has zeros."""
     if not len(hashes):
         return np.zeros(registers, np.uint16)
@@ -113,6 +117,74 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
 
 
+def banding(classes: int, threshold: float) -> list[list[int]]:
+    """Registers of each band for so many classes."""
+    rows = max(4, math.ceil(math.log(10 * max(1, classes)) / -math.log(BACKGROUND)))
+    bands = math.ceil(math.log(MISS) / math.log(1 - threshold**rows))
+    rng = np.random.default_rng(5)
+    return [rng.choice(REGISTERS, rows, replace=False).tolist() for _ in range(bands)]
+
+
+def band_rows(reps: DataFrame, bands: list[list[int]]) -> DataFrame:
+    """(key, rep, n) for each band of each representative."""
+    picks = np.array(bands)
+    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                t = whole.slice(start, 2000)
+                registers = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(t.num_rows, -1).astype(np.uint64)
+                key = np.broadcast_to(np.arange(len(picks), dtype=np.uint64) * MIX, (t.num_rows, len(picks))).copy()
+                for k in range(picks.shape[1]):
+                    key = (key ^ registers[:, picks[:, k]]) * MIX
+                    key ^= key >> np.uint64(29)
+                rep, n = (np.repeat(t.column(c).to_numpy(), len(picks)) for c in ("rep", "n_shingles"))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(rep), pa.array(n)], schema=schema)
+
+    return reps.select("rep", "n_shingles", "sketch").mapInArrow(run, "key long, rep long, n long")
+
+
+def bucket_runs(batches):
+    """Rows sorted by (key, rep) with the first three members of their run; runs of one member drop out unless they are the
+    first or last of the partition, where their bucket may go on elsewhere."""
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "rep", "n", "c1", "c2", "c3")])
+    head: list[int] = []
+    first = last = held = None
+    count = 0
+
+    def shown(k, r, n, c):
+        cols = [pa.array(k, pa.int64()), pa.array(r, pa.int64()), pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays([*cols, *(pa.array(x, pa.int64(), mask=x < 0) for x in c)], schema=schema)
+
+    for t in batches:
+        if not t.num_rows:
+            continue
+        k, r, n = (t.column(c).to_numpy() for c in ("key", "rep", "n"))
+        first = k[0] if first is None else first
+        start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        size = np.diff(np.r_[start, len(k)])
+        c = np.full((3, len(start)), -1, np.int64)
+        for j in range(3):
+            c[j, size > j] = r[start[size > j] + j]
+        goes_on = last is not None and k[0] == last
+        total = size.copy()
+        if goes_on:
+            joined = ([*head, *r[: min(3, size[0])].tolist()] + [-1] * 3)[:3]
+            c[:, 0], total[0] = joined, total[0] + count
+        if held is not None and (goes_on or held[0] == first):
+            yield shown(*[np.array([x]) for x in held], np.array([[held[1]], [-1], [-1]]))
+        show = (total > 1) | (k[start] == first)
+        held = None
+        if total[-1] == 1:
+            held, show[-1] = (k[-1], r[-1], n[-1]), False
+        rows = np.repeat(show, size)
+        yield shown(k[rows], r[rows], n[rows], np.repeat(c, size, axis=1)[:, rows])
+        head, last, count = [x for x in c[:, -1].tolist() if x >= 0], k[-1], int(total[-1])
+    if held is not None:
+        yield shown(*[np.array([x]) for x in held], np.array([[held[1]], [-1], [-1]]))
+
+
 def _near(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of pairs whose sizes and estimated similarity leave the threshold possible."""
     x = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"))
@@ -121,30 +193,60 @@ def _near(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        for t in batches:
-            if not t.num_rows:
-                continue
-            ka, kb = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(t.num_rows, -1) for c in ("ka", "kb"))
-            na, nb = (t.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-            error = math.sqrt(threshold * (1 - threshold) / ka.shape[1])
-            keep = pa.array(estimate(ka, kb, na, nb) >= threshold - 5 * error)
-            yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], schema=schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                t = whole.slice(start, 2000)
+                ka, kb = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(t.num_rows, -1) for c in ("ka", "kb"))
+                na, nb = (t.column(c).to_numpy().astype(float) for c in ("na", "nb"))
+                error = math.sqrt(threshold * (1 - threshold) / ka.shape[1])
+                keep = pa.array(estimate(ka, kb, na, nb) >= threshold - 5 * error)
+                yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], schema=schema)
 
     return both.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long")
 
 
+def _spots(ids: np.ndarray, bits: int) -> np.ndarray:
+    h = ids.astype(np.uint64) * MIX
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def id_bitmap(wanted: DataFrame, most: int = 1 << 27) -> np.ndarray:
+    """Bitmap of hashed ids of wanted(doc_id), about 16 bits an id and `most` bits in all: the only thing that goes to every task."""
+    bits = 1 << 16
+    n = wanted.count()
+    while bits < min(16 * n, most):
+        bits *= 2
+
+    def run(batches):
+        got = np.zeros(bits // 8, np.uint8)
+        for t in batches:
+            at = _spots(t.column("doc_id").to_numpy(), bits)
+            np.bitwise_or.at(got, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        at = np.flatnonzero(got)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(got[at].astype(np.int32))], names=["at", "bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    parts = wanted.select("doc_id").mapInArrow(run, "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    for t in parts.toArrow().to_batches():
+        out[t.column("at").to_numpy()] = t.column("bits").to_numpy().astype(np.uint8)
+    return out
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(a, b) of pairs whose full sets reach the threshold. Only texts of documents in a pair are hashed again."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    """(a, b) of pairs whose full sets reach the threshold. Only documents in a pair are hashed again and shuffled."""
+    wanted = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted))
 
     def whole(batches):
-        words_of = _WordHash()
+        words_of, known = _WordHash(), bitmap.value
         for part in slices(batches):
+            at = _spots(part.column("doc_id").to_numpy(zero_copy_only=False), len(known) * 8)
+            part = part.filter(pa.array((known[at >> 3] >> (at & 7)) & 1 == 1))
             sets = [shingle_hashes(t, shingle, words_of).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], schema=pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())]))
 
-    sets = stored(texts.mapInArrow(whole, "doc_id long, hashes binary"), "sets").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    sets = stored(texts.mapInArrow(whole, "doc_id long, hashes binary").join(wanted, "doc_id", "left_semi"), "sets").dropDuplicates(["doc_id"])
     percent = round(100 * threshold)
 
     def run(batches):
@@ -171,23 +273,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     base = stored(sketches(docs, shingle), "sketch")
     classes = base.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     reps = stored(classes, "reps")
-    width = 2 * ROWS
-    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 1 + k * width, width)) for k in range(BANDS)])
-    rows = reps.select("rep", F.explode(keys).alias("key"))
-    pick = F.xxhash64("rep")
-    heads = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("c1"), F.max("rep").alias("c2"), F.min_by("rep", pick).alias("c3")).where("n > 1").drop("n")
-    shared = stored(rows.join(heads, "key"), "buckets")
-    pairs = shared.select(F.col("rep"), F.explode(F.array_distinct(F.array("c1", "c2", "c3"))).alias("c")).where("rep <> c")
-    pairs = stored(_near(pairs.select(*_ordered(F.col("rep"), F.col("c"))).distinct(), reps, threshold), "near")
-    links = stored(_verified(pairs, docs, shingle, threshold), "links")
+    rows = band_rows(reps, banding(reps.count(), threshold)).repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
+    shared = stored(rows.mapInArrow(bucket_runs, "key long, rep long, n long, c1 long, c2 long, c3 long"), "buckets")
+    heads = shared.select("key", F.col("c1").alias("rep")).distinct()
+    least = heads.groupBy("key").agg(F.min("rep").alias("c"), F.count("*").alias("k")).where("k > 1")  # buckets cut by a partition's edge
+    edges = heads.join(least, "key").where("rep <> c").select("rep", "c")
+    met = shared.select("rep", F.explode(F.array("c1", "c2", "c3")).alias("c")).where("rep <> c").unionByName(edges)
+    tested = stored(met.select(*_ordered(F.col("rep"), F.col("c"))).distinct(), "pairs")
+    links = stored(_verified(stored(_near(tested, reps, threshold), "near"), docs, shingle, threshold), "links")
     label = components(links)
 
-    member = shared.select("key", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component_id", "rep")).select("key", "rep", "part")
-    mixed = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key")
+    member = shared.select("key", "rep", "n").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component_id", "rep")).select("key", "rep", "n", "part")
+    mixed = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("k")).where("lo < hi and k > 3").select("key")
     left = stored(member.join(mixed, "key"), "mixed")
-    other = left.select("key", F.col("rep").alias("rep2"), F.col("part").alias("part2"))
-    cross = left.join(other, "key").where("part < part2").select(*_ordered(F.col("rep"), F.col("rep2"))).distinct()
-    tested = shared.select(F.col("rep"), F.explode(F.array("c1", "c2", "c3")).alias("c")).select(*_ordered(F.col("rep"), F.col("c")))
+    other = left.select("key", F.col("rep").alias("rep2"), F.col("part").alias("part2"), F.col("n").alias("n2"))
+    alike = F.least("n", "n2") >= threshold * F.greatest("n", "n2") - 1e-6
+    cross = left.join(other, "key").where((F.col("part") < F.col("part2")) & alike).select(*_ordered(F.col("rep"), F.col("rep2"))).distinct()
     cross = stored(_near(cross.join(tested, ["a", "b"], "left_anti"), reps, threshold), "cross")
     if not cross.isEmpty():
         links = links.unionByName(stored(_verified(cross, docs, shingle, threshold), "links2"))

@@ -58,7 +58,7 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_chars: int = 30_000_000) -> tuple[list[tuple[str, int]], float]:
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 1000, sample_chars: int = 15_000_000) -> tuple[list[tuple[str, int]], float]:
     """(text, toxic) of the training sample, and the share of toxic rows among all training labels."""
     spark = docs.sparkSession
     known = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
@@ -292,7 +292,7 @@ def score_documents(docs: DataFrame, chain: Chain | None, with_spans: bool = Tru
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra.fields]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, with_spans: bool = True) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1000, with_spans: bool = True) -> DataFrame:
     """docs with all its columns plus _score (0 to 1) and _spans, learned from labels(doc_id, toxic)."""
     rows, share = training_rows(docs, labels, per_class)
     return score_documents(docs, fit_chain(rows, share), with_spans)
