@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .values import strip
 
@@ -32,13 +33,13 @@ def plain_letters(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{Mn}", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfd_strip(s: pd.Series) -> pd.Series:
     """F12 for all of Unicode."""
     return s.map(lambda x: x if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratcliff_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two texts; the order of arguments matters."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
