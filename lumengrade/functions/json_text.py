@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .values import strip
@@ -14,50 +14,58 @@ REQUIRED = ("nota", "comentario", "criterios_atendidos", "criterios_ausentes", "
 def strict_object(text: Column) -> Column:
     """Map of key to value text if `text` is exactly one JSON object, else null (text after it, quotes of the wrong kind and
     trailing commas are refused; the last of equal keys wins)."""
-    got = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"})
-    return F.when(F.size(got) == 1, F.get(got, F.lit(0)))
-
-
-def sliced(text: Column) -> Column:
-    """Without a code fence, from the first { to the last }."""
-    bare = strip(F.regexp_replace(F.regexp_replace(strip(text), r"^```(json|JSON)?\s*", ""), r"\s*```$", ""))
-    first, last = F.instr(bare, "{"), F.length(bare) - F.instr(F.reverse(bare), "}") + 1
-    return F.when((first > 0) & (F.instr(bare, "}") > 0) & (last > first), F.substr(bare, first, last - first + 1)).otherwise(bare)
-
-
-def repairs(text: Column) -> list[Column]:
-    """F19's attempts in order: as it is, straight quotes, no trailing commas, decimal points."""
-    whole = sliced(text)
-    quotes = F.translate(whole, "“”‘’", "\"\"''")
-    commas = F.regexp_replace(quotes, r",\s*([}\]])", "$1")
-    return [whole, quotes, commas, F.regexp_replace(commas, r"(\d),(\d)", "$1.$2")]
-
-
-def recovered(text: Column) -> Column:
-    """the first attempt that is one object, as a map of value texts; null where all fail."""
-    return F.coalesce(*map(strict_object, repairs(text)))
-
-
-def recovered_text(text: Column) -> Column:
-    """The text of that attempt."""
-    return F.coalesce(*[F.when(strict_object(x).isNotNull(), x) for x in repairs(text)])
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"})
+    single = F.filter(F.array(parsed), lambda a: F.size(a) == 1)
+    return F.get(F.get(single, F.lit(0)), F.lit(0))
+
+
+def with_recovery(df: DataFrame, raw: str) -> DataFrame:
+    """df with the first repair of `raw` that is one object, as text (_txt) and as map of value texts (_obj); null where all fail.
+
+    The repairs, in order: without code fence and from the first { to the last }; straight quotes; no trailing commas;
+    decimal points. Each step is a column of its own, so that none is worked out twice.
+    """
+    bare = strip(F.regexp_replace(F.regexp_replace(strip(F.col(raw)), r"^```(json|JSON)?\s*", ""), r"\s*```$", ""))
+    df = df.withColumn("_bare", bare)
+    df = df.withColumns({"_first": F.instr("_bare", "{"), "_last": F.length("_bare") - F.instr(F.reverse("_bare"), "}") + 1})
+    inside = (F.col("_first") > 0) & (F.col("_last") > F.col("_first")) & (F.col("_last") <= F.length("_bare"))
+    df = df.withColumn("_1", F.when(inside, F.substr("_bare", "_first", F.col("_last") - F.col("_first") + 1)).otherwise(F.col("_bare")))
+    df = df.withColumn("_2", F.translate("_1", "“”‘’", "\"\"''"))
+    df = df.withColumn("_3", F.regexp_replace("_2", r",\s*([}\]])", "$1"))
+    df = df.withColumn("_4", F.regexp_replace("_3", r"(\d),(\d)", "$1.$2"))
+    steps = [f"_{k}" for k in range(1, 5)]
+    df = df.withColumn("_txt", F.coalesce(*[F.when(strict_object(F.col(c)).isNotNull(), F.col(c)) for c in steps]))
+    return df.withColumn("_obj", strict_object(F.col("_txt"))).drop("_bare", "_first", "_last", *steps)
+
+
+def value_type(variant: Column, key: str) -> Column:
+    """Type name of a key's value, null where the key is absent or the text has no variant (equal keys, NaN)."""
+    return F.schema_of_variant(F.try_variant_get(variant, f"$.{key}", "variant"))
+
+
+def kind_of(type_name: Column, value: Column) -> Column:
+    """string, number, boolean, array, object or null from a type name; without one a value counts as text."""
+    return (
+        F.when(type_name.startswith("ARRAY"), "array").when(type_name.startswith("OBJECT"), "object").when(type_name == "STRING", "string")
+        .when(type_name == "BOOLEAN", "boolean").when(type_name == "VOID", "null").when(type_name.isNotNull(), "number").when(value.isNotNull(), "string")
+    )
 
 
-def value_kind(text: Column, key: str) -> Column:
-    """Kind of a key's value in recovered text: string, number, boolean, array, object or null; null where the key is absent."""
-    v = F.get_json_object(text, f"$.{key}")
-    typed = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), f"$.{key}", "variant"))
-    return F.when(typed.startswith("ARRAY"), "array").when(typed.startswith("OBJECT"), "object").when(typed == "STRING", "string").when(
-        typed == "BOOLEAN", "boolean").when(typed.isin("VOID"), "null").when(typed.isNotNull(), "number").when(v.isNotNull(), "string")
+def with_kinds(df: DataFrame, raw: str) -> DataFrame:
+    """df with the recovered text (_txt), its map (_obj) and the kind of each required key's value (_kind_<key>), each made once."""
+    df = with_recovery(df, raw).withColumn("_variant", F.try_parse_json("_txt"))
+    df = df.withColumns({f"_type_{k}": value_type(F.col("_variant"), k) for k in REQUIRED})
+    df = df.withColumns({f"_kind_{k}": kind_of(F.col(f"_type_{k}"), F.col("_obj")[k]) for k in REQUIRED})
+    return df.drop("_variant", *[f"_type_{k}" for k in REQUIRED])
 
 
 def _listed(names: Column) -> Column:
     return F.concat(F.lit("['"), F.array_join(names, "', '"), F.lit("']"))
 
 
-def schema_warnings(obj: Column, text: Column) -> Column:
-    """what a grade object lacks or has too much, as warning texts in a fixed order."""
-    keys = F.map_keys(obj)
+def schema_warnings() -> Column:
+    """F20 over the columns of with_kinds: what a grade object lacks or has too much, as warning texts in a fixed order."""
+    keys = F.map_keys("_obj")
     lacking = F.array_except(F.array(*map(F.lit, REQUIRED)), keys)
 
     def looks_like(k: Column) -> Column:
@@ -68,7 +76,7 @@ def schema_warnings(obj: Column, text: Column) -> Column:
     odd = F.filter(keys, looks_like)
 
     def wrong(key: str, *kinds: str) -> Column:
-        return F.when(F.array_contains(keys, key) & ~F.coalesce(value_kind(text, key).isin(*kinds), F.lit(False)), f"Campo {key} com tipo inválido.")
+        return F.when(F.array_contains(keys, key) & ~F.coalesce(F.col(f"_kind_{key}").isin(*kinds), F.lit(False)), f"Campo {key} com tipo inválido.")
 
     return F.array_compact(
         F.array(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grades import COPIED, LOW_READING, OFF_SCALE, clamp_grade, verdict
-from ..functions.json_text import recovered, recovered_text, schema_warnings, strict_boolean, value_kind
+from ..functions.json_text import schema_warnings, strict_boolean, with_kinds
 from ..functions.short_answer import (
     copy_form, coverage, key_variants, laterality, normal_form, ratcliff_ratio, same_side, similarity, without_side,
 )
@@ -18,15 +18,15 @@ def discursive_grades(outputs: DataFrame) -> DataFrame:
 
     Copied prompts are told by word overlap here; copied_prompts() adds the ratio rule.
     """
-    rows = outputs.withColumn("obj", recovered(F.col("raw"))).withColumn("txt", recovered_text(F.col("raw")))
-    failed = F.col("obj").isNull()
-    o = F.col("obj")
+    rows = with_kinds(outputs, "raw")
+    failed = F.col("_obj").isNull()
+    o = F.col("_obj")
     # A failed parse stands for a zero grade that carries its error.
-    warned = F.when(failed, F.array().cast("array<string>")).otherwise(schema_warnings(o, F.col("txt")))
+    warned = F.when(failed, F.array().cast("array<string>")).otherwise(schema_warnings())
     rows = rows.withColumn("schema_warnings", warned).withColumn("schema_valid", ~failed & (F.size("schema_warnings") == 0))
     top = first_nonzero(decimal_or_null(o["max_score"]), F.col("max_score"), F.lit(1.0))
     grade = clamp_grade(F.coalesce(o["score"], o["nota"]))
-    flag = strict_boolean(value_kind(F.col("txt"), "revisao_necessaria"), o["revisao_necessaria"])
+    flag = strict_boolean(F.col("_kind_revisao_necessaria"), o["revisao_necessaria"])
     answer, sure = strip(F.coalesce("answer", F.lit(""))), F.lower(F.coalesce("reading_confidence", F.lit("")))
     rows = rows.withColumns({"top": top, "g": grade, "flag": flag, "a": answer, "c": sure}).withColumn("copied", F.coalesce(overlap_copied(F.col("a"), F.col("prompt")), F.lit(False)))
     score = F.when(failed, 0.0).otherwise(F.greatest(F.lit(0.0), F.least("g.value", "top")))

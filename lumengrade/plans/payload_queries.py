@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.grades import reading_confidence, single_grade
-from ..functions.json_text import recovered, recovered_text, schema_warnings
+from ..functions.json_text import schema_warnings, with_kinds, with_recovery
 from ..functions.short_answer import copy_form, key_variants, nfd_strip, normal_form, plain_letters
 from ..functions.values import decimal_or, iso_timestamp, needs_fallback, unit_interval, word_count
 from ..operators import grading, payloads
@@ -160,14 +160,14 @@ SOLE = "id, student_result_id, question_number"
 @query("f19_recover_json", f"""SELECT {SOLE}, question_number <= 6 AS parsed, CASE WHEN question_number <= 3 THEN CAST(json_extract_string(regexp_replace(regexp_extract(raw, '\\{{.*\\}}', 0, 's'), ',\\s*\\}}', '}}'), '$.nota') AS DOUBLE)
   WHEN question_number IN (4, 6) THEN 0.5 WHEN question_number = 5 THEN 1.0 END AS nota FROM fx_raw""")
 def _(v):
-    got = v["fx_raw"].withColumn("o", recovered(F.col("raw")))
-    return got.select("id", "student_result_id", "question_number", F.col("o").isNotNull().alias("parsed"), F.col("o")["nota"].try_cast("double").alias("nota"))
+    got = with_recovery(v["fx_raw"], "raw")
+    return got.select("id", "student_result_id", "question_number", F.col("_obj").isNotNull().alias("parsed"), F.col("_obj")["nota"].try_cast("double").alias("nota"))
 
 
 @query("f20_schema_warnings", f"""SELECT {SOLE}, CASE WHEN question_number = 6 THEN 'JSON recuperado, mas schema incompleto: chaves ausentes: [''criterios_atendidos'', ''revisao_necessaria'']|Chaves suspeitas/ignoradas: [''criterios_austeis'', ''revisao_necessosa'']' ELSE '' END AS warnings FROM fx_raw WHERE question_number <= 6""")
 def _(v):
-    rows = v["fx_raw"].where("question_number <= 6")
-    return rows.select("id", "student_result_id", "question_number", F.array_join(schema_warnings(recovered(F.col("raw")), recovered_text(F.col("raw"))), "|").alias("warnings"))
+    rows = with_kinds(v["fx_raw"].where("question_number <= 6"), "raw")
+    return rows.select("id", "student_result_id", "question_number", F.array_join(schema_warnings(), "|").alias("warnings"))
 
 
 @query("f22_discursive_grades", f"""

@@ -73,7 +73,7 @@ def test_json_strictness(spark):
     bad = ['{"nota":1},{"nota":2}', "{'nota': 1}", "[1]", '{"nota": 1} lixo', "nada"]
     df = spark.createDataFrame([(x,) for x in bad], "t string")
     assert [r.o for r in df.select(json_text.strict_object(F.col("t")).alias("o")).collect()] == [None] * 5
-    fixed = spark.createDataFrame([('```json\n{"nota": 0,5,}\n```',)], "t string").select(json_text.recovered(F.col("t")).alias("o")).first().o
+    fixed = json_text.with_recovery(spark.createDataFrame([('```json\n{"nota": 0,5,}\n```',)], "t string"), "t").first()._obj
     assert fixed == {"nota": "0.5"}
 
 
