@@ -7,7 +7,8 @@ then by place, leftmost first. The best pair whose two symbols are still there i
 the agenda. What remains are the pieces; characters outside the vocabulary become byte pieces. Decoding goes back from
 ids to text, chunk by chunk.
 
-Ids and decoded text of each new chunk are kept per worker in a bounded table, after the new chunks of each Arrow batch
+Each new chunk is encoded, its ids are decoded, and its ids are kept per worker in a bounded table (its decoded text only where
+it isn't the chunk again), after the new chunks of each Arrow batch
 have been encoded by the sentencepiece library as well: any difference raises an error. Null and empty texts give the
 end id only; repeated rows are encoded one by one; further columns are ignored.
 """
@@ -60,7 +61,8 @@ class Codec:
         self.end, self.unknown = self.library.eos_id(), self.library.unk_id()
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id) or len(self.byte) != 256:
             raise ValueError("pieces must hold the blank mark at their start only, and all bytes")
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, str] = {}  # ids of a chunk as text
+        self.odd: dict[str, str] = {}  # decoded chunks that differ from the chunk
 
     def agenda(self, chunk: str) -> list[str]:
         """The pieces of one chunk; short chunks keep the agenda as a plain list of pair scores, long ones as a heap."""
@@ -149,13 +151,17 @@ class Codec:
         """Encode the chunks not known yet and hold them against the library."""
         if len(self.known) > KEPT:
             self.known.clear()
+            self.odd.clear()
         new = [*{c for chunks in batch for c in chunks if c not in self.known}]
         theirs = self.library.encode([c.replace(MARK, " ") if c else MARK for c in new], num_threads=1)
         for chunk, want in zip(new, theirs, strict=True):
             got = self.ids(MARK + chunk)
             if got != (want if chunk else want[1:] if len(want) > 1 else self.ids(MARK)):
                 raise AssertionError(f"{chunk!r}: {got} here, {want} in the library")
-            self.known[chunk] = (" ".join(map(str, got)), len(got), " " + self.decode(got))
+            self.known[chunk] = " ".join(map(str, got))
+            back = self.decode(got)
+            if back != chunk:
+                self.odd[chunk] = back
 
     def encode(self, text: str) -> list[int]:
         return [i for c in self.chunks(text) for i in self.ids(MARK + c)] + [self.end]
@@ -179,10 +185,10 @@ def sentencepiece_codec(docs: DataFrame, path: str | None = None, with_text: boo
             own.learn(batch)
             n, ids, texts = [], [], []
             for chunks in batch:
-                found = [own.known[c] for c in chunks]
-                n.append(sum([f[1] for f in found]) + 1)
-                ids.append(show(" ".join([*[f[0] for f in found], str(own.end)])))
-                texts.append(show("".join([f[2] for f in found])[1:]))
+                said = " ".join([*map(own.known.__getitem__, chunks), str(own.end)])
+                n.append(said.count(" ") + 1)
+                ids.append(show(said))
+                texts.append(show(" ".join([own.odd.get(c, c) for c in chunks] if own.odd else chunks)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")

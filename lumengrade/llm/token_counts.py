@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ._common import slices, table
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-KEPT = 600_000  # pre-tokens whose count a worker keeps
+KEPT = 400_000  # pre-tokens whose count a worker keeps
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
