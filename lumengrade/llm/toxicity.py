@@ -7,7 +7,8 @@ states, hashed word features as emissions and four transitions, and is fitted to
 forward-backward expectations and Adam.
 
 A document's score combines, by a logistic link fitted on the sample's document labels and moved to the labels' own
-class shares, the odds that any of its words is tagged toxic and the expected number of such words. Spans are runs of words
+class shares, the greatest marginal of its words, the odds that any word is tagged toxic and the expected number of such
+words. The last two count marginals of 0.2 or more only, so that mere length doesn't add up to toxicity. Spans are runs of words
 whose marginal is 0.5 or more, with character offsets.
 
 The training sample holds the labelled rows of smallest id hash, at most `per_class` of either class and `sample_chars`
@@ -143,14 +144,20 @@ class Chain:
                     pairs[i, j] += np.exp(x[live[:, 1:].T]).sum()
         return prob, clean, logz, pairs
 
-    def score(self, any_log: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_design(any_log, expected) @ np.array(self.link), -30, 30)))
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(evidence @ np.array(self.link), -30, 30)))
 
 
-def _design(any_log: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    """Columns of the document link: 1, log-odds of any toxic word (log P(none) is any_log), log of 1 + expected number."""
-    none = np.clip(any_log, -15, -1e-7)
-    return np.stack([np.ones(len(none)), np.log(-np.expm1(none)) - none, np.log1p(expected)], 1)
+def document_evidence(prob: np.ndarray, owner: np.ndarray, n: int, floor: float = 0.2) -> np.ndarray:
+    """Rows of the document link: 1, log-odds of the greatest marginal, log-odds of any toxic word, log of 1 + expected number."""
+    top = np.zeros(n)
+    np.maximum.at(top, owner, prob)
+    clear = prob >= floor
+    sure = np.minimum(prob[clear], 1 - 1e-7)
+    none = np.clip(np.bincount(owner[clear], weights=np.log1p(-sure), minlength=n), -15, -1e-5)
+    expected = np.bincount(owner[clear], weights=sure, minlength=n)
+    top = np.clip(top, 1e-6, 1 - 1e-6)
+    return np.stack([np.ones(n), np.log(top / (1 - top)), np.log(-np.expm1(none)) - none, np.log1p(expected)], 1)
 
 
 def fit_chain(rows: list[tuple[str, int]], share: float, steps: int = 60, ridge: float = 1e-3, rate: float = 0.15) -> Chain | None:
@@ -199,12 +206,15 @@ def fit_chain(rows: list[tuple[str, int]], share: float, steps: int = 60, ridge:
         theta[MASK + 2] = 0.0
     chain = Chain(theta[: MASK + 3].astype(np.float32), theta[-4:].reshape(2, 2).copy(), ())
     emit_of = chain.weight[table_].sum(1) + chain.weight[MASK + 1]
-    any_log, expected = document_evidence(chain, [[emit_of[s] for s in sents] for sents in code])
-    x, y = _design(any_log, expected), np.array([t for _, t in docs], float)
-    w = np.zeros(3)
+    length = np.array([len(x) for sents in code for x in sents], int)
+    owner = np.repeat(np.arange(len(docs)), [sum(map(len, sents)) for sents in code])
+    every = np.array([w for sents in code for x in sents for w in x], int)
+    x = document_evidence(chain.marginals(emit_of[every].astype(float), length)[0], owner, len(docs))
+    y = np.array([t for _, t in docs], float)
+    w = np.zeros(x.shape[1])
     for _ in range(30):  # Newton steps of the ridge logistic link
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3)
+        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
         w += np.linalg.solve(hess, x.T @ (y - p) - 0.1 * w)
     here = y.mean()
     w[0] += math.log(share / (1 - share)) - math.log(here / (1 - here))
@@ -212,17 +222,6 @@ def fit_chain(rows: list[tuple[str, int]], share: float, steps: int = 60, ridge:
     return chain
 
 
-def document_evidence(chain: Chain, docs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(log P(no toxic word), expected toxic words) of each document, from its sentences' emissions."""
-    length = np.array([len(s) for d in docs for s in d], int)
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    if not len(length):
-        return np.zeros(len(docs)), np.zeros(len(docs))
-    prob, clean, _, _ = chain.marginals(np.concatenate([s for d in docs for s in d]).astype(float), length)
-    sums = np.bincount(owner, weights=np.minimum(clean, 0), minlength=len(docs))
-    return sums, np.bincount(np.repeat(owner, length), weights=prob, minlength=len(docs))
-
-
 class _Words(dict):
     """Word to (number, ends a sentence); emissions by number grow beside it."""
 
@@ -249,7 +248,7 @@ def score_documents(docs: DataFrame, chain: Chain | None, with_spans: bool = Tru
             if chain is None:
                 yield joined(part, [0.0] * len(texts), [[]] * len(texts))
                 continue
-            if len(words) > 400_000:
+            if len(words) > 200_000:
                 words = _Words(chain)
             number, ends, size = [], [], []
             for text in texts:
@@ -267,12 +266,8 @@ def score_documents(docs: DataFrame, chain: Chain | None, with_spans: bool = Tru
             length = np.diff(np.concatenate([[0], stops])) if len(stops) else np.empty(0, int)
             emit = np.array(words.emit)[code >> 1] if len(code) else np.empty(0)
             owner = np.repeat(np.arange(len(texts)), size)
-            any_log, expected, prob = np.zeros(len(texts)), np.zeros(len(texts)), np.empty(0)
-            if len(code):
-                prob, clean, _, _ = chain.marginals(emit, length)
-                any_log = np.bincount(owner[stops - 1], weights=np.minimum(clean, 0), minlength=len(texts))
-                expected = np.bincount(owner, weights=prob, minlength=len(texts))
-            score = chain.score(any_log, expected)
+            prob = chain.marginals(emit, length)[0] if len(code) else np.empty(0)
+            score = chain.score(document_evidence(prob, owner, len(texts)))
             spans: list[list] = [[] for _ in texts]
             if with_spans and len(code):
                 first = np.concatenate([[0], np.cumsum(size)])
