@@ -45,7 +45,7 @@ def visible(markup: str) -> str:
     return JUNK.sub(" ", markup)
 
 
-def fit_text(docs: DataFrame, sample_rows: int = 20_000, smooth: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
+def fit_text(docs: DataFrame, sample_rows: int = 20_000, smooth: float = 0.05) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log-probability of each bucket by language, expected log-probability of own text) from docs(doc_id, text, lang)."""
     known = docs.where("lang is not null and text is not null").select(F.col("doc_id"), "lang", "text")
     share = min(1.0, sample_rows / max(1, known.count()))

@@ -105,7 +105,7 @@ def align(template: list[bytes], words: list[bytes], start: int, band: int) -> t
                 best = max(best, (s - 1, m, f, e))
             row.append(best)
         above = row
-    _, matched, first, end = max(above, key=lambda x: (x[0], x[1], -x[2]))
+    _, matched, first, end = max(above, key=lambda x: (x[0], x[1], -abs(x[2] - start), -x[2]))
     return matched, first, end
 
 

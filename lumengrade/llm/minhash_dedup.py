@@ -44,7 +44,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
