@@ -1,14 +1,14 @@
 """Toxicity: a linear-chain conditional random field tags toxic words; its marginals give document scores and offsets.
 
 Labels mark documents, so labelled tokens come first: over the training sample, each feature of a word (the word, its
-prefixes of 3 to 6 letters) is tested for a higher share of toxic documents (log-likelihood ratio, at odds of 8 or more);
+prefixes of 4 to 6 letters) is tested for a higher share of toxic documents (log-likelihood ratio, at odds of 8 or more);
 words of toxic documents that have such a feature are labelled toxic, all others clean. The field has the two tags as
 states, hashed word features as emissions and four transitions, and is fitted to these labels sentence by sentence with
 forward-backward expectations and Adam.
 
 A document's score combines, by a logistic link fitted on the sample's document labels and moved to the labels' own
-class shares, the greatest marginal of its words, the odds that any word is tagged toxic and the expected number of such
-words. The last two count marginals of 0.2 or more only, so that mere length doesn't add up to toxicity. Spans are runs of words
+class shares, the greatest marginal of its words and the expected number of toxic words among those with a marginal of 0.2
+or more, so that mere length doesn't add up to toxicity. Spans are runs of words
 whose marginal is 0.5 or more, with character offsets.
 
 The training sample holds the labelled rows of smallest id hash, at most `per_class` of either class and `sample_chars`
@@ -41,7 +41,7 @@ SPACES = re.compile(WORD)
 def features(word: str) -> list[str]:
     """Feature names of a word, without case and outer punctuation."""
     w = word.lower().strip(EDGE)
-    return [f"w={w}", *(f"{n}^{w[:n]}" for n in (3, 4, 5, 6) if len(w) > n), f"3${w[-3:]}"]
+    return [f"w={w}", *(f"{n}^{w[:n]}" for n in (4, 5, 6) if len(w) > n)]
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -86,7 +86,7 @@ def toxic_features(docs: list[tuple[list[list[str]], int]], odds: float = 8.0) -
     per_word: dict[str, list[str]] = {}
     for sents, toxic in docs:
         words = {w for s in sents for w in s}
-        seen[toxic].update({f for w in words for f in per_word.setdefault(w, features(w)) if f[1] != "$"})
+        seen[toxic].update({f for w in words for f in per_word.setdefault(w, features(w))})
     n0, n1 = (sum(1 for _, t in docs if t == c) for c in (0, 1))
     base, floor, out = n1 / (n0 + n1), math.log(max(10, len(seen[1]))), set()
     for f, a in seen[1].items():
@@ -149,15 +149,13 @@ class Chain:
 
 
 def document_evidence(prob: np.ndarray, owner: np.ndarray, n: int, floor: float = 0.2) -> np.ndarray:
-    """Rows of the document link: 1, log-odds of the greatest marginal, log-odds of any toxic word, log of 1 + expected number."""
+    """Rows of the document link: 1, log-odds of the greatest marginal, log of 1 + expected number of toxic words."""
     top = np.zeros(n)
     np.maximum.at(top, owner, prob)
     clear = prob >= floor
-    sure = np.minimum(prob[clear], 1 - 1e-7)
-    none = np.clip(np.bincount(owner[clear], weights=np.log1p(-sure), minlength=n), -15, -1e-5)
-    expected = np.bincount(owner[clear], weights=sure, minlength=n)
+    expected = np.bincount(owner[clear], weights=prob[clear], minlength=n)
     top = np.clip(top, 1e-6, 1 - 1e-6)
-    return np.stack([np.ones(n), np.log(top / (1 - top)), np.log(-np.expm1(none)) - none, np.log1p(expected)], 1)
+    return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(expected)], 1)
 
 
 def fit_chain(rows: list[tuple[str, int]], share: float, steps: int = 60, ridge: float = 1e-3, rate: float = 0.15) -> Chain | None:
@@ -170,7 +168,7 @@ def fit_chain(rows: list[tuple[str, int]], share: float, steps: int = 60, ridge:
     code = [[[ids.setdefault(w, len(ids)) for w in s] for s in sents] for sents, _ in docs]
     named = [features(w) for w in ids]
     toxic_word = np.array([any(f in marks for f in fs) for fs in named])
-    width = 6
+    width = 4
     table_ = np.full((len(ids), width), MASK + 2)  # the last weight stays 0
     for k, fs in enumerate(named):
         table_[k, : len(fs)] = [zlib.crc32(f.encode()) & MASK for f in fs[:width]]
@@ -214,8 +212,8 @@ def fit_chain(rows: list[tuple[str, int]], share: float, steps: int = 60, ridge:
     w = np.zeros(x.shape[1])
     for _ in range(30):  # Newton steps of the ridge logistic link
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
-        w += np.linalg.solve(hess, x.T @ (y - p) - 0.1 * w)
+        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w))
+        w += np.linalg.solve(hess, x.T @ (y - p) - 0.5 * w)
     here = y.mean()
     w[0] += math.log(share / (1 - share)) - math.log(here / (1 - here))
     chain.link = tuple(w.tolist())
