@@ -2,9 +2,9 @@
 
 Every document is measured once (Arrow batches, whole texts); each rule turns the measures into a vote of +1 (fit),
 -1 (unfit) or 0 (abstains). The votes of all documents are counted by vote pattern on Spark, at most 3**rules rows
-whatever the corpus size, and EM over that table estimates the share of fit documents and each rule's accuracy given
-that it votes. With independent rules the posterior log-odds are linear in the votes, so the final score is one native
-column expression and needs no join.
+whatever the corpus size, and EM over that table estimates the share of fit documents and each rule's accuracy: how often,
+when it votes, it is right about documents of either kind (abstaining says nothing). With rules independent given the kind,
+the posterior log-odds are a sum of one term per vote, so the final score is one native column expression and needs no join.
 
 Defined results: null text counts as empty (all measures 0); empty text fails the base rule; repeated rows are judged
 one by one; further columns of the input are ignored; an empty table gives an empty result.
@@ -13,6 +13,7 @@ one by one; further columns of the input are ignored; an empty table gives an em
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from ._common import slices, stored, table
 
 SYMBOLS = b"#*$%&|<>"
+SYMBOL_RUN = re.compile(b"[#*$%&|<>]+")
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
@@ -44,17 +46,19 @@ def _repeat_words(words: list[bytes]) -> int:
 
 
 def measure_text(text: str | None) -> tuple[int, ...]:
-    """(n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_alpha_words) of one text."""
+    """The MEASURES of one text; a symbol run is one or more symbols next to each other."""
     if not text:
-        return (0,) * 7
+        return (0,) * len(MEASURES)
     raw = text.encode()
     words = raw.split()
     lines = [x for x in raw.split(b"\n") if x.strip()]
     alpha = sum(1 for w in words if w[:1].isalpha() or w[0] > 127 or any(c > 64 for c in w))
+    symbols = sum(raw.count(x) for x in SYMBOLS)
     return (
         len(words),
         len(text) - sum(raw.count(x) for x in BLANKS),
-        sum(raw.count(x) for x in SYMBOLS),
+        symbols,
+        len(SYMBOL_RUN.findall(raw)) if symbols else 0,
         len(lines),
         len(lines) - len(set(lines)),
         _repeat_words(words),
@@ -62,7 +66,7 @@ def measure_text(text: str | None) -> tuple[int, ...]:
     )
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_alpha_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_symbol_runs", "n_lines", "n_dup_lines", "n_repeat_words", "n_alpha_words")
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,34 +95,46 @@ def default_rules() -> dict[str, Callable[[], Column]]:
         "length": lambda: _vote(n >= 80, n < 20),
         "word_length": lambda: _vote((n > 0) & c("word_chars").between(3 * n, 9 * n), (n == 0) | (c("word_chars") > 14 * n) | (c("word_chars") < 2 * n)),
         "symbols": lambda: _vote(50 * c("n_symbols") <= n, 5 * c("n_symbols") > n),
-        "dup_lines": lambda: _vote(10 * c("n_dup_lines") <= c("n_lines"), 10 * c("n_dup_lines") > 3 * c("n_lines")),
-        "repeats": lambda: _vote(10 * c("n_repeat_words") <= n, 10 * c("n_repeat_words") > 3 * n),
+        "symbol_runs": lambda: _vote(50 * c("n_symbol_runs") <= n, 5 * c("n_symbol_runs") > n),
+        "dup_lines": lambda: _vote(10 * c("n_dup_lines") <= c("n_lines"), 2 * c("n_dup_lines") > c("n_lines")),
+        "repeats": lambda: _vote(10 * c("n_repeat_words") <= n, 2 * c("n_repeat_words") > n),
         "alphabetic": lambda: _vote(10 * c("n_alpha_words") >= 8 * n, 10 * c("n_alpha_words") < 6 * n),
     }
 
 
-def fit_accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, list[float]]:
-    """EM over (votes, count): share of fit documents and each rule's accuracy given that it votes.
+def fit_accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, prior: float = 2.0) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+    """EM over (votes, count): the share of fit documents and, by rule, each vote's probability for (fit, unfit) documents, given
+    that the rule votes.
 
-    Accuracies stay in [0.55, 0.98] (a rule is better than chance, never an oracle) and the share in [0.05, 0.95], which
-    also fixes which class is which. Counts are smoothed by one right and one wrong vote of prior weight.
+    The start leans on rare votes, which say more than common ones. Counts are smoothed by `prior` votes, for fit documents in
+    favour of the rule; the share stays in [0.05, 0.995].
     """
     width = len(patterns[0][0]) if patterns else 0
-    share, acc = 0.8, np.full(width, 0.8)
     if not patterns:
-        return share, []
-    votes = np.array([p for p, _ in patterns], float).reshape(len(patterns), width)
+        return 0.9, []
+    votes = np.array([p for p, _ in patterns]).reshape(len(patterns), width)
     count = np.array([c for _, c in patterns], float)
+    said = {v: votes == v for v in (-1, 0, 1)}
+    rare = {v: -np.log(((said[v] * count[:, None]).sum(0) + 1) / (count.sum() + 3)) for v in (-1, 1)}
+    fit = 1 / (1 + np.exp(-2 * (said[1] @ np.diag(rare[1]) - said[-1] @ np.diag(rare[-1])).sum(1)))
     for _ in range(rounds):
-        fit = 1 / (1 + np.exp(-(math.log(share / (1 - share)) + votes @ np.log(acc / (1 - acc)))))
-        right = ((votes > 0) * (fit * count)[:, None] + (votes < 0) * ((1 - fit) * count)[:, None]).sum(0)
-        cast = ((votes != 0) * count[:, None]).sum(0)
-        new = np.clip((right + 4) / (cast + 5), 0.55, 0.98)
-        share = float(np.clip((fit @ count + 4) / (count.sum() + 5), 0.05, 0.95))
-        if np.abs(new - acc).max() < 1e-9:
+        share = float(np.clip((fit @ count + prior) / (count.sum() + 2 * prior), 0.05, 0.995))
+        cast = {v: [(said[v] * (w * count)[:, None]).sum(0) for w in (fit, 1 - fit)] for v in (-1, 1)}
+        good = (cast[1][0] + 10 * prior) / (cast[1][0] + cast[-1][0] + 10.1 * prior)
+        bad = (cast[-1][1] + prior) / (cast[1][1] + cast[-1][1] + 2 * prior)
+        rates = {1: (good, 1 - bad), -1: (1 - good, bad)}
+        odds = math.log(share / (1 - share)) + sum((said[v] * np.log(rates[v][0] / rates[v][1])).sum(1) for v in (-1, 1))
+        new = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+        if np.abs(new - fit).max() < 1e-9:
             break
-        acc = new
-    return share, acc.tolist()
+        fit = new
+    return share, [{v: (float(rates[v][0][j]), float(rates[v][1][j])) for v in (-1, 1)} for j in range(width)]
+
+
+def accuracy(rates: dict[int, tuple[float, float]], share: float) -> float:
+    """How often a rule that votes is right."""
+    right, wrong = share * rates[1][0] + (1 - share) * rates[-1][1], share * rates[-1][0] + (1 - share) * rates[1][1]
+    return right / (right + wrong)
 
 
 def judge(measured: DataFrame, rules: dict[str, Callable[[], Column]] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -130,11 +146,11 @@ def judge(measured: DataFrame, rules: dict[str, Callable[[], Column]] | None = N
     voted = measured.withColumns({f"vote_{k}": rule() for k, rule in rules.items()})
     names = [f"vote_{k}" for k in rules]
     counted = voted.groupBy(*names).count().collect()  # at most 3 ** len(rules) rows
-    share, acc = fit_accuracies(sorted((tuple(r[n] for n in names), r["count"]) for r in counted))
-    acc = acc or [0.8] * len(names)
+    share, rates = fit_accuracies(sorted((tuple(r[n] for n in names), r["count"]) for r in counted))
     odds = F.lit(math.log(share / (1 - share)))
-    for n, a in zip(names, acc, strict=True):
-        odds = odds + F.col(n) * F.lit(math.log(a / (1 - a)))
+    for n, r in zip(names, rates):
+        term = {v: F.lit(math.log(p / q)) for v, (p, q) in r.items()}
+        odds = odds + F.when(F.col(n) == 1, term[1]).when(F.col(n) == -1, term[-1]).otherwise(0.0)
     return voted.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("fit", F.col("posterior") >= threshold)
 
 
