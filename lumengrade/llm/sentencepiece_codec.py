@@ -28,7 +28,7 @@ from ._common import slices, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-KEPT = 600_000
+KEPT = 250_000
 DEFAULT_MODEL = "piece_bpe_32k.model"
 
 
