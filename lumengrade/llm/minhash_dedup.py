@@ -10,8 +10,9 @@
    of a run meets the first of the whole bucket), never all others. Pairs are estimated by maximising the joint likelihood
    of greater / smaller / equal registers given both set sizes; those that might reach the threshold are verified on the
    full sets. Components of the verified links follow.
-4. Buckets that still hold more than one component get the rest: every pair across two components, estimated and
-   verified in the same way. So each pair that shares a bucket is either verified, refuted by its estimate (five
+4. Buckets that still hold more than one component get the rest: every pair across two components. They are cut into tiles of
+   bounded size; a pair of tiles is one group, in which sketches are compared as arrays and only pairs that might reach the
+   threshold come out, each in the first band it shares. These are verified in the same way. So each pair that shares a bucket is either verified, refuted by its estimate (five
    standard errors) or lies within one component already.
 
 The registers per band grow with the logarithm of the number of classes, so that documents which share no more than
@@ -125,6 +126,16 @@ def banding(classes: int, threshold: float) -> list[list[int]]:
     return [rng.choice(REGISTERS, rows, replace=False).tolist() for _ in range(bands)]
 
 
+def band_keys(registers: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """64-bit key of each band of each sketch row."""
+    key = np.broadcast_to(np.arange(len(picks), dtype=np.uint64) * MIX, (len(registers), len(picks))).copy()
+    wide = registers.astype(np.uint64)
+    for k in range(picks.shape[1]):
+        key = (key ^ wide[:, picks[:, k]]) * MIX
+        key ^= key >> np.uint64(29)
+    return key.astype(np.int64)
+
+
 def band_rows(reps: DataFrame, bands: list[list[int]]) -> DataFrame:
     """(key, rep, n) for each band of each representative."""
     picks = np.array(bands)
@@ -134,17 +145,52 @@ def band_rows(reps: DataFrame, bands: list[list[int]]) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 t = whole.slice(start, 2000)
-                registers = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(t.num_rows, -1).astype(np.uint64)
-                key = np.broadcast_to(np.arange(len(picks), dtype=np.uint64) * MIX, (t.num_rows, len(picks))).copy()
-                for k in range(picks.shape[1]):
-                    key = (key ^ registers[:, picks[:, k]]) * MIX
-                    key ^= key >> np.uint64(29)
+                registers = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(t.num_rows, -1)
                 rep, n = (np.repeat(t.column(c).to_numpy(), len(picks)) for c in ("rep", "n_shingles"))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(rep), pa.array(n)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(band_keys(registers, picks).ravel()), pa.array(rep), pa.array(n)], schema=schema)
 
     return reps.select("rep", "n_shingles", "sketch").mapInArrow(run, "key long, rep long, n long")
 
 
+def cross_pairs(members: DataFrame, reps: DataFrame, bands: list[list[int]], threshold: float, tile: int = 512) -> DataFrame:
+    """(a, b) across parts of members(key, rep, n, part) that share a bucket and might reach the threshold, each pair once."""
+    size = members.groupBy("key").agg(F.count("*").alias("size"))
+    tiled = members.join(size, "key").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int")).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    facing = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least("tile", k).alias("lo"), F.greatest("tile", k).alias("hi")))
+    dealt = tiled.withColumn("pair", F.explode(facing)).select("key", "rep", "n", "part", "tile", "pair.lo", "pair.hi")
+    item = F.struct("rep", "n", "part", "tile", "sketch")
+    groups = dealt.join(reps.select("rep", "sketch"), "rep").groupBy("key", "lo", "hi").agg(F.collect_list(item).alias("members"))
+    picks, error = np.array(bands), math.sqrt(threshold * (1 - threshold) / REGISTERS)
+
+    def run(batches):
+        for t in batches:
+            for g in range(t.num_rows):
+                key, lo, hi = (t.column(c)[g].as_py() for c in ("key", "lo", "hi"))
+                rows = t.column("members")[g].values
+                sketches = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint16).reshape(len(rows), -1)
+                rep, n, part, at = (rows.field(c).to_numpy() for c in ("rep", "n", "part", "tile"))
+                x, y = np.flatnonzero(at == lo), np.flatnonzero(at == hi)
+                for k in range(0, len(x), 32):
+                    i = x[k : k + 32]
+                    ok = (part[i][:, None] != part[y]) & (np.minimum(n[i][:, None], n[y]) >= threshold * np.maximum(n[i][:, None], n[y]) - 1e-6)
+                    if lo == hi:
+                        ok &= rep[i][:, None] < rep[y]
+                    ok &= (sketches[i][:, None, :] == sketches[y][None, :, :]).sum(2) >= REGISTERS * (threshold - 6 * error)
+                    p, q = np.nonzero(ok)
+                    if not len(p):
+                        continue
+                    p, q = i[p], y[q]
+                    likely = estimate(sketches[p], sketches[q], n[p].astype(float), n[q].astype(float)) >= threshold - 5 * error
+                    p, q = p[likely], q[likely]
+                    own = band_keys(sketches[p], picks)
+                    same = own == band_keys(sketches[q], picks)
+                    first = own[np.arange(len(p)), same.argmax(1)] == key if len(p) else np.empty(0, bool)
+                    p, q = rep[p[first]], rep[q[first]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+    return groups.mapInArrow(run, "a long, b long")
+
+
 def bucket_runs(batches):
     """Rows sorted by (key, rep) with the first three members of their run; runs of one member drop out unless they are the
     first or last of the partition, where their bucket may go on elsewhere."""
@@ -273,7 +319,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     base = stored(sketches(docs, shingle), "sketch")
     classes = base.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     reps = stored(classes, "reps")
-    rows = band_rows(reps, banding(reps.count(), threshold)).repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
+    bands = banding(reps.count(), threshold)
+    rows = band_rows(reps, bands).repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
     shared = stored(rows.mapInArrow(bucket_runs, "key long, rep long, n long, c1 long, c2 long, c3 long"), "buckets")
     heads = shared.select("key", F.col("c1").alias("rep")).distinct()
     least = heads.groupBy("key").agg(F.min("rep").alias("c"), F.count("*").alias("k")).where("k > 1")  # buckets cut by a partition's edge
@@ -286,10 +333,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     member = shared.select("key", "rep", "n").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component_id", "rep")).select("key", "rep", "n", "part")
     mixed = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("k")).where("lo < hi and k > 3").select("key")
     left = stored(member.join(mixed, "key"), "mixed")
-    other = left.select("key", F.col("rep").alias("rep2"), F.col("part").alias("part2"), F.col("n").alias("n2"))
-    alike = F.least("n", "n2") >= threshold * F.greatest("n", "n2") - 1e-6
-    cross = left.join(other, "key").where((F.col("part") < F.col("part2")) & alike).select(*_ordered(F.col("rep"), F.col("rep2"))).distinct()
-    cross = stored(_near(cross.join(tested, ["a", "b"], "left_anti"), reps, threshold), "cross")
+    cross = stored(cross_pairs(left, reps, bands, threshold).distinct().join(tested, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
         links = links.unionByName(stored(_verified(cross, docs, shingle, threshold), "links2"))
         label = components(links)
