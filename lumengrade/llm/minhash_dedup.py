@@ -21,7 +21,7 @@ with probability 0.99999. Texts are hashed a second time only for documents in a
 
 Defined results: null, empty and blank texts have empty sets and link with nothing (own component); a text of fewer words
 than a shingle has its whole word sequence as one shingle; repeated rows are in one component and both kept rows if they
-repeat the smallest id; ids are integers; further columns are ignored; an empty table gives an empty result.
+repeat the smallest id; rows without an id link with nothing and are kept, with no component_id; ids are integers; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -317,7 +317,7 @@ def _ordered(x, y) -> list:
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text)."""
     base = stored(sketches(docs, shingle), "sketch")
-    classes = base.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = base.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     reps = stored(classes, "reps")
     bands = banding(reps.count(), threshold)
     rows = band_rows(reps, bands).repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
@@ -339,8 +339,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
         label = components(links)
 
     final = reps.select("set_key", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
-    got = base.select("doc_id", "n_shingles", "set_key").where("n_shingles > 0").join(final, "set_key").select("doc_id", "n_shingles", "component_id")
-    got = got.unionByName(base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    got = base.select("doc_id", "n_shingles", "set_key").where("n_shingles > 0 and doc_id is not null").join(final, "set_key").select("doc_id", "n_shingles", "component_id")
+    got = got.unionByName(base.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return got.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

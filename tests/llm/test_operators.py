@@ -181,6 +181,15 @@ def test_near_duplicates(spark, shingle):
     assert minhash_dedup.near_duplicates(documents(spark, texts).limit(0), shingle=shingle).count() == 0
 
 
+def test_near_duplicates_without_id(spark):
+    a, b, c = (prose(60) for _ in range(3))
+    rows = [(1, a), (2, a), (3, b), (None, a), (None, c), (None, c), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash_dedup.near_duplicates(docs).collect()))
+    assert got == [(0, 0, True)] * 5 + [(1, 1, True), (2, 1, False), (3, 3, True)]
+    assert minhash_dedup.near_duplicates(docs.where("doc_id is null")).count() == 5
+
+
 def test_bucket_runs_over_partitions(spark):
     rows = spark.range(2000).select((F.col("id") % 7 * (F.col("id") < 1000).cast("long")).alias("key"), F.col("id").alias("rep"), F.lit(1).cast("long").alias("n"))
     got = rows.repartitionByRange(9, "key", "rep").sortWithinPartitions("key", "rep").mapInArrow(minhash_dedup.bucket_runs, "key long, rep long, n long, c1 long, c2 long, c3 long")

@@ -32,6 +32,13 @@ def test_near_stage_leaves_no_pair(spark):
     assert not [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(sets[a] & sets[b]) >= 0.82 * len(sets[a] | sets[b])]
 
 
+def test_near_stage_keeps_rows_without_id(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text), (2, text), (None, text), (None, "a text that no row with an id has in common with it")], "doc_id long, text string")
+    kept = corpus_pipeline.drop_copies(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((r.doc_id or 0, r.text) for r in docs.where("doc_id is null or doc_id = 1").collect())
+
+
 def test_every_operator_is_registered():
     names = registry.queries()
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
