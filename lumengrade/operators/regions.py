@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .reports import top_n
-
 
 def region_candidates(regions: DataFrame, pages: DataFrame) -> DataFrame:
     """regions(page_id, x, y, w, h) large enough for an answer, padded by 2 % / 4 % and cut to the page(page_id, page_w, page_h)."""
@@ -33,19 +31,30 @@ def overlapping_pairs(boxes: DataFrame, share: float = 0.65) -> DataFrame:
 
 
 def suppress_regions(boxes: DataFrame, share: float = 0.65, most: int = 12) -> DataFrame:
-    """Greedy in (upper, left) order over each page's at most `most` boxes (W8): a box that overlaps a kept one drops out."""
-    kept = top_n(boxes.select("page_id", "region_id", "left", "upper", "right", "lower"), ["page_id"], ["upper", "left", "region_id"], most)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list = []
-        for r in pdf.sort_values(["upper", "left", "region_id"]).itertuples(index=False):
-            area = (r.right - r.left) * (r.lower - r.upper)
-            clear = True
-            for o in out:
-                both = max(0, min(r.right, o.right) - max(r.left, o.left)) * max(0, min(r.lower, o.lower) - max(r.upper, o.upper))
-                clear = clear and both <= share * min(area, (o.right - o.left) * (o.lower - o.upper))
-            if clear:
-                out.append(r)
-        return pd.DataFrame(out, columns=pdf.columns)
-
-    return kept.groupBy("page_id").applyInPandas(run, kept.schema)
+    """Greedy in (upper, left) order over all boxes of a page: one that overlaps a kept one drops out, and the first `most` kept stay.
+
+    Boxes are read as sorted runs, and only the kept ones of the current page are held.
+    """
+    cols = ["page_id", "region_id", "left", "upper", "right", "lower"]
+    rows = boxes.select(*cols).repartition("page_id").sortWithinPartitions("page_id", "upper", "left", "region_id")
+
+    def run(batches):
+        page, out = None, []
+        for t in batches:
+            keep = []
+            for p, left, upper, right, lower in zip(*(t.column(c).to_pylist() for c in ("page_id", "left", "upper", "right", "lower")), strict=True):
+                if p != page:
+                    page, out = p, []
+                clear = len(out) < most
+                area = (right - left) * (lower - upper)
+                for x, y, r, b in out if clear else ():
+                    both = max(0, min(right, r) - max(left, x)) * max(0, min(lower, b) - max(upper, y))
+                    if both > share * min(area, (r - x) * (b - y)):
+                        clear = False
+                        break
+                if clear:
+                    out.append((left, upper, right, lower))
+                keep.append(clear)
+            yield t.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)

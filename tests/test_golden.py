@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumengrade.functions import grades, identity, json_text, messages, short_answer, values
-from lumengrade.operators import grading, linking, payloads, scores
+from lumengrade.operators import grading, linking, payloads, regions, scores
 from lumengrade.sources import exam_lines, roster
 
 
@@ -161,3 +161,12 @@ def test_pixels(spark):
     df = spark.createDataFrame([(50.0, 100.0, 400.0, 120.0)], "x_pt double, y_bottom_pt double, width_pt double, height_pt double")
     r = linking.box_to_pixels(df, 842.0, 200).first()
     assert 0 <= r.left < r.right <= 1654 and 0 <= r.upper < r.lower <= 2339
+
+
+def test_suppression_over_all_boxes(spark):
+    near = [(7, f"n{i:02}", i, 0, 100 + i, 100) for i in range(14)]
+    apart = [(7, f"r{i:02}", 0, 200 * i, 100, 200 * i + 100) for i in range(1, 15)]
+    rows = [*near, *apart, (8, "x", 0, 0, 10, 10), (8, "y", 1, 0, 11, 10), (None, "z", 0, 0, 10, 10)]
+    df = spark.createDataFrame(rows, "page_id long, region_id string, left int, upper int, right int, lower int").repartition(5)
+    got = sorted(regions.suppress_regions(df).collect(), key=lambda r: (r.page_id or 0, r.upper, r.left))
+    assert [(r.page_id, r.region_id) for r in got] == [(None, "z"), (7, "n00"), *[(7, f"r{i:02}") for i in range(1, 12)], (8, "x")]
