@@ -16,9 +16,9 @@ from ..functions.values import decimal_or_null, first_filled, first_nonzero, str
 def discursive_grades(outputs: DataFrame) -> DataFrame:
     """outputs(id, raw, answer, prompt, reading_confidence, max_score) to typed grades.
 
-    Copied prompts are told by word overlap here; copied_prompts() adds the ratio rule.
+    Copied prompts are told by word overlap or ratio, as copied_prompts() does.
     """
-    rows = with_kinds(outputs, "raw")
+    rows = with_kinds(copied_prompts(outputs), "raw")
     failed = F.col("_obj").isNull()
     o = F.col("_obj")
     # A failed parse stands for a zero grade that carries its error.
@@ -28,7 +28,7 @@ def discursive_grades(outputs: DataFrame) -> DataFrame:
     grade = clamp_grade(F.coalesce(o["score"], o["nota"]))
     flag = strict_boolean(F.col("_kind_revisao_necessaria"), o["revisao_necessaria"])
     answer, sure = strip(F.coalesce("answer", F.lit(""))), F.lower(F.coalesce("reading_confidence", F.lit("")))
-    rows = rows.withColumns({"top": top, "g": grade, "flag": flag, "a": answer, "c": sure}).withColumn("copied", F.coalesce(overlap_copied(F.col("a"), F.col("prompt")), F.lit(False)))
+    rows = rows.withColumns({"top": top, "g": grade, "flag": flag, "a": answer, "c": sure})
     score = F.when(failed, 0.0).otherwise(F.greatest(F.lit(0.0), F.least("g.value", "top")))
     marks = F.size(F.split("a", r"\[ileg[ií]vel\]", -1)) - 1
     asked = F.coalesce(F.lower(o["needs_human_review"]) == "true", F.col("flag.value"))

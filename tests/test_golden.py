@@ -170,3 +170,15 @@ def test_suppression_over_all_boxes(spark):
     df = spark.createDataFrame(rows, "page_id long, region_id string, left int, upper int, right int, lower int").repartition(5)
     got = sorted(regions.suppress_regions(df).collect(), key=lambda r: (r.page_id or 0, r.upper, r.left))
     assert [(r.page_id, r.region_id) for r in got] == [(None, "z"), (7, "n00"), *[(7, f"r{i:02}") for i in range(1, 12)], (8, "x")]
+
+
+def test_discursive_copied_by_ratio(spark):
+    prompt = "a função do músculo sóleo e flexão plantar do pé"
+    fine = '{"nota": 1, "comentario": "ok", "criterios_atendidos": [], "criterios_ausentes": [], "revisao_necessaria": false}'
+    rows = [(1, fine, "a funcão do múscolo sóleos e flexao plantar do pe", prompt), (2, fine, "move o tornozelo e ajuda na marcha", prompt), (3, fine, None, None), (4, fine, "a funcão do múscolo sóleos e flexao plantar do pe", prompt)]
+    df = spark.createDataFrame(rows, "id int, raw string, answer string, prompt string").withColumns({"reading_confidence": F.lit("alta"), "max_score": F.lit(1.0)})
+    assert not any(r.c for r in df.select(F.coalesce(grading.overlap_copied(F.col("answer"), F.col("prompt")), F.lit(False)).alias("c")).collect())
+    got = {r.id: r for r in grading.discursive_grades(df).collect()}
+    for i in (1, 4):
+        assert (got[i].score, got[i].verdict, got[i].needs_human_review, got[i].review_reason) == (0.0, "incorreta", True, grades.COPIED)
+    assert len(got) == 4 and got[2].score == 1.0 and not got[2].needs_human_review
