@@ -8,8 +8,10 @@ and a pair counts only in the first table in which its cells agree, so no pair i
 group returns link counts per vector and the edges of a spanning forest, both bounded by its members.
 
 The number of projections grows with the logarithm of the number of classes, so that unlike vectors keep sharing few
-buckets, and the number of tables is what a pair exactly at the threshold then needs for the asked recall; pairs above
-it are found more surely (at cosine 0.95 over 0.999).
+buckets, and the number of tables is what a pair exactly at the threshold then needs to share one with probability 0.99999; pairs above it are found
+more surely. A bucket first gets a sketch of each vector, the signs of 256 further projections; members whose sketch is more
+than seven standard errors past the angle at the threshold from all others drop out of that bucket (a miss of some 3e-9), and
+only the rest get their vectors, with the marks of the tables before its own.
 
 Defined results: null, zero or non-finite vectors (or vectors with null components) link with nothing; equal vectors link
 whatever the hashing; repeated vec_ids are rows of their own that share a component; vectors of different lengths are
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 
 from ._common import components, stored, table
 
-WIDTH, TILE, RECALL = 2.0, 512, 0.92
+WIDTH, TILE, MISS = 2.0, 512, 1e-5  # MISS: share of links exactly at the threshold that no table may find
+BITS = 256  # of a sketch
 
 
 def agreement(cosine: float, width: float = WIDTH) -> float:
@@ -40,10 +43,21 @@ def agreement(cosine: float, width: float = WIDTH) -> float:
     return 1 - 2 * tail - 2 / (math.sqrt(2 * math.pi) * t) * (1 - math.exp(-t * t / 2))
 
 
-def sizing(classes: int, threshold: float, width: float = WIDTH, recall: float = RECALL) -> tuple[int, int]:
+def sizing(classes: int, threshold: float, width: float = WIDTH, miss: float = MISS) -> tuple[int, int]:
     """(projections, tables) for so many classes: orthogonal vectors meet with odds of about 1 / (4 * classes) in a table."""
     projections = max(8, math.ceil(math.log(4 * max(2, classes)) / -math.log(agreement(0.0, width))))
-    return projections, math.ceil(math.log(1 - recall) / math.log(1 - agreement(threshold, width) ** projections))
+    return projections, math.ceil(math.log(miss) / math.log(1 - agreement(threshold, width) ** projections))
+
+
+def sketch_limit(threshold: float, bits: int = BITS) -> int:
+    """Differing sketch bits up to which two vectors might reach the threshold."""
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    return math.ceil(bits * p + 7 * math.sqrt(bits * p * (1 - p)) + 1)
+
+
+@lru_cache(maxsize=8)
+def _signs(dim: int, bits: int = BITS, seed: int = 12) -> np.ndarray:
+    return np.random.default_rng(seed + dim).standard_normal((dim, bits))
 
 
 @lru_cache(maxsize=8)
@@ -89,22 +103,54 @@ def units(vectors: DataFrame) -> DataFrame:
 
 def hashed(classes: DataFrame, tables: int, projections: int, width: float) -> DataFrame:
     """classes(rep, n, unit) with their cells and, for telling the first shared table, a 32-bit digest of each cell."""
-    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("unit", pa.binary()), ("cells", pa.list_(pa.int64())), ("marks", pa.binary())])
+    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("unit", pa.binary()), ("cells", pa.list_(pa.int64())), ("marks", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches):
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                part = whole.slice(start, 1000)
+            for start in range(0, whole.num_rows, 250):
+                part = whole.slice(start, 250)
                 rows = [np.frombuffer(b, np.float64) for b in part.column("unit").to_pylist()]
                 out: list = [None] * len(rows)
+                bits: list = [None] * len(rows)
                 for dim in {len(r) for r in rows}:
                     at = [k for k, r in enumerate(rows) if len(r) == dim]
-                    for k, row in zip(at, cells(np.stack([rows[i] for i in at]), tables, projections, width), strict=True):
-                        out[k] = row
+                    unit = np.stack([rows[i] for i in at])
+                    for k, row, sign in zip(at, cells(unit, tables, projections, width), np.packbits(unit @ _signs(dim) > 0, axis=1), strict=True):
+                        out[k], bits[k] = row, sign.tobytes()
                 marks = [r.astype(np.uint32).tobytes() for r in out]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "n", "unit")), pa.array(out, pa.list_(pa.int64())), pa.array(marks, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "n", "unit")), pa.array(out, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(bits, pa.binary())], schema=schema)
 
-    return classes.select("rep", "n", "unit").mapInArrow(run, "rep long, n long, unit binary, cells array<long>, marks binary")
+    return classes.select("rep", "n", "unit").mapInArrow(run, "rep long, n long, unit binary, cells array<long>, marks binary, sketch binary")
+
+
+def likely_members(groups: DataFrame, threshold: float) -> DataFrame:
+    """(rep, place, cell, tile, lo, hi) of the members of groups(place, cell, lo, hi, members) whose sketch is near another one's."""
+    limit, names = sketch_limit(threshold), ["rep", "place", "cell", "tile", "lo", "hi"]
+
+    def run(batches):
+        for t in batches:
+            lists = t.column("members")
+            ends = lists.offsets.to_numpy()
+            rows = lists.values.slice(ends[0], ends[-1] - ends[0])
+            start, size = ends[:-1] - ends[0], np.diff(ends)
+            group = np.repeat(np.arange(t.num_rows), size)
+            sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint64).reshape(len(rows), -1)
+            near = np.zeros(len(rows), bool)
+            few = size <= 16
+            for step in range(1, size[few].max(initial=0)):
+                i = np.flatnonzero((group[:-step] == group[step:]) & few[group[:-step]])
+                i = i[np.bitwise_count(sketch[i] ^ sketch[i + step]).sum(1, dtype=np.int64) <= limit]
+                near[i] = near[i + step] = True
+            for g in np.flatnonzero(~few):
+                mine = sketch[start[g] : start[g] + size[g]]
+                for k in range(0, len(mine), 64):
+                    apart = np.bitwise_count(mine[k : k + 64, None] ^ mine[None]).sum(2, dtype=np.int64)
+                    near[start[g] + k : start[g] + k + len(apart)] = (apart <= limit).sum(1) > 1  # each is near itself
+            at = pa.array(group[near])
+            cols = {n: rows.field(n).filter(pa.array(near)) if n in ("rep", "tile") else t.column(n).take(at) for n in names}
+            yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
+
+    return groups.select("place", "cell", "lo", "hi", "members").mapInArrow(run, "rep long, place int, cell long, tile int, lo int, hi int")
 
 
 def tile_links(place: int, members: list[dict], lo: int, hi: int, threshold: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
@@ -118,7 +164,7 @@ def tile_links(place: int, members: list[dict], lo: int, hi: int, threshold: flo
     keep = rows < cols if lo == hi else slice(None)
     rows, cols = rows[keep], cols[keep]
     if place and len(rows):
-        mx, my = (np.frombuffer(b"".join([m["marks"] for m in t]), np.uint32).reshape(len(t), -1)[:, :place] for t in (x, y))
+        mx, my = (np.frombuffer(b"".join([m["marks"] for m in t]), np.uint32).reshape(len(t), -1) for t in (x, y))
         first = np.ones(len(rows), bool)
         for k in range(0, len(rows), 20_000):
             part = slice(k, k + 20_000)
@@ -161,7 +207,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, width: float = WIDT
     member = member.withColumn("tile", F.pmod(F.xxhash64("rep", "place"), F.col("tiles")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least("tile", k).alias("lo"), F.greatest("tile", k).alias("hi")))
     dealt = member.withColumn("pair", F.explode(pairs)).select("rep", "place", "cell", "tile", "pair.lo", "pair.hi")
-    full = dealt.join(classes.select("rep", "n", "unit", "marks"), "rep")
+    seen = dealt.join(classes.select("rep", "sketch"), "rep").groupBy("place", "cell", "lo", "hi").agg(F.collect_list(F.struct("rep", "tile", "sketch")).alias("members"))
+    full = likely_members(seen, threshold).join(classes.select("rep", "n", "unit", "marks"), "rep").withColumn("marks", F.expr("substring(marks, 1, 4 * place)"))
     groups = full.groupBy("place", "cell", "lo", "hi").agg(F.collect_list(F.struct("rep", "n", "tile", "unit", "marks")).alias("members"))
 
     def run(batches):

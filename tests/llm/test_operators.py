@@ -227,6 +227,21 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_at_threshold(spark):
+    r = np.random.default_rng(9)
+    data = []
+    for i in range(150):
+        a, b = np.linalg.qr(r.standard_normal((64, 2)))[0].T
+        data += [(2 * i, a.tolist()), (2 * i + 1, (0.9005 * a + np.sqrt(1 - 0.9005**2) * b).tolist())]
+    got = {x.vec_id: x for x in embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    unit = np.stack([embedding_dedup.unit_vector(v) for _, v in data])
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert [got[i].n_links for i in range(300)] == links.tolist() and all(got[2 * i + 1].component_id == got[2 * i].component_id for i in range(150))
+    for classes in (300, 50_000, 5_000_000):
+        projections, tables = embedding_dedup.sizing(classes, 0.9)
+        assert (1 - embedding_dedup.agreement(0.9) ** projections) ** tables <= 1e-5
+
+
 def test_language(spark):
     texts = {"en": "the cat and the dog are in the house with this thing", "de": "der Hund und die Katze sind nicht in dem Haus für das", "fr": "le chat et le chien ne sont pas dans la maison pour une"}
     rows = [(i, " ".join(rng.sample(t.split(), 8)), lang, f"h{i % 4}") for i, (lang, t) in enumerate(list(texts.items()) * 40)]
