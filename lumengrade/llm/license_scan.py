@@ -1,9 +1,11 @@
 """License scans: winnowed fingerprints in an inverted index pick candidates, banded alignment reports coverage and spans.
 
 Words are compared without case and outer punctuation. Each run of `k` words has a 64-bit hash, and of every `window`
-neighbouring hashes the smallest is a fingerprint, so a shared run of window + k - 1 words always shares one. The index maps
+neighbouring hashes the smallest is a fingerprint, so a shared run of window + k - 1 words always shares one. Both go by the
+template's length, so that a template with as many words changed, missing or extra as `coverage` leaves always keeps such a
+run (see runs()). The index maps
 the templates' fingerprints to (template, place). A text's fingerprints that hit it are grouped by template and diagonal; each group is one
-candidate region, aligned against the whole template within a band around that diagonal (match +1, gap or mismatch -1, free
+candidate region. Where enough of the template's words stand in reach of the band, it is aligned against the whole template within a band around that diagonal (match +1, gap or mismatch -1, free
 start and end in the text). An alignment that covers `coverage` of the template's words is reported with its span in
 words and characters; of overlapping reports the one with more matched words stays.
 
@@ -13,6 +15,7 @@ their rows again; equal matches tie by template name; further columns are ignore
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from functools import lru_cache
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import WORD, slices, table
 from .minhash_dedup import MIX, _WordHash
 
-K, WINDOW, BAND, COVERAGE = 3, 2, 8, 0.8
+K, WINDOW, BAND, COVERAGE, SHORT = 3, 2, 8, 0.8, 20
 EDGE = b".,;:!?()[]{}\"'`*_<>"
 
 # Public license notices and sentences.
@@ -62,23 +65,31 @@ def fingerprints(hashes: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[
     return at, grams[at]
 
 
+def runs(n: int, coverage: float = COVERAGE) -> tuple[int, int]:
+    """(k, window) for a template of n words: the edits that coverage allows leave a run of at least k + window - 1 words."""
+    allowed = n - math.ceil(coverage * n - 1e-9)
+    least = math.ceil((n - allowed) / (allowed + 1))
+    return (K, WINDOW) if n >= SHORT and least >= K + WINDOW - 1 else (max(1, min(2, least)), 1)
+
+
 class Index:
-    """Inverted index of template fingerprints."""
+    """Inverted index of template fingerprints, one part for each (k, window)."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         words_of = _WordHash()
         self.words = {name: plain_words(text) for name, text in sorted(templates.items())}
-        posting: dict[int, list[tuple[str, int]]] = defaultdict(list)
+        parts: dict[tuple[int, int], dict[int, list[tuple[str, int]]]] = defaultdict(lambda: defaultdict(list))
         for name, words in self.words.items():
-            at, code = fingerprints(np.fromiter(map(words_of.__getitem__, words), np.uint64, len(words)))
+            size = runs(len(words), coverage)
+            at, code = fingerprints(np.fromiter(map(words_of.__getitem__, words), np.uint64, len(words)), *size)
             for place, h in zip(at.tolist(), code.tolist(), strict=True):
-                posting[h].append((name, place))
-        self.posting, self.keys = dict(posting), np.array(sorted(posting), np.uint64)
+                parts[size][h].append((name, place))
+        self.parts = [(size, dict(posting), np.array(sorted(posting), np.uint64)) for size, posting in sorted(parts.items())]
 
 
 @lru_cache(maxsize=4)
-def _index(templates: tuple) -> Index:
-    return Index(dict(templates))
+def _index(templates: tuple, coverage: float) -> Index:
+    return Index(dict(templates), coverage)
 
 
 def align(template: list[bytes], words: list[bytes], start: int, band: int) -> tuple[int, int, int]:
@@ -111,24 +122,26 @@ def align(template: list[bytes], words: list[bytes], start: int, band: int) -> t
 
 def scan(words: list[bytes], hashes: np.ndarray, index: Index, coverage: float = COVERAGE, band: int = BAND) -> list[tuple[str, int, float, int, int]]:
     """(template, matched, coverage, first word, end word) found in one text, in order."""
-    at, code = fingerprints(hashes)
-    hit = np.isin(code, index.keys)
-    if not hit.any():
-        return []
     diagonals: dict[str, list[int]] = defaultdict(list)
-    for place, h in zip(at[hit].tolist(), code[hit].tolist(), strict=True):
-        for name, there in index.posting[h]:
-            diagonals[name].append(place - there)
+    for size, posting, keys in index.parts:
+        at, code = fingerprints(hashes, *size)
+        hit = np.isin(code, keys)
+        for place, h in zip(at[hit].tolist(), code[hit].tolist(), strict=True):
+            for name, there in posting[h]:
+                diagonals[name].append(place - there)
     found = []
     for name, starts in diagonals.items():
-        last = None
+        template, last = index.words[name], None
         for d in sorted(set(starts)):
-            if last is not None and d - last <= band // 2:
+            if len(template) >= SHORT and last is not None and d - last <= band // 2:
                 continue  # the band of the last one holds it
+            near = set(words[max(0, d - band) : max(0, d + len(template) + band)])
+            if sum(w in near for w in template) < coverage * len(template) - 1e-9:
+                continue
             last = d
-            matched, first, end = align(index.words[name], words, d, band)
-            if matched >= coverage * len(index.words[name]):
-                found.append((name, matched, matched / len(index.words[name]), first, end))
+            matched, first, end = align(template, words, d, band)
+            if matched >= coverage * len(template) - 1e-9:
+                found.append((name, matched, matched / len(template), first, end))
     out: list[tuple[str, int, float, int, int]] = []
     for x in sorted(found, key=lambda x: (-x[1], -x[2], x[0], x[3])):
         if all(x[4] <= y[3] or y[4] <= x[3] for y in out):
@@ -144,7 +157,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     word = re.compile(WORD)
 
     def run(batches):
-        index, words_of = _index(fixed), _WordHash()
+        index, words_of = _index(fixed, coverage), _WordHash()
         for part in slices(batches):
             out = []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):

@@ -269,6 +269,19 @@ def test_licenses(spark):
     assert [r.license for r in by[n + 3]] == ["Apache-2.0"]
 
 
+def test_edited_short_licenses(spark):
+    short = {n: t.split() for n, t in license_scan.TEMPLATES.items() if len(t.split()) < 20}
+    edits = [(n, w[:i] + new + w[i + skip :]) for n, w in short.items() for i in range(len(w)) for new, skip in ((["zzq"], 1), ([], 1), (["zzq"], 0))]
+    texts = [" ".join(["qqa"] * 12 + e + ["qqb"] * 12) for _, e in edits]
+    got = {(r.doc_id, r.license) for r in license_scan.license_scan(documents(spark, texts)).collect()}
+    assert "MIT" in short and "CC-BY-NC-4.0" in short
+    assert not [(n, " ".join(e)) for i, (n, e) in enumerate(edits) if (i, n) not in got]
+    for n in range(1, 400):
+        k, window = license_scan.runs(n)
+        allowed = n - -(-4 * n // 5)
+        assert -(-(n - allowed) // (allowed + 1)) >= k + window - 1 and k >= 1
+
+
 def brute_marginals(chain, emit):
     tags = list(itertools.product((0, 1), repeat=len(emit)))
     score = np.array([sum(e for e, t in zip(emit, y) if t) + sum(chain.trans[a, b] for a, b in zip(y, y[1:])) for y in tags])
