@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where nothing is set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Nothing else would do on a cluster, so it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="lumengrade-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found
 
 
@@ -31,7 +30,39 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumengrade/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_path = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove stored() tables that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by `keys` again, recut so that no group of equal keys (all longs) is spread over two."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        ids = np.stack([batch.column(k).to_numpy() for k in keys])
+        last = np.flatnonzero((ids != ids[:, -1:]).any(0))
+        cut = int(last[-1]) + 1 if len(last) else 0  # where the last group starts
+        if cut == 0 and len(held) > 1:
+            tail = held[-2]
+            if all(tail.column(k)[tail.num_rows - 1].as_py() == batch.column(k)[0].as_py() for k in keys):
+                continue
+        done = [*held[:-1], batch.slice(0, cut)] if cut else held[:-1]
+        held = [batch.slice(cut)]
+        if done:
+            yield pa.concat_batches(done)
+    if held:
+        yield pa.concat_batches(held)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -48,22 +79,12 @@ def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataF
     """Connected components of undirected `edges(a, b)` as (id, component_id), component_id the smallest id.
 
     Alternating large-star / small-star contraction: every round is two grouped minima joined back on the node, so
-    no component is ever gathered in one task, and the tables of each round are written to the shared folder.
+    no component is ever gathered in one task. Edges and minima of each round are written to the shared folder; a join of two
+    written tables is one that Spark can split where a node has very many edges.
     """
 
-    def directed(e: DataFrame) -> DataFrame:
-        return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-    def large_star(e: DataFrame) -> DataFrame:
-        both = directed(e)
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-
-    def small_star(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    def lowered(pairs: DataFrame, least: DataFrame) -> DataFrame:
+        return pairs.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -71,7 +92,16 @@ def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataF
     now = stored(edges.where("a <> b").select("a", "b").distinct(), tag)
     seen = mark(now)
     for _ in range(max_rounds):
-        now = stored(small_star(large_star(now)), tag)
+        if not seen[0]:
+            break
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), tag)
+        large = stored(lowered(both.where("b > a"), least).distinct(), tag)
+        forget(now, least)
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = stored(down.groupBy("a").agg(F.min("b").alias("m")), tag)
+        now = stored(lowered(down, least).unionByName(least.select("a", F.col("m").alias("b"))).distinct(), tag)
+        forget(large, least)
         new = mark(now)
         if new == seen:
             break

@@ -4,24 +4,28 @@
    digest of the whole set and a sketch. A register is a truncated minimum on an exponential scale: the smallest of the
    set's exponential variates h gives floor(1 - log_base(h)), so equal registers get likelier with similarity and the
    sketch of a union is the element-wise maximum.
-2. Documents with equal sets form a class with its smallest id as representative; copies are linked by that alone.
-3. Bands, fixed random subsets of the registers, name buckets. Rows (bucket, id) are dealt by range and sorted, so a bucket
-   of any size is read as runs, over several tasks if need be, and each member meets the first three of its run (the first
-   of a run meets the first of the whole bucket), never all others. Pairs are estimated by maximising the joint likelihood
-   of greater / smaller / equal registers given both set sizes; those that might reach the threshold are verified on the
-   full sets. Components of the verified links follow.
-4. Buckets that still hold more than one component get the rest: every pair across two components. They are cut into tiles of
-   bounded size; a pair of tiles is one group, in which sketches are compared as arrays and only pairs that might reach the
-   threshold come out, each in the first band it shares. These are verified in the same way. So each pair that shares a bucket is either verified, refuted by its estimate (five
-   standard errors) or lies within one component already.
+2. Documents with equal sets form a class with a number of its own (not an id, which may repeat with other texts); copies
+   are linked by that alone.
+3. Bands, fixed random subsets of the registers, name buckets. Rows (bucket, smallest id, class) are dealt by range and sorted,
+   so a bucket of any size is read as runs, over several tasks if need be, and each member is paired with the first of its run,
+   its hub. Of all its hubs a class is tested against the one with which it shares most buckets. Pairs are estimated by maximising
+   the joint likelihood of greater / smaller / equal registers given both set sizes; those that might reach the threshold are
+   verified on the full sets. Components of the links are the parts.
+4. Buckets that still hold several parts get the rest: every pair across two parts has a member outside the bucket's largest
+   part, so the others, cut into tiles of bounded size, meet the tiles of all members. A pair of tiles is one bounded group of rows,
+   spread over all tasks. First sketches are compared, each pair in the first band it shares; members left with a partner that might reach
+   the threshold (five standard errors) bring their full sets, intersections of whole tiles are counted by matrix products, and
+   only a spanning forest of parts comes out. So each pair that shares a bucket is verified, refuted by its estimate, or lies
+   within one component already, and no step puts out more rows than it has members.
 
 The registers per band grow with the logarithm of the number of classes, so that documents which share no more than
-common shingles keep missing each other; the number of bands is what a pair at the threshold then needs to share one
-with probability 0.99999. Texts are hashed a second time only for documents in a pair; a bitmap of bounded size tells them.
+common shingles keep missing each other; the number of bands is what a pair at the threshold then needs to share one but for a
+share `MISS`, with all bands drawn from the same registers. Texts are hashed a second time only for documents in a pair; a bitmap of bounded size tells them.
 
 Defined results: null, empty and blank texts have empty sets and link with nothing (own component); a text of fewer words
-than a shingle has its whole word sequence as one shingle; repeated rows are in one component and both kept rows if they
-repeat the smallest id; rows without an id link with nothing and are kept, with no component_id; ids are integers; further columns are ignored; an empty table gives an empty result.
+than a shingle has its whole word sequence as one shingle; repeated rows are in one component and all kept rows if they
+repeat the smallest id; an id that repeats with another text has a component for each text; rows without an id link with nothing
+and are kept, with no component_id; ids are integers; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,10 +40,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import components, slices, stored, table
+from ._common import components, forget, slices, stored, table, whole_groups
 
 REGISTERS, BASE, LIMIT = 192, 1.02, 4000
-BACKGROUND, MISS = 0.1, 1e-5  # similarity of unlike documents; share of links at the threshold that no band may find
+BACKGROUND, MISS = 0.05, 1e-5  # similarity of unlike documents; share of links at the threshold that no band may find
+TILE, TILE_HASHES = 512, 1 << 20  # members of a tile, and shingles of all of them
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,10 +123,21 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
 
 
+def missed(bands: int, rows: int, equal: float, registers: int = REGISTERS) -> float:
+    """Share of pairs whose registers agree with odds `equal` that share none of so many random bands of the same registers."""
+    k = np.arange(registers + 1)
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, registers + 1)))])
+    weight = np.exp(log[-1] - log - log[::-1] + k * math.log(equal) + (registers - k) * math.log(1 - equal))
+    with np.errstate(divide="ignore"):
+        one = np.where(k >= rows, np.exp(log - log[np.maximum(k - rows, 0)] - log[-1] + log[registers - rows]), 0.0)
+        return float(weight @ np.exp(bands * np.log1p(-np.minimum(one, 1.0))))
+
+
 def banding(classes: int, threshold: float) -> list[list[int]]:
     """Registers of each band for so many classes."""
-    rows = max(4, math.ceil(math.log(10 * max(1, classes)) / -math.log(BACKGROUND)))
-    bands = math.ceil(math.log(MISS) / math.log(1 - threshold**rows))
+    rows, bands = max(6, math.ceil(math.log(10 * max(1, classes)) / -math.log(BACKGROUND))), 8
+    while missed(bands, rows, threshold) > MISS:
+        bands += 2
     rng = np.random.default_rng(5)
     return [rng.choice(REGISTERS, rows, replace=False).tolist() for _ in range(bands)]
 
@@ -136,121 +152,91 @@ def band_keys(registers: np.ndarray, picks: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def _registers(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint16).reshape(len(sketches), -1)
+
+
 def band_rows(reps: DataFrame, bands: list[list[int]]) -> DataFrame:
-    """(key, rep, n) for each band of each representative."""
+    """(key, rep, cid) for each band of each class."""
     picks = np.array(bands)
-    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("cid", pa.int64())])
 
     def run(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 t = whole.slice(start, 2000)
-                registers = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(t.num_rows, -1)
-                rep, n = (np.repeat(t.column(c).to_numpy(), len(picks)) for c in ("rep", "n_shingles"))
-                yield pa.RecordBatch.from_arrays([pa.array(band_keys(registers, picks).ravel()), pa.array(rep), pa.array(n)], schema=schema)
-
-    return reps.select("rep", "n_shingles", "sketch").mapInArrow(run, "key long, rep long, n long")
-
-
-def cross_pairs(members: DataFrame, reps: DataFrame, bands: list[list[int]], threshold: float, tile: int = 512) -> DataFrame:
-    """(a, b) across parts of members(key, rep, n, part) that share a bucket and might reach the threshold, each pair once."""
-    size = members.groupBy("key").agg(F.count("*").alias("size"))
-    tiled = members.join(size, "key").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int")).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    facing = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least("tile", k).alias("lo"), F.greatest("tile", k).alias("hi")))
-    dealt = tiled.withColumn("pair", F.explode(facing)).select("key", "rep", "n", "part", "tile", "pair.lo", "pair.hi")
-    item = F.struct("rep", "n", "part", "tile", "sketch")
-    groups = dealt.join(reps.select("rep", "sketch"), "rep").groupBy("key", "lo", "hi").agg(F.collect_list(item).alias("members"))
-    picks, error = np.array(bands), math.sqrt(threshold * (1 - threshold) / REGISTERS)
+                keys = band_keys(_registers(t.column("sketch")), picks)
+                rep, cid = (np.repeat(t.column(c).to_numpy(), len(picks)) for c in ("rep", "cid"))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rep), pa.array(cid)], schema=schema)
 
-    def run(batches):
-        for t in batches:
-            for g in range(t.num_rows):
-                key, lo, hi = (t.column(c)[g].as_py() for c in ("key", "lo", "hi"))
-                rows = t.column("members")[g].values
-                sketches = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint16).reshape(len(rows), -1)
-                rep, n, part, at = (rows.field(c).to_numpy() for c in ("rep", "n", "part", "tile"))
-                x, y = np.flatnonzero(at == lo), np.flatnonzero(at == hi)
-                for k in range(0, len(x), 32):
-                    i = x[k : k + 32]
-                    ok = (part[i][:, None] != part[y]) & (np.minimum(n[i][:, None], n[y]) >= threshold * np.maximum(n[i][:, None], n[y]) - 1e-6)
-                    if lo == hi:
-                        ok &= rep[i][:, None] < rep[y]
-                    ok &= (sketches[i][:, None, :] == sketches[y][None, :, :]).sum(2) >= REGISTERS * (threshold - 6 * error)
-                    p, q = np.nonzero(ok)
-                    if not len(p):
-                        continue
-                    p, q = i[p], y[q]
-                    likely = estimate(sketches[p], sketches[q], n[p].astype(float), n[q].astype(float)) >= threshold - 5 * error
-                    p, q = p[likely], q[likely]
-                    own = band_keys(sketches[p], picks)
-                    same = own == band_keys(sketches[q], picks)
-                    first = own[np.arange(len(p)), same.argmax(1)] == key if len(p) else np.empty(0, bool)
-                    p, q = rep[p[first]], rep[q[first]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
-
-    return groups.mapInArrow(run, "a long, b long")
+    return reps.select("rep", "cid", "sketch").mapInArrow(run, "key long, rep long, cid long")
 
 
 def bucket_runs(batches):
-    """Rows sorted by (key, rep) with the first three members of their run; runs of one member drop out unless they are the
-    first or last of the partition, where their bucket may go on elsewhere."""
-    schema = pa.schema([(c, pa.int64()) for c in ("key", "rep", "n", "c1", "c2", "c3")])
-    head: list[int] = []
-    first = last = held = None
-    count = 0
+    """(key, cid, hub, starts) of rows sorted by key: hub is the first class of the run, `starts` tells the partition's first run,
+    whose bucket may have begun elsewhere. Runs of one class drop out unless they are the partition's first or last."""
+    schema = pa.schema([("key", pa.int64()), ("cid", pa.int64()), ("hub", pa.int64()), ("starts", pa.bool_())])
+    first = last = hub = held = None  # held: a run of one row so far, at the end of what has been read
 
-    def shown(k, r, n, c):
-        cols = [pa.array(k, pa.int64()), pa.array(r, pa.int64()), pa.array(n, pa.int64())]
-        return pa.RecordBatch.from_arrays([*cols, *(pa.array(x, pa.int64(), mask=x < 0) for x in c)], schema=schema)
+    def shown(k, c, h):
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array(h), pa.array(k == first)], schema=schema)
 
     for t in batches:
         if not t.num_rows:
             continue
-        k, r, n = (t.column(c).to_numpy() for c in ("key", "rep", "n"))
+        k, c = (t.column(n).to_numpy() for n in ("key", "cid"))
         first = k[0] if first is None else first
         start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        size = np.diff(np.r_[start, len(k)])
-        c = np.full((3, len(start)), -1, np.int64)
-        for j in range(3):
-            c[j, size > j] = r[start[size > j] + j]
-        goes_on = last is not None and k[0] == last
-        total = size.copy()
-        if goes_on:
-            joined = ([*head, *r[: min(3, size[0])].tolist()] + [-1] * 3)[:3]
-            c[:, 0], total[0] = joined, total[0] + count
-        if held is not None and (goes_on or held[0] == first):
-            yield shown(*[np.array([x]) for x in held], np.array([[held[1]], [-1], [-1]]))
-        show = (total > 1) | (k[start] == first)
-        held = None
-        if total[-1] == 1:
-            held, show[-1] = (k[-1], r[-1], n[-1]), False
+        size, hubs = np.diff(np.r_[start, len(k)]), c[start].copy()
+        show = (size > 1) | (k[start] == first)
+        if last is not None and k[0] == last:
+            hubs[0], show[0] = hub, True
+            if held is not None:
+                yield shown(*(np.array([x]) for x in held))
+        held = None if show[-1] else (k[-1], c[-1], c[-1])
         rows = np.repeat(show, size)
-        yield shown(k[rows], r[rows], n[rows], np.repeat(c, size, axis=1)[:, rows])
-        head, last, count = [x for x in c[:, -1].tolist() if x >= 0], k[-1], int(total[-1])
+        yield shown(k[rows], c[rows], np.repeat(hubs, size)[rows])
+        last, hub = k[-1], hubs[-1]
     if held is not None:
-        yield shown(*[np.array([x]) for x in held], np.array([[held[1]], [-1], [-1]]))
+        yield shown(*(np.array([x]) for x in held))
 
 
-def _near(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def hub_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): each class with the hub it shares most buckets with, and the hubs of buckets cut by a partition's edge with each other."""
+    count = shared.where("cid <> hub").groupBy("cid", "hub").agg(F.count("*").alias("n"))
+    best = count.groupBy("cid").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("x")).select("cid", (-F.col("x.hub")).alias("hub"))
+    cut = F.broadcast(shared.where("starts").select("key").distinct())  # one key a partition at most
+    heads = shared.join(cut, "key", "left_semi").select("key", "hub").distinct()
+    least = heads.groupBy("key").agg(F.min("hub").alias("cid"))
+    over = heads.join(least, "key").where("hub <> cid").select("cid", "hub")
+    both = best.unionByName(over)
+    return both.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
+
+
+def near(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of pairs whose sizes and estimated similarity leave the threshold possible."""
-    x = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"))
-    y = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"))
+    x = reps.select(F.col("cid").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"))
+    y = reps.select(F.col("cid").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"))
     both = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-6)
 
     def run(batches):
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 t = whole.slice(start, 2000)
-                ka, kb = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(t.num_rows, -1) for c in ("ka", "kb"))
-                na, nb = (t.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-                error = math.sqrt(threshold * (1 - threshold) / ka.shape[1])
-                keep = pa.array(estimate(ka, kb, na, nb) >= threshold - 5 * error)
-                yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], schema=schema)
+                keep = pa.array(_likely(*(_registers(t.column(c)) for c in ("ka", "kb")), *(t.column(c).to_numpy() for c in ("na", "nb")), threshold))
+                yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
 
     return both.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long")
 
 
+def _likely(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the estimate is within five standard errors of the threshold or above it."""
+    error = math.sqrt(threshold * (1 - threshold) / ka.shape[1])
+    out = (ka == kb).sum(1) >= ka.shape[1] * (threshold - 6 * error)
+    out[out] = estimate(ka[out], kb[out], na[out].astype(float), nb[out].astype(float)) >= threshold - 5 * error
+    return out
+
+
 def _spots(ids: np.ndarray, bits: int) -> np.ndarray:
     h = ids.astype(np.uint64) * MIX
     return ((h ^ (h >> np.uint64(32))) & np.uint64(bits - 1)).astype(np.int64)
@@ -278,25 +264,35 @@ def id_bitmap(wanted: DataFrame, most: int = 1 << 27) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(a, b) of pairs whose full sets reach the threshold. Only documents in a pair are hashed again and shuffled."""
-    wanted = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
-    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted))
+def full_sets(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(cid, hashes) of wanted(cid, rep, set_key), a stored table. Only documents that the bitmap of ids lets through are hashed again."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted.select(F.col("rep").alias("doc_id"))))
+    fields = [("doc_id", pa.int64()), ("set_key", pa.binary()), ("hashes", pa.binary())]
 
     def whole(batches):
         words_of, known = _WordHash(), bitmap.value
         for part in slices(batches):
-            at = _spots(part.column("doc_id").to_numpy(zero_copy_only=False), len(known) * 8)
+            at = _spots(part.column("doc_id").to_numpy(), len(known) * 8)
             part = part.filter(pa.array((known[at >> 3] >> (at & 7)) & 1 == 1))
             sets = [shingle_hashes(t, shingle, words_of).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], schema=pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], schema=pa.schema(fields))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    sets = stored(texts.mapInArrow(whole, "doc_id long, hashes binary").join(wanted, "doc_id", "left_semi"), "sets").dropDuplicates(["doc_id"])
+    made = texts.mapInArrow(whole, "doc_id long, set_key binary, hashes binary").withColumnRenamed("doc_id", "rep")
+    return stored(made.join(wanted, ["set_key", "rep"]).select("cid", "hashes"), "sets")
+
+
+def _wanted(cids: DataFrame, reps: DataFrame) -> DataFrame:
+    return stored(cids.distinct().join(reps.select("cid", "rep", "set_key"), "cid"), "wanted")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """(a, b) of pairs, a stored table, whose full sets reach the threshold, stored."""
+    wanted = _wanted(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))), reps)
+    sets = full_sets(wanted, docs, shingle)
     percent = round(100 * threshold)
 
     def run(batches):
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for t in batches:
             keep = []
             for x, y in zip(t.column("ha"), t.column("hb"), strict=True):
@@ -304,41 +300,169 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float)
                 common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], schema=schema)
-
-    x, y = (sets.select(F.col("doc_id").alias(i), F.col("hashes").alias(h)) for i, h in (("a", "ha"), ("b", "hb")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+            yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
+
+    x, y = (sets.dropDuplicates(["cid"]).select(F.col("cid").alias(i), F.col("hashes").alias(h)) for i, h in (("a", "ha"), ("b", "hb")))
+    links = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long"), "links")
+    forget(wanted, sets)
+    return links
+
+
+def tiled(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, r, c, cid, n, part, minor, role) of buckets with several parts: members outside the largest part (role 0, in tile r)
+    facing all members (role 1, in tile c). parts(cid, part, n)."""
+    member = shared.select("key", "cid").join(parts, "cid")
+    by = member.groupBy("key", "part").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    per = by.groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum("w").alias("w"), F.max(F.struct("k", "w", "part")).alias("top"))
+    tiles = lambda k, w: F.ceil(F.greatest(k / TILE, w / TILE_HASHES)).cast("int")
+    per = per.where("parts > 1").select("key", F.col("top.part").alias("major"), tiles(F.col("k") - F.col("top.k"), F.col("w") - F.col("top.w")).alias("rs"), tiles(F.col("k"), F.col("w")).alias("cs"))
+    faced = member.join(stored(per, "mixed"), "key").withColumn("minor", F.col("part") != F.col("major"))
+    spot = F.xxhash64("cid", "key")
+    base = ["cid", "n", "part", "minor"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = faced.where("minor").select("key", F.pmod(spot, F.col("rs")).cast("int").alias("r"), every("cs").alias("c"), *base, F.lit(0).alias("role"))
+    cols = faced.select("key", every("rs").alias("r"), F.pmod(spot, F.col("cs")).cast("int").alias("c"), *base, F.lit(1).alias("role"))
+    return rows.unionByName(cols)
+
+
+UNIT = ["key", "r", "c"]
+MEMBER = "key long, r int, c int, cid long, n long, part long, minor boolean, role int"
+
+
+def dealt(members: DataFrame, extra: DataFrame) -> DataFrame:
+    """Members with their row of extra(cid, ...), sorted by unit; a unit's rows are in one task and follow each other."""
+    return members.join(extra, "cid").repartition(*UNIT).sortWithinPartitions(*UNIT, "role", "cid")
+
+
+def unit_pairs(t: pa.RecordBatch, threshold: float, most: int = 1 << 18):
+    """Pairs (i, j) of rows of whole units sorted by role: role 0 against role 1, parts that differ, each pair once, sizes within reach."""
+    cols = {n: t.column(n).to_numpy(zero_copy_only=False) for n in ("key", "r", "c", "cid", "n", "part", "minor", "role")}
+    ids = np.stack([cols[n] for n in UNIT])
+    start = np.flatnonzero(np.r_[True, (ids[:, 1:] != ids[:, :-1]).any(0)])
+    end = np.r_[start[1:], t.num_rows]
+    split = start + np.add.reduceat((cols["role"] == 0).astype(np.int64), start)
+    i = np.flatnonzero(cols["role"] == 0)
+    unit = np.searchsorted(start, i, "right") - 1
+    wide = (end - split)[unit]
+    done = 0
+    while done < len(i):
+        upto = max(done + 1, done + int(np.searchsorted(np.cumsum(wide[done:]), most, "right")))
+        w = wide[done:upto]
+        a = np.repeat(i[done:upto], w)
+        b = np.repeat(split[unit[done:upto]], w) + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
+        ok = (cols["part"][a] != cols["part"][b]) & (~cols["minor"][b] | (cols["cid"][a] < cols["cid"][b]))
+        ok &= np.minimum(cols["n"][a], cols["n"][b]) >= threshold * np.maximum(cols["n"][a], cols["n"][b]) - 1e-6
+        yield a[ok], b[ok], unit[np.repeat(np.arange(done, upto), w)[ok]]
+        done = upto
+
+
+def likely_members(members: DataFrame, reps: DataFrame, bands: list[list[int]], threshold: float) -> DataFrame:
+    """The members with a partner in their unit that might reach the threshold, the unit's band being the first the two share."""
+    picks, names = np.array(bands), [x.split()[0] for x in MEMBER.split(", ")]
 
+    def run(batches):
+        for t in whole_groups(batches, UNIT):
+            sketch, n, key = _registers(t.column("sketch")), t.column("n").to_numpy(), t.column("key").to_numpy()
+            keep = np.zeros(t.num_rows, bool)
+            for i, j, _ in unit_pairs(t, threshold):
+                for k in range(0, len(i), 1 << 13):
+                    p, q = i[k : k + (1 << 13)], j[k : k + (1 << 13)]
+                    likely = _likely(sketch[p], sketch[q], n[p], n[q], threshold)
+                    p, q = p[likely], q[likely]
+                    if len(p):
+                        own = band_keys(sketch[p], picks)
+                        first = own[np.arange(len(p)), (own == band_keys(sketch[q], picks)).argmax(1)] == key[p]
+                        keep[p[first]] = keep[q[first]] = True
+            if keep.any():
+                yield t.select(names).filter(pa.array(keep))
+
+    return dealt(members, reps.select("cid", "sketch")).mapInArrow(run, MEMBER)
+
+
+def common(sets: list[np.ndarray], rows: int, block: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of the first `rows` sets with the others, by products of incidence matrices over blocks of shingles."""
+    value, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    left, right = (np.bincount(code[at], minlength=len(value)) > 0 for at in (owner < rows, owner >= rows))
+    number = np.cumsum(left & right) - 1  # only shingles on both sides
+    on = (left & right)[code]
+    code, owner = number[code[on]], owner[on]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    out = np.zeros((rows, len(sets) - rows), np.float32)
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, block):
+        s = slice(*np.searchsorted(code, [at, at + block]))
+        seen = np.zeros((len(sets), block), np.float32)
+        seen[owner[s], code[s] - at] = 1
+        out += seen[:rows] @ seen[rows:].T
+    return out.astype(np.int64)
+
+
+def part_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): in each unit, a spanning forest of the parts that links of the threshold or more connect."""
+    percent = round(100 * threshold)
 
-def _ordered(x, y) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    def run(batches):
+        for t in whole_groups(batches, UNIT):
+            hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")]
+            n, part = (t.column(c).to_numpy() for c in ("n", "part"))
+            parent: dict[int, int] = {}
+            edges: list[tuple[int, int]] = []
+
+            def root(x: int, parent=parent) -> int:
+                while parent.setdefault(x, x) != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for i, j, unit in unit_pairs(t, threshold):
+                for u in np.unique(unit):
+                    p, q = i[unit == u], j[unit == u]
+                    rows, cols = np.unique(p), np.unique(q)
+                    both = common([hashes[k] for k in (*rows, *cols)], len(rows))[np.searchsorted(rows, p), np.searchsorted(cols, q)]
+                    hit = 100 * both >= percent * (n[p] + n[q] - both)
+                    for a, b in np.unique(np.stack([part[p[hit]], part[q[hit]]], 1), axis=0).tolist():
+                        x, y = root(a), root(b)
+                        if x != y:
+                            parent[x] = y
+                            edges.append((min(a, b), max(a, b)))
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
+
+    return dealt(members, sets.dropDuplicates(["cid"])).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text)."""
     base = stored(sketches(docs, shingle), "sketch")
-    classes = base.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    reps = stored(classes, "reps")
+    own = base.where("n_shingles > 0 and doc_id is not null")
+    classes = own.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    reps = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "reps")
     bands = banding(reps.count(), threshold)
-    rows = band_rows(reps, bands).repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
-    shared = stored(rows.mapInArrow(bucket_runs, "key long, rep long, n long, c1 long, c2 long, c3 long"), "buckets")
-    heads = shared.select("key", F.col("c1").alias("rep")).distinct()
-    least = heads.groupBy("key").agg(F.min("rep").alias("c"), F.count("*").alias("k")).where("k > 1")  # buckets cut by a partition's edge
-    edges = heads.join(least, "key").where("rep <> c").select("rep", "c")
-    met = shared.select("rep", F.explode(F.array("c1", "c2", "c3")).alias("c")).where("rep <> c").unionByName(edges)
-    tested = stored(met.select(*_ordered(F.col("rep"), F.col("c"))).distinct(), "pairs")
-    links = stored(_verified(stored(_near(tested, reps, threshold), "near"), docs, shingle, threshold), "links")
-    label = components(links)
-
-    member = shared.select("key", "rep", "n").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component_id", "rep")).select("key", "rep", "n", "part")
-    mixed = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("k")).where("lo < hi and k > 3").select("key")
-    left = stored(member.join(mixed, "key"), "mixed")
-    cross = stored(cross_pairs(left, reps, bands, threshold).distinct().join(tested, ["a", "b"], "left_anti"), "cross")
-    if not cross.isEmpty():
-        links = links.unionByName(stored(_verified(cross, docs, shingle, threshold), "links2"))
-        label = components(links)
+    rows = band_rows(reps, bands).repartitionByRange("key", "rep", "cid").sortWithinPartitions("key", "rep", "cid")
+    shared = stored(rows.mapInArrow(bucket_runs, "key long, cid long, hub long, starts boolean"), "buckets")
 
-    final = reps.select("set_key", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
+    tested = stored(near(hub_pairs(shared), reps, threshold), "near")
+    links = verified(tested, reps, docs, shingle, threshold)
+    label = components(links)
+    parts = reps.select("cid", "rep", "set_key", F.col("n_shingles").alias("n")).join(label.withColumnRenamed("id", "cid"), "cid", "left")
+    parts = stored(parts.select("cid", "rep", "set_key", "n", F.coalesce("component_id", "cid").alias("part")), "parts")
+    forget(tested, links)
+
+    left = stored(likely_members(tiled(shared, parts.select("cid", "part", "n")), reps, bands, threshold), "likely")
+    forget(shared)
+    if not left.isEmpty():
+        wanted = _wanted(left.select("cid"), reps)
+        sets = full_sets(wanted, docs, shingle)
+        label = components(stored(part_links(left, sets, threshold), "links"))
+        forget(wanted, sets)
+        moved = parts.join(label.withColumnRenamed("id", "part"), "part", "left")
+        parts = moved.select("set_key", "rep", F.coalesce("component_id", "part").alias("part"))
+    forget(left, reps)
+
+    final = stored(parts.select("set_key", "rep", "part"), "final")
+    least = stored(final.groupBy("part").agg(F.min("rep").alias("component_id")), "least")
+    final = final.join(least, "part").select("set_key", "component_id")
     got = base.select("doc_id", "n_shingles", "set_key").where("n_shingles > 0 and doc_id is not null").join(final, "set_key").select("doc_id", "n_shingles", "component_id")
     got = got.unionByName(base.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return got.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
