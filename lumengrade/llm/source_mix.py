@@ -4,23 +4,25 @@ Each source gets a target number of words; a document of that source then holds
 a whole part that it surely gets and a fractional part that is rounded. Rounding is pivotal: two documents of one source
 meet, words move from one's fraction to the other's in a random direction until one fraction is 0 or 1, and the
 other goes on. Moves keep both expectations and the source's sum of words, so only the last document of a source can
-change the sum; large documents meet first, so that one is mostly small. Leaves of the tree are blocks of documents cut by a hash of doc_id (about
-`block` rows, whatever the source); the at most one open document per (block, source) moves up, `fan` blocks meet in
-the next level, until one is left per source. It is rounded to the nearer side, so a source misses its target by at
-most half of that document.
-
-All random draws are hashes of (seed, level, ids), so reruns agree. Defined results: null text has size 0; documents of
-size 0 hold no words and are taken 0 times; null source is a source of its own, last in order; rows repeated under one
-doc_id are rounded one by one; an empty table gives an empty result; further columns are ignored.
+change the sum; large documents meet first, so that one is mostly small. Equal rows (same id, source and text)
+are one unit of up to `together` rows: whole extra copies of a unit are certain, and only its fractional rest is rounded. Leaves of the
+tree are blocks of units cut by a hash of the whole row (about `block` units, whatever the source or id); the at most one open unit per
+(block, source) moves up, `fan` blocks meet in the next level, until one is left per source. It is rounded to the nearer side,
+so a source misses its target by at most half of that document.
+
+All random draws are hashes of (seed, level, rows), so reruns agree however the table is cut into files. Defined results: null text has
+size 0; documents of size 0 hold no words and are taken 0 times; null source is a source of its own, last in order; null ids and ids
+that repeat with other texts are rows of their own; equal rows share their copies evenly, within one; an empty table gives an
+empty result; further columns are ignored by the mix and kept by take(), whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import slices, stored, table
@@ -28,16 +30,26 @@ from ._common import slices, stored, table
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
+ROW = "k1 long, k2 long, doc_id long, source string"
+
+
+def row_keys() -> list[Column]:
+    """Two hashes that name a row by id, source and text."""
+    named = [F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")]
+    return [F.xxhash64(*named).alias("k1"), F.xxhash64(F.lit("row"), *named[::-1]).alias("k2")]
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) of every row; size is the number of words, counted in Arrow batches."""
+    """(k1, k2, doc_id, source, size) of every row; size is the number of words, counted in Arrow batches."""
+    names = [x.split()[0] for x in ROW.split(", ")]
 
     def run(batches):
         for part in slices(batches):
             n = [len(t.encode().split()) if t else 0 for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n, pa.int64())], names=[*names, "size"])
 
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    return got.mapInArrow(run, "doc_id long, source string, size long")
+    got = docs.select(*row_keys(), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return got.mapInArrow(run, f"{ROW}, size long")
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -86,35 +98,40 @@ def pivotal(ids: np.ndarray, size: np.ndarray, frac: np.ndarray, seed: int, leve
     return out
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, block: int = 4096, fan: int = 64) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for each row of docs(doc_id, text, source)."""
+def settle(t: pa.Table, seed: int, level: int) -> pa.Table:
+    """The units of one block with their fractions after pairing, source by source, large documents first."""
+    frac = t.column("frac").to_numpy().copy()
+    size, unit = t.column("size").to_numpy(), t.column("unit").to_numpy()
+    source = pc.dictionary_encode(t.column("source").combine_chunks(), null_encoding="encode").indices.to_numpy()
+    key = np.array([xxhash.xxh3_64_intdigest(int(u).to_bytes(8, "little", signed=True), seed=seed) for u in unit], np.uint64)
+    order = np.lexsort((unit, key, -size, source))
+    for at in np.split(order, np.flatnonzero(np.diff(source[order])) + 1):
+        frac[at] = pivotal(unit[at], size[at].astype(float), frac[at], seed, level)
+    return t.set_column(t.schema.get_field_index("frac"), "frac", pa.array(frac))
+
+
+def mix_units(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, block: int = 4096, fan: int = 64, together: int = 4096) -> DataFrame:
+    """(k1, k2, doc_id, source, size, source_size, target, rows, base, extra): `rows` equal rows of docs, of which `extra` are taken base + 1
+    times and the others base times. Equal rows in excess of `together` make several units."""
     sized = stored(sizes(docs), "mix-size")
     targets = source_targets(sized, weights, share, most).withColumnRenamed("source", "s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rated = sized.join(targets, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
+    same = sized.groupBy("k1", "k2", "doc_id", "source", "size").agg(F.count("*").alias("n"))
+    same = same.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / together))))
+    same = same.withColumn("rows", F.least(F.lit(together), F.col("n") - F.col("chunk") * together).cast("long")).withColumn("unit", F.xxhash64("k1", "k2", "chunk"))
+    rated = same.join(targets, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
     blocks = max(1, -(-sized.count() // block))
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
-    rows = rated.select(
-        "doc_id", "source", "size", "source_size", "target", spot.alias("block"),
-        F.floor("rate").cast("long").alias("base"), (F.col("rate") - F.floor("rate")).alias("frac"),
+    base = F.floor("rate").cast("long")
+    units = rated.withColumn("base", base).withColumn("more", F.col("rows") * (F.col("rate") - F.col("base")))
+    rows = units.select(
+        "k1", "k2", "doc_id", "source", "size", "source_size", "target", "rows", "base", F.floor("more").cast("long").alias("whole"),
+        (F.col("more") - F.floor("more")).alias("frac"), "unit", F.pmod(F.xxhash64("unit", F.lit(seed)), F.lit(blocks)).alias("block"),
     )
-
-    def step(level: int):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            key = [xxhash.xxh3_64_intdigest(str(x), seed=seed) for x in pdf["doc_id"]]
-            pdf = pdf.assign(_key=key, _big=-pdf["size"]).sort_values(["_big", "_key", "doc_id"], kind="stable").drop(columns=["_key", "_big"])
-            for at in pdf.groupby("source", dropna=False, sort=False).indices.values():
-                at = np.sort(at)
-                got = pivotal(pdf["doc_id"].to_numpy()[at], pdf["size"].to_numpy(float)[at], pdf["frac"].to_numpy(float)[at], seed, level)
-                pdf.iloc[at, pdf.columns.get_loc("frac")] = got
-            return pdf
-
-        return run
-
+    step = lambda at: lambda t: settle(t, seed, at)
     settled, level = None, 0
     while True:
         keys = ["block"] if level == 0 else ["block", "source"]
-        done = stored(rows.groupBy(*keys).applyInPandas(step(level), rows.schema), "mix-level")
+        done = stored(rows.groupBy(*keys).applyInArrow(step(level), rows.schema), "mix-level")
         is_open = (F.col("frac") > 0) & (F.col("frac") < 1)
         shut = done.where(~is_open)
         settled = shut if settled is None else settled.unionByName(shut)
@@ -124,14 +141,27 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
             break
         blocks = -(-blocks // fan)
         rows, level = rest.withColumn("block", F.floor(F.col("block") / fan).cast("long")), level + 1
-    return settled.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("frac").cast("long")).alias("copies"))
+    return settled.select("k1", "k2", "doc_id", "source", "size", "source_size", "target", "rows", "base", (F.col("whole") + F.col("frac").cast("long")).alias("extra"))
 
 
-def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it; rows that share a doc_id share the largest count."""
-    copies = mixed.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    kept = docs.withColumnRenamed("doc_id", "_id").join(copies.withColumnRenamed("doc_id", "_id2"), F.col("_id").eqNullSafe(F.col("_id2")))
-    return kept.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).withColumnRenamed("_id", "doc_id").select(*docs.columns)
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) for each row of docs(doc_id, text, source)."""
+    each = mix_units(docs, **options).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return each.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + (F.col("row") <= F.col("extra")).cast("long")).alias("copies"))
+
+
+def take(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """docs, with all its columns, each row repeated as often as mix_units(docs), a stored table, takes it.
+
+    The texts are shuffled once by row, at any size: a plan that broadcast the counts of a small table would change its needs as it grows.
+    """
+    copies = units.groupBy("k1", "k2").agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * F.col("base") + F.col("extra")).alias("copies"))
+    kept = docs.select(F.struct("*").alias("row"), *row_keys()).join(copies.where("copies > 0").hint("merge"), ["k1", "k2"])
+    alone = kept.where("rows = 1").select("row", "copies")
+    equal = kept.where("rows > 1").dropDuplicates(["k1", "k2"])  # any of them stands for all
+    split = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 4096)))
+    equal = equal.withColumn("at", split).select("row", F.least(F.lit(4096).cast("long"), F.col("copies") - 4096 * F.col("at")).alias("copies"))
+    return alone.unionByName(equal).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
