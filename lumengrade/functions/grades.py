@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import blank, decimal_or_null, first_filled, quarter, strip, word_count
+from .values import blank, decimal_or_null, first_filled, quarter, strip, truthy_text, word_count
 
 # Review reasons as reports show them.
 ALIGNMENT = "Falha no alinhamento/crop da página."
@@ -16,6 +16,8 @@ LOW_OCR = "Confiança do OCR abaixo do limiar (0,70)."
 SHORT_TEXT = "Texto extraído vazio ou muito curto (menos de 3 palavras)."
 UNSTABLE_OCR = "OCR instável (fallback necessário) e sem transcrição visual alternativa."
 LONG_ZERO = "Nota zero com resposta longa — possível erro de leitura ou interpretação."
+PARSE_COMMENT = "Resposta da IA em formato inválido. Revisão manual necessária."
+PARSE_ERROR = "erro_parse"
 NO_JUSTIFICATION = "Justificativa obrigatória ausente para nota parcial ou zero."
 MODEL_ASKED = "IA sinalizou revisão manual."
 COPIED = "Resposta parece cópia do enunciado da questão."
@@ -86,7 +88,8 @@ def identity_override(identity_source: Column, alignment_failed: Column, require
 def single_grade(g: Column, max_default: float = 1.0) -> Column:
     """F3 over a map of text values: struct(question_number, score, max_score, confidence, justification, review, parse_ok).
 
-    Alias keys give way to the first; score, maximum or English confidence that can't be read fail the parse.
+    Alias keys give way to the first; score, maximum or English confidence that can't be read fail the parse; a score without end is 0.
+    A review mark counts unless it is empty, false or zero.
     """
 
     def pick(*names: str) -> Column:
@@ -98,7 +101,8 @@ def single_grade(g: Column, max_default: float = 1.0) -> Column:
     top = F.least(F.lit(1.0), F.greatest(F.lit(0.0), number(pick("max_score", "nota_maxima"), max_default)))
     raw = number(pick("score", "nota"), 0.0)
     outside = F.isnan(raw) | (raw < -1e-6) | (raw > top + 1e-6)
-    score = quarter(F.least(F.greatest(F.when(F.isnan(raw), 0.0).otherwise(raw), F.lit(0.0)), top))
+    endless = F.isnan(raw) | (F.abs(raw) == float("inf"))
+    score = quarter(F.least(F.greatest(F.when(endless, 0.0).otherwise(raw), F.lit(0.0)), top))
     told = number(pick("grading_confidence", "confianca"), 0.0)
     bad_confidence = told.isNull() | F.isnan(told)
     broken = g.isNull() | raw.isNull() | top.isNull() | (g["grading_confidence"].isNotNull() & told.isNull())
@@ -107,7 +111,7 @@ def single_grade(g: Column, max_default: float = 1.0) -> Column:
         pick("question_number", "questao").try_cast("int").alias("question_number"),
         F.when(broken, 0.0).otherwise(score).alias("score"), F.coalesce(top, F.lit(max_default)).alias("max_score"),
         F.when(broken, 0.0).otherwise(confidence).alias("confidence"), F.coalesce(pick("justification", "comentario"), F.lit("")).alias("justification"),
-        (broken | (F.lower(F.coalesce(pick("manual_review_required", "revisao_necessaria"), F.lit("false"))) == "true")).alias("review"),
+        (broken | F.coalesce(truthy_text(pick("manual_review_required", "revisao_necessaria")), F.lit(False))).alias("review"),
         F.coalesce(~broken & ~outside & ~bad_confidence, F.lit(False)).alias("parse_ok"),
     )
 

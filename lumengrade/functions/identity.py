@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .values import first_filled, strip
 
-PREFIX = "MQPC"
+PREFIX = "MQPC"  # fixed value
+# Where a student code stands in a name or registration, first match first.
+CODES = (r"(?i)aluno\D*(\d{1,4})", r"(\d{2,4})\s*$")
 
 
 def parse_qr(payload: Column) -> Column:
@@ -28,14 +30,14 @@ def first_valid_qr(payloads: Column) -> Column:
 
 
 def student_code(name: Column, registration: Column) -> Column:
-    """Digits after 'aluno', else closing digits; from the name, else the registration; at least three figures."""
+    """Digits after 'aluno', else closing digits; from the name, else the registration; at least three figures; null without any."""
 
     def digits(c: Column) -> Column:
         c = F.coalesce(c, F.lit(""))
-        return first_filled(F.regexp_extract(c, r"(?i)aluno\D*(\d{1,4})", 1), F.regexp_extract(c, r"(\d{2,4})\s*$", 1))
+        return first_filled(*[F.regexp_extract(c, p, 1) for p in CODES])
 
     found = F.coalesce(digits(name), digits(registration))
-    return F.format_string("%03d", found.cast("int"))
+    return F.when(found.isNotNull(), F.format_string("%03d", found.cast("int")))
 
 
 def identity_key(code: Column, registration: Column, name: Column, page: Column) -> Column:

@@ -9,6 +9,7 @@ from .values import strip
 
 # Keys that a grade object must have.
 REQUIRED = ("nota", "comentario", "criterios_atendidos", "criterios_ausentes", "revisao_necessaria")
+OTHERS = ("needs_human_review", "missing_concepts", "detected_concepts")  # further keys whose kind counts
 
 
 def strict_object(text: Column) -> Column:
@@ -34,8 +35,10 @@ def with_recovery(df: DataFrame, raw: str) -> DataFrame:
     df = df.withColumn("_3", F.regexp_replace("_2", r",\s*([}\]])", "$1"))
     df = df.withColumn("_4", F.regexp_replace("_3", r"(\d),(\d)", "$1.$2"))
     steps = [f"_{k}" for k in range(1, 5)]
-    df = df.withColumn("_txt", F.coalesce(*[F.when(strict_object(F.col(c)).isNotNull(), F.col(c)) for c in steps]))
-    return df.withColumn("_obj", strict_object(F.col("_txt"))).drop("_bare", "_first", "_last", *steps)
+    # Each text that differs is parsed once: mostly the repairs change nothing and there is one.
+    tried = F.transform(F.array_distinct(F.array(*steps)), lambda t: F.struct(t.alias("txt"), strict_object(t).alias("obj")))
+    df = df.withColumn("_found", F.get(F.filter(tried, lambda x: x["obj"].isNotNull()), F.lit(0)))
+    return df.withColumns({"_txt": F.col("_found.txt"), "_obj": F.col("_found.obj")}).drop("_bare", "_first", "_last", "_found", *steps)
 
 
 def value_type(variant: Column, key: str) -> Column:
@@ -52,11 +55,29 @@ def kind_of(type_name: Column, value: Column) -> Column:
 
 
 def with_kinds(df: DataFrame, raw: str) -> DataFrame:
-    """df with the recovered text (_txt), its map (_obj) and the kind of each required key's value (_kind_<key>), each made once."""
+    """df with the recovered text (_txt), its map (_obj) and the kind of each known key's value (_kind_<key>), each made once."""
+    keys = (*REQUIRED, *OTHERS)
     df = with_recovery(df, raw).withColumn("_variant", F.try_parse_json("_txt"))
-    df = df.withColumns({f"_type_{k}": value_type(F.col("_variant"), k) for k in REQUIRED})
-    df = df.withColumns({f"_kind_{k}": kind_of(F.col(f"_type_{k}"), F.col("_obj")[k]) for k in REQUIRED})
-    return df.drop("_variant", *[f"_type_{k}" for k in REQUIRED])
+    df = df.withColumns({f"_type_{k}": F.when(F.map_contains_key("_obj", k), value_type(F.col("_variant"), k)) for k in keys})
+    df = df.withColumns({f"_kind_{k}": kind_of(F.col(f"_type_{k}"), F.col("_obj")[k]) for k in keys})
+    return df.drop("_variant", *[f"_type_{k}" for k in keys])
+
+
+def truthy(kind: Column, value: Column) -> Column:
+    """Whether a value counts as true: any text but the empty one, any number but zero, any list or object with something in it."""
+    return F.coalesce(
+        F.when(kind == "boolean", F.lower(value) == "true").when(kind == "string", value != "").when(kind == "number", value.try_cast("double") != 0)
+        .when(kind.isin("array", "object"), ~value.isin("[]", "{}")), F.lit(False),
+    )
+
+
+def text_list(*keys: str) -> Column:
+    """The value of the first of the keys that is there, as texts; empty if that is no list."""
+    out = F.array().cast("array<string>")
+    for k in reversed(keys):
+        listed = F.when(F.col(f"_kind_{k}") == "array", F.from_json(F.col("_obj")[k], "array<string>"))
+        out = F.when(F.map_contains_key("_obj", k), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(out)
+    return F.coalesce(out, F.array().cast("array<string>"))
 
 
 def _listed(names: Column) -> Column:

@@ -22,9 +22,19 @@ ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉ
 PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
 
 
+# Patterns that decide normal forms, variants and sides, in the order they apply.
+COPY_DROPPED = r"[^a-z0-9áàâãéèêíïóôõöúçñ\s]"
+GLUED = r"\b({shorts})\.(?=[a-z])"
+MUSCLE = r"\b(m|musc|musculo)\.?\b"
+LEFT, RIGHT = r"\besq(?:\.|uerda|uerdo)?\b", r"\bdir(?:\.|eita|eito)?\b"
+DROPPED, LAST_LEFT, LAST_RIGHT = r"[^a-z0-9\s]", r"(^|\s)e$", r"(^|\s)d$"
+ALTERNATIVES = r"\s*(?:;|\||/|\n|, ou | ou )\s*"
+SIDES = r"\b(esquerdo|esquerda|direito|direita)\b"
+
+
 def copy_form(c: Column) -> Column:
     """lower case, Portuguese letters, figures and single blanks only."""
-    kept = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9áàâãéèêíïóôõöúçñ\s]", " ")
+    kept = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), COPY_DROPPED, " ")
     return strip(F.regexp_replace(kept, r"\s+", " "))
 
 
@@ -49,15 +59,15 @@ def normal_form(c: Column) -> Column:
     """the comparable form of a short answer."""
     t = F.lower(plain_letters(F.coalesce(c, F.lit(""))))
     shorts = "|".join(a for a, _ in ABBREVIATIONS)
-    t = F.regexp_replace(t, rf"\b({shorts})\.(?=[a-z])", "$1. ")
+    t = F.regexp_replace(t, GLUED.format(shorts=shorts), "$1. ")
     t = F.concat(F.lit(" "), t, F.lit(" "))
     for short, word in ABBREVIATIONS:
         t = F.regexp_replace(t, rf"\b{short}\.?(?=\s|$)", f" {word} ")
-    t = F.regexp_replace(t, r"\b(m|musc|musculo)\.?\b", " ")
-    t = F.regexp_replace(t, r"\besq(?:\.|uerda|uerdo)?\b", " esquerdo ")
-    t = F.regexp_replace(t, r"\bdir(?:\.|eita|eito)?\b", " direito ")
-    t = strip(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9\s]", " "), r"\s+", " "))
-    t = F.regexp_replace(F.regexp_replace(t, r"(^|\s)e$", "$1esquerdo"), r"(^|\s)d$", "$1direito")
+    t = F.regexp_replace(t, MUSCLE, " ")
+    t = F.regexp_replace(t, LEFT, " esquerdo ")
+    t = F.regexp_replace(t, RIGHT, " direito ")
+    t = strip(F.regexp_replace(F.regexp_replace(t, DROPPED, " "), r"\s+", " "))
+    t = F.regexp_replace(F.regexp_replace(t, LAST_LEFT, "$1esquerdo"), LAST_RIGHT, "$1direito")
     for alias, word in ALIASES:
         t = F.regexp_replace(t, rf"\b{alias}\b", f" {word} ")
     return strip(F.regexp_replace(t, r"\s+", " "))
@@ -65,7 +75,7 @@ def normal_form(c: Column) -> Column:
 
 def key_variants(key: Column) -> Column:
     """normal forms of a key's alternatives and of the whole key, blanks dropped, each once."""
-    parts = F.split(key, r"\s*(?:;|\||/|\n|, ou | ou )\s*")
+    parts = F.split(key, ALTERNATIVES)
     parts = F.filter(parts, lambda p: strip(p) != "")
     return F.filter(F.array_distinct(F.concat(F.transform(parts, normal_form), F.array(normal_form(key)))), lambda v: v != "")
 
@@ -95,4 +105,4 @@ def same_side(answer: Column, key: Column) -> Column:
 
 
 def without_side(normal: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(normal, r"\b(esquerdo|esquerda|direito|direita)\b", " "), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(normal, SIDES, " "), r"\s+", " "))

@@ -63,6 +63,11 @@ def json_or_null(arr: Column) -> Column:
     return F.when(F.size(arr) > 0, F.to_json(arr))
 
 
+def truthy_text(c: Column) -> Column:
+    """Whether a value read as text counts as true: not where it is empty, false, zero or an empty list or object; null stays null."""
+    return ~(F.lower(strip(c)).isin("", "false", "[]", "{}") | (F.coalesce(strip(c).try_cast("double"), F.lit(1.0)) == 0))
+
+
 def iso_timestamp(ts: Column) -> Column:
     """F32: ISO text of a timestamp, for the report edge."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grades import COPIED, LOW_READING, OFF_SCALE, clamp_grade, verdict
-from ..functions.json_text import schema_warnings, strict_boolean, with_kinds
+from ..functions.grades import COPIED, LOW_READING, OFF_SCALE, PARSE_COMMENT, PARSE_ERROR, clamp_grade, verdict
+from ..functions.json_text import schema_warnings, strict_boolean, text_list, truthy, with_kinds
 from ..functions.short_answer import (
     copy_form, coverage, key_variants, laterality, normal_form, ratcliff_ratio, same_side, similarity, without_side,
 )
@@ -16,14 +18,14 @@ from ..functions.values import decimal_or_null, first_filled, first_nonzero, str
 def discursive_grades(outputs: DataFrame) -> DataFrame:
     """outputs(id, raw, answer, prompt, reading_confidence, max_score) to typed grades.
 
-    Copied prompts are told by word overlap or ratio, as copied_prompts() does.
+    Copied prompts are told by word overlap or ratio, as copied_prompts() does. A failed parse stands for a zero grade that passes the
+    schema, asks for review and gives the marker of the failure as its reason.
     """
     rows = with_kinds(copied_prompts(outputs), "raw")
     failed = F.col("_obj").isNull()
     o = F.col("_obj")
-    # A failed parse stands for a zero grade that carries its error.
     warned = F.when(failed, F.array().cast("array<string>")).otherwise(schema_warnings())
-    rows = rows.withColumn("schema_warnings", warned).withColumn("schema_valid", ~failed & (F.size("schema_warnings") == 0))
+    rows = rows.withColumn("schema_warnings", warned).withColumn("schema_valid", F.size("schema_warnings") == 0)
     top = first_nonzero(decimal_or_null(o["max_score"]), F.col("max_score"), F.lit(1.0))
     grade = clamp_grade(F.coalesce(o["score"], o["nota"]))
     flag = strict_boolean(F.col("_kind_revisao_necessaria"), o["revisao_necessaria"])
@@ -31,18 +33,20 @@ def discursive_grades(outputs: DataFrame) -> DataFrame:
     rows = rows.withColumns({"top": top, "g": grade, "flag": flag, "a": answer, "c": sure})
     score = F.when(failed, 0.0).otherwise(F.greatest(F.lit(0.0), F.least("g.value", "top")))
     marks = F.size(F.split("a", r"\[ileg[ií]vel\]", -1)) - 1
-    asked = F.coalesce(F.lower(o["needs_human_review"]) == "true", F.col("flag.value"))
+    asked = F.when(F.map_contains_key("_obj", "needs_human_review"), truthy(F.col("_kind_needs_human_review"), o["needs_human_review"])).otherwise(F.col("flag.value"))
     review = failed | asked | (F.col("c") == "baixa") | (marks >= 2) | F.col("g.off_scale") | ~F.col("schema_valid") | F.col("flag.invalid") | F.col("copied")
     notes = F.when(~failed & F.col("flag.invalid"), F.array_append("schema_warnings", F.lit("Campo revisao_necessaria com tipo/valor inválido."))).otherwise(F.col("schema_warnings"))
     rows = rows.withColumns({"score": score, "notes": notes})
     reason = F.coalesce(
-        first_filled(o["review_reason"]), F.when(failed, "erro_parse"), first_filled(F.array_join("notes", "; ")), F.when(F.col("copied"), COPIED),
+        first_filled(o["review_reason"]), F.when(failed, PARSE_ERROR), first_filled(F.array_join("notes", "; ")), F.when(F.col("copied"), COPIED),
         F.when(F.col("g.off_scale"), OFF_SCALE), F.when(F.col("c") == "baixa", LOW_READING), F.lit(""),
     )
     return rows.select(
         "id", F.when(F.col("copied"), 0.0).otherwise(F.col("score")).alias("score"), F.col("top").alias("max_score"),
         F.when(F.col("copied"), "incorreta").otherwise(verdict(o["verdict"], F.col("a"), F.col("c"), F.col("score"))).alias("verdict"),
-        F.coalesce(o["justification"], o["comentario"], F.lit("")).alias("justification"), review.alias("needs_human_review"), "schema_valid", reason.alias("review_reason"),
+        F.when(failed, PARSE_COMMENT).otherwise(F.coalesce(o["justification"], o["comentario"], F.lit(""))).alias("justification"),
+        text_list("missing_concepts", "criterios_ausentes").alias("missing_concepts"), text_list("detected_concepts", "criterios_atendidos").alias("detected_concepts"),
+        review.alias("needs_human_review"), "schema_valid", F.col("notes").alias("parse_warnings"), reason.alias("review_reason"),
     )
 
 
@@ -53,29 +57,34 @@ def overlap_copied(answer: F.Column, prompt: F.Column) -> F.Column:
     return (F.length(a) >= 20) & (F.length(p) >= 20) & (F.size(F.array_intersect(words, F.split(p, " "))) / F.greatest(F.size(words), F.lit(1)) >= 0.85)
 
 
-def copied_prompts(turns: DataFrame, least: float = 0.86) -> DataFrame:
-    """turns(answer, prompt, ...) with `copied`. The ratio runs only where overlap hasn't decided and the lengths could reach it."""
+def copied_prompts(turns: DataFrame, least: float = 0.86, ratio: Callable[[str, str], F.Column] = ratcliff_ratio) -> DataFrame:
+    """turns(answer, prompt, ...) with `copied`. The ratio, of at most twice the shorter length over both, runs only where overlap
+    hasn't decided and the lengths could reach it."""
     a, p = copy_form(F.col("answer")), copy_form(F.col("prompt"))
     rows = turns.withColumns({"_a": a, "_p": p}).withColumn("_o", F.coalesce(overlap_copied(F.col("answer"), F.col("prompt")), F.lit(False)))
     la, lp = F.length("_a"), F.length("_p")
     may = ~F.col("_o") & (la >= 20) & (lp >= 20) & (2 * F.least(la, lp) >= least * (la + lp))
-    pairs = rows.where(may).select("_a", "_p").distinct().withColumn("_r", ratcliff_ratio("_a", "_p"))
+    pairs = rows.where(may).select("_a", "_p").distinct().withColumn("_r", ratio("_a", "_p"))
     joined = rows.join(pairs, ["_a", "_p"], "left")
     return joined.withColumn("copied", F.col("_o") | F.coalesce(F.col("_r") >= least, F.lit(False))).select(*turns.columns, "copied")
 
 
-def grade_short_answers(answers: DataFrame, strict_empty: bool = False) -> DataFrame:
+def grade_short_answers(answers: DataFrame, strict_empty: bool = False, ratio: Callable[[str, str], F.Column] = ratcliff_ratio) -> DataFrame:
     """answers(id, answer, key, reading_confidence, max_score) graded against their keys.
 
     The ratio runs on distinct (answer form, variant) pairs only, where neither holds the other. strict_empty sends answers
     without any letter or figure to review instead of taking them as contained in the key.
     """
     key, answer = strip(F.coalesce("key", F.lit(""))), strip(F.coalesce("answer", F.lit("")))
-    rows = answers.withColumns({"_key": key, "_answer": answer}).withColumns({"_norm": normal_form(F.col("_answer")), "_knorm": normal_form(F.col("_key")), "_variants": key_variants(F.col("_key"))})
+    rows = answers.withColumns({"_key": key, "_answer": answer})
+    # Normal forms are worked out once for each distinct text.
+    forms = rows.select("_answer").distinct().withColumn("_norm", normal_form(F.col("_answer")))
+    keys = rows.select("_key").distinct().withColumns({"_knorm": normal_form(F.col("_key")), "_variants": key_variants(F.col("_key"))})
+    rows = rows.join(forms, "_answer").join(keys, "_key")
     cand = rows.where("_key <> '' and _answer <> ''").select("_norm", "_variants").distinct()
     pairs = cand.select("_norm", "_variants", F.posexplode("_variants").alias("_i", "_v")).withColumns({"_n0": without_side(F.col("_norm")), "_v0": without_side(F.col("_v"))})
     whole = pairs.select(F.col("_norm").alias("x"), F.col("_v").alias("y")).unionByName(pairs.select(F.col("_n0").alias("x"), F.col("_v0").alias("y"))).where("x <> '' and y <> '' and x <> y").distinct()
-    ratios = whole.withColumn("r", ratcliff_ratio("x", "y"))
+    ratios = whole.withColumn("r", ratio("x", "y"))
 
     def with_ratio(df: DataFrame, x: str, y: str, out: str) -> DataFrame:
         r = ratios.select(F.col("x").alias(x), F.col("y").alias(y), F.col("r").alias("_r"))

@@ -76,9 +76,10 @@ def override_page(df: DataFrame) -> DataFrame:
 
 def resolve_identity(pages: DataFrame) -> DataFrame:
     """pages(exam_id, qr_exam, qr_student, header_student, manifest_student) with student_id, identity_source, warnings."""
-    qr, header, manifest = (safe_uuid(F.col(c)) for c in ("qr_student", "header_student", "manifest_student"))
-    ok = F.coalesce(qr.isNotNull() & (F.col("qr_exam") == F.col("exam_id")), F.lit(False))
-    source = F.when(ok, "qr").when(header.isNotNull(), "header_ocr").when(manifest.isNotNull(), "manifest_fallback").otherwise("anonymous")
+    read = pages.withColumns({f"_{c}": safe_uuid(F.col(f"{c}_student")) for c in ("qr", "header", "manifest")})
+    qr, header, manifest, ok, source = (F.col(c) for c in ("_qr", "_header", "_manifest", "_ok", "identity_source"))
+    read = read.withColumn("_ok", F.coalesce(qr.isNotNull() & (F.col("qr_exam") == F.col("exam_id")), F.lit(False)))
+    read = read.withColumn("identity_source", F.when(ok, "qr").when(header.isNotNull(), "header_ocr").when(manifest.isNotNull(), "manifest_fallback").otherwise("anonymous"))
     # Warning texts.
     said = F.array_compact(F.array(
         F.when(ok & (manifest != qr), "QR e manifest discordam. Usando QR."),
@@ -89,7 +90,7 @@ def resolve_identity(pages: DataFrame) -> DataFrame:
         F.when(source == "anonymous", "Nenhuma identidade confiável encontrada."),
     ))
     who = F.when(ok, qr).when(source == "header_ocr", header).when(source == "manifest_fallback", manifest)
-    return pages.withColumn("student_id", who).withColumn("identity_source", source).withColumn("identity_warnings", said)
+    return read.withColumns({"student_id": who, "identity_warnings": said}).drop("_qr", "_header", "_manifest", "_ok")
 
 
 def fold_results(pages: DataFrame) -> DataFrame:
@@ -100,13 +101,19 @@ def fold_results(pages: DataFrame) -> DataFrame:
     filled = lambda c: F.max_by(c, F.when(first_filled(F.col(c)).isNotNull(), page))
     first = F.min_by("identity_source", page)
     later_qr = F.bool_or(F.col("identity_source") == "qr")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("page_number", "warnings"))), lambda x: x["warnings"])
-    return pages.groupBy("batch_id", key.alias("result_key")).agg(
+    keyed = pages.withColumn("result_key", key)
+    # Of each warning only its first page and place count, so that no more than the distinct texts come together.
+    each = keyed.select("batch_id", "result_key", "page_number", F.posexplode("warnings").alias("i", "warning"))
+    each = each.groupBy("batch_id", "result_key", "warning").agg(F.min(F.struct("page_number", "i")).alias("at"))
+    said = each.groupBy("batch_id", "result_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "warning"))), lambda x: x["warning"]).alias("warnings"))
+    folded = keyed.groupBy("batch_id", "result_key").agg(
         F.min("page_number").alias("page_number"), F.max("page_number").alias("physical_page"),
         filled("detected_name").alias("detected_name"), filled("detected_registration").alias("detected_registration"),
         F.when((first == "manifest_fallback") & later_qr, "qr").otherwise(first).alias("identity_source"),
-        F.array_distinct(F.flatten(ordered)).alias("warnings"), F.count("*").alias("pages"),
+        F.count("*").alias("pages"),
     )
+    joined = folded.join(said, ["batch_id", "result_key"], "left").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
+    return joined.select(*[c for c in folded.columns if c != "pages"], "warnings", "pages")
 
 
 def sheet_manifest(students: DataFrame, layout_pages: DataFrame) -> DataFrame:
@@ -114,10 +121,11 @@ def sheet_manifest(students: DataFrame, layout_pages: DataFrame) -> DataFrame:
 
     students(exam_id, student_id, registration_number), layout_pages(exam_id, page_in_student).
     """
-    joined = students.join(layout_pages, "exam_id")
-    order = Window.partitionBy("exam_id").orderBy("registration_number", "student_id", "page_in_student")
-    total = F.count("*").over(Window.partitionBy("exam_id", "student_id"))
-    return joined.withColumn("physical_index", F.row_number().over(order) - 1).withColumn("total_pages_for_student", total)
+    sheets = Window.partitionBy("exam_id")
+    pages = layout_pages.withColumn("_at", F.row_number().over(sheets.orderBy("page_in_student"))).withColumn("total_pages_for_student", F.count("*").over(sheets))
+    numbered = students.withColumn("_nth", F.row_number().over(sheets.orderBy("registration_number", "student_id")) - 1)
+    index = F.col("_nth") * F.col("total_pages_for_student") + F.col("_at") - 1
+    return numbered.join(pages, "exam_id").withColumn("physical_index", index.cast("int")).select(*students.columns, "page_in_student", "physical_index", "total_pages_for_student")
 
 
 def validate_batches(batches: DataFrame, exams: DataFrame, questions: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grades import reading_confidence
-from ..functions.values import decimal_or_null, first_filled, first_nonzero, needs_fallback, strip, unit_interval
+from ..functions.identity import student_code
+from ..functions.values import decimal_or_null, first_filled, first_nonzero, needs_fallback, strip, truthy_text, unit_interval
 
 QUESTION = "struct<number:string,prompt_detected:string,answer_transcription:string,reading_confidence:string,ocr_confidence:string,reading_notes:string,has_answer:string,image_region:string>"
-PAGE = f"struct<student:struct<name:string,registration:string,class:string,student_code:string>,physical_page:int,page:int,questions:array<{QUESTION}>>"
+PAGE = f"struct<student:struct<name:string,registration:string,class:string,student_code:string>,physical_page:int,page:int,page_number:int,questions:array<{QUESTION}>>"
 
 
 def rubric_questions(rubrics: DataFrame) -> DataFrame:
@@ -51,15 +52,18 @@ def rubric_summary(rubrics: DataFrame, most: int = 20) -> DataFrame:
 
 
 def vision_questions(pages: DataFrame) -> DataFrame:
-    """pages(run_id, position, payload) to one row per question; the number defaults to its place, has_answer to a text being there."""
+    """pages(run_id, position, payload) to one row per question; the number defaults to its place, has_answer to a text being there
+    (blanks are one), the student's code to digits of name or registration, the physical page to the position."""
     page = F.from_json("payload", PAGE)
-    rows = pages.select("run_id", "position", page.alias("p")).select("run_id", "position", "p.student", F.posexplode("p.questions").alias("i", "q"))
+    rows = pages.select("run_id", "position", page.alias("p")).select("run_id", "position", "p.student", "p.physical_page", F.col("p.page_number").alias("stated_page"), F.posexplode("p.questions").alias("i", "q"))
     text = F.coalesce("q.answer_transcription", F.lit(""))
     return rows.select(
         "run_id", F.col("position").alias("page_number"), F.col("i").alias("place"), F.coalesce(F.col("q.number").try_cast("int"), F.col("i") + 1).alias("question_number"),
         F.coalesce("q.prompt_detected", F.lit("")).alias("prompt_detected"), text.alias("answer_transcription"),
         reading_confidence(F.col("q.reading_confidence")).alias("reading_confidence"), unit_interval(decimal_or_null(F.col("q.ocr_confidence"))).alias("ocr_confidence"),
-        F.coalesce(F.lower("q.has_answer") == "true", strip(text) != "").alias("has_answer"), F.col("student.name").alias("student_name"), F.col("student.registration").alias("registration"),
+        F.coalesce(truthy_text(F.col("q.has_answer")), text != "").alias("has_answer"), F.col("student.name").alias("student_name"), F.col("student.registration").alias("registration"),
+        F.col("student.class").alias("class_name"), F.coalesce(first_filled(strip(F.col("student.student_code"))), student_code(F.col("student.name"), F.col("student.registration")), F.lit("")).alias("student_code"),
+        F.coalesce(first_nonzero(F.col("physical_page"), F.col("stated_page")), F.col("position")).alias("physical_page"),
     )
 
 
@@ -75,7 +79,7 @@ def dedupe_page_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = ["run_id", "page_number", "question_number"]
     placed = answers.withColumn("_p", F.row_number().over(Window.partitionBy(*key).orderBy("place")))
     said = F.concat(F.lit("question "), F.col("question_number").cast("string"), F.lit(" repeats on page "), F.col("page_number").cast("string"))
-    return placed.where("_p = 1").drop("_p"), placed.where("_p > 1").select("run_id", "page_number", said.alias("warning"))
+    return placed.where("_p = 1").drop("_p"), placed.where("_p > 1").select("run_id", "page_number", "question_number", "place", said.alias("warning"))
 
 
 def flatten_answers(pages: DataFrame) -> DataFrame:

@@ -8,53 +8,67 @@ from pyspark.sql import functions as F
 
 
 def region_candidates(regions: DataFrame, pages: DataFrame) -> DataFrame:
-    """regions(page_id, x, y, w, h) large enough for an answer, padded by 2 % / 4 % and cut to the page(page_id, page_w, page_h)."""
-    joined = regions.join(pages, "page_id")
+    """P6, filter: regions(page_id, region_id, x, y, w, h) large and low enough on their page(page_id, page_w, page_h) for an answer."""
     w, h, pw, ph = (F.col(c) for c in ("w", "h", "page_w", "page_h"))
-    fit = joined.where((w * h >= 0.025 * pw * ph) & (w >= 0.35 * pw) & (h >= 0.05 * ph) & (F.col("y") >= 0.10 * ph))
-    px, py = (pw * 0.02).cast("int"), (ph * 0.04).cast("int")
-    return fit.select(
-        "page_id", "region_id", F.greatest(F.lit(0), F.col("x") - px).alias("left"), F.greatest(F.lit(0), F.col("y") - py).alias("upper"),
-        F.least(pw, F.col("x") + w + px).alias("right"), F.least(ph, F.col("y") + h + py).alias("lower"),
+    return regions.join(pages, "page_id").where((w * h >= 0.025 * pw * ph) & (w >= 0.35 * pw) & (h >= 0.05 * ph) & (F.col("y") >= 0.10 * ph))
+
+
+def padded(boxes: DataFrame) -> DataFrame:
+    """P6, padding: boxes(page_id, region_id, x, y, w, h, page_w, page_h) widened by 2 % of their own width and 4 % of their own height,
+    cut to whole pixels and to the page."""
+    x, y, w, h, pw, ph = (F.col(c) for c in ("x", "y", "w", "h", "page_w", "page_h"))
+    px, py = (w * 0.02).cast("int"), (h * 0.04).cast("int")
+    return boxes.select(
+        "page_id", "region_id", F.greatest(F.lit(0), x - px).alias("left"), F.greatest(F.lit(0), y - py).alias("upper"),
+        F.least(pw, x + w + px).alias("right"), F.least(ph, y + h + py).alias("lower"),
     )
 
 
 def overlapping_pairs(boxes: DataFrame, share: float = 0.65) -> DataFrame:
-    """J10, pairs: (page_id, a, b) of boxes of one page that overlap by more than `share` of the smaller area, a before b in (upper, left) order."""
-    x = boxes.select("page_id", *[F.col(c).alias(f"{c}_a") for c in ("region_id", "left", "upper", "right", "lower")])
-    y = boxes.select("page_id", *[F.col(c).alias(f"{c}_b") for c in ("region_id", "left", "upper", "right", "lower")])
-    pairs = x.join(y, "page_id").where("struct(upper_a, left_a, region_id_a) < struct(upper_b, left_b, region_id_b)")
-    wide = F.greatest(F.lit(0), F.least("right_a", "right_b") - F.greatest("left_a", "left_b"))
-    high = F.greatest(F.lit(0), F.least("lower_a", "lower_b") - F.greatest("upper_a", "upper_b"))
-    area = lambda s: (F.col(f"right_{s}") - F.col(f"left_{s}")) * (F.col(f"lower_{s}") - F.col(f"upper_{s}"))
-    return pairs.where(wide * high > share * F.least(area("a"), area("b"))).select("page_id", F.col("region_id_a").alias("a"), F.col("region_id_b").alias("b"))
+    """J10, pairs: (page_id, a, b) of boxes(page_id, region_id, x, y, w, h) of one page that overlap by more than `share` of the smaller
+    area, a before b in (y, x) order."""
+    cols = ("region_id", "x", "y", "w", "h")
+    a, b = (boxes.select("page_id", *[F.col(c).alias(f"{c}_{s}") for c in cols]) for s in "ab")
+    pairs = a.join(b, "page_id").where("struct(y_a, x_a, region_id_a) < struct(y_b, x_b, region_id_b)")
+
+    def shared(at: str, size: str) -> F.Column:
+        ends = [F.col(f"{at}_{s}") + F.col(f"{size}_{s}") for s in "ab"]
+        return F.greatest(F.lit(0), F.least(*ends) - F.greatest(f"{at}_a", f"{at}_b"))
+
+    smaller = F.least(F.col("w_a") * F.col("h_a"), F.col("w_b") * F.col("h_b"))
+    return pairs.where((smaller > 0) & (shared("x", "w") * shared("y", "h") > share * smaller)).select("page_id", F.col("region_id_a").alias("a"), F.col("region_id_b").alias("b"))
 
 
 def suppress_regions(boxes: DataFrame, share: float = 0.65, most: int = 12) -> DataFrame:
-    """Greedy in (upper, left) order over all boxes of a page: one that overlaps a kept one drops out, and the first `most` kept stay.
+    """Greedy in (y, x) order over all boxes of a page, as found: one that overlaps a kept one drops out, and the first `most`
+    kept stay. boxes(page_id, region_id, x, y, w, h, ...); further columns stay.
 
     Boxes are read as sorted runs, and only the kept ones of the current page are held.
     """
-    cols = ["page_id", "region_id", "left", "upper", "right", "lower"]
-    rows = boxes.select(*cols).repartition("page_id").sortWithinPartitions("page_id", "upper", "left", "region_id")
+    rows = boxes.repartition("page_id").sortWithinPartitions("page_id", "y", "x", "region_id")
 
     def run(batches):
         page, out = None, []
         for t in batches:
             keep = []
-            for p, left, upper, right, lower in zip(*(t.column(c).to_pylist() for c in ("page_id", "left", "upper", "right", "lower")), strict=True):
+            for p, x, y, w, h in zip(*(t.column(c).to_pylist() for c in ("page_id", "x", "y", "w", "h")), strict=True):
                 if p != page:
                     page, out = p, []
                 clear = len(out) < most
-                area = (right - left) * (lower - upper)
-                for x, y, r, b in out if clear else ():
-                    both = max(0, min(right, r) - max(left, x)) * max(0, min(lower, b) - max(upper, y))
-                    if both > share * min(area, (r - x) * (b - y)):
+                for ox, oy, ow, oh in out if clear else ():
+                    both = max(0, min(x + w, ox + ow) - max(x, ox)) * max(0, min(y + h, oy + oh) - max(y, oy))
+                    smaller = min(w * h, ow * oh)
+                    if smaller and both / smaller > share:
                         clear = False
                         break
                 if clear:
-                    out.append((left, upper, right, lower))
+                    out.append((x, y, w, h))
                 keep.append(clear)
             yield t.filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def answer_regions(regions: DataFrame, pages: DataFrame) -> DataFrame:
+    """P6 and J10 in the order of the work: candidates, suppression on the boxes as found, the first 12, padding."""
+    return padded(suppress_regions(region_candidates(regions, pages)))

@@ -86,14 +86,17 @@ def run_rows(answers: DataFrame, reasons: int = 5) -> DataFrame:
     order = F.struct("page_number", "question_number", "id")
     last = keyed.where("score is not null").groupBy("run_id", "student_key", "question_number").agg(F.max_by("score", order).alias("s"))
     total = last.groupBy("run_id", "student_key").agg(F.sum("s").alias("total"))
-    text = F.when(strip(F.coalesce("reason", F.lit(""))) != "", F.struct("page_number", "question_number", "id", F.col("reason").alias("r")))
+    # The first reasons are picked before anything is gathered.
+    place = F.row_number().over(Window.partitionBy("run_id", "student_key").orderBy("page_number", "question_number", "id"))
+    said = keyed.where(strip(F.coalesce("reason", F.lit(""))) != "").withColumn("_p", place).where(F.col("_p") <= reasons)
+    said = said.groupBy("run_id", "student_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_p", "reason"))), lambda x: x["reason"]), "; ").alias("reasons"))
     per = keyed.groupBy("run_id", "student_key").agg(
         F.min_by(F.nullif(strip("student_name"), F.lit("")), F.when(strip("student_name") != "", order)).alias("student_name"),
         F.min_by("registration", F.when(first_filled(F.col("registration")).isNotNull(), order)).alias("registration"),
         F.bool_or("needs_human_review").alias("needs_review"), F.count("*").alias("answers"),
-        F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(text)), 1, reasons), lambda x: x["r"]), "; ").alias("reasons"),
     )
-    return per.join(total, ["run_id", "student_key"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    joined = per.join(said, ["run_id", "student_key"], "left").join(total, ["run_id", "student_key"], "left")
+    return joined.withColumns({"reasons": F.coalesce("reasons", F.lit("")), "total": F.coalesce("total", F.lit(0.0))})
 
 
 def classify_warnings(df: DataFrame) -> DataFrame:
@@ -166,3 +169,8 @@ def last_non_empty(answers: DataFrame, value: str, keys: list[str]) -> DataFrame
 def top_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first n rows per group."""
     return df.withColumn("_p", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_p") <= n).drop("_p")
+
+
+def listing(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """O3: df with each row's `place` in its group, as pages of a listing are cut."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

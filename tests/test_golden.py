@@ -113,7 +113,7 @@ def test_identity(spark):
 def test_student_codes(spark):
     rows = [("ALUNO 9", None, "009"), ("Ana", "24102MED1234", "1234"), ("Ana 12", None, "012"), (None, "x", None)]
     df = spark.createDataFrame(rows, "n string, r string, want string").withColumn("got", identity.student_code(F.col("n"), F.col("r")))
-    assert [r.got if r.got != "null" else None for r in df.collect()] == [r[2] for r in rows]
+    assert [r.got for r in df.collect()] == [r[2] for r in rows]
 
 
 def test_ocr_chain(spark):
@@ -138,8 +138,11 @@ def test_exam_lines(spark):
 def test_roster_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("lista;x\nMatrícula;Nome;Turma\n1;Zoé;\n2;\n3;Ana;T1\n".encode("latin-1"))
     (tmp_path / "b.csv").write_bytes('Nome,matricula\n"Silva, J",7\n'.encode())
+    wide = ",".join(["x"] * 60)
+    (tmp_path / "c.csv").write_bytes(f'\ufeff{wide},Nome,matricula\r\n{wide},"Zé\r\n""Neto""", 8 \r\n{wide}\r\n'.encode())
+    (tmp_path / "d.csv").write_bytes(b"")
     got = sorted(tuple(r) for r in roster.read_rosters(spark, str(tmp_path)).select("file_id", "registration_number", "name", "turma").collect())
-    assert got == [("a", "1", "Zoé", "T1"), ("a", "3", "Ana", "T1"), ("b", "7", "Silva, J", None)]
+    assert got == [("a", "1", "Zoé", "T1"), ("a", "3", "Ana", "T1"), ("b", "7", "Silva, J", None), ("c", "8", 'Zé\r\n"Neto"', None)]
 
 
 def test_rounding_and_reasons(spark):
@@ -164,12 +167,41 @@ def test_pixels(spark):
 
 
 def test_suppression_over_all_boxes(spark):
-    near = [(7, f"n{i:02}", i, 0, 100 + i, 100) for i in range(14)]
-    apart = [(7, f"r{i:02}", 0, 200 * i, 100, 200 * i + 100) for i in range(1, 15)]
-    rows = [*near, *apart, (8, "x", 0, 0, 10, 10), (8, "y", 1, 0, 11, 10), (None, "z", 0, 0, 10, 10)]
-    df = spark.createDataFrame(rows, "page_id long, region_id string, left int, upper int, right int, lower int").repartition(5)
-    got = sorted(regions.suppress_regions(df).collect(), key=lambda r: (r.page_id or 0, r.upper, r.left))
-    assert [(r.page_id, r.region_id) for r in got] == [(None, "z"), (7, "n00"), *[(7, f"r{i:02}") for i in range(1, 12)], (8, "x")]
+    near = [(7, f"n{i:02}", i, 0, 100, 100) for i in range(14)]
+    apart = [(7, f"r{i:02}", 0, 200 * i, 100, 100) for i in range(1, 15)]
+    rows = [*near, *apart, (8, "x", 0, 0, 10, 10), (8, "y", 1, 0, 10, 10), (8, "z", 2, 0, 0, 9), (8, "u", 2, 0, 0, 9), (None, "z", 0, 0, 10, 10)]
+    df = spark.createDataFrame(rows, "page_id long, region_id string, x int, y int, w int, h int").repartition(5)
+    got = sorted(regions.suppress_regions(df).collect(), key=lambda r: (r.page_id or 0, r.y, r.x, r.region_id))
+    assert [(r.page_id, r.region_id) for r in got] == [(None, "z"), (7, "n00"), *[(7, f"r{i:02}") for i in range(1, 12)], (8, "x"), (8, "u"), (8, "z")]
+
+
+def test_padding_by_the_box(spark):
+    df = spark.createDataFrame([(1, "a", 100, 200, 500, 100), (1, "b", 3, 900, 790, 99), (1, "c", 5, 150, 279, 100)], "page_id long, region_id string, x int, y int, w int, h int")
+    pages = spark.createDataFrame([(1, 800, 1000)], "page_id long, page_w int, page_h int")
+    got = {r.region_id: (r.left, r.upper, r.right, r.lower) for r in regions.answer_regions(df, pages).collect()}
+    assert got == {"a": (90, 196, 610, 304), "b": (0, 897, 800, 1000)}
+
+
+def test_failed_parse_and_truth(spark):
+    fine = ', "nota": 1, "comentario": "ok", "criterios_atendidos": ["x", 2], "criterios_ausentes": [], "revisao_necessaria": '
+    raws = ["nada", '{"a": 1' + fine + "false}", '{"needs_human_review": 1' + fine + "false}", '{"needs_human_review": "não"' + fine + "false}", '{"needs_human_review": null' + fine + "true}", '{"needs_human_review": []' + fine + "true}", '{"missing_concepts": ["m"], "detected_concepts": "d"' + fine + "false}"]
+    df = spark.createDataFrame([(i, r, "a b c", None, "alta", 1.0) for i, r in enumerate(raws)], "id int, raw string, answer string, prompt string, reading_confidence string, max_score double")
+    got = {r.id: r for r in grading.discursive_grades(df).collect()}
+    assert (got[0].score, got[0].schema_valid, got[0].needs_human_review, got[0].review_reason, got[0].justification, got[0].parse_warnings) == (0.0, True, True, grades.PARSE_ERROR, grades.PARSE_COMMENT, [])
+    assert [got[i].needs_human_review for i in range(1, 7)] == [False, True, True, False, False, False]
+    assert got[1].detected_concepts == ["x", "2"] and got[6].missing_concepts == ["m"] and got[6].detected_concepts == []
+
+
+def test_endless_scores(spark):
+    rows = [({"score": "inf"},), ({"score": "-Infinity"},), ({"score": "0.5", "manual_review_required": "1", "grading_confidence": "1"},), ({"score": "0.5", "manual_review_required": "0"},)]
+    got = [r.g for r in spark.createDataFrame(rows, "m map<string,string>").select(grades.single_grade(F.col("m")).alias("g")).collect()]
+    assert [(g.score, g.parse_ok, g.review) for g in got] == [(0.0, False, False), (0.0, False, False), (0.5, True, True), (0.5, True, False)]
+
+
+def test_vision_identity(spark):
+    page = '{"student": {"name": "ALUNO 7", "registration": "", "class": "T1"}, "page_number": 4, "questions": [{"answer_transcription": " "}, {"answer_transcription": "", "has_answer": true}]}'
+    got = sorted(payloads.vision_questions(spark.createDataFrame([("r", 2, page)], "run_id string, position int, payload string")).collect(), key=lambda r: r.place)
+    assert [(r.student_code, r.class_name, r.physical_page, r.has_answer, r.question_number) for r in got] == [("007", "T1", 4, True, 1), ("007", "T1", 4, True, 2)]
 
 
 def test_discursive_copied_by_ratio(spark):
