@@ -33,7 +33,7 @@ SELECT c_custkey AS id, c_nationkey AS class_id, c_name AS name,
     "fx_classes": "SELECT n_nationkey AS id, n_name AS name FROM nation",
     "fx_questions": """
 SELECT CAST(item_id AS INT) AS id, CAST(FLOOR(item_id / 8.0) AS INT) AS exam_id, CAST(item_id % 8 AS INT) + 1 AS question_number,
-       SUBSTR(text, 1, 120) AS question_text, text AS expected_answer, CAST(1.0 AS DOUBLE) AS max_score FROM benchmark""",
+       text AS question_text, text AS expected_answer, CAST(1.0 AS DOUBLE) AS max_score FROM benchmark""",
     "fx_answers": """
 SELECT d.doc_id AS id, d.source AS run_id, CAST(d.doc_id % 30 AS INT) + 1 AS page_number, CAST(d.doc_id % 5 AS INT) AS question_number,
        CASE WHEN d.doc_id % 7 = 0 THEN ' ' ELSE CONCAT('ALUNO ', CAST(d.doc_id % 40 AS STRING)) END AS student_name,
@@ -103,9 +103,9 @@ SELECT exam_id AS id, CONCAT('{"version":1,"pages":[{"physical_index":0,"student
 FROM (SELECT exam_id, MIN(CONCAT('{"question_number":', CAST(question_number AS STRING), ',"x_pt":50.5,"y_bottom_pt":100.25,"width_pt":400,"height_pt":120.75},{"question_number":99,"x_pt":1,"y_bottom_pt":2,"width_pt":3,"height_pt":4}')) AS boxes
       FROM fx_questions GROUP BY exam_id) t""",
     "fx_boxes": """
-SELECT l_orderkey % 1000 AS page_id, CONCAT(CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING)) AS region_id, CAST(l_suppkey % 300 AS INT) AS x,
+SELECT CAST(FLOOR(l_orderkey / 8.0) AS BIGINT) AS page_id, CONCAT(CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING)) AS region_id, CAST(l_suppkey % 300 AS INT) AS x,
        CAST(l_partkey % 900 AS INT) AS y, CAST(l_quantity * 20 AS INT) AS w, CAST(l_suppkey % 50 + l_quantity AS INT) * 3 AS h
-FROM lineitem WHERE l_linenumber <= 2""",
+FROM lineitem""",
     # Raw model outputs with a fault by question number.
     "fx_raw": """
 SELECT id, question_number, student_result_id,
@@ -128,7 +128,7 @@ SELECT student_result_id * 10 + question_number AS answer_id, CASE WHEN k = 0 TH
        CASE WHEN (source_page_number + k) % 6 = 0 THEN CONCAT('HTTP 40', CAST(k AS STRING)) END AS error
 FROM fx_scored CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) s WHERE NOT (k = 1 AND box_pos % 10 = 0)""",
     "fx_short": """
-SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN CONCAT('m. ', p_name, ' E.') WHEN 1 THEN p_name WHEN 2 THEN CONCAT(SUBSTR(p_name, 2, 60), ' D') WHEN 3 THEN '???' WHEN 4 THEN ' ' ELSE CONCAT('a. ', SUBSTR(p_name, 1, 8)) END AS answer,
+SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN CONCAT('m. ', p_name, ' E.') WHEN 1 THEN CASE WHEN p_size % 4 = 0 THEN CONCAT('A.B.', p_name, ' ESQ.') WHEN p_size % 4 = 1 THEN CONCAT('Mm.', p_name, ' direita') ELSE p_name END WHEN 2 THEN CONCAT(SUBSTR(p_name, 2, 60), ' D') WHEN 3 THEN '???' WHEN 4 THEN ' ' ELSE CONCAT('a. ', SUBSTR(p_name, 1, 8)) END AS answer,
        CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 5 = 0 THEN CONCAT(p_name, ' ou ', SUBSTR(p_name, 1, 10)) ELSE CONCAT('Músculo ', p_name, ' esquerdo') END AS key,
        CASE WHEN p_partkey % 10 = 0 THEN 'baixa' ELSE 'alta' END AS reading_confidence, CAST(1.0 AS DOUBLE) AS max_score
 FROM part""",

@@ -40,8 +40,7 @@ SELECT id, CASE WHEN c IS NULL THEN NULL ELSE printf('%03d', CAST(c AS INT)) END
   nullif(regexp_extract(coalesce(student_name, ''), '(?i)aluno\\D*(\\d{1,4})', 1), ''), nullif(regexp_extract(coalesce(student_name, ''), '(\\d{2,4})\\s*$', 1), ''),
   nullif(regexp_extract(coalesce(registration, ''), '(?i)aluno\\D*(\\d{1,4})', 1), ''), nullif(regexp_extract(coalesce(registration, ''), '(\\d{2,4})\\s*$', 1), '')) AS c FROM fx_answers) t""")
 def _(v):
-    got = v["fx_answers"].withColumn("code", student_code(F.col("student_name"), F.col("registration")))
-    return got.select("id", F.when(F.col("code") != "null", F.col("code")).alias("code"))
+    return v["fx_answers"].select("id", student_code(F.col("student_name"), F.col("registration")).alias("code"))
 
 
 @query("p8_identity_key", """
@@ -195,28 +194,37 @@ def _(v):
 
 
 SHEET = "SELECT DISTINCT page_id, 800 AS page_w, 1000 AS page_h FROM fx_boxes"
-CANDIDATES = f"""SELECT r.page_id, r.region_id, greatest(0, x - 16) AS "left", greatest(0, y - 40) AS upper, least(800, x + w + 16) AS "right", least(1000, y + h + 40) AS lower
-  FROM fx_boxes r WHERE w * h >= 0.025 * 800000 AND w >= 280 AND h >= 50 AND y >= 100"""
+CANDIDATES = "SELECT page_id, region_id, x, y, w, h FROM fx_boxes r WHERE w * h >= 0.025 * (800 * 1000) AND w >= 800 * 0.35 AND h >= 1000 * 0.05 AND y >= 1000 * 0.10"
+PADDED = """SELECT page_id, region_id, greatest(0, x - CAST(trunc(w * CAST(0.02 AS DOUBLE)) AS INT)) AS "left", greatest(0, y - CAST(trunc(h * CAST(0.04 AS DOUBLE)) AS INT)) AS upper,
+  least(800, x + w + CAST(trunc(w * CAST(0.02 AS DOUBLE)) AS INT)) AS "right", least(1000, y + h + CAST(trunc(h * CAST(0.04 AS DOUBLE)) AS INT)) AS lower FROM"""
+# Whether boxes a and b overlap by more than 65 % of the smaller one.
+OVERLAP = """coalesce(greatest(0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x)) * greatest(0, least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y))
+  / nullif(CAST(least({a}.w * {a}.h, {b}.w * {b}.h) AS DOUBLE), 0) > 0.65, FALSE)"""
 
 
-@query("p6_region_candidates", CANDIDATES)
+@query("p6_region_candidates", f"{PADDED} ({CANDIDATES}) c")
 def _(v):
-    return regions.region_candidates(v["fx_boxes"], v.sql(SHEET))
+    return regions.padded(regions.region_candidates(v["fx_boxes"], v.sql(SHEET)))
 
 
 @query("j10_overlapping_pairs", f"""WITH c AS ({CANDIDATES})
-SELECT a.page_id, a.region_id AS a, b.region_id AS b FROM c a JOIN c b ON a.page_id = b.page_id AND (a.upper, a."left", a.region_id) < (b.upper, b."left", b.region_id)
-WHERE greatest(0, least(a."right", b."right") - greatest(a."left", b."left")) * greatest(0, least(a.lower, b.lower) - greatest(a.upper, b.upper)) > 0.65 * least((a."right" - a."left") * (a.lower - a.upper), (b."right" - b."left") * (b.lower - b.upper))""")
+SELECT a.page_id, a.region_id AS a, b.region_id AS b FROM c a JOIN c b ON a.page_id = b.page_id AND (a.y, a.x, a.region_id) < (b.y, b.x, b.region_id) WHERE {OVERLAP.format(a="a", b="b")}""")
 def _(v):
     return regions.overlapping_pairs(regions.region_candidates(v["fx_boxes"], v.sql(SHEET)))
 
 
-@query("j10_suppress_regions")
+# A fold over the page's boxes in (y, x) order; its state is the list of the kept ones.
+@query("j10_suppress_regions", f"""
+WITH RECURSIVE n AS (SELECT page_id, {{'id': region_id, 'x': x, 'y': y, 'w': w, 'h': h}} AS b, row_number() OVER (PARTITION BY page_id ORDER BY y, x, region_id) AS k FROM ({CANDIDATES}) c),
+f AS (SELECT page_id, k, [b] AS kept FROM n WHERE k = 1
+  UNION ALL SELECT n.page_id, n.k, CASE WHEN len(f.kept) >= 12 OR len(list_filter(f.kept, lambda o: {OVERLAP.format(a="n.b", b="o")})) > 0 THEN f.kept ELSE list_append(f.kept, n.b) END FROM f JOIN n ON n.page_id = f.page_id AND n.k = f.k + 1),
+t AS (SELECT page_id, unnest(arg_max(kept, k)) AS b FROM f GROUP BY page_id)
+{PADDED} (SELECT page_id, b.id AS region_id, b.x AS x, b.y AS y, b.w AS w, b.h AS h FROM t) s""")
 def _(v):
-    return regions.suppress_regions(regions.region_candidates(v["fx_boxes"], v.sql(SHEET)))
+    return regions.answer_regions(v["fx_boxes"], v.sql(SHEET))
 
 
-GUARD = "SELECT id, CAST(id % 8 AS INT) + 1 AS question_number, SUBSTR(answer_transcription, 1, 200) AS rubric_text, score FROM fx_answers"
+GUARD = "SELECT id, CAST(id % 8 AS INT) + 1 AS question_number, answer_transcription AS rubric_text, score FROM fx_answers"
 
 
 @query("f24_semantic_guard", f"""SELECT id, question_number, CASE WHEN question_number <= 3 AND NOT (contains(lower(rubric_text), 'the') OR contains(lower(rubric_text), 'la')) THEN 0.0 ELSE score END AS score,

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.grades import reading_confidence, single_grade
 from ..functions.json_text import schema_warnings, with_kinds, with_recovery
-from ..functions.short_answer import copy_form, key_variants, nfd_strip, normal_form, plain_letters
+from ..functions.short_answer import (
+    ABBREVIATIONS, ALIASES, ALTERNATIVES, DROPPED, LAST_LEFT, LAST_RIGHT, LEFT, MUSCLE, RIGHT, SIDES, copy_form, key_variants, nfd_strip, normal_form, plain_letters,
+)
 from ..functions.values import decimal_or, iso_timestamp, needs_fallback, unit_interval, word_count
 from ..operators import grading, payloads
 from ..sources import exam_lines, roster
+from ..sources.shared import shared_path
 from .registry import query
 from .score_queries import r6
 
@@ -40,17 +43,19 @@ def _(v):
 
 VISION = """SELECT run_id, CAST(id AS INT) AS position, CONCAT('{"student": {"name": "', student_name, '", "student_code": "', detected_student_code, '"}, "physical_page": ', CAST(page_number - 1 AS STRING), ', "page": ', CAST(page_number AS STRING),
   ', "questions": [{"number": ', CAST(question_number AS STRING), ', "answer_transcription": "texto ', CAST(id AS STRING), '", "reading_confidence": "', CASE WHEN reading_confidence = 'media' THEN 'Médio' ELSE reading_confidence END, '", "ocr_confidence": ', CASE WHEN id % 2 = 0 THEN '1.5' ELSE '"0,5"' END,
-  '}, {"answer_transcription": "", "reading_confidence": "?"}]}') AS payload, id FROM fx_answers"""
+  '}, {"answer_transcription": "', CASE WHEN id % 3 = 0 THEN '  ' ELSE '' END, '", "reading_confidence": "?"}]}') AS payload, id FROM fx_answers"""
 
 
-VISION_ROWS = """SELECT run_id, CAST(id AS INT) AS page_number, k AS place, CASE WHEN k = 0 THEN question_number ELSE 2 END AS question_number, CASE WHEN k = 0 THEN 'texto ' || id ELSE '' END AS answer_transcription,
-  CASE WHEN k = 0 THEN reading_confidence ELSE 'baixa' END AS reading_confidence, CASE WHEN k = 1 THEN NULL WHEN id % 2 = 0 THEN 1.0 ELSE 0.5 END AS ocr_confidence, k = 0 AS has_answer
+VISION_ROWS = """SELECT run_id, CAST(id AS INT) AS page_number, k AS place, CASE WHEN k = 0 THEN question_number ELSE 2 END AS question_number, CASE WHEN k = 0 THEN 'texto ' || id WHEN id % 3 = 0 THEN '  ' ELSE '' END AS answer_transcription,
+  CASE WHEN k = 0 THEN reading_confidence ELSE 'baixa' END AS reading_confidence, CASE WHEN k = 1 THEN NULL WHEN id % 2 = 0 THEN 1.0 ELSE 0.5 END AS ocr_confidence, k = 0 OR id % 3 = 0 AS has_answer,
+  coalesce(nullif(trim(detected_student_code), ''), CASE WHEN student_name <> ' ' THEN printf('%03d', CAST(regexp_extract(student_name, '[0-9]+') AS INT)) END, '') AS student_code,
+  CASE WHEN page_number - 1 <> 0 THEN page_number - 1 ELSE CAST(id AS INT) END AS physical_page
   FROM fx_answers CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) s"""
 
 
 @query("f23_vision_questions", VISION_ROWS)
 def _(v):
-    return payloads.vision_questions(v.sql(VISION)).select("run_id", "page_number", "place", "question_number", "answer_transcription", "reading_confidence", "ocr_confidence", "has_answer")
+    return payloads.vision_questions(v.sql(VISION)).select("run_id", "page_number", "place", "question_number", "answer_transcription", "reading_confidence", "ocr_confidence", "has_answer", "student_code", "physical_page")
 
 
 @query("p3_valid_questions", f"SELECT run_id, page_number, question_number, CAST(NULL AS VARCHAR) AS warning FROM ({VISION_ROWS}) a WHERE question_number > 0 UNION ALL SELECT run_id, page_number, NULL, 'invalid question number on page ' || page_number FROM ({VISION_ROWS}) b WHERE coalesce(question_number, 0) <= 0")
@@ -59,12 +64,15 @@ def _(v):
     return kept.select("run_id", "page_number", "question_number", F.lit(None).cast("string").alias("warning")).unionByName(dropped.withColumn("question_number", F.lit(None).cast("int")))
 
 
-@query("w3_dedupe_page_answers", f"SELECT run_id, page_number, question_number, min(place) AS place FROM ({VISION_ROWS}) a GROUP BY 1, 2, 3")
+@query("w3_dedupe_page_answers", f"""SELECT run_id, page_number, question_number, min(place) AS place, CAST(NULL AS VARCHAR) AS warning FROM ({VISION_ROWS}) a GROUP BY 1, 2, 3 UNION ALL
+  SELECT run_id, page_number, question_number, place, 'question ' || question_number || ' repeats on page ' || page_number FROM (SELECT *, row_number() OVER (PARTITION BY run_id, page_number, question_number ORDER BY place) AS p FROM ({VISION_ROWS}) a) b WHERE p > 1""")
 def _(v):
-    return payloads.dedupe_page_answers(payloads.vision_questions(v.sql(VISION)))[0].select("run_id", "page_number", "question_number", "place")
+    kept, dropped = payloads.dedupe_page_answers(payloads.vision_questions(v.sql(VISION)))
+    cols = ["run_id", "page_number", "question_number", "place"]
+    return kept.select(*cols, F.lit(None).cast("string").alias("warning")).unionByName(dropped.select(*cols, "warning"))
 
 
-@query("s6_flatten_answers", """SELECT run_id, id, CASE WHEN page_number - 1 <> 0 THEN page_number - 1 ELSE page_number END AS page_number, CASE WHEN k = 0 THEN question_number END AS question_number, CASE WHEN k = 0 THEN 'texto ' || id ELSE '' END AS answer_transcription,
+@query("s6_flatten_answers", """SELECT run_id, id, CASE WHEN page_number - 1 <> 0 THEN page_number - 1 ELSE page_number END AS page_number, CASE WHEN k = 0 THEN question_number END AS question_number, CASE WHEN k = 0 THEN 'texto ' || id WHEN id % 3 = 0 THEN '  ' ELSE '' END AS answer_transcription,
   CASE WHEN k = 0 AND question_number = 1 THEN 0.5 END AS score, CASE WHEN k = 0 AND id % 2 = 0 THEN 1.5 END AS ocr_confidence, (k = 0 AND question_number = 2) OR k = 1 OR reading_confidence = 'baixa' AS needs_human_review
   FROM fx_answers CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) s""")
 def _(v):
@@ -74,17 +82,17 @@ def _(v):
     return got.select(F.split("run_id", "#")[0].alias("run_id"), F.split("run_id", "#")[1].cast("long").alias("id"), "page_number", "question_number", "answer_transcription", "score", "ocr_confidence", "needs_human_review")
 
 
-@query("a13_mean_confidence", """SELECT student_result_id AS answer_id, string_agg(CASE WHEN question_number % 3 <> 0 THEN 'bloco ' || question_number END, chr(10) || chr(10) ORDER BY question_number) AS text,
-  round(avg(CASE WHEN question_number % 2 = 1 THEN ocr_confidence END), 6) AS confidence FROM fx_scored WHERE question_number <= 2 GROUP BY 1""")
+@query("a13_mean_confidence", """SELECT student_result_id AS answer_id, coalesce(string_agg(CASE WHEN question_number % 3 <> 0 THEN 'bloco ' || question_number END, chr(10) || chr(10) ORDER BY question_number), '') AS text,
+  round(avg(CASE WHEN question_number % 2 = 1 THEN ocr_confidence END), 6) AS confidence FROM fx_scored GROUP BY 1""")
 def _(v):
-    page = F.struct(F.col("question_number").alias("n"), F.concat(F.lit("bloco "), F.col("question_number").cast("string")).alias("markdown"), F.when(F.col("question_number") % 2 == 1, F.col("ocr_confidence").cast("string")).otherwise("n/a").alias("conf"))
-    raw = v["fx_scored"].where("question_number <= 2").groupBy(F.col("student_result_id").alias("answer_id")).agg(F.sort_array(F.collect_list(page)).alias("pages"))
+    page = F.struct(F.col("question_number").alias("n"), F.when(F.col("question_number") % 3 != 0, F.concat(F.lit("bloco "), F.col("question_number").cast("string"))).otherwise(" ").alias("markdown"), F.when(F.col("question_number") % 2 == 1, F.col("ocr_confidence").cast("string")).otherwise("n/a").alias("conf"))
+    raw = v["fx_scored"].groupBy(F.col("student_result_id").alias("answer_id")).agg(F.sort_array(F.collect_list(page)).alias("pages"))
     return payloads.mean_confidence(raw).withColumn("confidence", r6("confidence"))
 
 
 @query("j11_resolve_ocr", """
-WITH r AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) < 3 OR coalesce(confidence < 0.70, FALSE) AS nf FROM fx_ocr),
-a AS (SELECT * FROM r WHERE provider = 'azure'), b AS (SELECT * FROM r WHERE provider = 'google'),
+WITH o AS MATERIALIZED (SELECT * FROM fx_ocr), n AS (SELECT text, array_length(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) < 3 OR trim(text) = '' AS few FROM (SELECT DISTINCT text FROM o) t),
+r AS MATERIALIZED (SELECT o.*, few OR coalesce(confidence < 0.70, FALSE) AS nf FROM o JOIN n ON n.text = o.text), a AS (SELECT * FROM r WHERE provider = 'azure'), b AS (SELECT * FROM r WHERE provider = 'google'),
 j AS (SELECT a.answer_id, a.text AS ta, b.text AS tb, a.confidence AS ca, b.confidence AS cb, a.error AS ea, b.error AS eb, a.nf AS na, b.nf AS nb, b.answer_id IS NULL AS alone,
   a.error IS NULL AND NOT a.nf AS ga, coalesce(b.error IS NULL AND NOT b.nf, FALSE) AS gb FROM a LEFT JOIN b ON a.answer_id = b.answer_id)
 SELECT answer_id, CASE WHEN alone OR ga THEN ta WHEN gb OR trim(tb) <> '' THEN tb ELSE coalesce(nullif(ta, ''), nullif(tb, ''), '') END AS text,
@@ -121,7 +129,7 @@ def _(v):
     return payloads.pick_model_output(v.sql(OUTPUTS), ["m-a", "text-only", "m-b", "m-a", "zz4"], ("text-only",))
 
 
-ASKED = "SELECT id, CAST(id % 40 AS INT) AS question_id, CASE WHEN id % 6 = 0 THEN '  ' ELSE SUBSTR(answer_transcription, 1, 80) END AS answer_transcription FROM fx_answers"
+ASKED = "SELECT id, CAST(id % 40 AS INT) AS question_id, CASE WHEN id % 6 = 0 THEN '  ' ELSE answer_transcription END AS answer_transcription FROM fx_answers"
 
 
 @query("p10_build_requests", f"""SELECT a.id, a.question_id, 'Questão: ' || q.question_text || chr(10) || 'Gabarito: ' || q.expected_answer || chr(10) || 'Valor: 1.0' || chr(10) || 'Resposta: ' ||
@@ -138,10 +146,14 @@ def _(v):
     return payloads.expected_from_raw(v.sql(RAWS), v["fx_questions"])
 
 
-@query("f5_reading_confidence", "SELECT id, CASE id % 6 WHEN 0 THEN 'alta' WHEN 1 THEN 'media' WHEN 2 THEN 'media' WHEN 3 THEN 'media' ELSE 'baixa' END AS c FROM fx_answers")
+# What pages and documents say, in several spellings, and words of the texts that name no level.
+SAID = """SELECT id, CASE WHEN LENGTH(answer_transcription) % 5 = 0 THEN UPPER(reading_confidence) WHEN LENGTH(answer_transcription) % 5 = 1 THEN CONCAT('  ', REPLACE(reading_confidence, 'media', 'Médio'), ' ')
+  WHEN LENGTH(answer_transcription) % 5 = 2 THEN REPLACE(reading_confidence, 'media', 'MÉDIA') WHEN LENGTH(answer_transcription) % 5 = 3 THEN reading_confidence ELSE answer_transcription END AS said FROM fx_answers"""
+
+
+@query("f5_reading_confidence", f"SELECT id, CASE WHEN t IN ('alta', 'media', 'baixa') THEN t WHEN t IN ('média', 'medio', 'médio') THEN 'media' ELSE 'baixa' END AS c FROM (SELECT id, lower(regexp_replace(coalesce(said, ''), '^\\s+|\\s+$', '', 'g')) AS t FROM ({SAID}) s) x")
 def _(v):
-    said = F.element_at(F.array(*map(F.lit, (" Alta", "MEDIA", "média ", "Médio", "baixa", "??"))), (F.col("id") % 6 + 1).cast("int"))
-    return v["fx_answers"].select("id", reading_confidence(said).alias("c"))
+    return v.sql(SAID).select("id", reading_confidence(F.col("said")).alias("c"))
 
 
 @query("f6_unit_interval", "SELECT id, CASE WHEN score IS NULL THEN NULL ELSE least(1.0, greatest(0.0, score * 3 - 1)) END AS c FROM fx_answers")
@@ -164,10 +176,10 @@ def _(v):
     return got.select("id", "student_result_id", "question_number", F.col("_obj").isNotNull().alias("parsed"), F.col("_obj")["nota"].try_cast("double").alias("nota"))
 
 
-@query("f20_schema_warnings", f"""SELECT {SOLE}, CASE WHEN question_number = 6 THEN 'JSON recuperado, mas schema incompleto: chaves ausentes: [''criterios_atendidos'', ''revisao_necessaria'']|Chaves suspeitas/ignoradas: [''criterios_austeis'', ''revisao_necessosa'']' ELSE '' END AS warnings FROM fx_raw WHERE question_number <= 6""")
+@query("f20_schema_warnings", f"""SELECT {SOLE}, CASE WHEN question_number = 6 THEN 'JSON recuperado, mas schema incompleto: chaves ausentes: [''criterios_atendidos'', ''revisao_necessaria'']|Chaves suspeitas/ignoradas: [''criterios_austeis'', ''revisao_necessosa'']' ELSE '' END AS warnings FROM fx_raw""")
 def _(v):
-    rows = with_kinds(v["fx_raw"].where("question_number <= 6"), "raw")
-    return rows.select("id", "student_result_id", "question_number", F.array_join(schema_warnings(), "|").alias("warnings"))
+    warned = F.when(F.col("_obj").isNotNull(), F.array_join(schema_warnings(), "|"))
+    return with_kinds(v["fx_raw"], "raw").select("id", "student_result_id", "question_number", F.coalesce(warned, F.lit("")).alias("warnings"))
 
 
 @query("f22_discursive_grades", f"""
@@ -175,11 +187,15 @@ WITH r AS (SELECT *, CASE WHEN question_number <= 3 THEN CAST(json_extract_strin
 g AS (SELECT *, least(1.0, greatest(0.0, ceil(x * 4 - 0.5) / 4)) AS s, x <> least(1.0, greatest(0.0, ceil(x * 4 - 0.5) / 4)) AS off, CASE WHEN marks THEN TRUE ELSE FALSE END AS copied FROM r)
 SELECT {SOLE}, CASE WHEN question_number = 7 OR copied THEN 0.0 ELSE s END AS score,
   CASE WHEN copied THEN 'incorreta' WHEN answer = '' THEN 'sem_resposta' WHEN question_number = 7 THEN 'incorreta' WHEN s >= 0.99 THEN 'correta' WHEN s > 0 THEN 'parcial' ELSE 'incorreta' END AS verdict,
-  question_number IN (6, 7) OR (question_number = 2) OR reading_confidence = 'baixa' OR marks OR coalesce(off, FALSE) OR copied AS needs_human_review, question_number <= 5 AS schema_valid FROM g""")
+  question_number IN (6, 7) OR (question_number = 2) OR reading_confidence = 'baixa' OR marks OR coalesce(off, FALSE) OR copied AS needs_human_review, question_number <> 6 AS schema_valid,
+  CASE WHEN question_number = 7 THEN 'erro_parse' WHEN question_number = 6 THEN 'JSON recuperado, mas schema incompleto: chaves ausentes: [''criterios_atendidos'', ''revisao_necessaria'']; Chaves suspeitas/ignoradas: [''criterios_austeis'', ''revisao_necessosa'']; Campo revisao_necessaria com tipo/valor inválido.'
+    WHEN copied THEN 'Resposta parece cópia do enunciado da questão.' WHEN coalesce(off, FALSE) THEN 'Nota fora do formato esperado; revisão manual necessária.' WHEN reading_confidence = 'baixa' THEN 'Leitura visual com baixa confiança.' ELSE '' END AS review_reason,
+  CASE WHEN question_number = 7 THEN 'Resposta da IA em formato inválido. Revisão manual necessária.' WHEN question_number <= 2 THEN 'bom' WHEN question_number = 3 THEN 'c' ELSE 'x' END AS justification,
+  CASE WHEN question_number = 1 THEN 'a' ELSE '' END AS detected FROM g""")
 def _(v):
     rows = v["fx_raw"].withColumn("task", F.struct("id", "student_result_id", "question_number"))
     got = grading.discursive_grades(rows.drop("id").withColumnRenamed("task", "id"))
-    return got.select("id.id", "id.student_result_id", "id.question_number", "score", "verdict", "needs_human_review", "schema_valid")
+    return got.select("id.id", "id.student_result_id", "id.question_number", "score", "verdict", "needs_human_review", "schema_valid", "review_reason", "justification", F.array_join("detected_concepts", "|").alias("detected"))
 
 
 @query("f3_single_grade", f"""SELECT {SOLE}, CASE WHEN ai_score * 2 > 1.0 THEN 1.0 ELSE round_even(ai_score * 2 * 4, 0) / 4 END AS score, grading_confidence AS confidence, ai_score * 2 <= 1.0 + 1e-6 AS parse_ok FROM fx_scored""")
@@ -189,10 +205,12 @@ def _(v):
     return v["fx_scored"].withColumn("g", g).withColumn("r", single_grade(F.col("g"))).select("id", "student_result_id", "question_number", "r.score", "r.confidence", "r.parse_ok")
 
 
-@query("f26_decimal_or", "SELECT id, CASE id % 4 WHEN 0 THEN 1.5 WHEN 1 THEN 2.0 ELSE 1.0 END AS x FROM fx_answers")
+PRICES = "SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN REPLACE(CAST(p_retailprice AS STRING), '.', ',') WHEN p_size % 4 = 1 THEN CONCAT(' ', CAST(p_size AS STRING), ' ') WHEN p_size % 4 = 2 THEN p_name ELSE CAST(p_retailprice AS STRING) END AS said FROM part"
+
+
+@query("f26_decimal_or", f"SELECT id, round(coalesce(CASE WHEN regexp_matches(t, '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(t AS DOUBLE) END, 1.0), 6) AS x FROM (SELECT id, replace(trim(said), ',', '.') AS t FROM ({PRICES}) p) q")
 def _(v):
-    said = F.element_at(F.array(*map(F.lit, ("1,5", " 2 ", "abc", ""))), (F.col("id") % 4 + 1).cast("int"))
-    return v["fx_answers"].select("id", decimal_or(said, 1.0).alias("x"))
+    return v.sql(PRICES).select("id", r6(decimal_or(F.col("said"), 1.0)).alias("x"))
 
 
 @query("f32_iso_timestamp", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS t FROM events")
@@ -208,29 +226,70 @@ def _(v):
     return v["fx_answers"].select("id", copy_form(F.col("answer_transcription")).alias("t"))
 
 
-@query("f12_plain_letters", "SELECT id, strip_accents(answer_transcription) AS t FROM fx_answers")
+LETTERS = "SELECT id, CASE WHEN id % 4 = 0 THEN CONCAT(answer_transcription, ' ação e\u0301 n\u0303') ELSE answer_transcription END AS t FROM fx_answers"
+# Further scripts: precomposed Greek, Cyrillic and Vietnamese letters, which the Latin table leaves whole.
+SCRIPTS = "SELECT id, CONCAT(answer_transcription, ' Άλφα йод ệ ở ǻ e\u0301') AS t FROM fx_answers"
+
+
+@query("f12_plain_letters", f"SELECT id, strip_accents(t) AS t FROM ({LETTERS}) x")
 def _(v):
-    return v["fx_answers"].select("id", plain_letters(F.col("answer_transcription")).alias("t"))
+    return v.sql(LETTERS).select("id", plain_letters(F.col("t")).alias("t"))
 
 
-@query("f12_nfd_strip", "SELECT id, strip_accents(answer_transcription) AS t FROM fx_answers")
+@query("f12_nfd_strip", f"SELECT id, regexp_replace(strip_accents(t), '\\p{{Mn}}', '', 'g') AS t FROM ({SCRIPTS}) x")
 def _(v):
-    return v["fx_answers"].select("id", nfd_strip(F.col("answer_transcription")).alias("t"))
+    return v.sql(SCRIPTS).select("id", nfd_strip(F.col("t")).alias("t"))
+
+
+def normal_sql(c: str) -> str:
+    """F13 for DuckDB. Its patterns know no look-ahead: the letter or blank ahead is matched and put back, where need be twice over."""
+    shorts = "|".join(a for a, _ in ABBREVIATIONS)
+    t = f"lower(strip_accents(coalesce({c}, '')))"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '\\b({shorts})\\.([a-z])', '\\1. \\2', 'g')"
+    t = f"(' ' || {t} || ' ')"
+    for short, word in ABBREVIATIONS:
+        t = f"regexp_replace({t}, '\\b{short}\\.?(\\s)', ' {word} \\1', 'g')"
+    for pattern, word in ((MUSCLE, " "), (LEFT, " esquerdo "), (RIGHT, " direito "), (DROPPED, " "), (r"\s+", " ")):
+        t = f"regexp_replace({t}, '{pattern}', '{word}', 'g')"
+    t = f"regexp_replace(regexp_replace(trim({t}), '{LAST_LEFT}', '\\1esquerdo'), '{LAST_RIGHT}', '\\1direito')"
+    for alias, word in ALIASES:
+        t = f"regexp_replace({t}, '\\b{alias}\\b', ' {word} ', 'g')"
+    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
 
 
-@query("f13_normal_form")
+def side_sql(c: str) -> str:
+    has = lambda a, b: f"(contains(' ' || {c}, ' {a}') OR contains(' ' || {c}, ' {b}'))"
+    left, right = has("esquerdo", "esquerda"), has("direito", "direita")
+    return f"CASE WHEN {left} AND NOT {right} THEN 'left' WHEN {right} AND NOT {left} THEN 'right' ELSE '' END"
+
+
+# Forms of distinct texts, and each key's variants in order with their place.
+SHORT = f"""s AS MATERIALIZED (SELECT id, reading_confidence, max_score, regexp_replace(answer, '^\\s+|\\s+$', '', 'g') AS answer, regexp_replace(key, '^\\s+|\\s+$', '', 'g') AS key FROM fx_short),
+form AS MATERIALIZED (SELECT t, {normal_sql("t")} AS f FROM (SELECT answer AS t FROM s UNION SELECT key FROM s) x),
+part_of AS (SELECT key, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM (SELECT key, string_split_regex(key, '{ALTERNATIVES}') AS parts FROM (SELECT DISTINCT key FROM s) k) l
+  UNION ALL SELECT key, key, 1000000 FROM (SELECT DISTINCT key FROM s) k),
+variant AS MATERIALIZED (SELECT key, v, min(i) AS i FROM (SELECT key, i, {normal_sql("p")} AS v FROM part_of WHERE trim(p) <> '') y WHERE v <> '' GROUP BY 1, 2)"""
+
+
+@query("f13_normal_form", f"WITH {SHORT} SELECT s.id, a.f AS answer_form, k.f AS key_form FROM s JOIN form a ON a.t = s.answer JOIN form k ON k.t = s.key")
 def _(v):
     return v["fx_short"].select("id", normal_form(F.col("answer")).alias("answer_form"), normal_form(F.col("key")).alias("key_form"))
 
 
-@query("f14_key_variants")
+@query("f14_key_variants", f"WITH {SHORT} SELECT s.id, coalesce(string_agg(v, '|' ORDER BY i), '') AS variants FROM s LEFT JOIN variant n ON n.key = s.key GROUP BY 1")
 def _(v):
     return v["fx_short"].select("id", F.array_join(key_variants(F.col("key")), "|").alias("variants"))
 
 
-@query("f15_coverage_and_side")
+def coverage_sql(a: str, k: str) -> str:
+    return f"len(list_intersect(string_split({a}, ' '), list_distinct(string_split({k}, ' ')))) / greatest(len(list_distinct(string_split({k}, ' '))), 1)"
+
+
+@query("f15_coverage_and_side", f"""WITH {SHORT} SELECT id, round({coverage_sql("a", "k")}, 9) AS coverage, {side_sql("a")} AS side, ({side_sql("a")}) = '' OR ({side_sql("k")}) = '' OR ({side_sql("a")}) = ({side_sql("k")}) AS side_ok
+  FROM (SELECT s.id, a.f AS a, k.f AS k FROM s JOIN form a ON a.t = s.answer JOIN form k ON k.t = s.key) x""")
 def _(v):
-    return grading.word_coverage(v["fx_short"])
+    return grading.word_coverage(v["fx_short"]).withColumn("coverage", F.round("coverage", 9))
 
 
 @query("f17_short_answers")
@@ -238,9 +297,38 @@ def _(v):
     return grading.grade_short_answers(v["fx_short"])
 
 
-@query("f17_exact_matches", """SELECT p_partkey AS id FROM part WHERE p_partkey % 6 = 1 AND p_partkey % 17 <> 0 AND p_partkey % 5 = 0""")
+def distance_ratio(x: str, y: str):
+    """A ratio that SQL knows as well, in place of the matching-blocks one."""
+    return 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))
+
+
+def likeness_sql(a: str, k: str) -> str:
+    ratio = f"1 - levenshtein({a}, {k}) / greatest(length({a}), length({k}), 1)"
+    return f"CASE WHEN {a} = '' OR {k} = '' THEN 0.0 ELSE 0.65 * ({ratio}) + 0.35 * ({coverage_sql(a, k)}) END"
+
+
+BARE_SIDE = "trim(regexp_replace(regexp_replace({c}, '" + SIDES + "', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+# All rules of F17 but the ratio itself: another ratio, which DuckDB has too, stands in its place.
+@query("f17_rules_by_distance", f"""WITH {SHORT},
+pair AS MATERIALIZED (SELECT DISTINCT s.key, a.f AS n, v.v, v.i, {BARE_SIDE.format(c="a.f")} AS n0, {BARE_SIDE.format(c="v.v")} AS v0 FROM s JOIN form a ON a.t = s.answer JOIN variant v ON v.key = s.key WHERE s.answer <> ''),
+liked AS (SELECT *, {likeness_sql("n", "v")} AS sim, {likeness_sql("n0", "v0")} AS sim0 FROM pair),
+best AS (SELECT key, n, v, sim, sim0 FROM (SELECT *, row_number() OVER (PARTITION BY key, n ORDER BY sim DESC, i) AS p FROM liked) r WHERE p = 1),
+x AS (SELECT s.*, a.f AS n, k.f AS kf, coalesce(b.v, '') AS v, coalesce(b.sim, 0.0) AS sim, coalesce(b.sim0, 0.0) AS sim0 FROM s JOIN form a ON a.t = s.answer JOIN form k ON k.t = s.key LEFT JOIN best b ON b.key = s.key AND b.n = a.f),
+y AS (SELECT *, ({side_sql("n")}) = '' OR ({side_sql("kf")}) = '' OR ({side_sql("n")}) = ({side_sql("kf")}) AS side, v <> '' AND (contains(n, v) OR contains(v, n) OR sim >= 0.90) AS held, v <> '' AND sim0 >= 0.86 AS alike FROM x),
+z AS (SELECT *, held AND side AS correct, NOT (held AND side) AND ((side AND sim >= 0.72) OR (alike AND sim >= 0.68)) AS near FROM y)
+SELECT id, CASE WHEN key <> '' THEN CASE WHEN correct AND answer <> '' THEN max_score ELSE 0.0 END END AS score, CASE WHEN key = '' THEN 'sem_rubrica' WHEN answer = '' THEN 'sem_resposta' WHEN correct THEN 'correta' ELSE 'incorreta' END AS verdict,
+  key = '' OR reading_confidence = 'baixa' OR (answer <> '' AND near) AS needs_human_review, CASE WHEN key = '' THEN 'Gabarito prático não informado para esta questão.' WHEN answer = '' THEN 'Resposta em branco. Esperado: ' || key || '.'
+    WHEN NOT side AND alike THEN 'Estrutura compatível, mas lateralidade divergente.' WHEN correct THEN 'Resposta prática confere com o gabarito esperado.' WHEN near THEN 'Resposta próxima ao gabarito; possível ruído de OCR/abreviação. Revisão humana recomendada.'
+    ELSE 'Resposta prática não confere com o gabarito esperado: ' || key || '.' END AS justification, n AS normal_answer FROM z""")
+def _(v):
+    return grading.grade_short_answers(v["fx_short"], ratio=distance_ratio).select("id", "score", "verdict", "needs_human_review", "justification", "normal_answer")
+
+
+@query("f17_exact_matches", f"""WITH {SHORT} SELECT s.id FROM s JOIN form a ON a.t = s.answer JOIN form k ON k.t = s.key JOIN variant v ON v.key = s.key AND v.v = a.f WHERE ({side_sql("a.f")}) = '' OR ({side_sql("k.f")}) = '' OR ({side_sql("a.f")}) = ({side_sql("k.f")})""")
 def _(v):
-    return grading.exact_matches(v["fx_short"].where("id % 6 = 1 and id % 5 = 0"))
+    return grading.exact_matches(v["fx_short"])
 
 
 TOLD = "SELECT conv_id, turn, prompt, CASE WHEN turn % 4 = 0 THEN CONCAT(prompt, ' ok') ELSE answer END AS answer FROM fx_turns"
@@ -254,29 +342,48 @@ def _(v):
     return v.sql(TOLD).select("conv_id", "turn", grading.overlap_copied(F.col("answer"), F.col("prompt")).alias("copied"))
 
 
+# Copying by overlap or ratio, with a ratio that DuckDB has too.
+@query("f18_copied_by_distance", f"""
+WITH t AS (SELECT conv_id, turn, {FORM.format(c='answer')} AS a, {FORM.format(c='prompt')} AS p FROM ({TOLD}) x),
+w AS (SELECT *, list_distinct(string_split(a, ' ')) AS wa, list_distinct(string_split(p, ' ')) AS wp, length(a) >= 20 AND length(p) >= 20 AS long FROM t)
+SELECT conv_id, turn, long AND (len(list_intersect(wa, wp)) / greatest(len(wa), 1) >= 0.85 OR (2 * least(length(a), length(p)) >= 0.6 * (length(a) + length(p)) AND 1 - levenshtein(a, p) / greatest(length(a), length(p), 1) >= 0.6)) AS copied FROM w""")
+def _(v):
+    return grading.copied_prompts(v.sql(TOLD), 0.6, distance_ratio).select("conv_id", "turn", "copied")
+
+
 @query("f18_copied_prompts")
 def _(v):
     return grading.copied_prompts(v.sql(TOLD)).select("conv_id", "turn", "copied")
 
 
-@query("f25_default_grades", "SELECT id, CASE id % 3 WHEN 0 THEN NULL ELSE 0.0 END AS score, CASE id % 3 WHEN 0 THEN 'sem_rubrica' ELSE 'erro' END AS verdict, TRUE AS needs_human_review FROM fx_answers")
+CAUSES = "SELECT id, CASE WHEN question_number = 0 THEN 'no_rubric' WHEN needs_human_review OR LENGTH(answer_transcription) < 500 THEN 'grading_error' ELSE 'model_failure' END AS cause FROM fx_answers WHERE question_number = 0 OR needs_human_review OR reading_confidence = 'baixa' OR LENGTH(answer_transcription) < 500"
+
+
+@query("f25_default_grades", f"""SELECT id, CASE WHEN cause <> 'no_rubric' THEN 0.0 END AS score, CASE WHEN cause = 'no_rubric' THEN 'sem_rubrica' ELSE 'erro' END AS verdict, TRUE AS needs_human_review,
+  CASE cause WHEN 'no_rubric' THEN 'Questão sem rubrica cadastrada.' WHEN 'grading_error' THEN 'Erro na correção automática.' ELSE 'Falha do modelo de correção.' END AS review_reason FROM ({CAUSES}) c""")
 def _(v):
-    cause = F.element_at(F.array(*map(F.lit, ("no_rubric", "grading_error", "model_failure"))), (F.col("id") % 3 + 1).cast("int"))
-    return grading.default_grades(v["fx_answers"].withColumn("cause", cause)).drop("review_reason")
+    return grading.default_grades(v.sql(CAUSES))
 
 
+# One CSV text per class: a title line, an empty one, the header, the students; even classes with semicolons and blank names here and
+# there, odd ones with commas, a name over two lines and as many further columns as the class number says.
 ROSTER_LINES = """SELECT CAST(class_id AS STRING) AS file_id, 2 + ROW_NUMBER() OVER (PARTITION BY class_id ORDER BY id) AS line_no,
-    CASE WHEN class_id % 2 = 0 THEN CONCAT(registration_number, ';', CASE WHEN id % 10 = 0 THEN ' ' ELSE name END, ';', curso, ';', CASE WHEN id % 4 = 0 THEN 'T9' ELSE '' END) ELSE CONCAT(curso, ',"', name, '",', registration_number) END AS line FROM fx_students
+    CASE WHEN class_id % 2 = 0 THEN CONCAT(registration_number, ';', CASE WHEN id % 10 = 0 THEN ' ' ELSE name END, ';', curso, ';', CASE WHEN id % 4 = 0 THEN 'T9' ELSE '' END)
+      ELSE CONCAT(REPEAT('x,', CAST(class_id * 3 AS INT)), curso, ',"', REPLACE(name, '#', '\n""'), '",', registration_number) END AS line FROM fx_students
   UNION ALL SELECT CAST(id AS STRING), 0, CASE WHEN id % 2 = 0 THEN 'lista;de;alunos' ELSE 'lista de alunos' END FROM fx_classes
   UNION ALL SELECT CAST(id AS STRING), 1, '' FROM fx_classes
-  UNION ALL SELECT CAST(id AS STRING), 2, CASE WHEN id % 2 = 0 THEN 'Matrícula;Nome completo;Curso;Turma' ELSE 'Curso,NOME,Matricula' END FROM fx_classes"""
+  UNION ALL SELECT CAST(id AS STRING), 2, CASE WHEN id % 2 = 0 THEN 'Matrícula;Nome completo;Curso;Turma' ELSE CONCAT(REPEAT('-,', CAST(id * 3 AS INT)), 'Curso,NOME,Matricula') END FROM fx_classes"""
 
 
 @query("s1_rosters", f"""
 WITH t AS (SELECT class_id, bool_or(id % 4 = 0) FILTER (id % 10 <> 0) AS has_turma FROM fx_students GROUP BY 1)
-SELECT CAST(s.class_id AS VARCHAR) AS file_id, registration_number, name, curso, CASE WHEN s.class_id % 2 = 0 AND has_turma THEN 'T9' END AS turma FROM fx_students s JOIN t ON t.class_id = s.class_id WHERE s.class_id % 2 = 1 OR s.id % 10 <> 0""")
+SELECT CAST(s.class_id AS VARCHAR) AS file_id, registration_number, CASE WHEN s.class_id % 2 = 1 THEN replace(name, '#', chr(10) || '"') ELSE name END AS name, curso, CASE WHEN s.class_id % 2 = 0 AND has_turma THEN 'T9' END AS turma FROM fx_students s JOIN t ON t.class_id = s.class_id WHERE s.class_id % 2 = 1 OR s.id % 10 <> 0""")
 def _(v):
-    return roster.rosters_from_lines(v.sql(ROSTER_LINES).select("file_id", F.col("line_no").cast("int").alias("line_no"), "line")).drop("line_no")
+    """The files are written to the shared folder and scanned from there."""
+    path = shared_path(v.spark, "rosters")
+    lines = v.sql(ROSTER_LINES).groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\r\n").alias("text"))
+    lines.repartition("file_id").write.partitionBy("file_id").text(path)
+    return roster.read_rosters(v.spark, f"{path}/*", r"file_id=([^/]*)/").drop("line_no")
 
 
 # Each benchmark exam as a document: title, standing score, then per question heading, prompt, answer over two lines, score.

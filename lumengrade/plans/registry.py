@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import linking_queries, payload_queries, score_queries  # noqa: F401
+    from . import linking_queries, payload_queries, score_queries, source_queries  # noqa: F401
 
     return QUERIES
 

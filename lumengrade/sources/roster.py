@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import strip
 
+def roster_rows(spark: SparkSession, path: str, class_of_file: str = r"([^/]*)\.csv$") -> DataFrame:
+    """(file_id, line_no, f) of CSV files, f the trimmed fields of a row; UTF-8 where valid, else Latin-1; the file name names the class.
 
-def roster_lines(spark: SparkSession, path: str, class_of_file: str = r"([^/]*)\.csv$") -> DataFrame:
-    """(file_id, line_no, line) of CSV files; UTF-8 where valid, else Latin-1; the file name names the class."""
+    The delimiter is ; where the first line holds one, else a comma. Fields may be quoted and hold line breaks, and there may be any
+    number of them. A file is one row (rosters have 5 MB at most); files are spread over the tasks.
+    """
     raw = spark.read.format("binaryFile").load(path)
-    text = F.when(F.call_function("is_valid_utf8", F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    lines = F.split(F.regexp_replace(text, "^\\ufeff", ""), r"\r\n|\r|\n")
-    return raw.select(F.regexp_extract("path", class_of_file, 1).alias("file_id"), F.posexplode(lines).alias("line_no", "line"))
 
+    def run(batches):
+        csv.field_size_limit(1 << 26)
+        for t in batches:
+            for file_id, content in zip(t.column("file_id").to_pylist(), t.column("content").to_pylist(), strict=True):
+                try:
+                    text = content.decode("utf-8-sig")
+                except UnicodeDecodeError:
+                    text = content.decode("latin-1")
+                semi = ";" in (text.splitlines() or [""])[0]
+                rows = [[x.strip() for x in row] for row in csv.reader(io.StringIO(text, newline=""), delimiter=";" if semi else ",")]
+                yield pa.RecordBatch.from_arrays([pa.array([file_id] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["file_id", "line_no", "f"])
 
-def _fields(line: Column, delimiter: str) -> Column:
-    """Trimmed fields of one CSV line."""
-    n = 40  # more columns than rosters have; absent ones are null
-    schema = ", ".join(f"c{k} string" for k in range(n))
-    got = F.from_csv(line, schema, {"sep": delimiter, "quote": '"', "escape": '"'})
-    every = F.array(*[F.coalesce(strip(got[f"c{k}"]), F.lit("")) for k in range(n)])
-    return every
+    named = raw.select(F.regexp_extract("path", class_of_file, 1).alias("file_id"), "content")
+    return named.mapInArrow(run, "file_id string, line_no int, f array<string>")
 
 
 def _last_index(fields: Column, *words: str) -> Column:
@@ -38,15 +47,13 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def rosters_from_lines(lines: DataFrame) -> DataFrame:
-    """lines(file_id, line_no, line) to (file_id, line_no, registration_number, name, curso, turma).
+def rosters_from_rows(rows: DataFrame) -> DataFrame:
+    """rows(file_id, line_no, f) to (file_id, line_no, registration_number, name, curso, turma).
 
-    The delimiter is ; where the first line holds one, else a comma. Rows up to the header, the first row by which both
+    Rows up to the header, the first row by which both
     registration and name have been seen, are skipped; indexes gather over skipped rows, the last match wins. Rows blank in
     a key column drop out; `turma` is the file's first non-blank one.
     """
-    first = lines.where("line_no = 0").select("file_id", F.contains("line", F.lit(";")).alias("semi"))
-    rows = lines.join(first, "file_id").withColumn("f", F.when(F.col("semi"), _fields(F.col("line"), ";")).otherwise(_fields(F.col("line"), ",")))
     so_far = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     columns = {"reg": ("matrícula", "matricula"), "nam": ("nome",), "cur": ("curso",), "tur": ("turma",)}
     seen = rows.withColumns({f"h_{k}": _last_index(F.col("f"), *w) for k, w in columns.items()})
@@ -61,5 +68,5 @@ def rosters_from_lines(lines: DataFrame) -> DataFrame:
     return good.join(turma, "file_id").select("file_id", "line_no", "registration_number", "name", "curso", "turma")
 
 
-def read_rosters(spark: SparkSession, path: str) -> DataFrame:
-    return rosters_from_lines(roster_lines(spark, path))
+def read_rosters(spark: SparkSession, path: str, class_of_file: str = r"([^/]*)\.csv$") -> DataFrame:
+    return rosters_from_rows(roster_rows(spark, path, class_of_file))
