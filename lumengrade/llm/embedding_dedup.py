@@ -1,21 +1,23 @@
 """Embedding near-duplicates by Euclidean p-stable hashing and exact cosine checks.
 
-Usable vectors (finite, not zero) are normalised in double precision; equal rows form one class that is hashed once and
-weighs as often as it occurs. Each table quantises random Gaussian projections at a random offset and width; classes of
-equal cells share a bucket, and only buckets with two classes or more get their vectors back. A bucket is cut into tiles
-of at most about `tile` members, and each pair of tiles is one bounded group: a matrix product finds all pairs of cosine >= threshold,
-and a pair counts only in the first table in which its cells agree, so no pair is counted twice and none is written out. A
-group returns link counts per vector and the edges of a spanning forest, both bounded by its members.
-
-The number of projections grows with the logarithm of the number of classes, so that unlike vectors keep sharing few
-buckets, and the number of tables is what a pair exactly at the threshold then needs to share one with probability 0.99999; pairs above it are found
-more surely. A bucket first gets a sketch of each vector, the signs of 256 further projections; members whose sketch is more
-than seven standard errors past the angle at the threshold from all others drop out of that bucket (a miss of some 3e-9), and
-only the rest get their vectors, with the marks of the tables before its own.
+1. Usable vectors (finite, not zero) are normalised in double precision; equal rows form one class, with a number of its own,
+   that is hashed once and weighs as often as it occurs.
+2. Each table quantises random Gaussian projections at a random offset and width; classes of equal cells share a bucket. A row
+   of a table holds the cell, the class and a sketch of two longs, the signs of 128 further projections. Rows are dealt by range and
+   read as sorted runs, so a bucket is worked on where it lies, without a join; members whose sketch is more than `SPREAD` standard errors
+   past the angle at the threshold from all others of their bucket drop out.
+3. Buckets that a partition's edge may cut or that have over `most` members go a longer way: they are cut into tiles, and each pair of
+   tiles is a bounded group, in which a pair also has to meet in the first table whose cells it shares.
+4. What is left gets its vectors. Cosines are checked exactly, a pair counts only in the first table whose cells it shares, and
+   a group puts out link counts and a spanning forest, both bounded by its members.
+
+The number of projections grows with the logarithm of the number of classes, so that buckets of unlike vectors grow with less than
+its third root, and the number of tables is what a pair exactly at the threshold then needs to share one but for a share `MISS`; pairs
+above it are found more surely (at cosine 0.92 a sixth of that share is missed, at 0.95 a thousandth).
 
 Defined results: null, zero or non-finite vectors (or vectors with null components) link with nothing; equal vectors link
-whatever the hashing; repeated vec_ids are rows of their own that share a component; vectors of different lengths are
-never linked; further columns are ignored; an empty table gives an empty result.
+whatever the hashing; rows that repeat a vec_id count as vectors of their own, whether equal or not; rows without a vec_id link and are
+kept; vectors of different lengths are never linked; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import components, stored, table
+from ._common import components, forget, stored, table, whole_groups
 
-WIDTH, TILE, MISS = 2.0, 512, 1e-5  # MISS: share of links exactly at the threshold that no table may find
-BITS = 256  # of a sketch
+WIDTH, TILE, MOST = 2.25, 1024, 1 << 15
+MISS = 1e-3  # share of links exactly at the threshold that no table may find
+BITS, SPREAD = 128, 4.5  # of a sketch
 
 
 def agreement(cosine: float, width: float = WIDTH) -> float:
@@ -44,15 +47,16 @@ def agreement(cosine: float, width: float = WIDTH) -> float:
 
 
 def sizing(classes: int, threshold: float, width: float = WIDTH, miss: float = MISS) -> tuple[int, int]:
-    """(projections, tables) for so many classes: orthogonal vectors meet with odds of about 1 / (4 * classes) in a table."""
-    projections = max(8, math.ceil(math.log(4 * max(2, classes)) / -math.log(agreement(0.0, width))))
+    """(projections, tables) for so many classes: a bucket gets up to 32 * classes ** 0.28 vectors at right angles to each other."""
+    spread = max(1.0, max(2, classes) ** 0.72 / 32)
+    projections = max(4, math.ceil(math.log(spread) / -math.log(agreement(0.0, width))))
     return projections, math.ceil(math.log(miss) / math.log(1 - agreement(threshold, width) ** projections))
 
 
 def sketch_limit(threshold: float, bits: int = BITS) -> int:
     """Differing sketch bits up to which two vectors might reach the threshold."""
     p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    return math.ceil(bits * p + 7 * math.sqrt(bits * p * (1 - p)) + 1)
+    return math.ceil(bits * p + SPREAD * math.sqrt(bits * p * (1 - p)))
 
 
 @lru_cache(maxsize=8)
@@ -67,14 +71,14 @@ def _planes(dim: int, tables: int, projections: int, width: float, seed: int = 1
 
 
 def cells(unit: np.ndarray, tables: int, projections: int, width: float) -> np.ndarray:
-    """64-bit cell code of each row in each table."""
+    """64-bit cell code of each row in each table; the last ten bits are the table."""
     planes, offset = _planes(unit.shape[1], tables, projections, width)
     grid = np.floor((unit @ planes + offset) / width).astype(np.int64).reshape(len(unit), tables, projections)
     code = np.arange(tables, dtype=np.uint64)[None, :] + np.uint64(unit.shape[1] << 20)
     for k in range(projections):
         code = (code ^ grid[:, :, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         code ^= code >> np.uint64(31)
-    return code.astype(np.int64)
+    return (code & ~np.uint64(1023) | np.arange(tables, dtype=np.uint64)).astype(np.int64)
 
 
 def unit_vector(row: list | None) -> np.ndarray | None:
@@ -101,131 +105,222 @@ def units(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, vkey binary, unit binary")
 
 
+def _by_length(units: pa.Array):
+    """(places, matrix) of the unit vectors of each length."""
+    rows = [np.frombuffer(x.as_buffer(), np.float64) for x in units]
+    for dim in {len(r) for r in rows}:
+        at = np.array([k for k, r in enumerate(rows) if len(r) == dim])
+        yield at, np.stack([rows[k] for k in at])
+
+
 def hashed(classes: DataFrame, tables: int, projections: int, width: float) -> DataFrame:
-    """classes(rep, n, unit) with their cells and, for telling the first shared table, a 32-bit digest of each cell."""
-    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("unit", pa.binary()), ("cells", pa.list_(pa.int64())), ("marks", pa.binary()), ("sketch", pa.binary())])
+    """(cell, cid, s1, s2) of classes(cid, unit) in each table."""
+    fields = [("cell", pa.int64()), ("cid", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
 
     def run(batches):
         for whole in batches:
-            for start in range(0, whole.num_rows, 250):
-                part = whole.slice(start, 250)
-                rows = [np.frombuffer(b, np.float64) for b in part.column("unit").to_pylist()]
-                out: list = [None] * len(rows)
-                bits: list = [None] * len(rows)
-                for dim in {len(r) for r in rows}:
-                    at = [k for k, r in enumerate(rows) if len(r) == dim]
-                    unit = np.stack([rows[i] for i in at])
-                    for k, row, sign in zip(at, cells(unit, tables, projections, width), np.packbits(unit @ _signs(dim) > 0, axis=1), strict=True):
-                        out[k], bits[k] = row, sign.tobytes()
-                marks = [r.astype(np.uint32).tobytes() for r in out]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "n", "unit")), pa.array(out, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(bits, pa.binary())], schema=schema)
-
-    return classes.select("rep", "n", "unit").mapInArrow(run, "rep long, n long, unit binary, cells array<long>, marks binary, sketch binary")
-
-
-def likely_members(groups: DataFrame, threshold: float) -> DataFrame:
-    """(rep, place, cell, tile, lo, hi) of the members of groups(place, cell, lo, hi, members) whose sketch is near another one's."""
-    limit, names = sketch_limit(threshold), ["rep", "place", "cell", "tile", "lo", "hi"]
+            for start in range(0, whole.num_rows, 500):
+                part = whole.slice(start, 500)
+                cid = part.column("cid").to_numpy()
+                for at, unit in _by_length(part.column("unit")):
+                    signs = np.packbits(unit @ _signs(unit.shape[1]) > 0, axis=1).view(np.int64)
+                    cols = [cells(unit, tables, projections, width).ravel(), *(np.repeat(x, tables) for x in (cid[at], signs[:, 0], signs[:, 1]))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=pa.schema(fields))
+
+    return classes.select("cid", "unit").mapInArrow(run, "cell long, cid long, s1 long, s2 long")
+
+
+def _apart(a: tuple, b: tuple) -> np.ndarray:
+    """Differing sketch bits of all pairs of a and b, each (s1, s2), unsigned."""
+    return np.bitwise_count(a[0][:, None] ^ b[0]) + np.bitwise_count(a[1][:, None] ^ b[1])
+
+
+def _near_members(cell: np.ndarray, s1: np.ndarray, s2: np.ndarray, limit: int) -> np.ndarray:
+    """Whether each row of sorted cells has another row of its cell within `limit` sketch bits."""
+    start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    size = np.diff(np.r_[start, len(cell)])
+    near, small = np.zeros(len(cell), bool), np.repeat(size <= 16, size)
+    for step in range(1, int(size[size <= 16].max(initial=0))):
+        i = np.flatnonzero((cell[:-step] == cell[step:]) & small[:-step])
+        i = i[np.bitwise_count(s1[i] ^ s1[i + step]) + np.bitwise_count(s2[i] ^ s2[i + step]) <= limit]
+        near[i] = near[i + step] = True
+    for g in np.flatnonzero(size > 16):
+        own = slice(start[g], start[g] + size[g])
+        step = max(16, (1 << 20) // int(size[g]))
+        for k in range(0, size[g], step):
+            some = slice(start[g] + k, min(start[g] + k + step, start[g] + size[g]))
+            near[some] |= (_apart((s1[some], s2[some]), (s1[own], s2[own])) <= limit).sum(1) > 1  # each is near itself
+    return near
+
+
+def bucket_members(rows: DataFrame, limit: int, most: int = MOST) -> DataFrame:
+    """(cell, cid, late) of rows(cell, cid, s1, s2) sorted by cell: members with a near one in their bucket, and, `late`, all members of
+    buckets that may go on in another partition or have over `most` members."""
+
+    def shown(t, keep, late):
+        return pa.RecordBatch.from_arrays([*(t.column(c).filter(pa.array(keep)) for c in ("cell", "cid")), pa.array(late[keep])], names=["cell", "cid", "late"])
 
     def run(batches):
+        held = first = over = None
         for t in batches:
-            lists = t.column("members")
-            ends = lists.offsets.to_numpy()
-            rows = lists.values.slice(ends[0], ends[-1] - ends[0])
-            start, size = ends[:-1] - ends[0], np.diff(ends)
-            group = np.repeat(np.arange(t.num_rows), size)
-            sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint64).reshape(len(rows), -1)
-            near = np.zeros(len(rows), bool)
-            few = size <= 16
-            for step in range(1, size[few].max(initial=0)):
-                i = np.flatnonzero((group[:-step] == group[step:]) & few[group[:-step]])
-                i = i[np.bitwise_count(sketch[i] ^ sketch[i + step]).sum(1, dtype=np.int64) <= limit]
-                near[i] = near[i + step] = True
-            for g in np.flatnonzero(~few):
-                mine = sketch[start[g] : start[g] + size[g]]
-                for k in range(0, len(mine), 64):
-                    apart = np.bitwise_count(mine[k : k + 64, None] ^ mine[None]).sum(2, dtype=np.int64)
-                    near[start[g] + k : start[g] + k + len(apart)] = (apart <= limit).sum(1) > 1  # each is near itself
-            at = pa.array(group[near])
-            cols = {n: rows.field(n).filter(pa.array(near)) if n in ("rep", "tile") else t.column(n).take(at) for n in names}
-            yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
-
-    return groups.select("place", "cell", "lo", "hi", "members").mapInArrow(run, "rep long, place int, cell long, tile int, lo int, hi int")
-
-
-def tile_links(place: int, members: list[dict], lo: int, hi: int, threshold: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Of the pairs between tiles lo and hi of one bucket of table `place`: links gained by class, and forest edges."""
-    x = [m for m in members if m["tile"] == lo]
-    y = x if lo == hi else [m for m in members if m["tile"] == hi]
-    if not x or not y:
-        return {}, []
-    ux, uy = (np.frombuffer(b"".join([m["unit"] for m in t]), np.float64).reshape(len(t), -1) for t in (x, y))
-    rows, cols = np.nonzero(ux @ uy.T >= threshold)
-    keep = rows < cols if lo == hi else slice(None)
-    rows, cols = rows[keep], cols[keep]
-    if place and len(rows):
-        mx, my = (np.frombuffer(b"".join([m["marks"] for m in t]), np.uint32).reshape(len(t), -1) for t in (x, y))
-        first = np.ones(len(rows), bool)
-        for k in range(0, len(rows), 20_000):
-            part = slice(k, k + 20_000)
-            first[part] = ~(mx[rows[part]] == my[cols[part]]).any(axis=1)
-        rows, cols = rows[first], cols[first]
-    gained: dict[int, int] = {}
-    nx, ny = np.array([m["n"] for m in x]), np.array([m["n"] for m in y])
-    for t, at, more in ((x, rows, ny[cols]), (y, cols, nx[rows])):
-        for k, v in enumerate(np.bincount(at, weights=more, minlength=len(t)).astype(np.int64).tolist()):
-            if v:
-                gained[t[k]["rep"]] = gained.get(t[k]["rep"], 0) + v
-    parent: dict[int, int] = {}
-
-    def root(i: int) -> int:
-        while parent.setdefault(i, i) != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    edges = []
-    for i, j in zip(rows.tolist(), cols.tolist(), strict=True):
-        a, b = x[i]["rep"], y[j]["rep"]
-        p, q = root(a), root(b)
-        if p != q:
-            parent[p] = q
-            edges.append((a, b))
-    return gained, edges
-
-
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, width: float = WIDTH, tile: int = TILE) -> DataFrame:
+            if not t.num_rows:
+                continue
+            t = pa.concat_batches([held, t]) if held is not None and held.num_rows else t
+            cell = t.column("cell").to_numpy()
+            first = cell[0] if first is None else first
+            cut = int(np.searchsorted(cell, cell[-1]))
+            body, held = t.slice(0, cut), t.slice(cut)
+            if cut:
+                own = cell[:cut]
+                start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                size = np.diff(np.r_[start, cut])
+                late = np.repeat((own[start] == first) | (own[start] == over) | (size > most), size)
+                keep = late.copy()
+                keep[~late] = _near_members(own[~late], *(body.column(c).to_numpy()[~late].view(np.uint64) for c in ("s1", "s2")), limit)
+                yield shown(body, keep, late)
+            if cell[-1] in (first, over) or held.num_rows > most:
+                over = cell[-1]
+                every = np.ones(held.num_rows, bool)
+                yield shown(held, every, every)
+                held = None
+        if held is not None:
+            every = np.ones(held.num_rows, bool)
+            yield shown(held, every, every)
+
+    return rows.repartitionByRange("cell", "cid").sortWithinPartitions("cell", "cid").mapInArrow(run, "cell long, cid long, late boolean")
+
+
+UNIT = ["cell", "lo", "hi"]
+MEMBER = "cell long, lo int, hi int, cid long, side int"
+
+
+def tiled(late: DataFrame) -> DataFrame:
+    """MEMBER rows of late(cell, cid): tile lo (side 0) against tile hi (side 1) of one bucket, or a tile (side 0) within itself."""
+    sizes = late.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1")
+    faced = late.join(stored(sizes.select("cell", F.ceil(F.col("k") / TILE).cast("int").alias("tiles")), "sizes"), "cell")
+    faced = faced.withColumn("tile", F.pmod(F.xxhash64("cid", "cell"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return faced.select("cell", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "cid", (F.col("tile") > F.col("other")).cast("int").alias("side"))
+
+
+def _units(t: pa.RecordBatch):
+    """(rows of side 0, rows of side 1) of each unit of sorted MEMBER rows; a tile within itself has the same rows twice."""
+    ids = np.stack([t.column(n).to_numpy() for n in UNIT])
+    start = np.flatnonzero(np.r_[True, (ids[:, 1:] != ids[:, :-1]).any(0)])
+    side = t.column("side").to_numpy()
+    for a, z in zip(start.tolist(), [*start[1:].tolist(), t.num_rows], strict=True):
+        split = a + int((side[a:z] == 0).sum())
+        yield (slice(a, z), slice(a, z)) if ids[1, a] == ids[2, a] else (slice(a, split), slice(split, z))
+
+
+def _first_here(p: np.ndarray, q: np.ndarray, marks: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Whether the first table in which rows p and q share a cell is that of their bucket."""
+    out = np.empty(len(p), bool)
+    for k in range(0, len(p), 20_000):
+        s = slice(k, k + 20_000)
+        out[s] = (marks[p[s]] == marks[q[s]]).argmax(1) == (cell[p[s]] & 1023)
+    return out
+
+
+def _pairs(t: pa.RecordBatch, hits):
+    """(p, q) of all units: hits(rows x, rows y) gives a boolean matrix."""
+    for x, y in _units(t):
+        step = max(1, (1 << 20) // max(1, y.stop - y.start))
+        for k in range(x.start, x.stop, step):
+            part = slice(k, min(k + step, x.stop))
+            p, q = np.nonzero(hits(part, y))
+            p, q = p + part.start, q + y.start
+            yield (p[p < q], q[p < q]) if x == y else (p, q)
+
+
+def late_members(late: DataFrame, classes: DataFrame, tables: int, projections: int, width: float, limit: int) -> DataFrame:
+    """MEMBER rows of late(cell, cid) that have a near sketch in their unit, this being the first table the two share."""
+    names = [x.split()[0] for x in MEMBER.split(", ")]
+
+    def marked(batches):
+        for part in batches:
+            marks: list = [None] * part.num_rows
+            for at, unit in _by_length(part.column("unit")):
+                signs = np.packbits(unit @ _signs(unit.shape[1]) > 0, axis=1).view(np.int64)
+                for k, row in zip(at.tolist(), np.concatenate([signs, cells(unit, tables, projections, width)], 1), strict=True):
+                    marks[k] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array(marks, pa.binary())], names=["cid", "marks"])
+
+    def run(batches):
+        for t in whole_groups(batches, UNIT):
+            all_marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.int64).reshape(t.num_rows, -1)
+            s1, s2 = (all_marks[:, k].astype(np.uint64) for k in (0, 1))
+            marks, cell = all_marks[:, 2:], t.column("cell").to_numpy()
+            keep = np.zeros(t.num_rows, bool)
+            for p, q in _pairs(t, lambda x, y, s1=s1, s2=s2: _apart((s1[x], s2[x]), (s1[y], s2[y])) <= limit):
+                first = _first_here(p, q, marks, cell)
+                keep[p[first]] = keep[q[first]] = True
+            if keep.any():
+                yield t.select(names).filter(pa.array(keep))
+
+    wanted = classes.join(late.select("cid").distinct(), "cid", "left_semi").select("cid", "unit").mapInArrow(marked, "cid long, marks binary")
+    return tiled(late).join(wanted, "cid").repartition(*UNIT).sortWithinPartitions(*UNIT, "side", "cid").mapInArrow(run, MEMBER)
+
+
+def _forest(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """The smallest row that links p-q lead to from each of n rows."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, p, label[q])
+        np.minimum.at(label, q, label[p])
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def links(members: DataFrame, classes: DataFrame, tables: int, projections: int, width: float, threshold: float) -> DataFrame:
+    """(a, b, links): where b is null, links that class a gains in a unit; else an edge of the unit's forest."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+
+    def run(batches):
+        for t in whole_groups(batches, UNIT):
+            cid, n, cell = (t.column(c).to_numpy() for c in ("cid", "n", "cell"))
+            raw = t.column("unit")
+            dims = np.array([len(x.as_buffer()) // 8 for x in raw])
+            unit, marks = np.zeros((t.num_rows, int(dims.max()))), np.empty((t.num_rows, tables), np.int64)
+            for at, rows in _by_length(raw):
+                unit[at, : rows.shape[1]], marks[at] = rows, cells(rows, tables, projections, width)
+            found = [*_pairs(t, lambda x, y, unit=unit, dims=dims: (unit[x] @ unit[y].T >= threshold) & (dims[x][:, None] == dims[y]))]
+            p, q = (np.concatenate(x) for x in zip(*found, strict=True))
+            first = _first_here(p, q, marks, cell)
+            p, q = p[first], q[first]
+            gain = np.bincount(p, weights=n[q], minlength=len(n)) + np.bincount(q, weights=n[p], minlength=len(n))
+            label, on = _forest(p, q, len(n)), np.flatnonzero(gain)
+            low = np.flatnonzero(label != np.arange(len(n)))
+            b = pa.array(np.r_[np.zeros(len(on), np.int64), cid[label[low]]], mask=np.arange(len(on) + len(low)) < len(on))
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[cid[on], cid[low]]), b, pa.array(np.r_[gain[on].astype(np.int64), np.zeros(len(low), np.int64)])], schema=schema)
+
+    full = members.join(classes, "cid").repartition(*UNIT).sortWithinPartitions(*UNIT, "side", "cid")
+    return full.mapInArrow(run, "a long, b long, links long")
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, width: float = WIDTH, miss: float = MISS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors(vec_id, embedding)."""
     base = stored(units(vectors), "units")
     equal = base.where("vkey is not null").groupBy("vkey").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("unit").alias("unit"))
-    equal = stored(equal, "equal")
-    projections, tables = sizing(equal.count(), threshold, width)
-    classes = stored(hashed(equal, tables, projections, width), "classes")
-    rows = classes.select("rep", F.posexplode("cells").alias("place", "cell"))
-    sizes = rows.groupBy("place", "cell").agg(F.count("*").alias("size")).where("size > 1")
-    member = rows.join(sizes, ["place", "cell"]).withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
-    member = member.withColumn("tile", F.pmod(F.xxhash64("rep", "place"), F.col("tiles")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least("tile", k).alias("lo"), F.greatest("tile", k).alias("hi")))
-    dealt = member.withColumn("pair", F.explode(pairs)).select("rep", "place", "cell", "tile", "pair.lo", "pair.hi")
-    seen = dealt.join(classes.select("rep", "sketch"), "rep").groupBy("place", "cell", "lo", "hi").agg(F.collect_list(F.struct("rep", "tile", "sketch")).alias("members"))
-    full = likely_members(seen, threshold).join(classes.select("rep", "n", "unit", "marks"), "rep").withColumn("marks", F.expr("substring(marks, 1, 4 * place)"))
-    groups = full.groupBy("place", "cell", "lo", "hi").agg(F.collect_list(F.struct("rep", "n", "tile", "unit", "marks")).alias("members"))
-
-    def run(batches):
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
-        for t in batches:
-            for k in range(t.num_rows):
-                place, lo, hi = (t.column(c)[k].as_py() for c in ("place", "lo", "hi"))
-                gained, edges = tile_links(place, t.column("members")[k].as_py(), lo, hi, threshold)
-                if gained:
-                    out = [(i, None, v) for i, v in gained.items()] + [(i, j, 0) for i, j in edges]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
-
-    found = stored(groups.select("place", "lo", "hi", "members").mapInArrow(run, "a long, b long, links long"), "found")
-    counts = found.where("b is null").groupBy("a").agg(F.sum("links").alias("more"))
-    label = components(found.where("b is not null").select("a", "b"))
-    per = equal.select("vkey", "rep", "n").join(counts, F.col("rep") == F.col("a"), "left").join(label, F.col("rep") == F.col("id"), "left")
-    per = per.select("vkey", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    equal = stored(equal.withColumn("cid", F.monotonically_increasing_id()), "equal")
+    projections, tables = sizing(equal.count(), threshold, width, miss)
+    classes = equal.select("cid", "n", "unit")
+    met = stored(bucket_members(hashed(classes, tables, projections, width), sketch_limit(threshold)), "met")
+    none = F.lit(0).cast("int")
+    settled = met.where("not late").select("cell", none.alias("lo"), none.alias("hi"), "cid", none.alias("side"))
+    late = late_members(met.where("late").select("cell", "cid"), classes, tables, projections, width, sketch_limit(threshold))
+    members = stored(settled.unionByName(late), "members")
+    forget(met)
+    found = stored(links(members, classes, tables, projections, width, threshold), "found")
+    forget(members)
+    counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("more"))
+    label = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "cid")
+    per = equal.select("vkey", "rep", "n", "cid").join(counts, "cid", "left").join(label, "cid", "left")
+    per = stored(per.select("vkey", "rep", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component_id", "cid").alias("part")), "per")
+    forget(found, equal)
+    least = stored(per.groupBy("part").agg(F.min("rep").alias("component_id")), "least")
+    per = per.join(least, "part").select("vkey", "n_links", "component_id")
     got = base.where("vkey is not null").select("vec_id", "vkey").join(per, "vkey").select("vec_id", "n_links", "component_id")
     none = base.where("vkey is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return got.unionByName(none).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
