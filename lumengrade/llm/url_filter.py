@@ -1,13 +1,13 @@
 """URL filters, native: host and path rules first, then a blocked Bloom filter of listed URLs and an exact hash join.
 
-The listed canonical URLs are hashed into blocks of one 64-bit word each; a URL sets `probes` bits of its block, and
-the filter is the table (block, bits) made by a grouped bit_or. A page passes the filter if all its bits are set in its
-block; only such possible hits go on to the exact join with the list, which removes false positives. All joins are
-plain equi-joins: Spark broadcasts the filter only where its measured size is under its threshold, else it shuffles
-(page id, URL) and splits hot blocks.
+The listed canonical URLs are hashed into blocks of one 64-bit word each; a URL sets `probes` bits of its block. The words of all
+blocks are one array of at most `most` longs (8 MB), sized by the list, which a scalar subquery hands to the scan of the pages: no page is shuffled or
+joined to consult it. Only pages whose bits are all set, possible hits, go on to the exact join with the list, which removes
+false positives; they are more where a list is so long that the array's bound leaves it few bits, and the result is the same.
 
 Defined results: null URLs and URLs without '://' have empty host and path, fit no rule, are never listed and are
-allowed; hosts fit a rule by whole labels; repeated rows are judged one by one; null or blank listed URLs are ignored.
+allowed (they never reach the join); hosts fit a rule by whole labels; repeated rows are judged one by one; null or blank listed URLs are ignored and listed
+URLs count once; an empty list blocks nothing; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import stored, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -66,58 +66,75 @@ def _bits(key: Column, probes: int) -> Column:
     return word
 
 
-def bloom(listed: DataFrame, blocks: int, probes: int = 5) -> DataFrame:
-    """(block, bits) of listed(canonical); blocks without a listed URL have no row."""
-    return listed.groupBy(F.pmod(F.xxhash64("canonical"), F.lit(blocks)).alias("block")).agg(F.bit_or(_bits(F.col("canonical"), probes)).alias("bits"))
+def bloom(listed: DataFrame, blocks: int, probes: int = 5, page: int = 1024) -> DataFrame:
+    """One row with the array `words` of the blocks' bits, made of listed(canonical) in pages of `page` words."""
+    bits = listed.groupBy(F.pmod(F.xxhash64("canonical"), F.lit(blocks)).alias("block")).agg(F.bit_or(_bits(F.col("canonical"), probes)).alias("bits"))
+    every = listed.sparkSession.range(blocks).withColumnRenamed("id", "block").join(bits, "block", "left").select("block", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    ordered = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    pages = every.groupBy(F.floor(F.col("block") / page).alias("page")).agg(ordered("block", "bits").alias("part"))
+    return pages.agg(F.flatten(ordered("page", "part")).alias("words"))
 
 
-def listed_hits(urls: DataFrame, listed: DataFrame, blocks: int = 1 << 22, probes: int = 5) -> DataFrame:
-    """urls(page_id, canonical, ...) with boolean `listed`. Each block is meant to hold a few URLs: size blocks to the list."""
-    listed = listed.where("canonical <> ''").select("canonical").distinct()
-    filt = bloom(listed, blocks, probes).withColumnRenamed("block", "_block").withColumnRenamed("bits", "_bits")
-    probe = urls.withColumn("_at", F.pmod(F.xxhash64("canonical"), F.lit(blocks)))
-    hit = F.coalesce(F.col("_bits").bitwiseAND(_bits(F.col("canonical"), probes)) == _bits(F.col("canonical"), probes), F.lit(False))
-    seen = probe.join(filt, F.col("_at") == F.col("_block"), "left").withColumn("_maybe", hit & F.col("canonical").isNotNull())
-    exact = listed.withColumn("_listed", F.lit(True)).withColumnRenamed("canonical", "_canonical")
-    maybe = seen.where("_maybe").join(exact, F.col("canonical") == F.col("_canonical"), "left").withColumn("listed", F.col("_listed").isNotNull())
-    return maybe.select(*urls.columns, "listed").unionByName(seen.where("not _maybe").withColumn("listed", F.lit(False)).select(*urls.columns, "listed"))
+def possible_hits(urls: DataFrame, listed: DataFrame, most: int = 1 << 20, probes: int = 5) -> DataFrame:
+    """urls(canonical, ...) with boolean `maybe`: false only for URLs that are not in listed(canonical), a stored table of distinct URLs."""
+    blocks = 1
+    while blocks < min(most, listed.count() / 4):
+        blocks *= 2
+    word = F.get(stored(bloom(listed, blocks, probes), "bloom").scalar(), F.pmod(F.xxhash64("canonical"), F.lit(blocks)).cast("int"))
+    need = _bits(F.col("canonical"), probes)
+    return urls.withColumn("maybe", F.col("canonical").isNotNull() & F.coalesce(word.bitwiseAND(need) == need, F.lit(False)))
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
+def listed_hits(urls: DataFrame, listed: DataFrame, most: int = 1 << 20, probes: int = 5) -> DataFrame:
+    """urls(page_id, host, path, canonical) with boolean `listed`."""
+    listed = stored(listed.where("canonical <> ''").select("canonical").distinct(), "listed")
+    seen = possible_hits(urls, listed, most, probes)
+    exact = listed.select(F.col("canonical").alias("known"), F.lit(True).alias("found"))
+    maybe = seen.where("maybe").join(exact, F.col("canonical") == F.col("known"), "left").select(*urls.columns, F.col("found").isNotNull().alias("listed"))
+    return maybe.unionByName(seen.where("not maybe").select(*urls.columns, F.lit(False).alias("listed")))
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, most: int = 1 << 20) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed) of pages(page_id, url); listed(url) is the block list."""
     url = F.col("url")
     urls = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical"))
-    got = listed_hits(urls, listed.select(canonical(F.col("url")).alias("canonical")))
+    got = listed_hits(urls, listed.select(canonical(F.col("url")).alias("canonical")), most)
     rule, verdict = rule_verdict(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("listed"), "block").otherwise("allow")
     return got.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "listed")
 
 
-def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No list table is given, so the list is every URL of the spam host as found in pages; copies elsewhere match by canonical form."""
-    pages = table(spark, sf_dir, "pages")
+def reported(pages: DataFrame) -> DataFrame:
+    """(url) of the block list that pages themselves give: addresses that come with a tracking field, and those of the spam host. Other
+    pages of the same canonical address (without the field, with www., .html or a closing slash) are then listed as well."""
     host = host_of(F.col("url"))
-    spam = pages.where((host == LISTED_HOST) | F.endswith(host, F.lit(f".{LISTED_HOST}"))).select("url")
-    return filter_urls(pages.select("page_id", "url"), spam)
+    tracked = F.col("url").rlike("[?&]utm_[^&#]*")
+    return pages.where(tracked | (host == LISTED_HOST) | F.endswith(host, F.lit(f".{LISTED_HOST}"))).select("url")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No list table is given, so the list is what `reported` finds in pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, reported(pages))
 
 
 ORACLE_SQL = """
 WITH cut AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
-  SELECT page_id, rest,
+  SELECT page_id, url, rest,
          coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
          coalesce(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1), '') AS q FROM cut),
 canon AS (
-  SELECT page_id, host, path,
+  SELECT page_id, url, host, path,
          regexp_replace(regexp_replace(host, '^www[.]', ''), ':(80|443)$', '') AS h,
          regexp_replace(path, '([.]html)?/*$', '') AS p,
          regexp_replace(regexp_replace(q, '(^|&)utm_[^&]*', '', 'g'), '^&+|&+$', '', 'g') AS q FROM parts),
 keyed AS (
-  SELECT page_id, host, path, CASE WHEN h = '' THEN NULL ELSE h || p || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS c FROM canon),
+  SELECT page_id, url, host, path, CASE WHEN h = '' THEN NULL ELSE h || p || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS c FROM canon),
 spam AS (
-  SELECT DISTINCT c FROM keyed WHERE c <> '' AND (host = 'spam-farm.example.org' OR host LIKE '%.spam-farm.example.org')),
+  SELECT DISTINCT c FROM keyed WHERE c <> '' AND (regexp_matches(url, '[?&]utm_') OR host = 'spam-farm.example.org' OR host LIKE '%.spam-farm.example.org')),
 ruled AS (
   SELECT k.page_id, k.host, k.path, s.c IS NOT NULL AS listed,
     CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
