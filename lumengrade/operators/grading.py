@@ -58,15 +58,17 @@ def overlap_copied(answer: F.Column, prompt: F.Column) -> F.Column:
 
 
 def copied_prompts(turns: DataFrame, least: float = 0.86, ratio: Callable[[str, str], F.Column] = ratcliff_ratio) -> DataFrame:
-    """turns(answer, prompt, ...) with `copied`. The ratio, of at most twice the shorter length over both, runs only where overlap
-    hasn't decided and the lengths could reach it."""
-    a, p = copy_form(F.col("answer")), copy_form(F.col("prompt"))
-    rows = turns.withColumns({"_a": a, "_p": p}).withColumn("_o", F.coalesce(overlap_copied(F.col("answer"), F.col("prompt")), F.lit(False)))
+    """turns(answer, prompt, ...) with `copied`. Distinct pairs are judged once and only the copied ones are joined back; the ratio,
+    of at most twice the shorter length over both, runs only where overlap hasn't decided and the lengths could reach it."""
+    pairs = turns.select("answer", "prompt").where((F.length("answer") >= 20) & (F.length("prompt") >= 20)).distinct()
+    pairs = pairs.withColumns({"_a": copy_form(F.col("answer")), "_p": copy_form(F.col("prompt"))}).where((F.length("_a") >= 20) & (F.length("_p") >= 20))
+    words = F.array_distinct(F.split("_a", " "))
+    pairs = pairs.withColumn("_o", F.size(F.array_intersect(words, F.split("_p", " "))) / F.greatest(F.size(words), F.lit(1)) >= 0.85)
     la, lp = F.length("_a"), F.length("_p")
-    may = ~F.col("_o") & (la >= 20) & (lp >= 20) & (2 * F.least(la, lp) >= least * (la + lp))
-    pairs = rows.where(may).select("_a", "_p").distinct().withColumn("_r", ratio("_a", "_p"))
-    joined = rows.join(pairs, ["_a", "_p"], "left")
-    return joined.withColumn("copied", F.col("_o") | F.coalesce(F.col("_r") >= least, F.lit(False))).select(*turns.columns, "copied")
+    may = ~F.col("_o") & (2 * F.least(la, lp) >= least * (la + lp))
+    pairs = pairs.withColumns({"_x": F.when(may, F.col("_a")), "_y": F.when(may, F.col("_p"))}).withColumn("_r", ratio("_x", "_y"))
+    hits = pairs.where(F.col("_o") | (F.col("_r") >= least)).select("answer", "prompt", F.lit(True).alias("_hit"))
+    return turns.join(hits, ["answer", "prompt"], "left").select(*turns.columns, F.coalesce("_hit", F.lit(False)).alias("copied"))
 
 
 def grade_short_answers(answers: DataFrame, strict_empty: bool = False, ratio: Callable[[str, str], F.Column] = ratcliff_ratio) -> DataFrame:
