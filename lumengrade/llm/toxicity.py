@@ -80,13 +80,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 1000, sam
     return [*dict.fromkeys((r["text"], r["toxic"]) for r in rows)], n[1] / (n[0] + n[1])
 
 
-def toxic_features(docs: list[tuple[list[list[str]], int]], odds: float = 8.0) -> set[str]:
-    """Features whose documents are toxic far more often than others, beyond what so many features show by chance."""
+def toxic_features(docs: list[tuple[np.ndarray, int]], named: list[list[str]], odds: float = 8.0) -> set[str]:
+    """Features whose documents are toxic far more often than others, beyond what so many features show by chance. docs: (word numbers,
+    toxic); named: the features of each word."""
     seen: list[Counter] = [Counter(), Counter()]
-    per_word: dict[str, list[str]] = {}
-    for sents, toxic in docs:
-        words = {w for s in sents for w in s}
-        seen[toxic].update({f for w in words for f in per_word.setdefault(w, features(w))})
+    for code, toxic in docs:
+        seen[toxic].update({f for w in np.unique(code).tolist() for f in named[w]})
     n0, n1 = (sum(1 for _, t in docs if t == c) for c in (0, 1))
     base, floor, out = n1 / (n0 + n1), math.log(max(10, len(seen[1]))), set()
     for f, a in seen[1].items():
@@ -162,23 +161,30 @@ def fit_chain(rows: list[tuple[str, int]], share: float, steps: int = 60, ridge:
     """The chain fitted to the sample; None without both classes."""
     if not rows or len({t for _, t in rows}) < 2:
         return None
-    docs = [(sentences(text), toxic) for text, toxic in rows]
-    marks = toxic_features(docs)
     ids: dict[str, int] = {}
-    code = [[[ids.setdefault(w, len(ids)) for w in s] for s in sents] for sents, _ in docs]
+    docs, lengths = [], []
+    for text, toxic in rows:
+        sents = sentences(text)
+        docs.append((np.array([ids.setdefault(w, len(ids)) for s in sents for w in s], np.int32), toxic))
+        lengths.append(np.array([*map(len, sents)], np.int64))
     named = [features(w) for w in ids]
-    toxic_word = np.array([any(f in marks for f in fs) for fs in named])
+    marks = toxic_features(docs, named)
+    toxic_word = np.array([any(f in marks for f in fs) for fs in named], bool)
     width = 4
     table_ = np.full((len(ids), width), MASK + 2)  # the last weight stays 0
     for k, fs in enumerate(named):
         table_[k, : len(fs)] = [zlib.crc32(f.encode()) & MASK for f in fs[:width]]
-    chosen: list[tuple[list[int], bool]] = []
-    spare: list[tuple[list[int], bool]] = []
-    for sents, (_, toxic) in zip(code, docs, strict=True):
-        for s in sents:
+    del ids, named
+    chosen: list[tuple[np.ndarray, bool]] = []
+    spare: list[tuple[np.ndarray, bool]] = []
+    for (code, toxic), n in zip(docs, lengths, strict=True):
+        for s in np.split(code, np.cumsum(n)[:-1]) if len(n) else ():
             (chosen if toxic and toxic_word[s].any() else spare).append((s, bool(toxic)))
     chosen += spare[:: max(1, len(spare) // max(2000, 4 * len(chosen)))]
-    flat, length = np.array([w for s, _ in chosen for w in s]), np.array([len(s) for s, _ in chosen])
+    del spare
+    if not chosen:
+        return None
+    flat, length = np.concatenate([s for s, _ in chosen]), np.array([len(s) for s, _ in chosen])
     gold = (toxic_word[flat] & np.repeat([t for _, t in chosen], length)).astype(float)
     inside = np.ones(len(flat) - 1, bool)
     inside[np.cumsum(length)[:-1] - 1] = False
@@ -204,10 +210,16 @@ def fit_chain(rows: list[tuple[str, int]], share: float, steps: int = 60, ridge:
         theta[MASK + 2] = 0.0
     chain = Chain(theta[: MASK + 3].astype(np.float32), theta[-4:].reshape(2, 2).copy(), ())
     emit_of = chain.weight[table_].sum(1) + chain.weight[MASK + 1]
-    length = np.array([len(x) for sents in code for x in sents], int)
-    owner = np.repeat(np.arange(len(docs)), [sum(map(len, sents)) for sents in code])
-    every = np.array([w for sents in code for x in sents for w in x], int)
-    x = document_evidence(chain.marginals(emit_of[every].astype(float), length)[0], owner, len(docs))
+    parts, at = [], 0
+    while at < len(docs):  # some 200000 words at a time
+        upto = at + max(1, int(np.searchsorted(np.cumsum([len(c) for c, _ in docs[at : at + 500]]), 200_000)))
+        some = docs[at:upto]
+        owner = np.repeat(np.arange(len(some)), [len(c) for c, _ in some])
+        emit = emit_of[np.concatenate([c for c, _ in some])].astype(float)
+        prob = chain.marginals(emit, np.concatenate(lengths[at:upto]))[0] if len(emit) else emit
+        parts.append(document_evidence(prob, owner, len(some)))
+        at = upto
+    x = np.concatenate(parts)
     y = np.array([t for _, t in docs], float)
     w = np.zeros(x.shape[1])
     for _ in range(30):  # Newton steps of the ridge logistic link
@@ -232,12 +244,20 @@ class _Words(dict):
         return value
 
 
+def free(name: str, taken: list[str]) -> str:
+    """name, with as many underscores behind it as it takes to be none of `taken`."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def score_documents(docs: DataFrame, chain: Chain | None, with_spans: bool = True) -> DataFrame:
-    """docs, each row with all its columns, plus _score and _spans. `text` is the only column that is read."""
+    """docs, each row with all its columns, plus _score and _spans (free() names where docs has such columns). Only `text` is read."""
+    added = [free("_score", docs.columns), free("_spans", docs.columns)]
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
     def joined(part, score, spans):
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64()), pa.array(spans, spans_type)], names=[*part.schema.names, "_score", "_spans"])
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64()), pa.array(spans, spans_type)], names=[*part.schema.names, *added])
 
     def run(batches):
         words = _Words(chain) if chain else None
@@ -281,7 +301,7 @@ def score_documents(docs: DataFrame, chain: Chain | None, with_spans: bool = Tru
                             last = k
             yield joined(part, score, spans)
 
-    extra = T.StructType.fromDDL("_score double, _spans array<struct<start:int,end:int,probability:double>>")
+    extra = T.StructType.fromDDL(f"{added[0]} double, {added[1]} array<struct<start:int,end:int,probability:double>>")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra.fields]))
 
 
