@@ -18,7 +18,8 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go."""
-    return toxicity.toxicity(docs, table(spark, sf_dir, "labels"), with_spans=False).where("_score < 0.5").select(*docs.columns)
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), with_spans=False)
+    return scored.where(F.col(toxicity.free("_score", docs.columns)) < 0.5).select(*docs.columns)
 
 
 def drop_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +30,22 @@ def drop_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8) stays; repeated ids count as one, rows without an id stay."""
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8) stays. Of equal rows one stays, rows that repeat
+    an id with another text of their own stay, and so do rows without an id.
+
+    The texts are shuffled once by id, at any size; only rows of repeated ids are compared with each other.
+    """
     found = minhash_dedup.near_duplicates(docs, shingle=5, threshold=0.8)
-    kept = stored(found.where("kept and doc_id is not null").select("doc_id"), "kept")
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return once.unionByName(docs.where("doc_id is null"))
+    kept = stored(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    named = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    once = named.join(kept.hint("merge"), "doc_id")
+    again = once.where("rows > 1").withColumn("same", F.md5(F.coalesce("row.text", F.lit("")))).dropDuplicates(["doc_id", "same"])
+    return once.where("rows = 1").select("row.*").unionByName(again.select("row.*")).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated as often as the mix takes them."""
-    return source_mix.take(docs, stored(source_mix.mix(docs), "mixed"))
+    return source_mix.take(docs, stored(source_mix.mix_units(docs), "mixed"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
