@@ -8,11 +8,13 @@ it wins where no language fits. Trigrams overlap, so log-likelihoods are tempere
 Side evidence, all from grouped aggregation over all rows: how often a declared markup language, and an address suffix,
 go with each language as the text alone tells it; and host priors, smoothed hierarchically: a host's counts lean on its
 parent domain's, these on the whole table's. A row's own text vote is taken out of its host's and domain's counts. The
-posterior multiplies all of them.
+posterior multiplies all of them. Labels (`lang` of documents) are read by the fit only, never as evidence of a row: documents declare
+nothing, pages declare their markup's language.
 
 Defined results: null or empty text has no text evidence; missing declaration, suffix or host count as a value of their
-own; with no evidence at all the language is the commonest one; repeated rows are judged one by one; a sample without
-labels gives `und` for every row; an empty table gives an empty result.
+own; with no evidence at all the language is the commonest one; repeated rows and ids are judged one by one; of equal posteriors the first
+language by name wins; texts and markup of any length, closed or not, are read whole in one pass; a sample without
+labels gives `und` for every row; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from ._common import slices, stored, table
 from .url_filter import host_of
 
 BUCKETS = 1 << 13
-JUNK = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+HIDDEN = re.compile(r"<(script|style)\b", re.I)
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
 EVIDENCE = "kind string, row_id long, declared string, suffix string, host string, domain string"
 
 
@@ -42,7 +45,23 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def visible(markup: str) -> str:
-    return JUNK.sub(" ", markup)
+    """The text outside tags, scripts and styles, in one pass: each closing mark is looked for only beyond the last one found."""
+    out, at, closes = [], 0, {}
+    while (start := markup.find("<", at)) >= 0:
+        end = -1
+        if opened := HIDDEN.match(markup, start):
+            name = opened[1].lower()
+            found = closes.get(name, 0)
+            if found is not None and (not found or found.start() < start):
+                found = closes[name] = CLOSING[name].search(markup, start)
+            end = found.end() if found else -1
+        if end < 0:
+            end = markup.find(">", start) + 1
+            if not end:
+                break  # no tag closes any more
+        out.append(markup[at:start])
+        at = end
+    return " ".join([*out, markup[at:]])
 
 
 def fit_text(docs: DataFrame, sample_rows: int = 20_000, smooth: float = 0.05) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -102,11 +121,12 @@ def softmax(logs: np.ndarray) -> np.ndarray:
 def _counts(df: DataFrame, keys: list[str], width: int, out: str) -> DataFrame:
     """Summed text votes by keys as one array column."""
     sums = [F.sum(F.element_at("vote", k + 1)).alias(f"_{k}") for k in range(width)]
-    return df.groupBy(*keys).agg(*sums).select(*keys, F.array(*[F.col(f"_{k}") for k in range(width)]).alias(out))
+    return stored(df.groupBy(*keys).agg(*sums).select(*keys, F.array(*[F.col(f"_{k}") for k in range(width)]).alias(out)), "language-counts")
 
 
 def fuse(scored: DataFrame, langs: list[str], strength: float = 8.0) -> DataFrame:
-    """scored plus lang, posterior and text_lang. `scored` is read several times, so pass a stored table."""
+    """scored plus lang, posterior and text_lang. `scored` is read several times, so pass a stored table. The counts by key are stored
+    as well: Spark broadcasts them where they are small, else it can split the rows of a key that holds very many."""
     classes = [*langs, "und"]
     width = len(classes)
     voted = scored.withColumns({k: F.coalesce(k, F.lit("")) for k in ("declared", "suffix", "host", "domain")})
@@ -140,10 +160,10 @@ def fuse(scored: DataFrame, langs: list[str], strength: float = 8.0) -> DataFram
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
-    """Documents declare their lang column; their host is the source, without parent domain or suffix."""
+    """Documents declare nothing (lang is their label); their host is the source, without parent domain or suffix."""
     none = F.lit(None).cast("string")
     return docs.select(
-        F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("row_id"), F.col("lang").cast("string").alias("declared"),
+        F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("row_id"), none.alias("declared"),
         none.alias("suffix"), F.col("source").cast("string").alias("host"), none.alias("domain"), F.col("text"),
     )
 
@@ -151,7 +171,7 @@ def document_evidence(docs: DataFrame) -> DataFrame:
 def page_evidence(pages: DataFrame) -> DataFrame:
     """Pages declare <html lang>; the suffix is the host's last label, the domain its last two."""
     host = host_of(F.col("url"))
-    declared = F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
+    declared = F.lower(F.regexp_extract("html", r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
     return pages.select(
         F.lit("page").alias("kind"), F.col("page_id").cast("long").alias("row_id"), declared.alias("declared"),
         F.regexp_extract(host, "([^.:]*)(:[0-9]*)?$", 1).alias("suffix"), host.alias("host"),
