@@ -5,18 +5,21 @@ neighbouring hashes the smallest is a fingerprint, so a shared run of window + k
 template's length, so that a template with as many words changed, missing or extra as `coverage` leaves always keeps such a
 run (see runs()). The index maps
 the templates' fingerprints to (template, place). A text's fingerprints that hit it are grouped by template and diagonal; each group is one
-candidate region. Where enough of the template's words stand in reach of the band, it is aligned against the whole template within a band around that diagonal (match +1, gap or mismatch -1, free
-start and end in the text). An alignment that covers `coverage` of the template's words is reported with its span in
+candidate region, aligned against the whole template within a band around that diagonal (match +1, gap or mismatch -1, free
+start and end in the text). The alignments of all candidates of a template in an Arrow slice advance together, a template's word a step,
+on arrays of one row per candidate. An alignment that covers `coverage` of the template's words is reported with its span in
 words and characters; of overlapping reports the one with more matched words stays.
 
-The templates are a fixed parameter list. Defined results: null, empty and unmatched texts give no row; repeated rows give
-their rows again; equal matches tie by template name; further columns are ignored.
+The templates are a fixed parameter list: one-line notices and full texts. Defined results: null, empty and unmatched texts give no row; repeated rows give
+their rows again; equal matches tie by coverage, template name and place; texts of any length are read whole; further columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections import defaultdict
 from functools import lru_cache
 
@@ -26,26 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import WORD, slices, table
+from .license_texts import TEMPLATES
 from .minhash_dedup import MIX, _WordHash
 
 K, WINDOW, BAND, COVERAGE, SHORT = 3, 2, 8, 0.8, 20
 EDGE = b".,;:!?()[]{}\"'`*_<>"
 
-# Public license notices and sentences.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
-
-
 def plain_words(text: str) -> list[bytes]:
     return [w.strip(EDGE) for w in text.encode().lower().split()]
 
@@ -78,10 +67,13 @@ class Index:
     def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         words_of = _WordHash()
         self.words = {name: plain_words(text) for name, text in sorted(templates.items())}
+        self.codes = {name: np.fromiter(map(words_of.__getitem__, words), np.uint64, len(words)) for name, words in self.words.items()}
+        if max(map(len, self.words.values()), default=0) > 8000:
+            raise ValueError("templates have up to 8000 words")
         parts: dict[tuple[int, int], dict[int, list[tuple[str, int]]]] = defaultdict(lambda: defaultdict(list))
         for name, words in self.words.items():
             size = runs(len(words), coverage)
-            at, code = fingerprints(np.fromiter(map(words_of.__getitem__, words), np.uint64, len(words)), *size)
+            at, code = fingerprints(self.codes[name], *size)
             for place, h in zip(at.tolist(), code.tolist(), strict=True):
                 parts[size][h].append((name, place))
         self.parts = [(size, dict(posting), np.array(sorted(posting), np.uint64)) for size, posting in sorted(parts.items())]
@@ -92,61 +84,77 @@ def _index(templates: tuple, coverage: float) -> Index:
     return Index(dict(templates), coverage)
 
 
-def align(template: list[bytes], words: list[bytes], start: int, band: int) -> tuple[int, int, int]:
-    """(matched words, first, end) of the best banded alignment of the template with words around diagonal `start`."""
-    width, worst = 2 * band + 1, (-(10**9), 0, 0, 0)
-    # a cell is (score, matched, first, end); column c of row i stands for words up to start - band + i + c
-    above = [(0, 0, start - band + c, start - band + c) for c in range(width)]
+# A cell is one long: score, matched words (13 bits), first and end place in the band's frame (14 bits each).
+SCORE, MATCHED, FIRST = 1 << 41, 1 << 28, 1 << 14
+NEVER = -(1 << 62)
+
+
+def align(template: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(matched words, first, end) of the best banded alignment of the template around each diagonal `start` of words[low:high].
+
+    The frame of a candidate begins `band` words before its diagonal; column c of row i stands for the word at i + c.
+    """
+    width = 2 * band + 1
+    column = np.arange(width)
+    above = np.tile(column * (FIRST + 1), (len(start), 1))
     for i, want in enumerate(template):
-        row: list[tuple[int, int, int, int]] = []
-        for c in range(width):
-            at = start - band + i + c
-            best = worst
-            if 0 <= at < len(words):
-                s, m, f, e = above[c]
-                if words[at] == want:
-                    best = (s + 1, m + 1, f if m else at, at + 1)
-                else:
-                    best = (s - 1, m, f if m else at, e)
-            if c + 1 < width:  # the template's word is missing in the text
-                s, m, f, e = above[c + 1]
-                best = max(best, (s - 1, m, f, e))
-            if c and row[c - 1][1]:  # a word of the text is extra
-                s, m, f, e = row[c - 1]
-                best = max(best, (s - 1, m, f, e))
-            row.append(best)
+        at = (start - band + i)[:, None] + column
+        inside = (at >= low[:, None]) & (at < high[:, None])
+        same = words[np.where(inside, at, 0)] == want
+        some = (above & (SCORE - 1)) >= MATCHED
+        first = np.where(some, above & (MATCHED - FIRST), (i + column) * FIRST)
+        core = above - (above & (MATCHED - 1)) + first
+        row = np.where(same, core + SCORE + MATCHED + (i + column + 1), core - SCORE + (above & (FIRST - 1)))
+        row = np.where(inside, row, NEVER)
+        row[:, :-1] = np.maximum(row[:, :-1], above[:, 1:] - SCORE)  # the template's word is missing in the text
+        reached = np.where((row > NEVER // 2) & ((row & (SCORE - 1)) >= MATCHED), row + column * SCORE, NEVER)
+        extra = np.maximum.accumulate(reached, axis=1)[:, :-1] - column[1:] * SCORE  # words of the text are extra
+        row[:, 1:] = np.maximum(row[:, 1:], np.where(extra > NEVER // 2, extra, NEVER))
         above = row
-    _, matched, first, end = max(above, key=lambda x: (x[0], x[1], -abs(x[2] - start), -x[2]))
-    return matched, first, end
-
-
-def scan(words: list[bytes], hashes: np.ndarray, index: Index, coverage: float = COVERAGE, band: int = BAND) -> list[tuple[str, int, float, int, int]]:
-    """(template, matched, coverage, first word, end word) found in one text, in order."""
-    diagonals: dict[str, list[int]] = defaultdict(list)
-    for size, posting, keys in index.parts:
-        at, code = fingerprints(hashes, *size)
-        hit = np.isin(code, keys)
-        for place, h in zip(at[hit].tolist(), code[hit].tolist(), strict=True):
-            for name, there in posting[h]:
-                diagonals[name].append(place - there)
-    found = []
-    for name, starts in diagonals.items():
-        template, last = index.words[name], None
-        for d in sorted(set(starts)):
-            if len(template) >= SHORT and last is not None and d - last <= band // 2:
-                continue  # the band of the last one holds it
-            near = set(words[max(0, d - band) : max(0, d + len(template) + band)])
-            if sum(w in near for w in template) < coverage * len(template) - 1e-9:
-                continue
-            last = d
-            matched, first, end = align(template, words, d, band)
-            if matched >= coverage * len(template) - 1e-9:
-                found.append((name, matched, matched / len(template), first, end))
-    out: list[tuple[str, int, float, int, int]] = []
+    first = (above & (MATCHED - 1)) >> 14
+    value = (above >> 28) * MATCHED + ((FIRST - 1 - np.abs(first - band)) << 14) + FIRST - 1 - first
+    best = value.argmax(1)
+    cell = above[np.arange(len(start)), best]
+    return (cell & (SCORE - 1)) >> 28, ((cell & (MATCHED - 1)) >> 14) + start - band, (cell & (FIRST - 1)) + start - band
+
+
+def scan(texts: list[np.ndarray], index: Index, coverage: float = COVERAGE, band: int = BAND) -> list[list[tuple[str, int, float, int, int]]]:
+    """(template, matched, coverage, first word, end word) found in each text, given as hashes of its words, in order."""
+    base = np.cumsum([0, *map(len, texts)])
+    flat = np.concatenate([*texts, np.zeros(1, np.uint64)])
+    diagonals: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for d, hashes in enumerate(texts):
+        for size, posting, keys in index.parts:
+            at, code = fingerprints(hashes, *size)
+            hit = np.isin(code, keys)
+            for place, h in zip(at[hit].tolist(), code[hit].tolist(), strict=True):
+                for name, there in posting[h]:
+                    diagonals[name].append((d, place - there))
+    found: list[list] = [[] for _ in texts]
+    for name, hits in diagonals.items():
+        doc, at = np.array(hits, np.int64).T
+        template = index.codes[name]
+        if len(template) >= SHORT:  # the band of one diagonal holds its neighbours
+            at = at // (band // 2) * (band // 2) + band // 4
+        doc, at = np.unique(np.stack([doc, at]), axis=1)
+        for k in range(0, len(doc), 2048):
+            d = doc[k : k + 2048]
+            matched, first, end = align(template, flat, base[d], base[d + 1], base[d] + at[k : k + 2048], band)
+            for i in np.flatnonzero(matched >= coverage * len(template) - 1e-9).tolist():
+                found[d[i]].append((name, int(matched[i]), int(matched[i]) / len(template), int(first[i] - base[d[i]]), int(end[i] - base[d[i]])))
+    return [_apart(f) for f in found]
+
+
+def _apart(found: list[tuple]) -> list[tuple]:
+    """The reports that stay when each, best first, needs its own place."""
+    starts: list[int] = []
+    taken: dict[int, tuple] = {}
     for x in sorted(found, key=lambda x: (-x[1], -x[2], x[0], x[3])):
-        if all(x[4] <= y[3] or y[4] <= x[3] for y in out):
-            out.append(x)
-    return sorted(out, key=lambda x: x[3])
+        k = bisect(starts, x[3])
+        if (k == 0 or taken[starts[k - 1]][4] <= x[3]) and (k == len(starts) or x[4] <= starts[k]):
+            starts.insert(k, x[3])
+            taken[x[3]] = x
+    return [taken[k] for k in starts]
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
@@ -160,11 +168,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
         index, words_of = _index(fixed, coverage), _WordHash()
         for part in slices(batches):
             out = []
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                if not text:
-                    continue
-                words = plain_words(text)
-                got = scan(words, np.fromiter(map(words_of.__getitem__, words), np.uint64, len(words)), index, coverage)
+            rows = [(d, t) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) if t]
+            hashed = [np.fromiter(map(words_of.__getitem__, w), np.uint64, len(w)) for w in (plain_words(t) for _, t in rows)]
+            for (doc, text), got in zip(rows, scan(hashed, index, coverage), strict=True):
                 if got:
                     spans = [m.span() for m in word.finditer(text)]
                     out += [(doc, name, m, c, f, e, spans[f][0], spans[e - 1][1]) for name, m, c, f, e in got]
