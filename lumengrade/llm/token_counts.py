@@ -6,12 +6,18 @@ the rank of every adjacent pair at once (binary search in the sorted merge table
 and merges all its occurrences, left to right where they overlap; pre-tokens without a mergeable pair have settled. The
 count is the number of symbols that survive. Counts are kept per worker in a bounded table of pre-tokens.
 
+Long pre-tokens (`LONG` bytes or more) lie in an array of their own, where pair ranks are kept between rounds: a round takes the lowest
+rank of all, merges its occurrences in every pre-token and looks only at the pairs next to a merge, so a word without any blank
+costs little more than its length.
+
 Special strings count as the library does by default: each occurrence is one token and cuts the text. Null and empty
-texts have 0 tokens. Repeated rows are counted one by one; further columns are ignored.
+texts have 0 tokens; texts and single words of any length are counted whole; of overlapping equal pairs the leftmost merges. Repeated
+rows are counted one by one; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -25,6 +31,7 @@ from ._common import slices, table
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 KEPT = 400_000  # pre-tokens whose count a worker keeps
+LONG = 200
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -67,6 +74,60 @@ class MergeTable:
 
     def survivors(self, words: list[bytes]) -> np.ndarray:
         """Symbols left of each word."""
+        long = np.array([len(w) >= LONG for w in words], bool)
+        out = np.empty(len(words), np.int64)
+        for some, count in ((long, self._long_survivors), (~long, self._short_survivors)):
+            if some.any():
+                out[some] = count([w for w, yes in zip(words, some, strict=True) if yes])
+        return out
+
+    def _long_survivors(self, words: list[bytes]) -> np.ndarray:
+        """One round for each rank, lowest first; `rank` holds the rank of the pair that starts at each place, -1 where none starts any more."""
+        none, length = len(self.made), np.array([len(w) for w in words])
+        symbol = self.first[np.frombuffer(b"".join(words), np.uint8)].copy()
+        n = len(symbol)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.cumsum(length)
+        after[ends - 1], before[ends - length] = n, -1
+        merged = np.zeros(n, np.int64)
+        rank = np.full(n + 1, none)
+        waiting: dict[int, list[np.ndarray]] = {}
+        agenda: list[int] = []
+
+        def look(places: np.ndarray) -> None:
+            rank[places] = none
+            places = places[after[places] < n]
+            found = self.ranks(symbol[places] * self.width + symbol[after[places]])
+            places, found = places[found < none], found[found < none]
+            rank[places] = found
+            order = np.argsort(found, kind="stable")
+            cut = np.flatnonzero(np.diff(found[order])) + 1
+            for part in np.split(places[order], cut) if len(places) else ():
+                r = int(rank[part[0]])
+                if r not in waiting:
+                    heapq.heappush(agenda, r)
+                waiting.setdefault(r, []).append(part)
+
+        look(np.arange(n))
+        while agenda:
+            r = heapq.heappop(agenda)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            if len(at) > 1:  # overlapping pairs: every other one of a run
+                run = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])
+                at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
+            gone = after[at]
+            follow = after[gone]
+            symbol[at], after[at], rank[gone], merged[gone] = self.made[r], follow, -1, 1
+            inside = follow < n
+            before[follow[inside]] = at[inside]
+            left = before[at]
+            look(np.unique(np.concatenate([at, left[left >= 0]])))
+        return length - np.add.reduceat(merged, ends - length)
+
+    def _short_survivors(self, words: list[bytes]) -> np.ndarray:
         out = np.array([len(w) for w in words], np.int64)
         flat = self.first[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), out)
@@ -122,7 +183,11 @@ def count_tokens(texts: list[str | None], path: str) -> list[int]:
     for k in range(0, len(new), 20_000):
         part = new[k : k + 20_000]
         known.update(zip(part, merges.survivors([x.encode() for x in part]).tolist(), strict=True))
-    return [sum(map(known.__getitem__, p)) + e for p, e in zip(pieces, extra, strict=True)]
+    counts = [sum(map(known.__getitem__, p)) + e for p, e in zip(pieces, extra, strict=True)]
+    for x in new:
+        if len(x) >= LONG:  # too large to keep
+            del known[x]
+    return counts
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
