@@ -102,12 +102,13 @@ def default_rules() -> dict[str, Callable[[], Column]]:
     }
 
 
-def fit_accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, prior: float = 2.0) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+def fit_accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, prior: float = 2.0, trust: tuple[float, float] = (10.0, 0.1)) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """EM over (votes, count): the share of fit documents and, by rule, each vote's probability for (fit, unfit) documents, given
     that the rule votes.
 
-    The start leans on rare votes, which say more than common ones. Counts are smoothed by `prior` votes, for fit documents in
-    favour of the rule; the share stays in [0.05, 0.995].
+    The start leans on rare votes, which say more than common ones. Counts are smoothed by `prior` votes each way for unfit
+    documents and, for fit ones, by `trust` times as many for and against the rule: a rule that rejects is taken to seldom reject fit
+    documents. The share stays in [0.05, 0.995].
     """
     width = len(patterns[0][0]) if patterns else 0
     if not patterns:
@@ -120,7 +121,7 @@ def fit_accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 20
     for _ in range(rounds):
         share = float(np.clip((fit @ count + prior) / (count.sum() + 2 * prior), 0.05, 0.995))
         cast = {v: [(said[v] * (w * count)[:, None]).sum(0) for w in (fit, 1 - fit)] for v in (-1, 1)}
-        good = (cast[1][0] + 10 * prior) / (cast[1][0] + cast[-1][0] + 10.1 * prior)
+        good = (cast[1][0] + trust[0] * prior) / (cast[1][0] + cast[-1][0] + sum(trust) * prior)
         bad = (cast[-1][1] + prior) / (cast[1][1] + cast[-1][1] + 2 * prior)
         rates = {1: (good, 1 - bad), -1: (1 - good, bad)}
         odds = math.log(share / (1 - share)) + sum((said[v] * np.log(rates[v][0] / rates[v][1])).sum(1) for v in (-1, 1))
