@@ -97,7 +97,8 @@ def listed_hits(urls: DataFrame, listed: DataFrame, most: int = 1 << 20, probes:
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, most: int = 1 << 20) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed) of pages(page_id, url); listed(url) is the block list."""
     url = F.col("url")
-    urls = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical"))
+    # Written once: both branches below read the parts, and no expression over them works the address out again.
+    urls = stored(pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical")), "urls")
     got = listed_hits(urls, listed.select(canonical(F.col("url")).alias("canonical")), most)
     rule, verdict = rule_verdict(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("listed"), "block").otherwise("allow")
