@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,10 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Nothing else would do on a cluster, so it must be set."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session (one machine) gets a temporary
+    one; anywhere else that folder would not be shared, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.match(r"local(\[[^,]*(,\s*\d+)?\])?$", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="lumengrade-")
+        spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
@@ -43,6 +49,12 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sized(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
+    """df in no more partitions than its rows (at most `rows`) and the cluster's cores call for, whatever the session's number of shuffle
+    partitions: steps over a few rows then don't pay for hundreds of empty tasks and files. Nothing is shuffled."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Batches sorted by `keys` again, recut so that no group of equal keys (all longs) is spread over two."""
     held: list[pa.RecordBatch] = []
@@ -76,38 +88,37 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 
 def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected `edges(a, b)` as (id, component_id), component_id the smallest id.
+    """Connected components of undirected `edges(a, b)`, a stored table, as (id, component_id), component_id the smallest id.
 
-    Alternating large-star / small-star contraction: every round is two grouped minima joined back on the node, so
-    no component is ever gathered in one task. Edges and minima of each round are written to the shared folder; a join of two
-    written tables is one that Spark can split where a node has very many edges.
+    Alternating large-star (neighbours above a node move to its smallest neighbour) and small-star (a node and its neighbours below
+    it move to the smallest) until all components are stars. No component is ever gathered in one task; edges and minima of each round are
+    written to the shared folder, as a join of two written tables is one that Spark can split where a node has very many edges.
     """
 
     def lowered(pairs: DataFrame, least: DataFrame) -> DataFrame:
         return pairs.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def kept(df: DataFrame) -> DataFrame:
+        return stored(sized(df, 2 * count, 500_000), tag)
 
-    now = stored(edges.where("a <> b").select("a", "b").distinct(), tag)
-    seen = mark(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
+    def stars(e: DataFrame) -> bool:
+        ends = e.select(F.col("a").alias("id"), F.col("b").alias("up")).unionByName(e.select(F.col("b").alias("id"), F.lit(None).cast("long").alias("up")))
+        per = ends.groupBy("id").agg(F.min("up").alias("low"), F.max("up").alias("high"), F.bool_or(F.col("up").isNull()).alias("root"))
+        return per.where("low <> high or (root and low is not null)").isEmpty()
+
+    count = edges.count()
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    for k in range(max_rounds):
+        if stars(now):
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), tag)
-        large = stored(lowered(both.where("b > a"), least).distinct(), tag)
-        forget(now, least)
+        least = kept(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        large = kept(lowered(both.where("b > a"), least).distinct())
+        forget(least, *[now] * (k > 0))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = stored(down.groupBy("a").agg(F.min("b").alias("m")), tag)
-        now = stored(lowered(down, least).unionByName(least.select("a", F.col("m").alias("b"))).distinct(), tag)
+        least = kept(down.groupBy("a").agg(F.min("b").alias("m")))
+        now = kept(lowered(down, least).unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         forget(large, least)
-        new = mark(now)
-        if new == seen:
-            break
-        seen = new
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(
-        now.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct()
-    )
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component_id"))).distinct()

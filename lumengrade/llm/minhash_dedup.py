@@ -4,9 +4,9 @@
    digest of the whole set and a sketch. A register is a truncated minimum on an exponential scale: the smallest of the
    set's exponential variates h gives floor(1 - log_base(h)), so equal registers get likelier with similarity and the
    sketch of a union is the element-wise maximum.
-2. Documents with equal sets form a class with a number of its own (not an id, which may repeat with other texts); copies
-   are linked by that alone.
-3. Bands, fixed random subsets of the registers, name buckets. Rows (bucket, smallest id, class) are dealt by range and sorted,
+2. Documents with equal sets form a class with a number of its own (not an id, which may repeat with other texts), in the order of
+   their smallest ids; copies are linked by that alone.
+3. Bands, fixed random subsets of the registers, name buckets. Rows (bucket, class) are dealt by range and sorted,
    so a bucket of any size is read as runs, over several tasks if need be, and each member is paired with the first of its run,
    its hub. Of all its hubs a class is tested against the one with which it shares most buckets. Pairs are estimated by maximising
    the joint likelihood of greater / smaller / equal registers given both set sizes; those that might reach the threshold are
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import components, forget, slices, stored, table, whole_groups
+from ._common import components, forget, sized, slices, stored, table, whole_groups
 
 REGISTERS, BASE, LIMIT = 192, 1.02, 4000
 BACKGROUND, MISS = 0.05, 1e-5  # similarity of unlike documents; share of links at the threshold that no band may find
@@ -87,8 +87,8 @@ def sketch(hashes: np.ndarray, registers: int = REGISTERS, base: float = BASE, l
     return np.clip(np.floor(1 - np.log(np.maximum(rate, 1e-30)) / math.log(base)), 0, limit).astype(np.uint16)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base: float = BASE) -> np.ndarray:
-    """Maximum-likelihood similarity of sketch rows a, b with set sizes na, nb, by ternary search on the log-likelihood."""
+def _log_likelihood(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base: float):
+    """The log-likelihood of similarity j of sketch rows a, b with set sizes na, nb as a function, and the greatest j the sizes allow."""
     up, down = (a > b).sum(1), (a < b).sum(1)
     same = a.shape[1] - up - down
     u, v = na / (na + nb), nb / (na + nb)
@@ -100,7 +100,13 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base:
         more, less = p(u - v * j), p(v - u * j)
         return up * np.log(more) + down * np.log(less) + same * np.log(np.clip(1 - more - less, 1e-12, 1))
 
-    low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
+    return value, np.minimum(u / v, v / u)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base: float = BASE) -> np.ndarray:
+    """Maximum-likelihood similarity of sketch rows a, b with set sizes na, nb, by ternary search on the log-likelihood."""
+    value, high = _log_likelihood(a, b, na, nb, base)
+    low = np.zeros(len(high))
     for _ in range(40):
         x, y = low + (high - low) / 3, high - (high - low) / 3
         right = value(x) < value(y)
@@ -108,6 +114,13 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base:
     return (low + high) / 2
 
 
+def reaches(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float, base: float = BASE) -> np.ndarray:
+    """Whether estimate() is `least` or more: the log-likelihood has one peak, so its slope there tells."""
+    value, high = _log_likelihood(a, b, na, nb, base)
+    at = np.minimum(least, high)
+    return (high >= least) & (value(np.minimum(at + 1e-5, high)) >= value(at - 1e-5))
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, sketch) of every row."""
     fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sketch", pa.binary())]
@@ -157,19 +170,17 @@ def _registers(sketches: pa.Array) -> np.ndarray:
 
 
 def band_rows(reps: DataFrame, bands: list[list[int]]) -> DataFrame:
-    """(key, rep, cid) for each band of each class."""
+    """(key, cid) for each band of each class."""
     picks = np.array(bands)
-    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("cid", pa.int64())])
 
     def run(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 t = whole.slice(start, 2000)
                 keys = band_keys(_registers(t.column("sketch")), picks)
-                rep, cid = (np.repeat(t.column(c).to_numpy(), len(picks)) for c in ("rep", "cid"))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rep), pa.array(cid)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(t.column("cid").to_numpy(), len(picks)))], names=["key", "cid"])
 
-    return reps.select("rep", "cid", "sketch").mapInArrow(run, "key long, rep long, cid long")
+    return reps.select("cid", "sketch").mapInArrow(run, "key long, cid long")
 
 
 def bucket_runs(batches):
@@ -213,27 +224,30 @@ def hub_pairs(shared: DataFrame) -> DataFrame:
     return both.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
 
 
-def near(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of pairs whose sizes and estimated similarity leave the threshold possible."""
-    x = reps.select(F.col("cid").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"))
-    y = reps.select(F.col("cid").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"))
-    both = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-6)
+PAIR = "a long, b long, ka binary, kb binary, rep_a long, rep_b long"
+
+
+def near(pairs: DataFrame, reps: DataFrame, threshold: float, about: int) -> DataFrame:
+    """PAIR rows, with set keys and smallest ids, of pairs(a, b) whose sizes and estimated similarity leave the threshold possible."""
+    ends = [reps.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("set_key").alias(f"k{c}"), F.col("rep").alias(f"rep_{c}")) for c in "ab"]
+    both = pairs.join(ends[0], "a").join(ends[1], "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-6)
+    names = [x.split()[0] for x in PAIR.split(", ")]
 
     def run(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 t = whole.slice(start, 2000)
-                keep = pa.array(_likely(*(_registers(t.column(c)) for c in ("ka", "kb")), *(t.column(c).to_numpy() for c in ("na", "nb")), threshold))
-                yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
+                keep = pa.array(_likely(*(_registers(t.column(c)) for c in ("sa", "sb")), *(t.column(c).to_numpy() for c in ("na", "nb")), threshold))
+                yield t.select(names).filter(keep)
 
-    return both.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long")
+    return sized(both.select("na", "nb", "sa", "sb", *names), about).mapInArrow(run, PAIR)
 
 
 def _likely(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
     """Whether the estimate is within five standard errors of the threshold or above it."""
     error = math.sqrt(threshold * (1 - threshold) / ka.shape[1])
     out = (ka == kb).sum(1) >= ka.shape[1] * (threshold - 6 * error)
-    out[out] = estimate(ka[out], kb[out], na[out].astype(float), nb[out].astype(float)) >= threshold - 5 * error
+    out[out] = reaches(ka[out], kb[out], na[out].astype(float), nb[out].astype(float), threshold - 5 * error)
     return out
 
 
@@ -242,11 +256,10 @@ def _spots(ids: np.ndarray, bits: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(32))) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def id_bitmap(wanted: DataFrame, most: int = 1 << 27) -> np.ndarray:
-    """Bitmap of hashed ids of wanted(doc_id), about 16 bits an id and `most` bits in all: the only thing that goes to every task."""
+def id_bitmap(wanted: DataFrame, about: int, most: int = 1 << 27) -> np.ndarray:
+    """Bitmap of hashed ids of wanted(doc_id), at most `about` ids, 16 bits an id and `most` bits in all: the only thing that goes to every task."""
     bits = 1 << 16
-    n = wanted.count()
-    while bits < min(16 * n, most):
+    while bits < min(16 * about, most):
         bits *= 2
 
     def run(batches):
@@ -264,10 +277,11 @@ def id_bitmap(wanted: DataFrame, most: int = 1 << 27) -> np.ndarray:
     return out
 
 
-def full_sets(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(cid, hashes) of wanted(cid, rep, set_key), a stored table. Only documents that the bitmap of ids lets through are hashed again."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted.select(F.col("rep").alias("doc_id"))))
-    fields = [("doc_id", pa.int64()), ("set_key", pa.binary()), ("hashes", pa.binary())]
+def full_sets(wanted: DataFrame, docs: DataFrame, shingle: int, about: int) -> DataFrame:
+    """(set_key, hashes), once each, of the sets of the classes of wanted(doc_id), `about` at most, and of some more: only documents that
+    the bitmap of ids lets through are hashed again."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted, about))
+    fields = [("set_key", pa.binary()), ("hashes", pa.binary())]
 
     def whole(batches):
         words_of, known = _WordHash(), bitmap.value
@@ -275,21 +289,15 @@ def full_sets(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
             at = _spots(part.column("doc_id").to_numpy(), len(known) * 8)
             part = part.filter(pa.array((known[at >> 3] >> (at & 7)) & 1 == 1))
             sets = [shingle_hashes(t, shingle, words_of).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], schema=pa.schema(fields))
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], schema=pa.schema(fields))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    made = texts.mapInArrow(whole, "doc_id long, set_key binary, hashes binary").withColumnRenamed("doc_id", "rep")
-    return stored(made.join(wanted, ["set_key", "rep"]).select("cid", "hashes"), "sets")
-
-
-def _wanted(cids: DataFrame, reps: DataFrame) -> DataFrame:
-    return stored(cids.distinct().join(reps.select("cid", "rep", "set_key"), "cid"), "wanted")
+    return stored(sized(texts.mapInArrow(whole, "set_key binary, hashes binary").dropDuplicates(["set_key"]), about), "sets")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(a, b) of pairs, a stored table, whose full sets reach the threshold, stored."""
-    wanted = _wanted(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))), reps)
-    sets = full_sets(wanted, docs, shingle)
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float, about: int) -> DataFrame:
+    """(a, b) of PAIR rows, a stored table, whose full sets reach the threshold, stored."""
+    sets = full_sets(pairs.select(F.col("rep_a").alias("doc_id")).unionByName(pairs.select(F.col("rep_b").alias("doc_id"))), docs, shingle, about)
     percent = round(100 * threshold)
 
     def run(batches):
@@ -302,9 +310,10 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, t
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
 
-    x, y = (sets.dropDuplicates(["cid"]).select(F.col("cid").alias(i), F.col("hashes").alias(h)) for i, h in (("a", "ha"), ("b", "hb")))
-    links = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long"), "links")
-    forget(wanted, sets)
+    x, y = (sets.select(F.col("set_key").alias(f"k{c}"), F.col("hashes").alias(f"h{c}")) for c in ("a", "b"))
+    both = pairs.select("a", "b", "ka", "kb").join(x, "ka").join(y, "kb").select("a", "b", "ha", "hb")
+    links = stored(sized(both, about).mapInArrow(run, "a long, b long"), "links")
+    forget(sets)
     return links
 
 
@@ -329,9 +338,9 @@ UNIT = ["key", "r", "c"]
 MEMBER = "key long, r int, c int, cid long, n long, part long, minor boolean, role int"
 
 
-def dealt(members: DataFrame, extra: DataFrame) -> DataFrame:
-    """Members with their row of extra(cid, ...), sorted by unit; a unit's rows are in one task and follow each other."""
-    return members.join(extra, "cid").repartition(*UNIT).sortWithinPartitions(*UNIT, "role", "cid")
+def dealt(members: DataFrame, extra: DataFrame, about: int) -> DataFrame:
+    """Members with their row of extra, sorted by unit; a unit's rows are in one task and follow each other."""
+    return sized(members.join(extra, extra.columns[0]).repartition(*UNIT), about).sortWithinPartitions(*UNIT, "role", "cid")
 
 
 def unit_pairs(t: pa.RecordBatch, threshold: float, most: int = 1 << 18):
@@ -356,27 +365,28 @@ def unit_pairs(t: pa.RecordBatch, threshold: float, most: int = 1 << 18):
         done = upto
 
 
-def likely_members(members: DataFrame, reps: DataFrame, bands: list[list[int]], threshold: float) -> DataFrame:
-    """The members with a partner in their unit that might reach the threshold, the unit's band being the first the two share."""
-    picks, names = np.array(bands), [x.split()[0] for x in MEMBER.split(", ")]
+def likely_members(members: DataFrame, reps: DataFrame, bands: list[list[int]], threshold: float, about: int) -> DataFrame:
+    """The members, with smallest ids and set keys, with a partner in their unit that might reach the threshold, the unit's band being the
+    first the two share."""
+    schema = f"{MEMBER}, rep long, set_key binary"
+    picks, names = np.array(bands), [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         for t in whole_groups(batches, UNIT):
             sketch, n, key = _registers(t.column("sketch")), t.column("n").to_numpy(), t.column("key").to_numpy()
+            own = band_keys(sketch, picks)
             keep = np.zeros(t.num_rows, bool)
             for i, j, _ in unit_pairs(t, threshold):
                 for k in range(0, len(i), 1 << 13):
                     p, q = i[k : k + (1 << 13)], j[k : k + (1 << 13)]
                     likely = _likely(sketch[p], sketch[q], n[p], n[q], threshold)
                     p, q = p[likely], q[likely]
-                    if len(p):
-                        own = band_keys(sketch[p], picks)
-                        first = own[np.arange(len(p)), (own == band_keys(sketch[q], picks)).argmax(1)] == key[p]
-                        keep[p[first]] = keep[q[first]] = True
+                    first = own[p, (own[p] == own[q]).argmax(1)] == key[p]
+                    keep[p[first]] = keep[q[first]] = True
             if keep.any():
                 yield t.select(names).filter(pa.array(keep))
 
-    return dealt(members, reps.select("cid", "sketch")).mapInArrow(run, MEMBER)
+    return dealt(members, reps.select("cid", "sketch", "rep", "set_key"), about).mapInArrow(run, schema)
 
 
 def common(sets: list[np.ndarray], rows: int, block: int = 2048) -> np.ndarray:
@@ -398,7 +408,7 @@ def common(sets: list[np.ndarray], rows: int, block: int = 2048) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def part_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def part_links(members: DataFrame, sets: DataFrame, threshold: float, about: int) -> DataFrame:
     """(a, b): in each unit, a spanning forest of the parts that links of the threshold or more connect."""
     percent = round(100 * threshold)
 
@@ -429,7 +439,7 @@ def part_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFra
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
 
-    return dealt(members, sets.dropDuplicates(["cid"])).mapInArrow(run, "a long, b long")
+    return dealt(members, sets, about).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -437,32 +447,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     base = stored(sketches(docs, shingle), "sketch")
     own = base.where("n_shingles > 0 and doc_id is not null")
     classes = own.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    reps = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "reps")
-    bands = banding(reps.count(), threshold)
-    rows = band_rows(reps, bands).repartitionByRange("key", "rep", "cid").sortWithinPartitions("key", "rep", "cid")
+    # Numbers in the order of the smallest ids, so that hubs and components tend to be the oldest documents.
+    reps = stored(classes.repartitionByRange("rep", "set_key").sortWithinPartitions("rep", "set_key").withColumn("cid", F.monotonically_increasing_id()), "reps")
+    count = reps.count()
+    bands = banding(count, threshold)
+    rows = band_rows(reps, bands).repartitionByRange("key", "cid").sortWithinPartitions("key", "cid")
     shared = stored(rows.mapInArrow(bucket_runs, "key long, cid long, hub long, starts boolean"), "buckets")
 
-    tested = stored(near(hub_pairs(shared), reps, threshold), "near")
-    links = verified(tested, reps, docs, shingle, threshold)
-    label = components(links)
-    parts = reps.select("cid", "rep", "set_key", F.col("n_shingles").alias("n")).join(label.withColumnRenamed("id", "cid"), "cid", "left")
-    parts = stored(parts.select("cid", "rep", "set_key", "n", F.coalesce("component_id", "cid").alias("part")), "parts")
+    tested = stored(near(hub_pairs(shared), reps, threshold, count), "near")
+    links = verified(tested, docs, shingle, threshold, count)
+    label = components(links).withColumnRenamed("id", "cid")
+    parts = reps.select("cid", "set_key", F.col("n_shingles").alias("n")).join(label, "cid", "left")
+    parts = stored(sized(parts.select("cid", "set_key", "n", F.coalesce("component_id", "cid").alias("part")), count, 200_000), "parts")
     forget(tested, links)
 
-    left = stored(likely_members(tiled(shared, parts.select("cid", "part", "n")), reps, bands, threshold), "likely")
+    left = stored(likely_members(tiled(shared, parts.select("cid", "part", "n")), reps, bands, threshold, shared.count()), "likely")
     forget(shared)
     if not left.isEmpty():
-        wanted = _wanted(left.select("cid"), reps)
-        sets = full_sets(wanted, docs, shingle)
-        label = components(stored(part_links(left, sets, threshold), "links"))
-        forget(wanted, sets)
-        moved = parts.join(label.withColumnRenamed("id", "part"), "part", "left")
-        parts = moved.select("set_key", "rep", F.coalesce("component_id", "part").alias("part"))
-    forget(left, reps)
-
-    final = stored(parts.select("set_key", "rep", "part"), "final")
-    least = stored(final.groupBy("part").agg(F.min("rep").alias("component_id")), "least")
-    final = final.join(least, "part").select("set_key", "component_id")
+        sets = full_sets(left.select(F.col("rep").alias("doc_id")), docs, shingle, count)
+        links = stored(part_links(left, sets, threshold, left.count()), "links")
+        forget(sets)
+        moved = parts.join(components(links).withColumnRenamed("id", "part"), "part", "left")
+        parts = moved.select("set_key", F.coalesce("component_id", "part").alias("part"))
+    forget(left)
+
+    least = reps.select(F.col("cid").alias("part"), F.col("rep").alias("component_id"))  # a component's smallest class has its smallest id
+    final = parts.join(least, "part").select("set_key", "component_id")
     got = base.select("doc_id", "n_shingles", "set_key").where("n_shingles > 0 and doc_id is not null").join(final, "set_key").select("doc_id", "n_shingles", "component_id")
     got = got.unionByName(base.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return got.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -39,6 +39,27 @@ def test_near_stage_keeps_rows_without_id(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((r.doc_id or 0, r.text) for r in docs.where("doc_id is null or doc_id = 1").collect())
 
 
+def test_near_stage_of_repeated_rows(spark):
+    a, b = "one two three four five six seven eight nine ten", "a text of its own that no other row has in common with it"
+    docs = spark.createDataFrame([(1, a, 5), (1, a, 5), (1, b, 6), (2, a.upper(), 7), (3, b, 8)], "doc_id long, text string, rows int")
+    kept = corpus_pipeline.drop_copies(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text, r.rows) for r in kept.collect()) == sorted([(1, a, 5), (1, b, 6)])
+
+
+def test_stages_on_odd_tables(spark):
+    """Empty tables, null columns and columns named as the stages name theirs."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    clash = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(["_score", "_spans", "row", "rows", "copies", "cid", "part", "row_id", "k1", "source_size", "kept"])])
+    odd = clash.withColumn("text", F.when(F.col("doc_id") % 5 != 0, F.col("text"))).withColumn("source", F.when(F.col("doc_id") % 3 != 0, F.col("source"))).withColumn("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")))
+    odd = corpus_pipeline.stored(odd, "test-odd")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd.limit(0), SF).count() == 0
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns and out.count() <= 2 * odd.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() == odd.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), SF).count() == 0
+
+
 def test_every_operator_is_registered():
     names = registry.queries()
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
