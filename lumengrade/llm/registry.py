@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, license_scan, minhash_dedup, quality_rules, sentencepiece_codec, source_mix, token_counts, toxicity, url_filter
+from . import centroid_clusters, embedding_dedup, hard_negatives, language_id, license_scan, minhash_dedup, quality_rules, sentencepiece_codec, source_mix, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,8 +17,15 @@ def queries() -> dict:
         "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_centroid_clusters": centroid_clusters.op11_centroid_clusters,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.ORACLE_SQL, "op8_embedding_dedup": embedding_dedup.ORACLE_SQL}
+    return {
+        "op4_url_filter": url_filter.ORACLE_SQL,
+        "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
+        "op11_centroid_clusters": centroid_clusters.ORACLE_SQL,
+        "op12_hard_negatives": hard_negatives.ORACLE_SQL,
+    }
