@@ -12,7 +12,7 @@ else is collected, no vector is shuffled, and a lost executor costs its tasks of
 Defined results: vectors of another length, null vectors and vectors with a null or non-finite component take no part and are not in the
 result, nor are vectors with a component beyond 2^27 in magnitude, whose distances may not fit a long; fewer vectors than
 k give as many centroids; rows that repeat a vec_id are vectors of their own; rows without a vec_id are clustered but seed no
-centroid; of equal hashes the smaller vector seeds first; an empty cluster keeps its centroid; a sum of distances that does not
+centroid; of equal hashes the vector whose stored bytes come first seeds first; an empty cluster keeps its centroid; a sum of distances that does not
 fit a long is null; further columns are ignored; an empty table gives an empty result.
 """
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroid_clusters, embedding_dedup, hard_negatives, language_id, license_scan, minhash_dedup, quality_rules, sentencepiece_codec, source_mix, token_counts, toxicity, url_filter
+from . import centroid_clusters, embedding_dedup, hard_negatives, language_id, license_scan, minhash_dedup, page_text, quality_rules, sentencepiece_codec, source_mix, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_centroid_clusters": centroid_clusters.op11_centroid_clusters,
         "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_page_text": page_text.op13_page_text,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
         "op11_centroid_clusters": centroid_clusters.ORACLE_SQL,
         "op12_hard_negatives": hard_negatives.ORACLE_SQL,
+        "op13_page_text": page_text.ORACLE_SQL,
     }
