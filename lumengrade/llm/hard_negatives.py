@@ -148,7 +148,7 @@ def _shown(names: list[str], parts: list[tuple]) -> pa.RecordBatch:
 
 def windowed_others(rows: DataFrame, block: tuple, tree: Tree, dim: int, windows: list[list[tuple[int, int, int]]], most: int) -> DataFrame:
     """(a, p, id, score): at most `most` best rows of each task in window number p of anchor a, windows[a] = [(p, low, high)], of another label."""
-    _, own_labels, anchors = block
+    own_ids, own_labels, anchors = block
 
     def run(batches):
         held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -161,11 +161,11 @@ def windowed_others(rows: DataFrame, block: tuple, tree: Tree, dim: int, windows
 
         for ids, labels, vectors in _tables(batches, dim):
 
-            def wanted(x, low, high, labels=labels):
+            def wanted(x, low, high, ids=ids, labels=labels):
                 meets = np.zeros(len(labels), bool)
                 for _, least, top in floors(x):
                     meets |= (high >= least) & (low <= top)
-                return meets & (labels != own_labels[x])
+                return meets & (labels != own_labels[x]) & (ids != own_ids[x])
 
             for x, some, scores in walk(tree, anchors, vectors, wanted):
                 if not len(some):
