@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.grades import clamp_grade, forced_review, identity_override, review_reason
 from ..functions.values import quarter, word_count
 from ..operators import reports, review, scores
-from ..streaming import jobs
 from .fixtures import Views
 from .registry import query
 
@@ -477,14 +476,3 @@ def _(v):
 @query("p13_public_answers", "SELECT run_id, page_number, question_number, student_name, registration, answer_transcription, score, needs_human_review FROM fx_answers")
 def _(v):
     return reports.public_answers(v["fx_answers"])
-
-
-@query("t3_latest_decisions", """
-SELECT student_result_id, question_number, action, final_score, event_id FROM (SELECT *, row_number() OVER (PARTITION BY student_result_id, question_number ORDER BY ts DESC, event_id DESC) AS p FROM fx_decisions) t WHERE p = 1""")
-def _(v):
-    return jobs.latest_decisions(v["fx_decisions"]).drop("ts")
-
-
-@query("t4_batch_progress", "SELECT batch_id, count(*) AS results, count(*) FILTER (status <> 'PENDING') AS done FROM fx_results GROUP BY 1")
-def _(v):
-    return jobs.progress_stream(v["fx_results"])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import reports
+from ..sources.batch_table import BatchTable, Refused
 from ..sources.shared import shared_path
 from ..sources.tables import load_tables, overwrite_batches, reprocess
 from ..streaming import jobs
@@ -46,30 +50,130 @@ def _(v):
     return v.spark.read.parquet(path).select(F.col("batch_id").cast("long").alias("batch_id"), "student_result_id", "question_number", "ai_score")
 
 
-def _totals(df):
-    return df.groupBy("batch_id", "student_result_id").agg(r6(F.sum("ai_score")).alias("total"), F.count("*").alias("scores"))
+@query("s9_atomic_reprocess", f"""SELECT k.moment, s.batch_id, count(*) AS scores, round(sum(CASE k.moment WHEN 'committed' THEN CASE WHEN batch_id % 2 = 0 THEN ai_score + 1 ELSE ai_score END
+      WHEN 'refused' THEN CASE WHEN batch_id % 2 = 0 THEN ai_score + 1 ELSE ai_score END ELSE ai_score END), 6) AS total
+  FROM ({SHEETS}) s JOIN (SELECT 'written' AS moment UNION ALL SELECT 'committed' UNION ALL SELECT 'refused' UNION ALL SELECT 'emptied') k ON k.moment <> 'emptied' GROUP BY 1, 2
+  UNION ALL SELECT 'emptied', batch_id, count(*), round(sum(CASE WHEN batch_id % 2 = 0 THEN ai_score + 1 ELSE ai_score END), 6) FROM ({SHEETS}) s WHERE batch_id % 4 <> 0 GROUP BY 2""")
+def _(v):
+    """What a reader sees while even batches are written again (the old rows), once they are committed, after a slower writer of some of them
+    and one of batches in work have been refused, and after every fourth batch was replaced by no rows."""
+    rows = v.sql(SHEETS).drop("source_page_number")
+    table = BatchTable(v.spark, shared_path(v.spark, "batches"), rows.schema)
+    seen = lambda moment: table.read().groupBy("batch_id").agg(F.count("*").alias("scores"), r6(F.sum("ai_score")).alias("total")).select(F.lit(moment).alias("moment"), "*")
+    table.replace(rows)
+    again = rows.where("batch_id % 2 = 0").withColumn("ai_score", F.col("ai_score") + 1)
+    slower = table.write(rows.where("batch_id % 6 = 0").withColumn("ai_score", F.lit(9.0)))
+    written = table.write(again)
+    out = [seen("written")]
+    table.commit(written)
+    out.append(seen("committed"))
+    busy = v["fx_batches"].where("id % 5 = 1").select(F.col("id").alias("batch"))
+    for late, in_work in ((slower, None), (table.write(rows.where("batch_id % 5 = 1")), busy)):
+        try:
+            table.commit(late, in_work)
+        except Refused:
+            continue
+        raise AssertionError("a commit that stands against another went through")
+    out.append(seen("refused"))
+    table.replace(rows.limit(0), replaced=[r.batch_id for r in rows.where("batch_id % 4 = 0").select("batch_id").distinct().collect()])  # one name a batch
+    out.append(seen("emptied"))
+    return reduce(DataFrame.unionByName, out)
+
+
+PAGES = "SELECT id AS page_id, CAST(FLOOR(batch_id / 100.0) AS BIGINT) AS batch_id, CAST(created_at AS TIMESTAMP) AS page_ts, LEAST(3, (YEAR(created_at) - 1992) DIV 2) AS slice FROM fx_results"
+TEXTS = """SELECT r.page_id, s.question_number, s.ai_score, r.page_ts + s.question_number * INTERVAL 1 HOUR AS text_ts,
+  CASE r.page_id % 3 WHEN 0 THEN GREATEST(0, r.slice - 1) WHEN 1 THEN LEAST(3, r.slice + 1) ELSE r.slice END AS slice
+  FROM fx_scored s JOIN pages r ON r.page_id = s.student_result_id WHERE r.page_id % 10 <> 0"""
+
+
+def _arrive(v, rows, slices, *steps) -> None:
+    """The rows of each slice land as files of one more micro-batch; each step starts its stream from its checkpoint again."""
+    for k in range(slices):
+        for df, folder in rows:
+            df.where(F.col("slice") == k).drop("slice").write.mode("append").parquet(folder)
+        for step in steps:
+            step().trigger(availableNow=True).start().awaitTermination()
+
+
+@query("t1_grading_stream", f"""WITH pages AS ({PAGES.replace("DIV", "//")}), texts AS ({TEXTS}), seen AS (SELECT least((SELECT max(page_ts) FROM pages), (SELECT max(text_ts) FROM texts)) - INTERVAL 800 DAY AS w)
+  SELECT batch_id, p.page_id, count(t.page_id) AS scores, round(sum(ai_score), 6) AS total FROM pages p LEFT JOIN texts t ON t.page_id = p.page_id CROSS JOIN seen
+  WHERE t.page_id IS NOT NULL OR page_ts + INTERVAL 10 HOUR < w GROUP BY 1, 2""")
+def _(v):
+    """Pages and transcriptions land in four rounds, a third of the transcriptions a round before their pages and a third one after; each tenth page never
+    gets any and comes out alone once the watermark has passed it. Each round is a start from the checkpoint."""
+    pages, texts, inbox, check = (shared_path(v.spark, f"stream-{x}") for x in ("pages", "texts", "inbox", "check"))
+    p = v.sql(PAGES)
+    t = v.spark.sql(TEXTS.replace("fx_scored", "{s}").replace("pages r", "{p} r"), s=v["fx_scored"], p=p)
+    graded = BatchTable(v.spark, shared_path(v.spark, "stream-out"), "batch_id long, page_id long, scores long, total double")
+    whole = lambda df: df.groupBy("batch_id", "page_id").agg(F.count("question_number").alias("scores"), r6(F.sum("ai_score")).alias("total"))
+
+    def grade():
+        left, right = (v.spark.readStream.schema(df.drop("slice").schema).parquet(folder) for df, folder in ((p, pages), (t, texts)))
+        return jobs.grade_stream(jobs.page_tasks(left, right, delay="800 days", wait="10 hours"), inbox, graded, check, whole)
+
+    _arrive(v, [(p, pages), (t, texts)], 4, grade)
+    return graded.read()
+
+
+#: One row per slice and key, and a tenth of the rows a slice (8 days) late.
+REPEATS = """SELECT slice, student_result_id, question_number, action, MIN(ts) AS ts
+  FROM (SELECT *, LEAST(3, CAST((DAY(ts) - 1) / 8 AS INT)) + CASE WHEN event_id % 10 = 0 AND DAY(ts) <= 24 THEN 1 ELSE 0 END AS slice FROM fx_decisions) d GROUP BY 1, 2, 3, 4"""
+
+
+@query("t2_dedupe_stream", f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY student_result_id, question_number, action ORDER BY slice) AS n FROM ({REPEATS.replace("CAST((DAY(ts) - 1) / 8 AS INT)", "(DAY(ts) - 1) // 8")}) r),
+  w AS (SELECT slice + 1 AS slice, max(max(ts)) OVER (ORDER BY slice) - INTERVAL 3 DAY AS late FROM a GROUP BY slice),
+  rows AS (SELECT a.*, w.late FROM a LEFT JOIN w USING (slice)),
+  walk AS (SELECT student_result_id, question_number, action, 0::BIGINT AS n, NULL::TIMESTAMP AS held, FALSE AS passed, NULL::TIMESTAMP AS ts FROM rows GROUP BY 1, 2, 3
+    UNION ALL SELECT student_result_id, question_number, action, n, CASE WHEN p THEN ts ELSE held END, p, ts
+    FROM (SELECT r.*, k.held, coalesce(r.ts > r.late, TRUE) AND coalesce(k.held + INTERVAL 3 DAY <= r.late, TRUE) AS p FROM walk k JOIN rows r
+      ON r.student_result_id = k.student_result_id AND r.question_number = k.question_number AND r.action = k.action AND r.n = k.n + 1) s)
+  SELECT student_result_id, question_number, action, ts FROM walk WHERE passed""")
+def _(v):
+    """Four rounds of decisions under a watermark of three days: repeats drop out while their key is held, a tenth of the rows come a round late and mostly
+    drop out behind the watermark, and keys whose state has gone pass again."""
+    landing, out, check = (shared_path(v.spark, f"repeats-{x}") for x in ("in", "out", "check"))
+    rows = v.sql(REPEATS).withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def once():
+        stream = v.spark.readStream.schema(rows.drop("slice").schema).parquet(landing)
+        kept = jobs.dedupe_stream(stream, ["student_result_id", "question_number", "action"], delay="3 days")
+        return kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", check)
 
+    _arrive(v, [(rows.unionByName(rows), landing)], 4, once)  # each row twice
+    return v.spark.read.schema(rows.drop("slice").schema).parquet(out)
 
-@query("t1_grading_stream", f"SELECT batch_id, student_result_id, round(sum(ai_score), 6) AS total, count(*) AS scores FROM ({SHEETS}) s GROUP BY 1, 2")
+
+@query("t3_latest_decisions", """
+SELECT student_result_id, question_number, action, final_score, event_id FROM (SELECT *, row_number() OVER (PARTITION BY student_result_id, question_number ORDER BY ts DESC, event_id DESC) AS p FROM fx_decisions) t WHERE p = 1""")
 def _(v):
-    """Each batch arrives in two micro-batches; the sink ends in what one pass over all rows gives."""
-    landing, out, check = (shared_path(v.spark, f"stream-{x}") for x in ("in", "out", "check"))
-    rows = v.sql(SHEETS)
-    for part in (rows.where("question_number <= 3"), rows.where("question_number > 3")):
-        part.write.mode("append").parquet(landing)
-        jobs.grade_stream(v.spark, landing, out, check, rows.schema, _totals).awaitTermination()
-    return v.spark.read.parquet(out).select(F.col("batch_id").cast("long").alias("batch_id"), "student_result_id", "total", "scores")
+    """Decisions in three rounds out of order, the first round's again in the last; the table of last decisions is merged by key and restarted each round."""
+    landing, check = (shared_path(v.spark, f"decisions-{x}") for x in ("in", "check"))
+    rows = v["fx_decisions"].select("event_id", F.col("ts").cast("timestamp").alias("ts"), "student_result_id", "question_number", "action", "final_score", F.pmod("event_id", F.lit(3)).alias("slice"))
+    rows = rows.unionByName(rows.where("slice = 0").withColumn("slice", F.lit(2).cast("long")))
+    last = BatchTable(v.spark, shared_path(v.spark, "decisions-out"), "bucket int, student_result_id long, question_number int, action string, final_score double, ts timestamp, event_id long", key="bucket", most=16)
+
+    def merge():
+        stream = v.spark.readStream.schema(rows.drop("slice").schema).parquet(landing)
+        return jobs.merge_stream(jobs.latest_decisions(stream), last, ["student_result_id", "question_number"], ["ts", "event_id"], check)
+
+    _arrive(v, [(rows, landing)], 3, merge)
+    return last.read().drop("bucket", "ts")
 
 
-@query("t2_dedupe_stream", "SELECT DISTINCT student_result_id, question_number, action FROM fx_decisions")
+@query("t4_batch_progress", """SELECT b.id AS batch_id, count(DISTINCT r.page_number) AS pages_done, count(r.id) AS results_done,
+       round(least(100.0, 100.0 * count(DISTINCT r.page_number) / max(b.total_pages)), 2) AS percent FROM fx_batches b JOIN fx_results r ON r.batch_id = b.id GROUP BY b.id""")
 def _(v):
-    """Repeats of a decision drop out of the stream; the watermark is wider than the events' span, so each key stays once."""
-    landing, out, check = (shared_path(v.spark, f"repeats-{x}") for x in ("in", "out", "check"))
-    rows = v["fx_decisions"].select("student_result_id", "question_number", "action", F.col("ts").cast("timestamp").alias("ts"))
-    rows.write.parquet(landing)
-    once = jobs.dedupe_stream(v.spark.readStream.schema(rows.schema).parquet(landing), ["student_result_id", "question_number", "action"], delay="40000 days")
-    once.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-    return v.spark.read.schema(rows.schema).parquet(out).drop("ts")
+    """Results in three rounds; counts and percent of each batch as a stream joined with the table of batches end as A18 has them."""
+    landing, check = (shared_path(v.spark, f"progress-{x}") for x in ("in", "check"))
+    rows = v["fx_results"].select("batch_id", "page_number", "status", F.pmod("id", F.lit(3)).alias("slice"))
+    live = BatchTable(v.spark, shared_path(v.spark, "progress-out"), "bucket int, batch_id long, pages_done long, results_done long, percent double", key="bucket", most=16)
+
+    def merge():
+        stream = v.spark.readStream.schema(rows.drop("slice").schema).parquet(landing)
+        return jobs.merge_stream(jobs.progress_stream(stream, v["fx_batches"]), live, ["batch_id"], ["results_done"], check)
+
+    _arrive(v, [(rows, landing)], 3, merge)
+    return live.read().drop("bucket")
 
 
 @query("o3_students_by_name", "SELECT class_id, row_number() OVER (PARTITION BY class_id ORDER BY name, id) AS place, id, name FROM fx_students")
