@@ -12,11 +12,15 @@ REQUIRED = ("nota", "comentario", "criterios_atendidos", "criterios_ausentes", "
 OTHERS = ("needs_human_review", "missing_concepts", "detected_concepts")  # further keys whose kind counts
 
 
+def strict_objects(text: Column) -> Column:
+    """What `text` holds between brackets: one map of key to value text if it is exactly one JSON object (text after it, quotes of the wrong
+    kind and trailing commas are refused; the last of equal keys wins)."""
+    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"})
+
+
 def strict_object(text: Column) -> Column:
-    """Map of key to value text if `text` is exactly one JSON object, else null (text after it, quotes of the wrong kind and
-    trailing commas are refused; the last of equal keys wins)."""
-    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"})
-    single = F.filter(F.array(parsed), lambda a: F.size(a) == 1)
+    """Map of key to value text if `text` is exactly one JSON object, else null."""
+    single = F.filter(F.array(strict_objects(text)), lambda a: F.size(a) == 1)
     return F.get(F.get(single, F.lit(0)), F.lit(0))
 
 
@@ -34,16 +38,16 @@ def with_recovery(df: DataFrame, raw: str) -> DataFrame:
     df = df.withColumn("_2", F.translate("_1", "“”‘’", "\"\"''"))
     df = df.withColumn("_3", F.regexp_replace("_2", r",\s*([}\]])", "$1"))
     df = df.withColumn("_4", F.regexp_replace("_3", r"(\d),(\d)", "$1.$2"))
-    steps = [f"_{k}" for k in range(1, 5)]
-    # Each text that differs is parsed once: mostly the repairs change nothing and there is one.
-    tried = F.transform(F.array_distinct(F.array(*steps)), lambda t: F.struct(t.alias("txt"), strict_object(t).alias("obj")))
-    df = df.withColumn("_found", F.get(F.filter(tried, lambda x: x["obj"].isNotNull()), F.lit(0)))
-    return df.withColumns({"_txt": F.col("_found.txt"), "_obj": F.col("_found.obj")}).drop("_bare", "_first", "_last", "_found", *steps)
-
-
-def value_type(variant: Column, key: str) -> Column:
-    """Type name of a key's value, null where the key is absent or the text has no variant (equal keys, NaN)."""
-    return F.schema_of_variant(F.try_variant_get(variant, f"$.{key}", "variant"))
+    # A text is parsed only where those before it failed and it differs from them: mostly the first one is the only one.
+    done, txt, obj = F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
+    for k in range(1, 5):
+        new = ~done if k == 1 else ~done & (F.col(f"_{k}") != F.col(f"_{k - 1}"))
+        df = df.withColumn(f"_list{k}", F.when(new, strict_objects(F.col(f"_{k}"))))
+        df = df.withColumn(f"_ok{k}", F.coalesce(done | ((F.size(f"_list{k}") == 1) & F.get(f"_list{k}", F.lit(0)).isNotNull()), F.lit(False)))
+        found = F.col(f"_ok{k}") & ~done
+        txt, obj = F.when(found, F.col(f"_{k}")).otherwise(txt), F.when(found, F.get(f"_list{k}", F.lit(0))).otherwise(obj)
+        done = F.col(f"_ok{k}")
+    return df.withColumns({"_txt": txt, "_obj": obj}).drop("_bare", "_first", "_last", *[f"{c}{k}" for c in ("_", "_list", "_ok") for k in range(1, 5)])
 
 
 def kind_of(type_name: Column, value: Column) -> Column:
@@ -57,10 +61,12 @@ def kind_of(type_name: Column, value: Column) -> Column:
 def with_kinds(df: DataFrame, raw: str) -> DataFrame:
     """df with the recovered text (_txt), its map (_obj) and the kind of each known key's value (_kind_<key>), each made once."""
     keys = (*REQUIRED, *OTHERS)
-    df = with_recovery(df, raw).withColumn("_variant", F.try_parse_json("_txt"))
-    df = df.withColumns({f"_type_{k}": F.when(F.map_contains_key("_obj", k), value_type(F.col("_variant"), k)) for k in keys})
-    df = df.withColumns({f"_kind_{k}": kind_of(F.col(f"_type_{k}"), F.col("_obj")[k]) for k in keys})
-    return df.drop("_variant", *[f"_type_{k}" for k in keys])
+    # All values at once; null where the text has no variant (equal keys, NaN).
+    values = F.try_variant_get(F.try_parse_json("_txt"), "$", "map<string,variant>")
+    df = with_recovery(df, raw).withColumn("_values", values)
+    df = df.withColumns({f"_type_{k}": F.schema_of_variant(F.try_element_at("_values", F.lit(k))) for k in keys})
+    df = df.withColumns({f"_kind_{k}": F.when(F.map_contains_key("_obj", k), kind_of(F.col(f"_type_{k}"), F.col("_obj")[k])) for k in keys})
+    return df.drop("_values", *[f"_type_{k}" for k in keys])
 
 
 def truthy(kind: Column, value: Column) -> Column:

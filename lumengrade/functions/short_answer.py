@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -55,14 +56,39 @@ def ratcliff_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def normal_form(c: Column) -> Column:
-    """the comparable form of a short answer."""
+def letters_bound(a: str, b: str) -> float:
+    """What U1 can't exceed: no more characters match than both texts have of a kind. Linear in the lengths."""
+    n = len(a) + len(b)
+    return 2.0 * sum((Counter(a) & Counter(b)).values()) / n if n else 1.0
+
+
+def ratio_or_null(a: str | None, b: str | None, least: float | None) -> float | None:
+    """U1, or None where a text is missing or the letters in common show that it lies below `least`."""
+    if a is None or b is None or (least is not None and letters_bound(a, b) < least):
+        return None
+    return SequenceMatcher(None, a, b).ratio()
+
+
+@F.pandas_udf(T.DoubleType())
+def ratio_at_least(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """U1 where it can reach `least`, else null."""
+    return pd.Series([ratio_or_null(*x) for x in zip(a, b, least, strict=True)], dtype="float64")
+
+
+def expanded_form(c: Column) -> Column:
+    """F13's first half: plain lower-case letters with abbreviations written out; P10 shows it."""
     t = F.lower(plain_letters(F.coalesce(c, F.lit(""))))
     shorts = "|".join(a for a, _ in ABBREVIATIONS)
     t = F.regexp_replace(t, GLUED.format(shorts=shorts), "$1. ")
     t = F.concat(F.lit(" "), t, F.lit(" "))
     for short, word in ABBREVIATIONS:
         t = F.regexp_replace(t, rf"\b{short}\.?(?=\s|$)", f" {word} ")
+    return t
+
+
+def normal_form(c: Column) -> Column:
+    """the comparable form of a short answer."""
+    t = expanded_form(c)
     t = F.regexp_replace(t, MUSCLE, " ")
     t = F.regexp_replace(t, LEFT, " esquerdo ")
     t = F.regexp_replace(t, RIGHT, " direito ")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.grades import COPIED, LOW_READING, OFF_SCALE, PARSE_COMMENT, PARSE_ERROR, clamp_grade, verdict
 from ..functions.json_text import schema_warnings, strict_boolean, text_list, truthy, with_kinds
 from ..functions.short_answer import (
-    copy_form, coverage, key_variants, laterality, normal_form, ratcliff_ratio, same_side, similarity, without_side,
+    copy_form, coverage, key_variants, laterality, normal_form, ratio_at_least, same_side, similarity, without_side,
 )
 from ..functions.values import decimal_or_null, first_filled, first_nonzero, strip
+from ..sources.shared import written
 
 
 def discursive_grades(outputs: DataFrame) -> DataFrame:
@@ -57,24 +58,46 @@ def overlap_copied(answer: F.Column, prompt: F.Column) -> F.Column:
     return (F.length(a) >= 20) & (F.length(p) >= 20) & (F.size(F.array_intersect(words, F.split(p, " "))) / F.greatest(F.size(words), F.lit(1)) >= 0.85)
 
 
-def copied_prompts(turns: DataFrame, least: float = 0.86, ratio: Callable[[str, str], F.Column] = ratcliff_ratio) -> DataFrame:
-    """turns(answer, prompt, ...) with `copied`. Distinct pairs are judged once and only the copied ones are joined back; the ratio,
-    of at most twice the shorter length over both, runs only where overlap hasn't decided and the lengths could reach it."""
-    pairs = turns.select("answer", "prompt").where((F.length("answer") >= 20) & (F.length("prompt") >= 20)).distinct()
-    pairs = pairs.withColumns({"_a": copy_form(F.col("answer")), "_p": copy_form(F.col("prompt"))}).where((F.length("_a") >= 20) & (F.length("_p") >= 20))
+ALIKE = 0.86  # likeness of two short answers without their side words from which they have one structure
+PROMPTS = ("prompt", "prompt_detected", "question_prompt", "rubric_prompt")  # fixed values: where a prompt may stand, first that says something
+
+
+def asked_prompt(columns: list[str]) -> F.Column:
+    """The prompt among the columns that hold one; '' where none says anything."""
+    said = [F.nullif(F.col(c), F.lit("")) for c in PROMPTS if c in columns]
+    return F.coalesce(*said, F.lit("")) if said else F.lit("")
+
+
+def copied_prompts(turns: DataFrame, least: float = 0.86, ratio: Callable[..., F.Column] = ratio_at_least) -> DataFrame:
+    """turns(answer, one or more of PROMPTS, ...) with `copied`. Each distinct pair of texts that are long enough is judged once.
+
+    The ratio, of at most twice the shorter length over both and no more than the letters in common allow, runs only where word overlap hasn't
+    decided and these bounds leave it open. Hits are written out once as 128-bit numbers, so that Spark joins them by their size; no text is joined.
+    """
+    named = turns.withColumn("_prompt", asked_prompt(turns.columns))
+    long_enough = F.coalesce((F.length("answer") >= 20) & (F.length("_prompt") >= 20), F.lit(False))
+    # Rows that can't be a hit get numbers of their own, so that blanks don't come together anywhere.
+    keys = {"_k1": F.xxhash64("answer", "_prompt"), "_k2": F.xxhash64("_prompt", F.lit(1), "answer")}
+    pairs = named.where(long_enough).groupBy("answer", "_prompt").agg(F.count("*").alias("_n"))
+    named = named.withColumns({k: F.when(long_enough, c).otherwise(F.monotonically_increasing_id()) for k, c in keys.items()})
+    # The forms lean on the count, so that no filter on them, nor the ratio, moves below the aggregate to every row.
+    counted = lambda c: F.when(F.col("_n") > 0, c)
+    pairs = pairs.withColumns({"_a": counted(copy_form(F.col("answer"))), "_p": counted(copy_form(F.col("_prompt")))}).where((F.length("_a") >= 20) & (F.length("_p") >= 20))
     words = F.array_distinct(F.split("_a", " "))
     pairs = pairs.withColumn("_o", F.size(F.array_intersect(words, F.split("_p", " "))) / F.greatest(F.size(words), F.lit(1)) >= 0.85)
     la, lp = F.length("_a"), F.length("_p")
-    may = ~F.col("_o") & (2 * F.least(la, lp) >= least * (la + lp))
-    pairs = pairs.withColumns({"_x": F.when(may, F.col("_a")), "_y": F.when(may, F.col("_p"))}).withColumn("_r", ratio("_x", "_y"))
-    hits = pairs.where(F.col("_o") | (F.col("_r") >= least)).select("answer", "prompt", F.lit(True).alias("_hit"))
-    return turns.join(hits, ["answer", "prompt"], "left").select(*turns.columns, F.coalesce("_hit", F.lit(False)).alias("copied"))
+    pairs = pairs.withColumn("_open", ~F.col("_o") & (2 * F.least(la, lp) >= least * (la + lp)))
+    pairs = pairs.withColumns({"_x": F.when(F.col("_open"), F.col("_a")), "_y": F.when(F.col("_open"), F.col("_p"))}).withColumn("_r", ratio("_x", "_y", F.lit(least)))
+    hits = pairs.where(F.col("_o") | (F.col("_r") >= least)).withColumnRenamed("_prompt", "_q")
+    hits = hits.select(F.xxhash64("answer", "_q").alias("_k1"), F.xxhash64("_q", F.lit(1), "answer").alias("_k2"), F.lit(True).alias("_hit"))
+    return named.join(written(hits, "copied"), ["_k1", "_k2"], "left").select(*turns.columns, F.coalesce("_hit", F.lit(False)).alias("copied"))
 
 
-def grade_short_answers(answers: DataFrame, strict_empty: bool = False, ratio: Callable[[str, str], F.Column] = ratcliff_ratio) -> DataFrame:
+def grade_short_answers(answers: DataFrame, strict_empty: bool = False, ratio: Callable[..., F.Column] = ratio_at_least) -> DataFrame:
     """answers(id, answer, key, reading_confidence, max_score) graded against their keys.
 
-    The ratio runs on distinct (answer form, variant) pairs only, where neither holds the other. strict_empty sends answers
+    The ratio runs on distinct (answer form, variant) pairs only, and not where the letters in common show that a variant can't be the best
+    one, or that texts without their side words can't be alike. strict_empty sends answers
     without any letter or figure to review instead of taking them as contained in the key.
     """
     key, answer = strip(F.coalesce("key", F.lit(""))), strip(F.coalesce("answer", F.lit("")))
@@ -85,8 +108,14 @@ def grade_short_answers(answers: DataFrame, strict_empty: bool = False, ratio: C
     rows = rows.join(forms, "_answer").join(keys, "_key")
     cand = rows.where("_key <> '' and _answer <> ''").select("_norm", "_variants").distinct()
     pairs = cand.select("_norm", "_variants", F.posexplode("_variants").alias("_i", "_v")).withColumns({"_n0": without_side(F.col("_norm")), "_v0": without_side(F.col("_v"))})
-    whole = pairs.select(F.col("_norm").alias("x"), F.col("_v").alias("y")).unionByName(pairs.select(F.col("_n0").alias("x"), F.col("_v0").alias("y"))).where("x <> '' and y <> '' and x <> y").distinct()
-    ratios = whole.withColumn("r", ratio("x", "y"))
+    # A ratio counts only where it can make a variant the best one, or texts without their side words alike; sim is at least what coverage alone gives.
+    pairs = pairs.withColumn("_low", similarity(F.lit(0.0), F.col("_norm"), F.col("_v")))
+    pairs = pairs.withColumn("_best_low", F.max("_low").over(Window.partitionBy("_norm", "_variants")))
+    reach = lambda sim, x, y: (sim - similarity(F.lit(0.0), F.col(x), F.col(y))) / 0.65 - 1e-9
+    same = pairs.select(F.col("_norm").alias("x"), F.col("_v").alias("y"), reach(F.col("_best_low"), "_norm", "_v").alias("least"))
+    bare = pairs.select(F.col("_n0").alias("x"), F.col("_v0").alias("y"), reach(F.lit(ALIKE), "_n0", "_v0").alias("least"))
+    whole = same.unionByName(bare).where("x <> '' and y <> '' and x <> y").groupBy("x", "y").agg(F.min("least").alias("least"))
+    ratios = whole.withColumn("r", ratio("x", "y", "least"))
 
     def with_ratio(df: DataFrame, x: str, y: str, out: str) -> DataFrame:
         r = ratios.select(F.col("x").alias(x), F.col("y").alias(y), F.col("r").alias("_r"))
@@ -101,7 +130,7 @@ def grade_short_answers(answers: DataFrame, strict_empty: bool = False, ratio: C
     empty = F.lit(strict_empty) & (F.col("_norm") == "")
     side = same_side(F.col("_norm"), F.col("_knorm"))
     correct = held & side & ~empty
-    structure = (v != "") & (F.coalesce("best.sim0", F.lit(0.0)) >= 0.86)
+    structure = (v != "") & (F.coalesce("best.sim0", F.lit(0.0)) >= ALIKE)
     near = ~correct & ((side & (sim >= 0.72)) | (structure & (sim >= 0.68)))
     low = F.lower(F.coalesce("reading_confidence", F.lit("media"))) == "baixa"
     no_key, no_answer = F.col("_key") == "", F.col("_answer") == ""
@@ -112,11 +141,18 @@ def grade_short_answers(answers: DataFrame, strict_empty: bool = False, ratio: C
         .when(near, "Resposta próxima ao gabarito; possível ruído de OCR/abreviação. Revisão humana recomendada.")
         .otherwise(F.concat(F.lit("Resposta prática não confere com o gabarito esperado: "), "_key", F.lit(".")))
     )
+    asks = (
+        F.when(no_key, "Gabarito prático ausente.").when(low, "Leitura visual com baixa confiança.")
+        .when(~no_answer & (near | empty), "Resposta próxima ao gabarito; revisar possível erro de OCR/abreviação.").otherwise("")
+    )
+    told, none = F.array("_key"), F.array().cast("array<string>")
     top = first_nonzero(F.col("max_score"), F.lit(1.0))
     return rows.select(
         "id", F.when(~no_key, F.when(correct & ~no_answer, top).otherwise(0.0)).alias("score"), top.alias("max_score"),
         F.when(no_key, "sem_rubrica").when(no_answer, "sem_resposta").when(correct, "correta").otherwise("incorreta").alias("verdict"),
-        (no_key | low | (~no_answer & (near | empty))).alias("needs_human_review"), why.alias("justification"), F.round(F.when(~no_key & ~no_answer, sim), 3).alias("similarity"), F.col("_norm").alias("normal_answer"),
+        (no_key | low | (~no_answer & (near | empty))).alias("needs_human_review"), why.alias("justification"),
+        F.when(correct & ~no_answer & ~no_key, told).otherwise(none).alias("detected_concepts"), F.when(no_key | (correct & ~no_answer), none).otherwise(told).alias("missing_concepts"),
+        asks.alias("review_reason"), F.round(F.when(~no_key & ~no_answer, sim), 3).alias("similarity"), F.col("_norm").alias("normal_answer"),
     )
 
 

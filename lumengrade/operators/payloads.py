@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grades import reading_confidence
 from ..functions.identity import student_code
+from ..functions.short_answer import expanded_form, normal_form
 from ..functions.values import decimal_or_null, first_filled, first_nonzero, needs_fallback, strip, truthy_text, unit_interval
 
 QUESTION = "struct<number:string,prompt_detected:string,answer_transcription:string,reading_confidence:string,ocr_confidence:string,reading_notes:string,has_answer:string,image_region:string>"
@@ -161,16 +162,51 @@ def pick_model_output(outputs: DataFrame, candidates: list[str], text_only: tupl
     return per.select("task_id", F.col("b.model").alias("model"), F.col("b.output").alias("output"), F.coalesce(F.col("b.rank") > 1, F.lit(False)).alias("fallback_used"), F.when(F.col("b").isNull(), F.col("e")).alias("error"))
 
 
-def build_requests(answers: DataFrame, questions: DataFrame) -> DataFrame:
-    """P10: one request per answer with its question; blanks are named. answers(id, question_id, answer_transcription)."""
-    from ..functions.short_answer import normal_form
+# What stands for a blank, by kind of request.
+BLANK, UNREAD = "(vazio)", "(sem transcrição confiável)"
 
-    q = questions.select(F.col("id").alias("question_id"), "question_text", "expected_answer", "max_score")
-    shown = F.coalesce(first_filled(strip(F.col("answer_transcription"))), F.lit("(sem transcrição confiável)"))
-    key = F.coalesce(first_filled(F.col("expected_answer")), F.lit("(vazio)"))
-    body = F.to_json(F.struct(F.col("expected_answer").alias("expected_raw"), normal_form(F.col("expected_answer")).alias("expected_normal"), F.col("answer_transcription").alias("answer_raw"), normal_form(F.col("answer_transcription")).alias("answer_normal")))
-    prompt = F.format_string("Questão: %s\nGabarito: %s\nValor: %s\nResposta: %s", F.coalesce(first_filled(F.col("question_text")), F.lit("(vazio)")), key, F.col("max_score").cast("string"), shown)
-    return answers.join(q, "question_id").select("id", "question_id", prompt.alias("prompt"), body.alias("payload"))
+
+def build_requests(answers: DataFrame, questions: DataFrame, kind: str = "single") -> DataFrame:
+    """P10: one request per answer with its question, as (id, question_id, prompt, payload, image); wording is the caller's.
+
+    single grades a transcription (blank: BLANK) and visual the picture of the answer (answers.image; blank transcription: UNREAD), both by a prompt of
+    named fields. grading has a JSON payload with raw, expanded and normal forms of prompt, answer and key. answers(id,
+    question_id, answer_transcription, and for grading reading_confidence).
+    """
+    if kind not in ("single", "visual", "grading"):
+        raise ValueError(f"no kind of request: {kind}")
+    q = questions.select(F.col("id").alias("question_id"), "question_number", "question_text", "expected_answer", "max_score")
+    rows = answers.join(q, "question_id")
+    image = F.col("image") if kind == "visual" else F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+    if kind == "grading":
+        asked, said, key = (F.coalesce(c, F.lit("")) for c in ("question_text", "answer_transcription", "expected_answer"))
+        body = F.struct(
+            "question_number", asked.alias("question_prompt"), expanded_form(asked).alias("question_prompt_expanded"),
+            F.coalesce(F.nullif("reading_confidence", F.lit("")), F.lit("media")).alias("reading_confidence"), said.alias("student_answer"),
+            expanded_form(said).alias("student_answer_expanded"), normal_form(said).alias("student_answer_normalized"),
+            expanded_form(key).alias("rubric_expected_answer_expanded"), normal_form(key).alias("rubric_expected_answer_normalized"),
+            F.struct(key.alias("expected_answer"), "max_score").alias("rubric"),
+        )
+        return rows.select("id", "question_id", none.alias("prompt"), F.to_json(body).alias("payload"), image.alias("image"))
+    shown = F.coalesce(first_filled(strip(F.col("answer_transcription"))), F.lit(UNREAD if kind == "visual" else BLANK))
+    named = lambda c: F.coalesce(first_filled(F.col(c)), F.lit(BLANK))
+    prompt = F.format_string("Questão %s: %s\nGabarito: %s\nValor: %s\nResposta: %s", F.col("question_number").cast("string"), named("question_text"), named("expected_answer"), F.col("max_score").cast("string"), shown)
+    return rows.select("id", "question_id", prompt.alias("prompt"), none.alias("payload"), image.alias("image"))
+
+
+#: Parts of a page's context that no reader of the page is told (fixed values).
+UNTOLD = ("vision_model", "image_path")
+
+
+def page_requests(pages: DataFrame) -> DataFrame:
+    """P10 for whole pages: pages(page_id, image_path, ...) as (page_id, image, payload), what else is known of a page being its JSON context;
+    nulls are left out, and a page of which nothing is known has none."""
+    told = [c for c in pages.columns if c not in (*UNTOLD, "page_id")]
+    known = F.lit(False)
+    for c in told:
+        known = known | F.col(c).isNotNull()
+    return pages.select("page_id", F.col("image_path").alias("image"), F.when(known, F.to_json(F.struct(*told))).alias("payload") if told else F.lit(None).cast("string").alias("payload"))
 
 
 def expected_from_raw(answers: DataFrame, questions: DataFrame) -> DataFrame:

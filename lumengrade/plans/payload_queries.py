@@ -132,10 +132,29 @@ def _(v):
 ASKED = "SELECT id, CAST(id % 40 AS INT) AS question_id, CASE WHEN id % 6 = 0 THEN '  ' ELSE answer_transcription END AS answer_transcription FROM fx_answers"
 
 
-@query("p10_build_requests", f"""SELECT a.id, a.question_id, 'Questão: ' || q.question_text || chr(10) || 'Gabarito: ' || q.expected_answer || chr(10) || 'Valor: 1.0' || chr(10) || 'Resposta: ' ||
-  coalesce(nullif(regexp_replace(a.answer_transcription, '^\\s+|\\s+$', '', 'g'), ''), '(sem transcrição confiável)') AS prompt FROM ({ASKED}) a JOIN fx_questions q ON q.id = a.question_id""")
+def prompt_sql(blank: str) -> str:
+    return f"""'Questão ' || q.question_number || ': ' || q.question_text || chr(10) || 'Gabarito: ' || q.expected_answer || chr(10) || 'Valor: 1.0' || chr(10) || 'Resposta: ' ||
+  coalesce(nullif(regexp_replace(a.answer_transcription, '^\\s+|\\s+$', '', 'g'), ''), '{blank}')"""
+
+
+@query("p10_build_requests", f"SELECT a.id, a.question_id, {prompt_sql('(vazio)')} AS prompt, NULL AS payload, NULL AS image FROM ({ASKED}) a JOIN fx_questions q ON q.id = a.question_id")
 def _(v):
-    return payloads.build_requests(v.sql(ASKED), v["fx_questions"]).select("id", "question_id", "prompt")
+    return payloads.build_requests(v.sql(ASKED), v["fx_questions"])
+
+
+@query("p10_visual_requests", f"SELECT a.id, a.question_id, {prompt_sql('(sem transcrição confiável)')} AS prompt, NULL AS payload, 'crop/' || a.id || '.png' AS image FROM ({ASKED}) a JOIN fx_questions q ON q.id = a.question_id")
+def _(v):
+    return payloads.build_requests(v.sql(ASKED).withColumn("image", F.concat(F.lit("crop/"), "id", F.lit(".png"))), v["fx_questions"], "visual")
+
+
+TOLD_PAGES = "SELECT id AS page_id, CONCAT('page/', CAST(id AS STRING)) AS image_path, 'a model' AS vision_model, run_id, page_number, NULLIF(detected_student_code, '') AS code, registration FROM fx_answers"
+
+
+@query("p10_page_requests", f"""SELECT page_id, image_path AS image, CAST(CASE WHEN code IS NULL AND registration IS NULL THEN json_object('run_id', run_id, 'page_number', page_number)
+  WHEN code IS NULL THEN json_object('run_id', run_id, 'page_number', page_number, 'registration', registration) WHEN registration IS NULL THEN json_object('run_id', run_id, 'page_number', page_number, 'code', code)
+  ELSE json_object('run_id', run_id, 'page_number', page_number, 'code', code, 'registration', registration) END AS VARCHAR) AS payload FROM ({TOLD_PAGES}) p""")
+def _(v):
+    return payloads.page_requests(v.sql(TOLD_PAGES))
 
 
 RAWS = """SELECT id, CAST(id % 45 AS INT) AS question_id, CASE id % 4 WHEN 0 THEN '{"expected_answer": "from raw"}' WHEN 1 THEN '{"expected_answer": "", "rubric_expected_answer": "second"}' WHEN 2 THEN 'broken' END AS raw_grading_json FROM fx_answers"""
@@ -241,8 +260,8 @@ def _(v):
     return v.sql(SCRIPTS).select("id", nfd_strip(F.col("t")).alias("t"))
 
 
-def normal_sql(c: str) -> str:
-    """F13 for DuckDB. Its patterns know no look-ahead: the letter or blank ahead is matched and put back, where need be twice over."""
+def expanded_sql(c: str) -> str:
+    """F13's first half for DuckDB. Its patterns know no look-ahead: the letter or blank ahead is matched and put back, where need be twice over."""
     shorts = "|".join(a for a, _ in ABBREVIATIONS)
     t = f"lower(strip_accents(coalesce({c}, '')))"
     for _ in range(2):
@@ -250,6 +269,12 @@ def normal_sql(c: str) -> str:
     t = f"(' ' || {t} || ' ')"
     for short, word in ABBREVIATIONS:
         t = f"regexp_replace({t}, '\\b{short}\\.?(\\s)', ' {word} \\1', 'g')"
+    return t
+
+
+def normal_sql(c: str) -> str:
+    """F13 for DuckDB."""
+    t = expanded_sql(c)
     for pattern, word in ((MUSCLE, " "), (LEFT, " esquerdo "), (RIGHT, " direito "), (DROPPED, " "), (r"\s+", " ")):
         t = f"regexp_replace({t}, '{pattern}', '{word}', 'g')"
     t = f"regexp_replace(regexp_replace(trim({t}), '{LAST_LEFT}', '\\1esquerdo'), '{LAST_RIGHT}', '\\1direito')"
@@ -264,6 +289,18 @@ def side_sql(c: str) -> str:
     return f"CASE WHEN {left} AND NOT {right} THEN 'left' WHEN {right} AND NOT {left} THEN 'right' ELSE '' END"
 
 
+PRACTICAL = "SELECT id, CAST(id % 40 AS INT) AS question_id, answer AS answer_transcription, CASE WHEN id % 3 = 0 THEN '' ELSE reading_confidence END AS reading_confidence FROM fx_short"
+
+
+@query("p10_grading_requests", f"""SELECT a.id, a.question_id, CAST(json_object('question_number', q.question_number, 'question_prompt', q.question_text, 'question_prompt_expanded', {expanded_sql("q.question_text")},
+    'reading_confidence', CASE WHEN a.reading_confidence = '' THEN 'media' ELSE a.reading_confidence END, 'student_answer', a.answer_transcription, 'student_answer_expanded', {expanded_sql("a.answer_transcription")},
+    'student_answer_normalized', {normal_sql("a.answer_transcription")}, 'rubric_expected_answer_expanded', {expanded_sql("q.expected_answer")}, 'rubric_expected_answer_normalized', {normal_sql("q.expected_answer")},
+    'rubric', json_object('expected_answer', q.expected_answer, 'max_score', q.max_score)) AS VARCHAR) AS payload
+  FROM ({PRACTICAL}) a JOIN fx_questions q ON q.id = a.question_id""")
+def _(v):
+    return payloads.build_requests(v.sql(PRACTICAL), v["fx_questions"], "grading").select("id", "question_id", "payload")
+
+
 # Forms of distinct texts, and each key's variants in order with their place.
 SHORT = f"""s AS MATERIALIZED (SELECT id, reading_confidence, max_score, regexp_replace(answer, '^\\s+|\\s+$', '', 'g') AS answer, regexp_replace(key, '^\\s+|\\s+$', '', 'g') AS key FROM fx_short),
 form AS MATERIALIZED (SELECT t, {normal_sql("t")} AS f FROM (SELECT answer AS t FROM s UNION SELECT key FROM s) x),
@@ -297,7 +334,7 @@ def _(v):
     return grading.grade_short_answers(v["fx_short"])
 
 
-def distance_ratio(x: str, y: str):
+def distance_ratio(x: str, y: str, least=None):
     """A ratio that SQL knows as well, in place of the matching-blocks one."""
     return 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))
 
@@ -321,9 +358,13 @@ z AS (SELECT *, held AND side AS correct, NOT (held AND side) AND ((side AND sim
 SELECT id, CASE WHEN key <> '' THEN CASE WHEN correct AND answer <> '' THEN max_score ELSE 0.0 END END AS score, CASE WHEN key = '' THEN 'sem_rubrica' WHEN answer = '' THEN 'sem_resposta' WHEN correct THEN 'correta' ELSE 'incorreta' END AS verdict,
   key = '' OR reading_confidence = 'baixa' OR (answer <> '' AND near) AS needs_human_review, CASE WHEN key = '' THEN 'Gabarito prático não informado para esta questão.' WHEN answer = '' THEN 'Resposta em branco. Esperado: ' || key || '.'
     WHEN NOT side AND alike THEN 'Estrutura compatível, mas lateralidade divergente.' WHEN correct THEN 'Resposta prática confere com o gabarito esperado.' WHEN near THEN 'Resposta próxima ao gabarito; possível ruído de OCR/abreviação. Revisão humana recomendada.'
-    ELSE 'Resposta prática não confere com o gabarito esperado: ' || key || '.' END AS justification, n AS normal_answer FROM z""")
+    ELSE 'Resposta prática não confere com o gabarito esperado: ' || key || '.' END AS justification, n AS normal_answer,
+  CASE WHEN key <> '' AND answer <> '' AND correct THEN key ELSE '' END AS detected, CASE WHEN key <> '' AND NOT (answer <> '' AND correct) THEN key ELSE '' END AS missing,
+  CASE WHEN key = '' THEN 'Gabarito prático ausente.' WHEN reading_confidence = 'baixa' THEN 'Leitura visual com baixa confiança.' WHEN answer <> '' AND near THEN 'Resposta próxima ao gabarito; revisar possível erro de OCR/abreviação.' ELSE '' END AS review_reason FROM z""")
 def _(v):
-    return grading.grade_short_answers(v["fx_short"], ratio=distance_ratio).select("id", "score", "verdict", "needs_human_review", "justification", "normal_answer")
+    got = grading.grade_short_answers(v["fx_short"], ratio=distance_ratio)
+    concepts = [F.array_join(f"{c}_concepts", "|").alias(c) for c in ("detected", "missing")]
+    return got.select("id", "score", "verdict", "needs_human_review", "justification", "normal_answer", *concepts, "review_reason")
 
 
 @query("f17_exact_matches", f"""WITH {SHORT} SELECT s.id FROM s JOIN form a ON a.t = s.answer JOIN form k ON k.t = s.key JOIN variant v ON v.key = s.key AND v.v = a.f WHERE ({side_sql("a.f")}) = '' OR ({side_sql("k.f")}) = '' OR ({side_sql("a.f")}) = ({side_sql("k.f")})""")
@@ -351,6 +392,19 @@ def _(v):
     return grading.copied_prompts(v.sql(TOLD), 0.6, distance_ratio).select("conv_id", "turn", "copied")
 
 
+# The prompt under each of its four names, with empty ones before it.
+ALIASED = f"""SELECT conv_id, turn, answer, CASE conv_id % 4 WHEN 0 THEN prompt WHEN 1 THEN '' END AS prompt, CASE conv_id % 4 WHEN 1 THEN prompt WHEN 2 THEN '' WHEN 0 THEN 'another prompt, which does not count' END AS prompt_detected,
+  CASE WHEN conv_id % 4 = 2 THEN prompt END AS question_prompt, CASE WHEN conv_id % 8 = 3 THEN prompt WHEN conv_id % 4 <> 3 THEN answer END AS rubric_prompt FROM ({TOLD}) told"""
+
+
+@query("f18_prompt_aliases", f"""
+WITH t AS (SELECT conv_id, turn, {FORM.format(c='answer')} AS a, {FORM.format(c="CASE WHEN conv_id % 8 = 7 THEN '' ELSE prompt END")} AS p FROM ({TOLD}) x),
+w AS (SELECT *, list_distinct(string_split(a, ' ')) AS wa, list_distinct(string_split(p, ' ')) AS wp, length(a) >= 20 AND length(p) >= 20 AS long FROM t)
+SELECT conv_id, turn, long AND (len(list_intersect(wa, wp)) / greatest(len(wa), 1) >= 0.85 OR (2 * least(length(a), length(p)) >= 0.6 * (length(a) + length(p)) AND 1 - levenshtein(a, p) / greatest(length(a), length(p), 1) >= 0.6)) AS copied FROM w""")
+def _(v):
+    return grading.copied_prompts(v.sql(ALIASED), 0.6, distance_ratio).select("conv_id", "turn", "copied")
+
+
 @query("f18_copied_prompts")
 def _(v):
     return grading.copied_prompts(v.sql(TOLD)).select("conv_id", "turn", "copied")

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -18,3 +18,10 @@ def shared_path(spark: SparkSession, tag: str) -> str:
         found = tempfile.mkdtemp(prefix="lumengrade-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found}/lumengrade/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df written once to the shared folder and read back: later plans know its size, and a lost executor costs no more than its tasks."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
