@@ -33,9 +33,11 @@ WEIGHTS = (3.0, 1.0, 2.0)
 ROW = "k1 long, k2 long, doc_id long, source string"
 
 
-def row_keys() -> list[Column]:
-    """Two hashes that name a row by id, source and text."""
+def row_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes that name a row by id, source, text and all other columns (maps as JSON): rows of equal keys are equal throughout."""
     named = [F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")]
+    rest = sorted(f.name for f in docs.schema if f.name not in ("doc_id", "source", "text"))
+    named += [F.to_json(docs[f"`{c}`"]) if "map<" in dict(docs.dtypes)[c] else docs[f"`{c}`"] for c in rest]
     return [F.xxhash64(*named).alias("k1"), F.xxhash64(F.lit("row"), *named[::-1]).alias("k2")]
 
 
@@ -48,7 +50,7 @@ def sizes(docs: DataFrame) -> DataFrame:
             n = [len(t.encode().split()) if t else 0 for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n, pa.int64())], names=[*names, "size"])
 
-    got = docs.select(*row_keys(), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    got = docs.select(*row_keys(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     return got.mapInArrow(run, f"{ROW}, size long")
 
 
@@ -156,7 +158,7 @@ def take(docs: DataFrame, units: DataFrame) -> DataFrame:
     The texts are shuffled once by row, at any size: a plan that broadcast the counts of a small table would change its needs as it grows.
     """
     copies = units.groupBy("k1", "k2").agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * F.col("base") + F.col("extra")).alias("copies"))
-    kept = docs.select(F.struct("*").alias("row"), *row_keys()).join(copies.where("copies > 0").hint("merge"), ["k1", "k2"])
+    kept = docs.select(F.struct("*").alias("row"), *row_keys(docs)).join(copies.where("copies > 0").hint("merge"), ["k1", "k2"])
     alone = kept.where("rows = 1").select("row", "copies")
     equal = kept.where("rows > 1").dropDuplicates(["k1", "k2"])  # any of them stands for all
     split = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 4096)))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumengrade.llm import registry
+from lumengrade.llm import registry, source_mix
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,6 +46,34 @@ def test_near_stage_of_repeated_rows(spark):
     assert kept.columns == docs.columns and sorted((r.doc_id, r.text, r.rows) for r in kept.collect()) == sorted([(1, a, 5), (1, b, 6)])
 
 
+def test_near_stage_judges_each_text_of_an_id(spark):
+    a, b = "one two three four five six seven eight nine ten", "a text of its own that no other row has in common with it at all or ever"
+    docs = spark.createDataFrame([(0, f"{b} and more"), (1, a), (1, b)], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.drop_copies(spark, docs, SF).collect())) == [(0, f"{b} and more"), (1, a)]
+    empty = spark.createDataFrame([(5, None), (5, ""), (6, " "), (7, None), (None, None)], docs.schema)
+    assert corpus_pipeline.drop_copies(spark, docs.unionByName(empty), SF).count() == 7
+
+
+def test_language_stage_judges_each_row_of_an_id(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = sorted(r.doc_id for r in corpus_pipeline.drop_foreign(spark, docs, SF).select("doc_id").collect())
+    junk = docs.where(F.col("doc_id") == before[0]).withColumns({"text": F.lit("#%& 0x9f {}[] ;;; 7734 @@@ ~~~ 0b11 ^^^ || qzx vvk jjq xxz " * 20), "lang": F.lit(None).cast("string")})
+    rows = corpus_pipeline.stored(docs.unionByName(junk).unionByName(junk.withColumn("doc_id", F.lit(None).cast("long"))), "test-foreign")
+    kept = corpus_pipeline.drop_foreign(spark, rows, SF)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == before and kept.where("text like '%qzx%'").isEmpty()
+
+
+def test_mix_stage_keeps_other_columns(spark):
+    rows = [(7, "same words in both rows", lang, "a") for lang in ("en", "de")] * 3 + [(k, f"row {k} " * 9, "en", "ab"[k % 2]) for k in range(20)]
+    docs = corpus_pipeline.stored(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "test-langs")
+    units = corpus_pipeline.stored(source_mix.mix_units(docs), "test-units")
+    want = {(r.k1, r.k2): r.c for r in units.groupBy("k1", "k2").agg(F.sum(F.col("rows") * F.col("base") + F.col("extra")).alias("c")).collect()}
+    got = source_mix.take(docs, units).where("doc_id = 7")
+    for lang in ("en", "de"):
+        key = docs.where(f"doc_id = 7 and lang = '{lang}'").select(*source_mix.row_keys(docs)).first()
+        assert got.where(f"lang = '{lang}'").count() == want[key.k1, key.k2]
+
+
 def test_stages_on_odd_tables(spark):
     """Empty tables, null columns and columns named as the stages name theirs."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
@@ -62,4 +90,4 @@ def test_stages_on_odd_tables(spark):
 
 def test_every_operator_is_registered():
     names = registry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
