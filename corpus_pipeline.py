@@ -23,24 +23,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language, or in none with posterior 0.5, go; rows without an id can't be named and stay."""
-    found = language_id.identify(language_id.document_evidence(docs), docs)
-    gone = stored(found.where("not kept").select(F.col("row_id").alias("doc_id")).distinct(), "foreign")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents in no known language, or in none with posterior 0.5, go. They are named by a 64-bit number of text and source, on which
+    the judgement rests, so that rows which share an id, or have none, are judged one by one."""
+    key = F.xxhash64(F.col("text").cast("string"), F.lit("source"), F.col("source").cast("string"))
+    judged = language_id.document_evidence(docs.select(key.alias("doc_id"), "text", "source"))
+    found = language_id.identify(judged, docs)
+    gone = stored(found.where("not kept").select(F.col("row_id").alias("key")).distinct(), "foreign")
+    named = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    return named.join(gone, "key", "left_anti").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8) stays. Of equal rows one stays, rows that repeat
-    an id with another text of their own stay, and so do rows without an id.
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8) stays: a row of its smallest id. Texts are named by a 64-bit
+    number, so that rows which share an id are judged by their own text. Rows without an id stay, and so do those without a word.
 
-    The texts are shuffled once by id, at any size; only rows of repeated ids are compared with each other.
+    The texts are shuffled once by text and id, at any size; only equal pairs of both are compared with each other.
     """
-    found = minhash_dedup.near_duplicates(docs, shingle=5, threshold=0.8)
-    kept = stored(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    named = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    once = named.join(kept.hint("merge"), "doc_id")
-    again = once.where("rows > 1").withColumn("same", F.md5(F.coalesce("row.text", F.lit("")))).dropDuplicates(["doc_id", "same"])
-    return once.where("rows = 1").select("row.*").unionByName(again.select("row.*")).unionByName(docs.where("doc_id is null"))
+    text = F.col("text").cast("string")
+    named = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.xxhash64(text).alias("key"), F.col("doc_id").cast("long").alias("id"))
+    found = minhash_dedup.near_duplicates(named.select(F.col("key").alias("doc_id"), F.col("row.text").cast("string").alias("text")), shingle=5, threshold=0.8)
+    group = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("part"))
+    first = named.groupBy("key", "id").agg(F.count("*").alias("rows")).groupBy("key").agg(F.min(F.struct("id", "rows")).alias("first"))
+    one = stored(group.join(first, "key"), "group").groupBy("part").agg(F.min(F.struct("first.id", "key", "first.rows")).alias("one"))
+    kept = stored(one.select("one.*"), "kept")
+    once = named.join(kept.hint("merge"), ["key", "id"])
+    again = once.where("rows > 1").dropDuplicates(["key", "id"])
+    bare = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]") | F.col("doc_id").isNull()
+    return once.where("rows = 1").select("row.*").unionByName(again.select("row.*")).unionByName(docs.where(bare))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
