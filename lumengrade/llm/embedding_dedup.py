@@ -261,16 +261,71 @@ def late_members(late: DataFrame, classes: DataFrame, tables: int, projections:
     return tiled(late).join(wanted, "cid").repartition(*UNIT).sortWithinPartitions(*UNIT, "side", "cid").mapInArrow(run, MEMBER)
 
 
-def _forest(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
-    """The smallest row that links p-q lead to from each of n rows."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, p, label[q])
-        np.minimum.at(label, q, label[p])
-        label = label[label]
-        if (label == before).all():
-            return label
+class _Forest:
+    """Components of rows, joined block by block: label[k] is the smallest row that links lead to from row k."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, p: np.ndarray, q: np.ndarray) -> None:
+        while True:
+            a, b = self.label[p], self.label[q]
+            apart = a != b
+            if not apart.any():
+                return
+            p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            while (self.label != (shorter := self.label[self.label])).any():
+                self.label = shorter
+
+
+def _blocks(t: pa.RecordBatch, marks: np.ndarray, cell: np.ndarray, cells_at_once: int = 1 << 18):
+    """Pairs of row sets that have to be compared, each of at most about `cells_at_once` pairs; within a set a row is compared with later ones.
+
+    Members that share a cell of an earlier table have met there: the largest such set of a unit isn't compared with itself again.
+    """
+    for x, y in _units(t):
+        if x != y:
+            sets = [(np.arange(x.start, x.stop), np.arange(y.start, y.stop), False)]
+        else:
+            rows, k = np.arange(x.start, x.stop), int(cell[x.start] & 1023)
+            met = np.zeros(len(rows), bool)
+            for j in range(k):
+                values, at, count = np.unique(marks[rows, j], return_inverse=True, return_counts=True)
+                if count.max() > met.sum():
+                    met = at == count.argmax()
+            rest, met = rows[~met], rows[met]
+            sets = [(rest, rest, True), (met, rest, False)] if len(met) > 1 else [(rows, rows, True)]
+        for a, b, within in sets:
+            if not len(a) or not len(b):
+                continue
+            step = max(1, cells_at_once // len(b))
+            for i in range(0, len(a), step):
+                some = a[i : i + step]
+                yield some, b[i:] if within else b, within
+
+
+def unit_links(t: pa.RecordBatch, tables: int, projections: int, width: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links gained, smallest row linked to) of each row of whole units; memory goes with the rows, not with the pairs."""
+    n, cell = (t.column(c).to_numpy() for c in ("n", "cell"))
+    raw = t.column("unit")
+    dims = np.array([len(x.as_buffer()) // 8 for x in raw])
+    unit, marks = np.zeros((t.num_rows, int(dims.max()))), np.empty((t.num_rows, tables), np.int64)
+    for at, rows in _by_length(raw):
+        unit[at, : rows.shape[1]], marks[at] = rows, cells(rows, tables, projections, width)
+    gain, forest = np.zeros(t.num_rows), _Forest(t.num_rows)
+    for x, y, within in _blocks(t, marks, cell):
+        p, q = np.nonzero(unit[x] @ unit[y].T >= threshold)
+        p, q = x[p], y[q]
+        keep = (dims[p] == dims[q]) & ((p < q) if within else True)
+        p, q = p[keep], q[keep]
+        first = _first_here(p, q, marks, cell)
+        p, q = p[first], q[first]
+        if len(p):
+            np.add.at(gain, p, n[q])
+            np.add.at(gain, q, n[p])
+            forest.join(p, q)
+    return gain, forest.label
 
 
 def links(members: DataFrame, classes: DataFrame, tables: int, projections: int, width: float, threshold: float) -> DataFrame:
@@ -279,19 +334,9 @@ def links(members: DataFrame, classes: DataFrame, tables: int, projections: int,
 
     def run(batches):
         for t in whole_groups(batches, UNIT):
-            cid, n, cell = (t.column(c).to_numpy() for c in ("cid", "n", "cell"))
-            raw = t.column("unit")
-            dims = np.array([len(x.as_buffer()) // 8 for x in raw])
-            unit, marks = np.zeros((t.num_rows, int(dims.max()))), np.empty((t.num_rows, tables), np.int64)
-            for at, rows in _by_length(raw):
-                unit[at, : rows.shape[1]], marks[at] = rows, cells(rows, tables, projections, width)
-            found = [*_pairs(t, lambda x, y, unit=unit, dims=dims: (unit[x] @ unit[y].T >= threshold) & (dims[x][:, None] == dims[y]))]
-            p, q = (np.concatenate(x) for x in zip(*found, strict=True))
-            first = _first_here(p, q, marks, cell)
-            p, q = p[first], q[first]
-            gain = np.bincount(p, weights=n[q], minlength=len(n)) + np.bincount(q, weights=n[p], minlength=len(n))
-            label, on = _forest(p, q, len(n)), np.flatnonzero(gain)
-            low = np.flatnonzero(label != np.arange(len(n)))
+            cid = t.column("cid").to_numpy()
+            gain, label = unit_links(t, tables, projections, width, threshold)
+            on, low = np.flatnonzero(gain), np.flatnonzero(label != np.arange(t.num_rows))
             b = pa.array(np.r_[np.zeros(len(on), np.int64), cid[label[low]]], mask=np.arange(len(on) + len(low)) < len(on))
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[cid[on], cid[low]]), b, pa.array(np.r_[gain[on].astype(np.int64), np.zeros(len(low), np.int64)])], schema=schema)
 

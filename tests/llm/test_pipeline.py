@@ -64,7 +64,7 @@ def test_language_stage_judges_each_row_of_an_id(spark):
 
 
 def test_mix_stage_keeps_other_columns(spark):
-    rows = [(7, "same words in both rows", lang, "a") for lang in ("en", "de")] * 3 + [(k, f"row {k} " * 9, "en", "ab"[k % 2]) for k in range(20)]
+    rows = [(7, "same words in both rows", lang, "a") for lang in ("en", "de")] * 3 + [(100 + k, f"row {k} " * 9, "en", "ab"[k % 2]) for k in range(20)]
     docs = corpus_pipeline.stored(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "test-langs")
     units = corpus_pipeline.stored(source_mix.mix_units(docs), "test-units")
     want = {(r.k1, r.k2): r.c for r in units.groupBy("k1", "k2").agg(F.sum(F.col("rows") * F.col("base") + F.col("extra")).alias("c")).collect()}
