@@ -7,7 +7,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,6 +99,29 @@ def normal_form(c: Column) -> Column:
     return strip(F.regexp_replace(t, r"\s+", " "))
 
 
+TRIMMED = (r"^\s+|\s+$", "")
+
+
+def normal_rules() -> list[tuple[int, str, str]]:
+    """F13 after plain lower-case letters as (step, pattern, word) rows: what a table of rules may start from."""
+    steps = [(GLUED.format(shorts="|".join(a for a, _ in ABBREVIATIONS)), "$1. "), (r"^(?s)(.*)$", " $1 ")]
+    steps += [(rf"\b{short}\.?(?=\s|$)", f" {word} ") for short, word in ABBREVIATIONS]
+    steps += [(MUSCLE, " "), (LEFT, " esquerdo "), (RIGHT, " direito "), (DROPPED, " "), (r"\s+", " "), TRIMMED, (LAST_LEFT, "$1esquerdo"), (LAST_RIGHT, "$1direito")]
+    steps += [(rf"\b{alias}\b", f" {word} ") for alias, word in ALIASES]
+    return [(k, pattern, word) for k, (pattern, word) in enumerate([*steps, (r"\s+", " "), TRIMMED])]
+
+
+def normal_form_by(c: Column, rules: DataFrame, most: int = 1000) -> Column:
+    """F13 with the rewriting rules of a table rules(step, pattern, word), applied in the order of their steps; the table is a parameter of at
+    most `most` rows and goes along with the plan."""
+    rows = rules.select("step", "pattern", "word").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rewriting rules")
+    steps = F.array(*[F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.word).alias("word")) for r in sorted(rows)])
+    plain = F.lower(plain_letters(F.coalesce(c, F.lit(""))))
+    return F.aggregate(steps, plain, lambda t, r: F.regexp_replace(t, r["pattern"], r["word"])) if rows else plain
+
+
 def key_variants(key: Column) -> Column:
     """normal forms of a key's alternatives and of the whole key, blanks dropped, each once."""
     parts = F.split(key, ALTERNATIVES)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.grades import COPIED, LOW_READING, OFF_SCALE, PARSE_COMMENT, PARSE_ERROR, clamp_grade, verdict
 from ..functions.json_text import schema_warnings, strict_boolean, text_list, truthy, with_kinds
@@ -171,6 +173,42 @@ def semantic_guard(answers: DataFrame, guards: DataFrame) -> DataFrame:
     return joined.select("id", "question_number", F.when(swapped, 0.0).otherwise(F.col("score")).alias("score"), swapped.alias("possible_rubric_swap"))
 
 
+def guard_by_terms(answers: DataFrame, terms: DataFrame, most: int = 200_000) -> DataFrame:
+    """F24 for many terms: answers(id, question_number, rubric_text, score) against terms(question_number, term), any number a question; as semantic_guard().
+
+    The terms are a table of parameters, at most `most` distinct ones. They form one automaton, and each text is read once for all of them, in Arrow
+    batches. Terms are compared in lower case; blank ones count as met, as every text contains them.
+    """
+    rows = terms.where("question_number is not null and term is not null").select(F.lower("term").alias("term"), "question_number").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    of: dict[str, set[int]] = {}
+    for r in rows:
+        of.setdefault(r.term, set()).add(r.question_number)
+    guarded = sorted({r.question_number for r in rows})
+
+    def run(batches):
+        import ahocorasick
+
+        finder, always = ahocorasick.Automaton(), of.get("", set())
+        for term, numbers in of.items():
+            if term:
+                finder.add_word(term, numbers)
+        finder.make_automaton()
+        for t in batches:
+            met = []
+            for number, text in zip(t.column("question_number").to_pylist(), t.column("_text").to_pylist(), strict=True):
+                some = number in always and text is not None
+                met.append(some or (text is not None and len(finder) > 0 and any(number in numbers for _, numbers in finder.iter(text))))
+            yield t.drop_columns("_text").append_column("_met", pa.array(met, pa.bool_()))
+
+    asked = answers.withColumns({"_text": F.lower("rubric_text"), "_guarded": F.coalesce(F.col("question_number").isin(guarded), F.lit(False)) if guarded else F.lit(False)})
+    kept = asked.select("id", "question_number", "score", "_guarded", "_text")
+    seen = kept.where("_guarded").mapInArrow(run, T.StructType([*kept.drop("_text").schema, T.StructField("_met", T.BooleanType())]))
+    rows = seen.unionByName(kept.where("not _guarded").drop("_text").withColumn("_met", F.lit(True)))
+    return rows.select("id", "question_number", F.when(F.col("_met"), F.col("score")).otherwise(0.0).alias("score"), (~F.col("_met")).alias("possible_rubric_swap"))
+
+
 def default_grades(answers: DataFrame) -> DataFrame:
     """default rows for answers(id, cause): no rubric (score null), grading error or model failure (score 0), all for review."""
     cause = F.col("cause")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import first_filled, safe_uuid
+from ..sources.shared import written
 
 MANIFEST = (
     "struct<version:int,pages:array<struct<physical_index:int,exam_id:string,student_id:string,page_in_student:int,total_pages_for_student:int,"
@@ -116,16 +117,27 @@ def fold_results(pages: DataFrame) -> DataFrame:
     return joined.select(*[c for c in folded.columns if c != "pages"], "warnings", "pages")
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Rows with their number (from 0) within `keys` by `order`, in two levels: rows are dealt out by range and written, numbered within each range
+    partition, and moved on by what the partitions before hold of their group. No task gets a whole group."""
+    dealt = rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    dealt = written(dealt, "ranges")  # where the ranges end is sampled, so it has to be decided once
+    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
+    return dealt.withColumn("_local", local).join(counts, [*keys, "_part"]).withColumn(name, F.col("_local") + F.col("_before")).select(*rows.columns, name)
+
+
 def sheet_manifest(students: DataFrame, layout_pages: DataFrame) -> DataFrame:
     """Each student of the exam's class times the layout's pages, with a running page index per exam.
 
-    students(exam_id, student_id, registration_number), layout_pages(exam_id, page_in_student).
+    students(exam_id, student_id, registration_number), layout_pages(exam_id, page_in_student); a layout has a few pages.
     """
     sheets = Window.partitionBy("exam_id")
     pages = layout_pages.withColumn("_at", F.row_number().over(sheets.orderBy("page_in_student"))).withColumn("total_pages_for_student", F.count("*").over(sheets))
-    numbered = students.withColumn("_nth", F.row_number().over(sheets.orderBy("registration_number", "student_id")) - 1)
+    placed = numbered(students, ["exam_id"], ["registration_number", "student_id"], "_nth")
     index = F.col("_nth") * F.col("total_pages_for_student") + F.col("_at") - 1
-    return numbered.join(pages, "exam_id").withColumn("physical_index", index.cast("int")).select(*students.columns, "page_in_student", "physical_index", "total_pages_for_student")
+    return placed.join(pages, "exam_id").withColumn("physical_index", index.cast("int")).select(*students.columns, "page_in_student", "physical_index", "total_pages_for_student")
 
 
 def validate_batches(batches: DataFrame, exams: DataFrame, questions: DataFrame) -> DataFrame:

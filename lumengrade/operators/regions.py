@@ -24,19 +24,33 @@ def padded(boxes: DataFrame) -> DataFrame:
     )
 
 
-def overlapping_pairs(boxes: DataFrame, share: float = 0.65) -> DataFrame:
-    """J10, pairs: (page_id, a, b) of boxes(page_id, region_id, x, y, w, h) of one page that overlap by more than `share` of the smaller
-    area, a before b in (y, x) order."""
+def overlapping_pairs(boxes: DataFrame, share: float = 0.65, cell: tuple[int, int] = (256, 128)) -> DataFrame:
+    """J10, pairs: (page_id, a, b) of boxes(page_id, region_id, x, y, w, h) of one page that overlap by more than `share` (at least a half) of the
+    smaller area, a before b in (y, x) order.
+
+    An overlap of more than half of the smaller box, in either direction, holds its middle. So each box waits in the one grid cell of its middle, larger
+    ones visit the cells they cover, and each pair meets once, in the cell of the smaller one's middle; boxes far apart on a page never meet.
+    """
+    if share < 0.5:
+        raise ValueError("boxes that overlap by less than a half may not hold each other's middle")
+    sized = boxes.where((F.col("w") > 0) & (F.col("h") > 0))
     cols = ("region_id", "x", "y", "w", "h")
-    a, b = (boxes.select("page_id", *[F.col(c).alias(f"{c}_{s}") for c in cols]) for s in "ab")
-    pairs = a.join(b, "page_id").where("struct(y_a, x_a, region_id_a) < struct(y_b, x_b, region_id_b)")
+    at = lambda c, k: F.floor(c / cell[k]).cast("int")
+    small, large = (sized.select("page_id", *[F.col(c).alias(f"{c}_{s}") for c in cols]) for s in "ab")
+    small = small.withColumns({"_cx": at(F.col("x_a") + F.col("w_a") / 2, 0), "_cy": at(F.col("y_a") + F.col("h_a") / 2, 1)})
+    covered = lambda x, w, k: F.sequence(at(F.col(x), k), at(F.col(x) + F.col(w), k))
+    large = large.withColumn("_cx", F.explode(covered("x_b", "w_b", 0))).withColumn("_cy", F.explode(covered("y_b", "h_b", 1)))
+    area = {s: F.col(f"w_{s}") * F.col(f"h_{s}") for s in "ab"}
+    place = {s: F.struct(F.col(f"y_{s}").alias("y"), F.col(f"x_{s}").alias("x"), F.col(f"region_id_{s}").alias("region_id")) for s in "ab"}
+    smaller = F.struct(area["a"].alias("k"), place["a"].alias("p")) < F.struct(area["b"].alias("k"), place["b"].alias("p"))
+    pairs = small.join(large, ["page_id", "_cx", "_cy"]).where(smaller & (place["a"] != place["b"]))
 
     def shared(at: str, size: str) -> F.Column:
         ends = [F.col(f"{at}_{s}") + F.col(f"{size}_{s}") for s in "ab"]
         return F.greatest(F.lit(0), F.least(*ends) - F.greatest(f"{at}_a", f"{at}_b"))
 
-    smaller = F.least(F.col("w_a") * F.col("h_a"), F.col("w_b") * F.col("h_b"))
-    return pairs.where((smaller > 0) & (shared("x", "w") * shared("y", "h") > share * smaller)).select("page_id", F.col("region_id_a").alias("a"), F.col("region_id_b").alias("b"))
+    met = pairs.where(shared("x", "w") * shared("y", "h") > share * area["a"])
+    return met.select("page_id", F.least(*place.values())["region_id"].alias("a"), F.greatest(*place.values())["region_id"].alias("b"))
 
 
 def suppress_regions(boxes: DataFrame, share: float = 0.65, most: int = 12) -> DataFrame:

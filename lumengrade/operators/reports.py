@@ -110,19 +110,22 @@ def warning_counts(df: DataFrame) -> DataFrame:
     return classify_warnings(df).groupBy("batch_id", "code", "stage").agg(F.count("*").alias("n"))
 
 
-def run_summary(pages: DataFrame, answers: DataFrame) -> DataFrame:
-    """Per run: pages, first non-empty models by page, fallbacks, joined errors, SUCCESS or FAILED.
+def run_summary(pages: DataFrame, answers: DataFrame, most: int = 20) -> DataFrame:
+    """Per run: pages, first non-empty models by page, fallbacks, the errors of the first `most` pages that have one, how many have one,
+    SUCCESS or FAILED. A run may be any share of the table: no more than `most` errors of it come together.
 
     pages(run_id, page_number, vision_model, fallback_used, error), answers(run_id, page_number, question_number, text_model).
     """
     filled = lambda c: F.nullif(c, F.lit(""))
-    errors = F.transform(F.sort_array(F.collect_list(F.when(filled("error").isNotNull(), F.struct("page_number", "error")))), lambda x: x["error"])
     per = pages.groupBy("run_id").agg(
         F.count("*").alias("pages_processed"), F.min_by(filled("vision_model"), F.when(filled("vision_model").isNotNull(), F.col("page_number"))).alias("vision_model"),
-        F.count_if("fallback_used").alias("fallback_pages"), F.array_join(errors, " | ").alias("error"),
+        F.count_if("fallback_used").alias("fallback_pages"), F.count_if(filled("error").isNotNull()).alias("errors"),
     )
+    said = top_n(pages.where(filled("error").isNotNull()).select("run_id", "page_number", "error"), ["run_id"], ["page_number", "error"], most)
+    said = said.groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "error"))), lambda x: x["error"]).alias("e"))
     text = answers.groupBy("run_id").agg(F.min_by(filled("text_model"), F.when(filled("text_model").isNotNull(), F.struct("page_number", "question_number"))).alias("text_model"))
-    return per.join(text, "run_id", "left").withColumn("status", F.when(F.col("error") == "", "SUCCESS").otherwise("FAILED"))
+    joined = per.join(said, "run_id", "left").join(text, "run_id", "left")
+    return joined.withColumn("error", F.coalesce(F.array_join("e", " | "), F.lit(""))).drop("e").withColumn("status", F.when(F.col("errors") == 0, "SUCCESS").otherwise("FAILED"))
 
 
 def report_details(rows: DataFrame) -> DataFrame:

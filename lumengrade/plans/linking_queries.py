@@ -234,6 +234,17 @@ def _(v):
     return grading.semantic_guard(v.sql(GUARD), guards)
 
 
+# A term from the middle of each text, for one question each.
+TERMS = "SELECT CAST(doc_id % 8 AS INT) + 1 AS question_number, SUBSTR(text, 40, 5) AS term FROM documents WHERE doc_id % 8 <> 5"
+
+
+@query("f24_many_terms", f"""WITH t AS (SELECT DISTINCT question_number, lower(term) AS term FROM ({TERMS}) x WHERE term IS NOT NULL),
+m AS (SELECT g.id, bool_or(contains(lower(rubric_text), term)) AS met FROM ({GUARD}) g JOIN t ON t.question_number = g.question_number GROUP BY 1)
+SELECT g.id, g.question_number, CASE WHEN m.id IS NOT NULL AND NOT coalesce(met, FALSE) THEN 0.0 ELSE score END AS score, m.id IS NOT NULL AND NOT coalesce(met, FALSE) AS possible_rubric_swap FROM ({GUARD}) g LEFT JOIN m ON m.id = g.id""")
+def _(v):
+    return grading.guard_by_terms(v.sql(GUARD), v.sql(TERMS))
+
+
 @query("f30_json_or_null", "SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE '[\"' || run_id || '\",\"' || reading_confidence || '\"]' END AS j FROM fx_answers")
 def _(v):
     arr = F.when(F.col("id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("run_id", "reading_confidence"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.grades import reading_confidence, single_grade
 from ..functions.json_text import schema_warnings, with_kinds, with_recovery
 from ..functions.short_answer import (
-    ABBREVIATIONS, ALIASES, ALTERNATIVES, DROPPED, LAST_LEFT, LAST_RIGHT, LEFT, MUSCLE, RIGHT, SIDES, copy_form, key_variants, nfd_strip, normal_form, plain_letters,
+    ABBREVIATIONS, ALIASES, ALTERNATIVES, DROPPED, LAST_LEFT, LAST_RIGHT, LEFT, MUSCLE, RIGHT, SIDES, copy_form, key_variants, nfd_strip, normal_form, normal_form_by, normal_rules, plain_letters,
 )
 from ..functions.values import decimal_or, iso_timestamp, needs_fallback, unit_interval, word_count
 from ..operators import grading, payloads
@@ -91,10 +91,10 @@ def _(v):
 
 
 @query("j11_resolve_ocr", """
-WITH o AS MATERIALIZED (SELECT * FROM fx_ocr), n AS (SELECT text, array_length(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) < 3 OR trim(text) = '' AS few FROM (SELECT DISTINCT text FROM o) t),
-r AS MATERIALIZED (SELECT o.*, few OR coalesce(confidence < 0.70, FALSE) AS nf FROM o JOIN n ON n.text = o.text), a AS (SELECT * FROM r WHERE provider = 'azure'), b AS (SELECT * FROM r WHERE provider = 'google'),
-j AS (SELECT a.answer_id, a.text AS ta, b.text AS tb, a.confidence AS ca, b.confidence AS cb, a.error AS ea, b.error AS eb, a.nf AS na, b.nf AS nb, b.answer_id IS NULL AS alone,
-  a.error IS NULL AND NOT a.nf AS ga, coalesce(b.error IS NULL AND NOT b.nf, FALSE) AS gb FROM a LEFT JOIN b ON a.answer_id = b.answer_id)
+WITH r AS (SELECT *, array_length(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) < 3 OR trim(text) = '' OR coalesce(confidence < 0.70, FALSE) AS nf FROM fx_ocr),
+p AS (SELECT answer_id, any_value(text) FILTER (provider = 'azure') AS ta, any_value(text) FILTER (provider = 'google') AS tb, any_value(confidence) FILTER (provider = 'azure') AS ca, any_value(confidence) FILTER (provider = 'google') AS cb,
+  any_value(error) FILTER (provider = 'azure') AS ea, any_value(error) FILTER (provider = 'google') AS eb, bool_or(nf) FILTER (provider = 'azure') AS na, bool_or(nf) FILTER (provider = 'google') AS nb, count(*) FILTER (provider = 'google') = 0 AS alone FROM r GROUP BY answer_id),
+j AS (SELECT *, ea IS NULL AND NOT na AS ga, coalesce(eb IS NULL AND NOT nb, FALSE) AS gb FROM p)
 SELECT answer_id, CASE WHEN alone OR ga THEN ta WHEN gb OR trim(tb) <> '' THEN tb ELSE coalesce(nullif(ta, ''), nullif(tb, ''), '') END AS text,
   CASE WHEN alone OR ga THEN ca WHEN gb OR trim(tb) <> '' THEN cb ELSE coalesce(ca, cb) END AS confidence, CASE WHEN alone OR ga THEN na WHEN gb OR trim(tb) <> '' THEN nb ELSE TRUE END AS needs_fallback,
   CASE WHEN alone OR ga THEN 'azure' ELSE 'azure->fallback:google' END AS provider,
@@ -314,6 +314,12 @@ def _(v):
     return v["fx_short"].select("id", normal_form(F.col("answer")).alias("answer_form"), normal_form(F.col("key")).alias("key_form"))
 
 
+@query("f13_rule_table", f"SELECT p_partkey AS id, {normal_sql('answer')} AS f FROM (SELECT id AS p_partkey, answer FROM fx_short) x")
+def _(v):
+    rules = v.spark.createDataFrame(normal_rules(), "step int, pattern string, word string")
+    return v["fx_short"].select("id", normal_form_by(F.col("answer"), rules).alias("f"))
+
+
 @query("f14_key_variants", f"WITH {SHORT} SELECT s.id, coalesce(string_agg(v, '|' ORDER BY i), '') AS variants FROM s LEFT JOIN variant n ON n.key = s.key GROUP BY 1")
 def _(v):
     return v["fx_short"].select("id", F.array_join(key_variants(F.col("key")), "|").alias("variants"))

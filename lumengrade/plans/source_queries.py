@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import reports
 from ..sources.batch_table import BatchTable, Refused
 from ..sources.shared import shared_path
+from ..sources.sinks import bucketed, read_report, write_report
 from ..sources.tables import load_tables, overwrite_batches, reprocess
 from ..streaming import jobs
 from .registry import query
@@ -80,6 +81,29 @@ def _(v):
     return reduce(DataFrame.unionByName, out)
 
 
+@query("s6_bucketed_tables", """SELECT r.id AS student_result_id, r.batch_id, round(sum(coalesce(s.final_score, s.ai_score)), 6) AS total, count(*) AS scores, bool_or(s.requires_manual_review) AS pending
+  FROM fx_results r JOIN fx_scored s ON s.student_result_id = r.id GROUP BY 1, 2""")
+def _(v):
+    """Results by batch and scores, both in buckets of the result: joined and totalled without a shuffle."""
+    results = bucketed(v["fx_results"].select(F.col("id").alias("student_result_id"), "status", "batch_id"), "student_result_id", 8, "batch_id")
+    scored = bucketed(v["fx_scored"].select("student_result_id", "question_number", "ai_score", "final_score", "requires_manual_review"), "student_result_id", 8)
+    return bucket_totals(results, scored)
+
+
+def bucket_totals(results: DataFrame, scored: DataFrame) -> DataFrame:
+    both = results.hint("merge").join(scored, "student_result_id")
+    total = r6(F.sum(F.coalesce("final_score", "ai_score"))).alias("total")
+    return both.groupBy("student_result_id", "batch_id").agg(total, F.count("*").alias("scores"), F.bool_or("requires_manual_review").alias("pending"))
+
+
+@query("s7_report_csv", """SELECT id, run_id, page_number, student_name, CASE WHEN registration = '' THEN NULL ELSE registration END AS registration, answer_transcription, score, needs_human_review FROM fx_answers""")
+def _(v):
+    """Answers written as a CSV report, texts with quotes, separators and line breaks among them, and read again."""
+    rows, path = v["fx_answers"].select("id", "run_id", "page_number", "student_name", "registration", "answer_transcription", "score", "needs_human_review"), shared_path(v.spark, "report")
+    write_report(rows, path)
+    return read_report(v.spark, path, rows.schema)
+
+
 PAGES = "SELECT id AS page_id, CAST(FLOOR(batch_id / 100.0) AS BIGINT) AS batch_id, CAST(created_at AS TIMESTAMP) AS page_ts, LEAST(3, (YEAR(created_at) - 1992) DIV 2) AS slice FROM fx_results"
 TEXTS = """SELECT r.page_id, s.question_number, s.ai_score, r.page_ts + s.question_number * INTERVAL 1 HOUR AS text_ts,
   CASE r.page_id % 3 WHEN 0 THEN GREATEST(0, r.slice - 1) WHEN 1 THEN LEAST(3, r.slice + 1) ELSE r.slice END AS slice
