@@ -47,7 +47,10 @@ def with_recovery(df: DataFrame, raw: str) -> DataFrame:
         found = F.col(f"_ok{k}") & ~done
         txt, obj = F.when(found, F.col(f"_{k}")).otherwise(txt), F.when(found, F.get(f"_list{k}", F.lit(0))).otherwise(obj)
         done = F.col(f"_ok{k}")
-    return df.withColumns({"_txt": txt, "_obj": obj}).drop("_bare", "_first", "_last", *[f"{c}{k}" for c in ("_", "_list", "_ok") for k in range(1, 5)])
+    # A caller's filter on the outcome must not be moved below these steps, where each would stand in it many times over: it isn't
+    # moved past a row number, so the outcome leans on one.
+    stay = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
+    return df.withColumns({"_txt": stay(txt), "_obj": stay(obj)}).drop("_bare", "_first", "_last", *[f"{c}{k}" for c in ("_", "_list", "_ok") for k in range(1, 5)])
 
 
 def kind_of(type_name: Column, value: Column) -> Column:

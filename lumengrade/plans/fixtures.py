@@ -121,6 +121,15 @@ SELECT id, question_number, student_result_id,
        'Explique a função do músculo sóleo e do tendão calcâneo' AS prompt,
        CASE WHEN box_pos % 4 = 0 THEN 'baixa' ELSE 'alta' END AS reading_confidence, CAST(1.0 AS DOUBLE) AS max_score
 FROM fx_scored""",
+    # Outputs about the given texts, with a fault that the text's length and id decide.
+    "fx_outputs": """
+SELECT id, fault, CASE fault WHEN 1 THEN CONCAT('```json', CHR(10), good, CHR(10), '```') WHEN 2 THEN CONCAT('Segue a nota: ', good, ' e nada mais.') WHEN 3 THEN CONCAT(SUBSTR(good, 1, LENGTH(good) - 1), ', }')
+         WHEN 4 THEN REPLACE(good, '.25,', ',25,') WHEN 5 THEN REPLACE(REPLACE(good, '{"', '{“'), '": ', '”: ') WHEN 6 THEN REPLACE(REPLACE(good, 'criterios_atendidos', 'criterios_atend'), 'revisao_necessaria', 'revisao_necess')
+         WHEN 7 THEN SUBSTR(good, 1, LENGTH(good) - 30) WHEN 8 THEN REPLACE(good, 'false', '"true"') WHEN 9 THEN REPLACE(REPLACE(good, '"criterios_ausentes": [], ', ''), '"nota": ', '"nota": [], "x": ')
+         WHEN 10 THEN CONCAT('{"analysis": "', said, '", ', SUBSTR(good, 2, 100000)) WHEN 11 THEN '[1, 2]' WHEN 12 THEN REPLACE(good, '["a"]', '"a"') WHEN 13 THEN CONCAT(good, good) ELSE good END AS raw
+FROM (SELECT id, fault, said, CONCAT('{"nota": ', CAST(id % 3 AS STRING), '.25, "comentario": "', said, '", "criterios_atendidos": ["a"], "criterios_ausentes": [], "revisao_necessaria": false}') AS good
+  FROM (SELECT id, CAST((LENGTH(answer_transcription) * 7 + id) % 15 AS INT) AS fault,
+               TRIM(TRANSLATE(SUBSTR(answer_transcription, 1 + CAST(id % 9 AS INT), 60), CONCAT(CHR(9), CHR(10), CHR(13), CHR(34), CHR(92), '{}[]“”‘’,`'), '               ')) AS said FROM fx_answers WHERE answer_transcription IS NOT NULL) t) g""",
     "fx_ocr": """
 SELECT student_result_id * 10 + question_number AS answer_id, CASE WHEN k = 0 THEN 'azure' ELSE 'google' END AS provider,
        CASE WHEN (box_pos + k) % 4 = 0 THEN '' WHEN (box_pos + k) % 4 = 1 THEN 'duas palavras' ELSE CONCAT('texto lido pelo provedor ', CAST(k AS STRING)) END AS text,

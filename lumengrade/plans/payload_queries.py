@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.grades import reading_confidence, single_grade
-from ..functions.json_text import schema_warnings, with_kinds, with_recovery
+from ..functions.json_text import REQUIRED, schema_warnings, with_kinds, with_recovery
 from ..functions.short_answer import (
     ABBREVIATIONS, ALIASES, ALTERNATIVES, DROPPED, LAST_LEFT, LAST_RIGHT, LEFT, MUSCLE, RIGHT, SIDES, copy_form, key_variants, nfd_strip, normal_form, normal_form_by, normal_rules, plain_letters,
 )
@@ -201,6 +201,45 @@ def _(v):
     return with_kinds(v["fx_raw"], "raw").select("id", "student_result_id", "question_number", F.coalesce(warned, F.lit("")).alias("warnings"))
 
 
+# The repairs in order and the first that is one object, worked out from the text alone.
+READ = r"""b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '^```(json|JSON)?\s*', ''), '\s*```$', '') AS bare FROM fx_outputs),
+c1 AS (SELECT *, CASE WHEN regexp_matches(bare, '(?s)\{.*\}') THEN regexp_extract(bare, '(?s)\{.*\}') ELSE bare END AS t1 FROM b),
+c2 AS (SELECT *, translate(t1, '“”‘’', '""''''') AS t2 FROM c1),
+c3 AS (SELECT *, regexp_replace(t2, ',\s*([}\]])', '\1', 'g') AS t3 FROM c2),
+c4 AS (SELECT *, regexp_replace(t3, '(\d),(\d)', '\1.\2', 'g') AS t4 FROM c3),
+o AS (SELECT id, fault, list_filter([t1, t2, t3, t4], lambda t: json_valid(t) AND coalesce(try(json_type(t)), '') = 'OBJECT')[1] AS o FROM c4)"""
+
+
+@query("f19_repairs_of_texts", f"WITH {READ} SELECT id, o IS NOT NULL AS parsed, try_cast(json_extract_string(o, '$.nota') AS DOUBLE) AS nota, json_extract_string(o, '$.comentario') AS comentario FROM o")
+def _(v):
+    got = with_recovery(v["fx_outputs"], "raw")
+    return got.select("id", F.col("_obj").isNotNull().alias("parsed"), F.col("_obj")["nota"].try_cast("double").alias("nota"), F.col("_obj")["comentario"].alias("comentario"))
+
+
+WRONG = "CASE WHEN list_contains(k, '{key}') AND NOT coalesce(json_type(o, '$.{key}') IN ({kinds}), FALSE) THEN 'Campo {key} com tipo inválido.' END"
+LIST_OF = "'[''' || array_to_string({c}, ''', ''') || ''']'"
+
+
+@query("f20_warnings_of_texts", f"""WITH {READ}, r AS (SELECT id, o, json_keys(o) AS k FROM o WHERE o IS NOT NULL),
+l AS (SELECT *, list_filter({list(REQUIRED)}, lambda x: NOT list_contains(k, x)) AS lacking, list_filter(k, lambda x: NOT list_contains({list(REQUIRED)}, lower(trim(x))) AND (contains(lower(trim(x)), 'revisao_necess') OR starts_with(lower(trim(x)), 'criterios_'))) AS odd FROM r)
+SELECT id, array_to_string(list_filter([CASE WHEN len(lacking) > 0 THEN 'JSON recuperado, mas schema incompleto: chaves ausentes: ' || {LIST_OF.format(c="lacking")} END, CASE WHEN len(odd) > 0 THEN 'Chaves suspeitas/ignoradas: ' || {LIST_OF.format(c="odd")} END,
+  CASE WHEN list_contains(k, 'analysis') OR list_contains(k, 'reasoning') THEN 'Campos proibidos detectados: analysis/reasoning.' END, {WRONG.format(key="comentario", kinds="'VARCHAR'")},
+  {WRONG.format(key="criterios_atendidos", kinds="'ARRAY'")}, {WRONG.format(key="criterios_ausentes", kinds="'ARRAY'")}, {WRONG.format(key="nota", kinds="'DOUBLE', 'UBIGINT', 'BIGINT', 'VARCHAR', 'BOOLEAN'")}], lambda x: x IS NOT NULL), '|') AS warnings FROM l""")
+def _(v):
+    read = with_kinds(v["fx_outputs"], "raw").where("_obj is not null")
+    return read.select("id", F.array_join(schema_warnings(), "|").alias("warnings"))
+
+
+@query("f22_grades_of_texts", f"""WITH {READ}, r AS (SELECT id, o, try_cast(json_extract_string(o, '$.nota') AS DOUBLE) AS x, json_extract_string(o, '$.revisao_necessaria') AS flag, json_type(o, '$.revisao_necessaria') AS kind FROM o),
+g AS (SELECT *, CASE WHEN x IS NULL THEN 0.0 ELSE least(1.0, greatest(0.0, ceil(x * 4 - 0.5) / 4)) END AS s FROM r)
+SELECT id, CASE WHEN o IS NULL THEN 0.0 ELSE s END AS score, o IS NULL OR coalesce(x, -1) <> s OR kind IS NULL OR flag = 'true' OR coalesce(flawed, FALSE) AS needs_human_review,
+  CASE WHEN o IS NULL THEN 'Resposta da IA em formato inválido. Revisão manual necessária.' ELSE coalesce(json_extract_string(o, '$.comentario'), '') END AS justification
+FROM (SELECT g.*, len(list_filter({list(REQUIRED)}, lambda q: NOT list_contains(json_keys(o), q))) > 0 OR list_contains(json_keys(o), 'analysis') OR coalesce(json_type(o, '$.criterios_atendidos') <> 'ARRAY', FALSE) AS flawed FROM g) h""")
+def _(v):
+    rows = v["fx_outputs"].withColumns({"answer": F.lit("uma resposta do aluno"), "prompt": F.lit(""), "reading_confidence": F.lit("alta"), "max_score": F.lit(1.0)})
+    return grading.discursive_grades(rows).select("id", "score", "needs_human_review", "justification")
+
+
 @query("f22_discursive_grades", f"""
 WITH r AS (SELECT *, CASE WHEN question_number <= 3 THEN CAST(json_extract_string(regexp_replace(regexp_extract(raw, '\\{{.*\\}}', 0, 's'), ',\\s*\\}}', '}}'), '$.nota') AS DOUBLE) WHEN question_number = 7 THEN NULL WHEN question_number = 5 THEN 1.0 ELSE 0.5 END AS x, contains(answer, 'Explique') AS marks FROM fx_raw),
 g AS (SELECT *, least(1.0, greatest(0.0, ceil(x * 4 - 0.5) / 4)) AS s, x <> least(1.0, greatest(0.0, ceil(x * 4 - 0.5) / 4)) AS off, CASE WHEN marks THEN TRUE ELSE FALSE END AS copied FROM r)
