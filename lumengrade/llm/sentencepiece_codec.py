@@ -282,4 +282,4 @@ def sentencepiece_codec(docs: DataFrame, path: str | None = None, with_text: boo
 
 def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sentencepiece_codec(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+    return got.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"), "n_corrected")

@@ -1,4 +1,4 @@
-"""Centroid clustering, hard negatives and page texts against brute force in whole numbers and over whole tables."""
+"""Centroid clustering, hard negatives, page texts and encoding against brute force in whole numbers and over whole tables."""
 
 import hashlib
 import math
@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumengrade.llm import centroid_clusters, hard_negatives, integer_vectors, page_text, page_tree
+from lumengrade.llm import centroid_clusters, hard_negatives, integer_vectors, page_text, page_tree, sentencepiece_codec
 from lumengrade.llm._common import stored
 
 EMBEDDINGS = "vec_id long, embedding array<float>, label int"
@@ -301,3 +301,11 @@ def test_templates_against_counts_over_whole_tables(spark):
         got = {r.page_id: (r.text, r.n_template) for r in page_text.extract(table, least=least).collect()}
         assert got == want
         assert sum(n for _, n in want.values()) >= 9
+
+
+# encoding: what the agendas give is the library's
+
+
+def test_agendas_need_no_correction(spark):
+    got = sentencepiece_codec.op5_sentencepiece_codec(spark, "/root/testdata/sf0.001").agg(F.sum("n_corrected").alias("c"), F.count("*").alias("n")).first()
+    assert (got.c, got.n) == (0, 200)
