@@ -53,8 +53,13 @@ def fingerprints(hashes: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[
         grams = (grams ^ hashes[i : len(hashes) - k + 1 + i]) * MIX
         grams ^= grams >> np.uint64(29)
     window = min(window, len(grams))
-    views = np.lib.stride_tricks.sliding_window_view(grams, window)
-    at = np.unique(np.arange(len(views)) + window - 1 - views[:, ::-1].argmin(1))  # the rightmost smallest
+    at = np.arange(len(grams))  # the rightmost smallest of each window; for windows of one and two without a search
+    if window == 2:
+        at = at[:-1] + (grams[1:] <= grams[:-1])
+    elif window > 2:
+        views = np.lib.stride_tricks.sliding_window_view(grams, window)
+        at = np.arange(len(views)) + window - 1 - views[:, ::-1].argmin(1)
+    at = at[np.r_[True, at[1:] != at[:-1]]]  # places never fall
     return at, grams[at]
 
 
@@ -224,7 +229,7 @@ def scan(texts: list[np.ndarray], index: Index, coverage: float = COVERAGE, band
     for d, hashes in enumerate(texts):
         for size, posting, keys in index.parts:
             at, code = fingerprints(hashes, *size)
-            hit = np.isin(code, keys)
+            hit = keys[np.minimum(np.searchsorted(keys, code), len(keys) - 1)] == code
             for place, h in zip(at[hit].tolist(), code[hit].tolist(), strict=True):
                 for name, there in posting[h]:
                     hits_of[name].append((d, place, there))
