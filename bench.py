@@ -12,7 +12,7 @@ HEADLINE = [
     "batch_report", "w1_dedupe_first", "a2_student_status", "a4_batch_stats", "a12_final_mark", "o1_review_queue", "m1_apply_updates", "j2_export_rows", "s8_report_wide",
     "a11_run_rows", "j13_resolve_identity", "a5_fold_results", "j11_resolve_ocr", "w7_pick_model_output", "f22_discursive_grades", "f17_short_answers", "f18_copied_prompts",
     "op1_quality_rules", "op2_source_mix", "op3_token_counts", "op4_url_filter", "op5_sentencepiece_codec", "op6_minhash_dedup", "op7_language_id", "op8_embedding_dedup",
-    "op9_license_scan", "op10_toxicity", "pipeline",
+    "op9_license_scan", "op10_toxicity", "op11_centroid_clusters", "op12_hard_negatives", "op13_page_text", "pipeline",
 ]
 
 
