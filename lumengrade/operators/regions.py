@@ -55,11 +55,12 @@ def overlapping_pairs(boxes: DataFrame, share: float = 0.65, cell: tuple[int, in
 
 def suppress_regions(boxes: DataFrame, share: float = 0.65, most: int = 12) -> DataFrame:
     """Greedy in (y, x) order over all boxes of a page, as found: one that overlaps a kept one drops out, and the first `most`
-    kept stay. boxes(page_id, region_id, x, y, w, h, ...); further columns stay.
+    kept stay. boxes(page_id, region_id, x, y, w, h, ...); further columns stay. Of boxes that share place and id the smaller comes
+    first (width, then height), so that reruns agree; one without a place in x comes last in its row and overlaps nothing.
 
     Boxes are read as sorted runs, and only the kept ones of the current page are held.
     """
-    rows = boxes.repartition("page_id").sortWithinPartitions("page_id", "y", "x", "region_id")
+    rows = boxes.repartition("page_id").sortWithinPartitions("page_id", F.asc_nulls_last("y"), F.asc_nulls_last("x"), F.asc_nulls_last("region_id"), "w", "h")
 
     def run(batches):
         page, out = None, []
@@ -69,7 +70,8 @@ def suppress_regions(boxes: DataFrame, share: float = 0.65, most: int = 12) -> D
                 if p != page:
                     page, out = p, []
                 clear = len(out) < most
-                for ox, oy, ow, oh in out if clear else ():
+                known = None not in (x, y, w, h)
+                for ox, oy, ow, oh in (b for b in out if None not in b) if clear and known else ():
                     both = max(0, min(x + w, ox + ow) - max(x, ox)) * max(0, min(y + h, oy + oh) - max(y, oy))
                     smaller = min(w * h, ow * oh)
                     if smaller and both / smaller > share:
