@@ -110,9 +110,9 @@ def warning_counts(df: DataFrame) -> DataFrame:
     return classify_warnings(df).groupBy("batch_id", "code", "stage").agg(F.count("*").alias("n"))
 
 
-def run_summary(pages: DataFrame, answers: DataFrame, most: int = 20) -> DataFrame:
-    """Per run: pages, first non-empty models by page, fallbacks, the errors of the first `most` pages that have one, how many have one,
-    SUCCESS or FAILED. A run may be any share of the table: no more than `most` errors of it come together.
+def run_summary(pages: DataFrame, answers: DataFrame, most: int | None = 20) -> DataFrame:
+    """Per run: pages, first non-empty models by page, fallbacks, the errors of the first `most` pages that have one (None: of all), how many have one,
+    SUCCESS or FAILED. A run may be any share of the table: errors are dealt out by range and joined part by part, so that what comes together is the text returned.
 
     pages(run_id, page_number, vision_model, fallback_used, error), answers(run_id, page_number, question_number, text_model).
     """
@@ -121,11 +121,15 @@ def run_summary(pages: DataFrame, answers: DataFrame, most: int = 20) -> DataFra
         F.count("*").alias("pages_processed"), F.min_by(filled("vision_model"), F.when(filled("vision_model").isNotNull(), F.col("page_number"))).alias("vision_model"),
         F.count_if("fallback_used").alias("fallback_pages"), F.count_if(filled("error").isNotNull()).alias("errors"),
     )
-    said = top_n(pages.where(filled("error").isNotNull()).select("run_id", "page_number", "error"), ["run_id"], ["page_number", "error"], most)
-    said = said.groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "error"))), lambda x: x["error"]).alias("e"))
+    order = ["page_number", "error"]
+    said = pages.where(filled("error").isNotNull()).select("run_id", *order)
+    said = top_n(said, ["run_id"], order, most) if most is not None else said.repartitionByRange("run_id", *order)
+    joined_by = lambda place, text: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*place, text))), lambda x: x[text]), " | ")
+    said = said.withColumn("_part", F.spark_partition_id()).groupBy("run_id", "_part").agg(joined_by(order[:1], "error").alias("_text"), F.min(F.struct(*order)).alias("_at"))
+    said = said.groupBy("run_id").agg(joined_by(["_at", "_part"], "_text").alias("e"))
     text = answers.groupBy("run_id").agg(F.min_by(filled("text_model"), F.when(filled("text_model").isNotNull(), F.struct("page_number", "question_number"))).alias("text_model"))
     joined = per.join(said, "run_id", "left").join(text, "run_id", "left")
-    return joined.withColumn("error", F.coalesce(F.array_join("e", " | "), F.lit(""))).drop("e").withColumn("status", F.when(F.col("errors") == 0, "SUCCESS").otherwise("FAILED"))
+    return joined.withColumn("error", F.coalesce("e", F.lit(""))).drop("e").withColumn("status", F.when(F.col("errors") == 0, "SUCCESS").otherwise("FAILED"))
 
 
 def report_details(rows: DataFrame) -> DataFrame:

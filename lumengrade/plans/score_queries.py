@@ -462,11 +462,11 @@ RUN_ANSWERS = "SELECT source AS run_id, doc_id AS page_number, 1 AS question_num
 @query("a22_run_summary", f"""
 WITH p AS (SELECT run_id, count(*) AS pages_processed, arg_min(vision_model, page_number) FILTER (vision_model <> '') AS vision_model, count(*) FILTER (fallback_used) AS fallback_pages,
   count(*) FILTER (error <> '') AS errors FROM ({RUN_PAGES}) x GROUP BY 1),
-e AS (SELECT run_id, string_agg(error, ' | ' ORDER BY page_number, error) AS error FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY page_number, error) AS k FROM ({RUN_PAGES}) x WHERE error <> '') y WHERE k <= 20 GROUP BY 1),
+e AS (SELECT run_id, string_agg(error, ' | ' ORDER BY page_number, error) AS error FROM ({RUN_PAGES}) x WHERE error <> '' GROUP BY 1),
 t AS (SELECT run_id, arg_min(text_model, page_number) FILTER (text_model <> '') AS text_model FROM ({RUN_ANSWERS}) y GROUP BY 1)
 SELECT p.*, coalesce(e.error, '') AS error, t.text_model, CASE WHEN p.errors = 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status FROM p LEFT JOIN t ON t.run_id = p.run_id LEFT JOIN e ON e.run_id = p.run_id""")
 def _(v):
-    return reports.run_summary(v.sql(RUN_PAGES), v.sql(RUN_ANSWERS))
+    return reports.run_summary(v.sql(RUN_PAGES), v.sql(RUN_ANSWERS), most=None)
 
 
 @query("s8_report_wide", "SELECT student_result_id, " + ", ".join(f"max(coalesce(final_score, ai_score)) FILTER (question_number = {n}) AS q{n}" for n in range(1, 8)) + ", round(sum(coalesce(final_score, ai_score)), 6) AS total, round_even(round(sum(coalesce(final_score, ai_score)), 6) / 7 * 4, 0) / 4 AS mark FROM fx_scored GROUP BY 1")
