@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -25,3 +27,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def once_each(rows: DataFrame, inputs: list[str], judge: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+    """rows with the columns that judge() adds to the distinct combinations of their `inputs`: it gets and keeps those columns, one row for each combination.
+
+    The combinations and what is made of them are written, so that later plans know their size; rows meet them by 128-bit numbers, and no text is joined.
+    """
+    parts = [x for c in inputs for x in (F.isnull(c), F.col(c))]
+    keys = {"_once1": F.xxhash64(*parts), "_once2": F.xxhash64(F.lit(1), *reversed(parts))}
+    made = judge(written(rows.select(*inputs).distinct(), tag))
+    made = written(made.withColumns(keys).drop(*inputs), f"{tag}-made")
+    return rows.withColumns(keys).join(made, [*keys], "left").drop(*keys)
