@@ -9,6 +9,7 @@ from ..functions.grades import reading_confidence
 from ..functions.identity import student_code
 from ..functions.short_answer import expanded_form, normal_form
 from ..functions.values import decimal_or_null, first_filled, first_nonzero, needs_fallback, strip, truthy_text, unit_interval
+from ..sources.shared import once_each, written
 
 QUESTION = "struct<number:string,prompt_detected:string,answer_transcription:string,reading_confidence:string,ocr_confidence:string,reading_notes:string,has_answer:string,image_region:string>"
 PAGE = f"struct<student:struct<name:string,registration:string,class:string,student_code:string>,physical_page:int,page:int,page_number:int,questions:array<{QUESTION}>>"
@@ -170,22 +171,28 @@ def build_requests(answers: DataFrame, questions: DataFrame, kind: str = "single
     """P10: one request per answer with its question, as (id, question_id, prompt, payload, image); wording is the caller's.
 
     single grades a transcription (blank: BLANK) and visual the picture of the answer (answers.image; blank transcription: UNREAD), both by a prompt of
-    named fields. grading has a JSON payload with raw, expanded and normal forms of prompt, answer and key. answers(id,
-    question_id, answer_transcription, and for grading reading_confidence).
+    named fields. grading has a JSON payload with raw, expanded and normal forms of prompt, answer and key, each worked out once for a question or
+    a distinct answer. answers(id, question_id, answer_transcription, and for grading reading_confidence).
     """
     if kind not in ("single", "visual", "grading"):
         raise ValueError(f"no kind of request: {kind}")
     q = questions.select(F.col("id").alias("question_id"), "question_number", "question_text", "expected_answer", "max_score")
+    if kind == "grading":
+        text = lambda c: F.coalesce(c, F.lit(""))
+        forms = {f"_{c}_{name}": form(text(c)) for c in ("question_text", "expected_answer") for name, form in (("expanded", expanded_form), ("normal", normal_form))}
+        q = written(q.withColumns(forms), "questions")
+        said = {"_said_expanded": expanded_form(text("answer_transcription")), "_said_normal": normal_form(text("answer_transcription"))}
+        answers = once_each(answers, ["answer_transcription"], lambda rows: rows.withColumns(said), "answers")
     rows = answers.join(q, "question_id")
     image = F.col("image") if kind == "visual" else F.lit(None).cast("string")
     none = F.lit(None).cast("string")
     if kind == "grading":
         asked, said, key = (F.coalesce(c, F.lit("")) for c in ("question_text", "answer_transcription", "expected_answer"))
         body = F.struct(
-            "question_number", asked.alias("question_prompt"), expanded_form(asked).alias("question_prompt_expanded"),
+            "question_number", asked.alias("question_prompt"), F.col("_question_text_expanded").alias("question_prompt_expanded"),
             F.coalesce(F.nullif("reading_confidence", F.lit("")), F.lit("media")).alias("reading_confidence"), said.alias("student_answer"),
-            expanded_form(said).alias("student_answer_expanded"), normal_form(said).alias("student_answer_normalized"),
-            expanded_form(key).alias("rubric_expected_answer_expanded"), normal_form(key).alias("rubric_expected_answer_normalized"),
+            F.col("_said_expanded").alias("student_answer_expanded"), F.col("_said_normal").alias("student_answer_normalized"),
+            F.col("_expected_answer_expanded").alias("rubric_expected_answer_expanded"), F.col("_expected_answer_normal").alias("rubric_expected_answer_normalized"),
             F.struct(key.alias("expected_answer"), "max_score").alias("rubric"),
         )
         return rows.select("id", "question_id", none.alias("prompt"), F.to_json(body).alias("payload"), image.alias("image"))
