@@ -62,6 +62,7 @@ def _(v):
     table = BatchTable(v.spark, shared_path(v.spark, "batches"), rows.schema)
     seen = lambda moment: table.read().groupBy("batch_id").agg(F.count("*").alias("scores"), r6(F.sum("ai_score")).alias("total")).select(F.lit(moment).alias("moment"), "*")
     table.replace(rows)
+    rows = table.read()  # the same rows, from here on read as they were stored
     again = rows.where("batch_id % 2 = 0").withColumn("ai_score", F.col("ai_score") + 1)
     slower = table.write(rows.where("batch_id % 6 = 0").withColumn("ai_score", F.lit(9.0)))
     written = table.write(again)
