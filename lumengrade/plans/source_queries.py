@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reports
 from ..sources.batch_table import BatchTable, Refused
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, written
 from ..sources.sinks import bucketed, read_report, write_report
 from ..sources.tables import load_tables, overwrite_batches, reprocess
 from ..streaming import jobs
@@ -113,6 +113,7 @@ TEXTS = """SELECT r.page_id, s.question_number, s.ai_score, r.page_ts + s.questi
 
 def _arrive(v, rows, slices, *steps) -> None:
     """The rows of each slice land as files of one more micro-batch; each step starts its stream from its checkpoint again."""
+    rows = [(written(df, "arriving"), folder) for df, folder in rows]  # worked out once, not once a slice
     for k in range(slices):
         for df, folder in rows:
             df.where(F.col("slice") == k).drop("slice").write.mode("append").parquet(folder)
